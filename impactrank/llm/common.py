@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +95,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII but for digits and lower-case letters: what stands between the words of lower-cased text.
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[0x30:0x3A] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x80:] = False
 
 
 @dataclass
@@ -155,13 +158,13 @@ class Words:
         return hashes, docs
 
 
-def words(texts: list[bytes], lower: bool = False) -> Words:
-    """Words separated by ASCII white space; ``lower`` lower-cases A-Z first."""
+def words(texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words separated by the bytes flagged in ``between``; ``lower`` lower-cases A-Z first."""
     joined = b"\n".join(texts) + b"\n"
     data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
-    space = _SPACE[data]
+    space = between[data]
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, _ = _powers(len(data) + 1)
@@ -172,3 +175,19 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     out = Words(data, bounds, start, end, doc, first, np.zeros(0, _WORD), prefix)
     out.hash = out.span_hash(start, end)
     return out
+
+
+def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows whose text passes ``verdict``, with all their columns, in one pass over Arrow batches.
+
+    ``verdict`` gets about a megabyte of texts at a time (null as empty) and gives a flag for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch[text_col])
+            flags = [verdict(texts[i:j]) for i, j in slices(texts)]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import fold, id_text, slices, text_bytes, words
+from .common import fold, id_text, keep_rows, slices, text_bytes, words
 
 #: Most trusted positives and most unlabelled texts that the fit sees.
 POSITIVES, UNLABELLED = 1500, 3000
@@ -110,22 +110,31 @@ def score_column(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray:
+    """Weights from the ``positives`` and ``unlabelled`` ids of smallest hash whose crc32 modulo 3 is not 1; zeros without positives."""
+    own = id_text(docs, id_col, text_col).where("doc_id is not null")
+    pick = lambda ids, n, role: ids.where(fold(F.col("doc_id"), 3) != 1).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
+    trusted = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
+    x, role = sample_features(own, pick(trusted, positives, 1).unionByName(pick(own.select("doc_id"), unlabelled, 0)))
+    positive, free = x[role == 1], x[role == 0]
+    if len(positive) < 2 or len(free) < 2:
+        return np.zeros(features.WIDTH)
+    return fit(positive, free, estimate_prior(positive, free))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Positives are rows of ``labels`` with quality 1, unlabelled texts any documents; both only from ids
-    whose crc32 modulo 3 is not 1. The fit sees the ``positives`` and ``unlabelled`` ids of smallest hash.
-    Null and empty texts are scored by the constant alone; a null id is held out by the rule for an empty
-    id. Without positives every score is 0.5. Repeated rows stay; other columns are ignored; empty tables give an empty result.
+    whose crc32 modulo 3 is not 1. Null and empty texts are scored by the constant alone; a null id is
+    held out by the rule for an empty id. Without positives every score is 0.5. Repeated rows stay;
+    other columns are ignored; empty tables give an empty result.
     """
-    own = id_text(docs, id_col, text_col)
-    pick = lambda ids, n, role: ids.where(fold(F.col("doc_id"), 3) != 1).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
-    trusted = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
-    roles = pick(trusted, positives, 1).unionByName(pick(own.select("doc_id").where("doc_id is not null"), unlabelled, 0))
-    x, role = sample_features(own, roles)
-    positive, free = x[role == 1], x[role == 0]
-    weights = np.zeros(features.WIDTH)
-    if len(positive) > 1 and len(free) > 1:
-        weights = fit(positive, free, estimate_prior(positive, free))
-    scored = score_column(own, weights)
+    scored = score_column(id_text(docs, id_col, text_col), train(docs, labels, id_col, text_col, positives, unlabelled))
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with a score of 0.5 or more, with all their columns."""
+    weights = train(docs, labels, id_col, text_col).astype(np.float32)
+    return keep_rows(docs, text_col, lambda texts: features.matrix(words(texts)) @ weights >= 0)

@@ -7,6 +7,7 @@ rows; a scale and an offset fitted on rows that the regression has not seen make
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import Words, fold, id_text, slices, text_bytes, words
+from .common import Words, fold, id_text, keep_rows, slices, text_bytes, words
 from .pu import descend, sample_features, sigmoid
 
 #: Most labelled rows that the fit sees.
@@ -79,29 +80,55 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarray, flo
     return weights, float(scale), float(offset)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability) of every document.
+@dataclass
+class Rules:
+    """A trained model with its fixed thresholds."""
 
-    The fit sees the ``labelled`` rows of smallest id hash among those whose id's crc32 modulo 3 is not 1, so
-    that the rest can test it. A null text counts as empty and fails the word count. With one class of label
-    the model gives that class; without labels it rejects nothing. Repeated rows and null ids stay; other columns are ignored; an empty table gives an empty result.
-    """
-    own = id_text(docs, id_col, text_col)
+    weights: np.ndarray
+    scale: float
+    offset: float
+    threshold: float = THRESHOLD
+
+    def verdicts(self, texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, failed a counted rule, kept, probability) of each text."""
+        w = words(texts)
+        got = counts(w)
+        chance = sigmoid(self.scale * (features.matrix(w) @ self.weights).astype(float) + self.offset)
+        failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEATED * got["n_words"])
+        return got, failed, ~failed & (chance >= self.threshold), chance
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, threshold: float = THRESHOLD) -> Rules:
+    """Fitted on the ``labelled`` rows of smallest id hash among those whose id's crc32 modulo 3 is not 1, so that the rest can test it."""
+    own = id_text(docs, id_col, text_col).where("doc_id is not null")
     roles = labels.where("quality in (0, 1)").select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("role")).where("doc_id is not null").where(fold(F.col("doc_id"), 3) != 1)
     roles = roles.groupBy("doc_id").agg(F.min("role").alias("role")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     x, y = sample_features(own, roles)
     weights, scale, offset = fit(x, y.astype(float))
-    weights = weights.astype(np.float32)
+    return Rules(weights.astype(np.float32), scale, offset, threshold)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability) of every document.
+
+    A null text counts as empty and fails the word count. With one class of label the model gives that
+    class; without labels it rejects nothing. Repeated rows and null ids stay; other columns are
+    ignored; an empty table gives an empty result.
+    """
+    rules = train(docs, labels, id_col, text_col, labelled, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch["text"])
             for i, j in slices(texts):
-                w = words(texts[i:j])
-                got = counts(w)
-                chance = sigmoid(scale * (features.matrix(w) @ weights).astype(float) + offset)
-                failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEATED * got["n_words"])
-                cols = [batch["doc_id"][i:j], *(pa.array(c.astype(np.int64)) for c in got.values()), pa.array(failed), pa.array(~failed & (chance >= threshold)), pa.array(chance)]
+                got, failed, kept, chance = rules.verdicts(texts[i:j])
+                cols = [batch["doc_id"][i:j], *(pa.array(c.astype(np.int64)) for c in got.values()), pa.array(failed), pa.array(kept), pa.array(chance)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *got, "base_failed", "kept", "probability"])
 
-    return own.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+
+
+def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    rules = train(docs, labels, id_col, text_col)
+    return keep_rows(docs, text_col, lambda texts: rules.verdicts(texts)[2])

@@ -269,3 +269,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     member = checkpointed(named.join(names, "root").select("fp", "component_id"))
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that name their component, with all their columns: one of each group.
+
+    Rows of one id are one document. Rows without an id can't be told apart and stay.
+    """
+    named = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
