@@ -16,6 +16,12 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
@@ -35,6 +41,12 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_rows
+
+    return shard_rows(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -45,9 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pu_quality,
+        op2_license_scan,
         op3_quality_rules,
         op4_simhash_dedup,
         op5_pack_sequences,
+        op7_ring_shards,
         op10_decontaminate,
     )
 }
