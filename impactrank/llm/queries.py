@@ -47,6 +47,12 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_simhash_dedup,
         op5_pack_sequences,
         op7_ring_shards,
+        op9_main_text,
         op10_decontaminate,
     )
 }
