@@ -41,6 +41,12 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import language_model_scores
+
+    return language_model_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_simhash_dedup,
         op5_pack_sequences,
+        op6_lm_scores,
         op7_ring_shards,
         op9_main_text,
         op10_decontaminate,
