@@ -53,6 +53,32 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toolcalls import link_tool_calls, reply_schema, turns_as_calls
+
+    turns = read(spark, sf_dir, "conversations")
+    return link_tool_calls(*turns_as_calls(turns), reply_schema(turns))
+
+
+OP8_SQL = """
+WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, min('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}') AS arguments
+  FROM said WHERE role = 'user' GROUP BY conv_id, turn),
+results AS (
+  SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content
+  FROM said WHERE role = 'assistant' GROUP BY conv_id, turn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM calls)
+SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, CAST(p.position AS BIGINT) AS position, p.turn AS turn,
+  CASE WHEN p.turn IS NOT NULL THEN 'reply' END AS tool,
+  CASE WHEN p.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+  CAST(NULL AS VARCHAR) AS errors, r.turn AS result_turn,
+  CASE WHEN p.turn IS NOT NULL THEN '{"arguments":' || p.arguments || ',"call_id":"' || p.call_id || '","conv_id":' || p.conv_id || ',"position":' || p.position
+    || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"tool":"reply"}' END AS record
+FROM placed p FULL OUTER JOIN results r ON p.conv_id = r.conv_id AND p.call_id = r.call_id
+"""
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract_text
 
@@ -75,8 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pack_sequences,
         op6_lm_scores,
         op7_ring_shards,
+        op8_tool_calls,
         op9_main_text,
         op10_decontaminate,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_tool_calls": OP8_SQL}
