@@ -78,15 +78,15 @@ def ordered(calls: DataFrame) -> DataFrame:
     if moved is None:
         out = place.withColumn("cyclic", F.lit(False))
     else:
-        out = place.join(moved.select("conv_id", "call_id", F.lit(True).alias("cyclic")), ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+        out = place.withColumn("cyclic", F.col("step") > ROUNDS // 2)
     return calls.join(out, ["conv_id", "call_id"])
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, call_id, position, turn, tool, status, errors, result_turn, record), a row per call and per result without one.
 
-    status: ok, invalid (errors say why), cycle (it needs itself, through others or not, or moves more than
-    ``ROUNDS`` times), unanswered, or orphan for a result whose call is missing. Of calls or results that repeat an
+    status: ok, invalid (errors say why), cycle (it needs itself, through others or not, follows one that does,
+    or still moves after ``ROUNDS`` rounds), unanswered, or orphan for a result whose call is missing. Of calls or results that repeat an
     id in a conversation the first by turn counts (then by content). Needs of unknown ids are ignored. Null conversations are
     left out, null call ids too. Empty tables give an empty result. position counts a conversation's calls from 0 in their order.
     """
