@@ -348,8 +348,8 @@ def codec_sizes(spark, sf_dir):
 
 
 @query("""SELECT p_partkey AS x, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS rounded, CAST(sign(p_size - 25) AS DOUBLE) AS sgn,
-  CAST(bit_count((p_partkey & -p_partkey) - 1) AS INTEGER) AS low_bit, CASE WHEN p_partkey < 2 THEN 0 ELSE length(bin(p_partkey)) - 1 END AS log2_floor,
-  CASE WHEN p_partkey = 0 THEN 0 ELSE length(bin(p_partkey)) END AS bits, CAST(1 AS BIGINT) << CAST(p_size AS BIGINT) AS pow2,
+  CAST(bit_count((p_partkey & -p_partkey) - 1) AS INTEGER) AS low_bit, CAST(CASE WHEN p_partkey < 2 THEN 0 ELSE length(bin(p_partkey)) - 1 END AS INTEGER) AS log2_floor,
+  CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE length(bin(p_partkey)) END AS INTEGER) AS bits, CAST(1 AS BIGINT) << CAST(p_size AS BIGINT) AS pow2,
   CASE WHEN p_size = 0 THEN 0 ELSE CAST(1 AS BIGINT) << CAST(p_size AS BIGINT) END AS pow2_zero, greatest(p_size, p_partkey, 7) AS most, least(p_size, p_partkey, 7) AS least FROM part""")
 def math_integers(spark, sf_dir):
     x, size = F.col("p_partkey"), F.col("p_size")
