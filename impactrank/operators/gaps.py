@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_RUN = Window.partitionBy("term", "impact")
+
+def _run() -> WindowSpec:
+    return Window.partitionBy("term", "impact")
 
 
 def numbered(posts: DataFrame) -> DataFrame:
     """Postings with pos, their place from 0 in the segment."""
-    return posts.withColumn("pos", F.row_number().over(_RUN.orderBy("docid")) - 1)
+    return posts.withColumn("pos", F.row_number().over(_run().orderBy("docid")) - 1)
 
 
 def gaps(posts: DataFrame, stride: int = 1) -> DataFrame:
     """Each docid less the one ``stride`` places earlier; the first ones as they are."""
-    return numbered(posts).withColumn("gap", F.col("docid") - F.lag("docid", stride, 0).over(_RUN.orderBy("pos")))
+    return numbered(posts).withColumn("gap", F.col("docid") - F.lag("docid", stride, 0).over(_run().orderBy("pos")))
 
 
 def from_gaps(coded: DataFrame, stride: int = 1) -> DataFrame:

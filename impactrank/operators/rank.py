@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from .index import Index
 
-_BY_DOC = [F.desc("rsv"), F.desc("docid")]
-
-
 def term_lookup(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Query terms with their vocabulary rows; unknown terms drop out, repeated ones stay."""
     return qterms.join(vocab, "term").select("query_id", "term_pos", "term", "df", "n_segments", "max_impact")
@@ -64,7 +61,7 @@ def accumulate(plan: DataFrame, posts: DataFrame) -> DataFrame:
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, docid, rsv, rank): by falling score, then falling docid."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_BY_DOC))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rsv"), F.desc("docid")))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
