@@ -24,7 +24,8 @@ RANGE_ROWS = 200_000
 
 def ring(spark: SparkSession, shards: int, virtual: int) -> DataFrame:
     """(arc, at, shard): the points in ring order; shards * virtual rows, whatever the input holds."""
-    points = spark.range(shards * virtual).select((F.col("id") % shards).cast("int").alias("shard"), _hash(F.lit("point"), F.col("id")).alias("at"))
+    shard = F.col("id") % shards
+    points = spark.range(shards * virtual).select(shard.cast("int").alias("shard"), _hash(F.lit("point"), shard, F.floor(F.col("id") / shards)).alias("at"))
     return points.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at", "shard")) - 1).alias("arc"), "at", "shard")
 
 
