@@ -49,8 +49,9 @@ def matrix(w: Words) -> np.ndarray:
     data = w.data.astype(np.uint32)
     codes = data[:-2] * np.uint32(0x01000193) ^ data[1:-1] * np.uint32(0x9E3779B1) ^ data[2:] * np.uint32(0x85EBCA77)
     codes = (codes * np.uint32(0x27D4EB2F)) >> np.uint32(21)
-    owner = np.repeat(np.arange(n), np.diff(w.bounds))[: len(codes)]
-    chars = np.bincount(owner * CHARS + codes, minlength=n * CHARS)[: n * CHARS].reshape(n, CHARS)
+    owner = np.repeat(np.arange(n), np.diff(w.bounds))
+    inside = owner[2:] == owner[: len(codes)]
+    chars = np.bincount(owner[: len(codes)][inside] * CHARS + codes[inside], minlength=n * CHARS).reshape(n, CHARS)
     single = np.bincount(w.doc * SINGLE + _slot(mix(w.hash), SINGLE), minlength=n * SINGLE).reshape(n, SINGLE)
     both = w.doc[1:] == w.doc[:-1]
     pair = mix(w.hash[:-1] * _U(0x9FB21C651E98DF25) + w.hash[1:])[both]
