@@ -68,15 +68,19 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 150) -> tuple[np.ndarray, flo
     z, truth = x[late] @ weights, y[late]
     high, low = (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2)
     target = np.where(truth == 1, high, low)
-    scale, offset = 1.0, 0.0
-    for _ in range(50):  # Newton steps
-        p = sigmoid(scale * z + offset)
-        g, h = p - target, p * (1 - p) + 1e-9
-        a = np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + 1e-6 * np.eye(2)
-        move = np.linalg.solve(a, [(g * z).sum(), g.sum()])
-        scale, offset = scale - move[0], offset - move[1]
+    line = np.array([1.0, 0.0])
+    loss = lambda l: (np.logaddexp(0, l[0] * z + l[1]) - target * (l[0] * z + l[1])).sum()
+    for _ in range(50):  # Newton steps, halved until they lower the loss
+        p = sigmoid(line[0] * z + line[1])
+        g, h = p - target, p * (1 - p)
+        slope = np.array([[(h * z * z).sum(), (h * z).sum()], [(h * z).sum(), h.sum()]]) + 1e-3 * np.eye(2)
+        move = np.linalg.solve(slope, [(g * z).sum(), g.sum()])
+        while loss(line - move) > loss(line) and abs(move).max() > 1e-9:
+            move = move / 2
+        line = line - move
         if abs(move).max() < 1e-8:
             break
+    scale, offset = line
     return weights, float(scale), float(offset)
 
 
