@@ -258,12 +258,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.string(), pa.int64(), pa.int32(), pa.int64()])], ["host", "code", "node", "block"])
 
     trees = checkpointed(pages.select("host", "html").mapInArrow(outline, "host string, tree string, code long"))
-    pivots = trees.groupBy("host").agg(F.min(F.struct("code", "tree"))["tree"].alias("pivot"))
+    # checkpoints keep the aggregates out of the stages of the joins, so that Spark can split a hot host there
+    pivots = checkpointed(trees.groupBy("host").agg(F.min(F.struct("code", "tree"))["tree"].alias("pivot")))
     votes = trees.join(pivots, "host").mapInArrow(align, "host string, code long, node int, block long").distinct()
     counted = checkpointed(votes.groupBy("host", "node", "block").agg(F.count("*").alias("n")))
     total = counted.where("node = -1").where(F.col("n") >= PAGES).select("host", F.col("n").alias("pages"))
     constant = counted.where("node >= 0").join(total, "host").where(F.col("n") >= AGREE * F.col("pages"))
-    return constant.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("constant")).join(pivots, "host").select("host", "pivot", "constant")
+    return checkpointed(constant.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("constant")).join(pivots, "host").select("host", "pivot", "constant"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
