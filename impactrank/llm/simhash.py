@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes, radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    names = checkpointed(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
     member = checkpointed(named.join(names, "root").select("fp", "component_id"))
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
