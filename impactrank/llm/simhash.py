@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, text_bytes
+from .common import checkpointed, id_text, slices, text_bytes, words
 
 #: Fingerprints of a bucket that one task compares directly.
 BUCKET = 4096
@@ -134,7 +134,7 @@ def plan_masks(sample: np.ndarray, n: int, radius: int) -> list[int]:
 
 
 def forest(values: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest of the links within ``radius`` bits among the values of one bucket."""
+    """A spanning forest of the links within ``radius`` bits among the values of one bucket, and links between neighbouring branches; under two links a value."""
     left, a, b = values, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -143,8 +143,8 @@ def forest(values: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.n
             near = np.bitwise_count(left ^ at) <= radius
             if near.any():
                 got = left[near]
-                a.append(np.full(len(got), at))
-                b.append(got)
+                a += [np.full(len(got), at), got[:-1][np.bitwise_count(got[1:] ^ got[:-1]) <= radius]]
+                b += [got, got[1:][np.bitwise_count(got[1:] ^ got[:-1]) <= radius]]
                 queue.extend(got)
                 left = left[~near]
     return a, b
@@ -271,10 +271,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, with all their columns: one of each group.
+#: Shingle hashes of a sketch; a text of no more distinct shingles is held whole.
+SKETCH = 256
+
+
+def sketched(docs: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, same, fp, sketch): a hash of the whole text, a fingerprint over its distinct words, and its least shingle hashes.
+
+    Words as features keep the fingerprints of near copies within few bits, where shingles of several
+    words would move them apart; the shingles decide afterwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, prints, sketches = text_bytes(batch["text"]), [], []
+            for i, j in slices(texts):
+                w = words(texts[i:j], lower=True)
+                hashes, doc = w.shingles(n_words)
+                ends = np.searchsorted(doc, np.arange(j - i + 1))
+                for k in range(j - i):
+                    own = np.unique(w.hash[w.first[k] : w.first[k + 1]]).astype("<u8")
+                    bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+                    prints.append(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
+                    sketches.append(np.unique((hashes[ends[k] : ends[k + 1]] >> _U(32)).astype("<u4"))[:SKETCH].tobytes())
+            same = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(same, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "same", "fp", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, same long, fp long, sketch binary")
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their sketches; exact where both are held whole."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) and not len(y):
+        return 1.0
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())], pa.bool_()))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:
+    """(doc_id, component_id) of all documents with an id: groups of shingle similarity ``least`` or more.
+
+    Fingerprints within ``radius`` bits name the candidates; the shingles decide. Equal texts are one
+    node from the start. A text without words is similar to another such one alone. Rows without an id are left out.
+    """
+    rows = checkpointed(sketched(id_text(docs, id_col, text_col).where("doc_id is not null"), n_words))
+    texts = checkpointed(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
+    leaders = checkpointed(texts.groupBy("fp").agg(F.min("id").alias("leader")))
+    within = texts.join(leaders, "fp").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    named = lambda side: leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_id"))
+    between = links(leaders, radius).join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    pairs = within.unionByName(between).distinct()
+    held = rows.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    first, second = held.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    roots = components(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+    member = texts.join(roots, texts.id == roots.node, "left").select("same", F.coalesce("root", "id").alias("component_id"))
+    return rows.join(member, "same").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that name their group, with all their columns: one of each group of similar documents.
 
     Rows of one id are one document. Rows without an id can't be told apart and stay.
     """
-    named = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = similar_documents(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -5,7 +5,7 @@ from impactrank.llm import features, pu, rules
 from impactrank.llm.common import words
 from test_decontaminate import brute_leaks
 from test_packing import brute_pieces, check_layout, pieces_of
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_groups
 
 
 def test_run_equals_brute_force(spark, sf_dir, labels):
@@ -17,8 +17,8 @@ def test_run_equals_brute_force(spark, sf_dir, labels):
     first = docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id", "left_semi")
     model = rules.train(first, labels)
     rows = [r for r in rows if model.verdicts([r[1].encode()])[2][0]]
-    names = brute_components([brute_print(t) for _, t in rows], [i for i, _ in rows])
-    rows = [r for r, name in zip(rows, names) if r[0] == name]
+    names = dict(brute_groups(rows))
+    rows = [r for r in rows if r[0] == names[r[0]]]
     leaky = {d for d, *_ in brute_leaks(rows, [(r["item_id"], r["text"]) for r in table(sf_dir, "benchmark")])}
     rows = [r for r in rows if r[0] not in leaky]
     got = corpus_pipeline.run(spark, sf_dir).collect()
