@@ -1,15 +1,16 @@
 import corpus_pipeline
 import numpy as np
 from conftest_data import table
-from impactrank.llm import features, pu, rules
+from impactrank.llm import features, pu, rules, simhash
 from impactrank.llm.common import words
 from test_decontaminate import brute_leaks
 from test_packing import brute_pieces, check_layout, pieces_of
 from test_simhash import brute_groups
 
 
-def test_run_equals_brute_force(spark, sf_dir, labels):
-    """Stage by stage with the same models, a document at a time."""
+def test_run_equals_brute_force(spark, sf_dir, labels, monkeypatch):
+    """Stage by stage with the same models, a document at a time; sketches hold all shingles, so that similarities are exact."""
+    monkeypatch.setattr(simhash, "SKETCH", 1 << 20)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = pu.train(docs, labels).astype(np.float32)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
