@@ -32,7 +32,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu math audio video label".split())
 #: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond disqus replies reply related recommended recommendations widget widgets pagination pager search toolbar toc skip complementary contentinfo alert outbrain taboola".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond disqus replies reply related recommended recommendations widget widgets pagination pager search toolbar toc skip adsbygoogle advertorial discussion complementary contentinfo alert outbrain taboola".split())
 HEADERS = frozenset("header topbar siteheader pageheader".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
@@ -102,7 +102,8 @@ def left_out(node: Node, inside: bool) -> bool:
     if node.tag in UNREAD or (node.tag == "header" and not inside):
         return True
     if node.marks and node.tag not in ("html", "body", "article", "main") or (node.tag == "article" and node.marks):
-        words = {w.lower() for w in _PART.findall(node.marks)}
+        parts = [w.lower() for w in _PART.findall(node.marks)]
+        words = {*parts, *(a + b for a, b in zip(parts, parts[1:]))}  # side-bar as sidebar
         if words & MARKS or (words & HEADERS and not inside) or words == {"hidden"}:
             return node.tag == "article" or not _holds(node, ("article", "main"))
     return False

@@ -32,6 +32,12 @@ def test_kinds_of_markup():
     assert E.main_text("<div><p>a</div><p>b</p>c<p") == "a\nb\nc"
 
 
+def test_marked_elements():
+    marks = ["side-bar", "siteNotice", "adBox", "ad-slot", "reader-comments", "newsLetter", "cookie_banner", "adsbygoogle", "related-posts"]
+    page = "<body><div class='content'><p>kept</p>" + "".join(f"<div class='{m}'><p>gone</p></div>" for m in marks) + "<div class='shadow added'>too</div></div>"
+    assert E.main_text(page) == "kept\ntoo"
+
+
 def test_tree_matching():
     a = ["r", [], [["x", [1], []], ["y", [2], [["z", [3], []]]], ["x", [4], []]]]
     b = ["r", [], [["y", [2], [["z", [9], []]]], ["q", [], []], ["x", [4], []]]]
