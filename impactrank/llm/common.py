@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the kernel handles at once; one longer document is handled whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _WORD = np.uint64
 _ROOM: dict[str, np.ndarray] = {}
@@ -180,7 +180,7 @@ def words(texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE)
 def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows whose text passes ``verdict``, with all their columns, in one pass over Arrow batches.
 
-    ``verdict`` gets about a megabyte of texts at a time (null as empty) and gives a flag for each.
+    ``verdict`` gets half a megabyte of texts at a time (null as empty) and gives a flag for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,8 +63,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Remembered(), Remembered()
-        self.plain = regex.compile(r"[\x21-\x7e\u00a1-\u024f]+").fullmatch
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.odd = regex.compile(r"[^\n\x21-\x7e\u00a1-\u024f]").search
+        self.cut = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,33 +74,40 @@ class WordIds:
 
     def learn(self, new: list[bytes]) -> None:
         """Remember the ids of words of lower-case ASCII and any other letters."""
-        cut, missing = {}, {}
-        for word in new:
-            text = word.decode()
-            if not self.plain(text):
-                self.words[word] = self.whole(text)
-                continue
-            if not text.isascii():
-                text = self.tokenizer.normalizer.normalize_str(text)
-            cut[word] = parts = self.cut(text)
-            for part in parts:
-                if part not in self.parts:
-                    try:
-                        self.parts[part]
-                    except KeyError:
-                        missing[part] = None
+        text = b"\n".join(new).decode()
+        if self.odd(text):
+            strange = {w for w in new if self.odd(w.decode())}
+            for word in strange:
+                self.words[word] = self.whole(word.decode())
+            new = [w for w in new if w not in strange]
+            text = b"\n".join(new).decode()
+        parts = self.cut(text.lower())  # in these scripts nothing is left to compose
+        missing = []
+        for part in set(parts).difference(("\n",)):
+            if part not in self.parts:
+                try:
+                    self.parts[part]
+                except KeyError:
+                    missing.append(part)
         if missing:
-            names = list(missing)
-            ids = np.array(self.tokenizer.encode(" ".join(names), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(names)
+            assert len(stops) == len(missing)
             data, at = ids.tobytes(), 0
-            for name, stop in zip(names, (4 * stops).tolist()):
+            for name, stop in zip(missing, (4 * stops).tolist()):
                 self.parts[name] = data[at:stop]
                 at = stop
         get = self.parts.__getitem__
-        for word, parts in cut.items():
-            self.words[word] = b"".join(map(get, parts))
+        held: list[bytes] = []
+        names = iter(new)
+        for part in parts:
+            if part == "\n":
+                self.words[next(names)] = b"".join(held)
+                held = []
+            else:
+                held.append(get(part))
+        for word in names:  # the last one
+            self.words[word] = b"".join(held)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
