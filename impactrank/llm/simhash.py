@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, slices, text_bytes, words
+from .common import checkpointed, id_text, mix, slices, text_bytes, words
 
 #: Fingerprints of a bucket that one task compares directly.
 BUCKET = 4096
@@ -271,73 +271,159 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Shingle hashes of a sketch; a text of no more distinct shingles is held whole.
-SKETCH = 512
+#: Fingerprints over words that name candidates, each by word hashes of its own.
+PRINTS = 2
+#: Bytes of shingle hashes in a block of a group; a task compares two blocks.
+BLOCK_BYTES = 8 << 20
 
 
-def sketched(docs: DataFrame, n_words: int, size: int = SKETCH) -> DataFrame:
-    """(doc_id, same, fp, sketch): a hash of the whole text, a fingerprint over its distinct words, and its least shingle hashes.
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints over the distinct words of each text.
 
     Words as features keep the fingerprints of near copies within few bits, where shingles of several
     words would move them apart; the shingles decide afterwards.
     """
+    for batch in batches:
+        texts, prints = text_bytes(batch["text"]), []
+        for i, j in slices(texts):
+            w = words(texts[i:j], lower=True)
+            for k in range(j - i):
+                own = np.unique(w.hash[w.first[k] : w.first[k + 1]])
+                row = []
+                for s in range(PRINTS):
+                    hashes = (mix(own + _U(s)) if s else own).astype("<u8")
+                    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+                    row.append(int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0]))
+                prints.append(row)
+        cols = [pa.array([r[s] for r in prints], pa.int64()) for s in range(PRINTS)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], *cols], ["doc_id", "same", *(f"fp{s}" for s in range(PRINTS))])
+
+
+def _shingled(n_words: int):
+    """The distinct shingle hashes of each text; a text without words has the one hash 0, so that such texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, prints, sketches = text_bytes(batch["text"]), [], []
+            texts, sets = text_bytes(batch["text"]), []
             for i, j in slices(texts):
-                w = words(texts[i:j], lower=True)
-                hashes, doc = w.shingles(n_words)
+                hashes, doc = words(texts[i:j], lower=True).shingles(n_words)
                 ends = np.searchsorted(doc, np.arange(j - i + 1))
-                for k in range(j - i):
-                    own = np.unique(w.hash[w.first[k] : w.first[k + 1]]).astype("<u8")
-                    bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-                    prints.append(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
-                    sketches.append(np.unique((hashes[ends[k] : ends[k + 1]] >> _U(32)).astype("<u4"))[:size].tobytes())
-            same = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(same, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "same", "fp", "sketch"])
+                sets += [(np.unique(hashes[a:b]) if b > a else np.zeros(1, _U)).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch["grp"], batch["pivot"], batch["id"], pa.array(sets, pa.binary())], ["grp", "pivot", "id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, same long, fp long, sketch binary")
+    return run
+
+
+def _beside_pivot(least: float):
+    """Marks the texts that are similar to the pivot of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch["shingles"].to_pylist(), batch["hub"].to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+                alike.append(both * (1 + least) >= least * (len(x) + len(y)) / 8 - 1e-9)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("grp", "pivot", "id", "shingles")), pa.array(alike, pa.bool_())], ["grp", "pivot", "id", "shingles", "alike"])
+
+    return run
+
+
+def similar_links(ids: np.ndarray, sets: list[np.ndarray], joined: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Links that join the same texts as all pairs of similarity ``least`` do. Texts flagged in ``joined`` are in one component already."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(n), size)[np.argsort(codes, kind="stable")]
+    place = np.concatenate(([0], np.cumsum(np.bincount(codes))))
+    left, apart = np.ones(n, bool), True
+    a: list[int] = []
+    b: list[int] = []
+    for first in np.flatnonzero(~joined):
+        queue = [int(first)] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            at = queue.pop()
+            own = codes[begin[at] : begin[at + 1]]
+            many = place[own + 1] - place[own]
+            shared = np.bincount(holder[np.repeat(place[own] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+            got = np.flatnonzero(left & (shared * (1 + least) >= least * (size[at] + size) - 1e-9))
+            a += [int(ids[at])] * len(got)
+            b += ids[got].tolist()
+            left[got] = False
+            queue += got.tolist()
+            if apart and joined[got].any():
+                apart, rest = False, np.flatnonzero(left & joined)
+                left[rest] = False
+                queue += rest.tolist()
+    return a, b
 
 
-def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets by their sketches; exact where both are held whole."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) and not len(y):
-        return 1.0
-    both = np.union1d(x, y)
-    if len(x) == size or len(y) == size:
-        both = both[:size]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+def _links_of_blocks(least: float):
+    """Links inside the runs of one key, from batches sorted by key."""
 
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = similar_links(np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], _U) for r in rows], np.array([r[3] for r in rows], bool), least)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _alike(least: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            yield batch.select(["a", "b"]).filter(pa.array([similarity(x, y, size) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())], pa.bool_()))
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "id", "shingles", "alike"))):
+                if rows and rows[0][0] != row[0]:
+                    yield close(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield close(rows)
 
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8, sketch: int | None = None) -> DataFrame:
+def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
+    """(grp, pivot, id, same) of the texts that some fingerprint links to others. The pivot is a text of the group's commonest fingerprint."""
+    edges: DataFrame | None = None
+    for s in range(PRINTS):
+        leaders = checkpointed(texts.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("id").alias("leader")))
+        within = texts.join(leaders, texts[f"fp{s}"] == leaders.fp).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        named = lambda side, leaders=leaders: leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_id"))
+        between = links(leaders, radius).join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        edges = within.unionByName(between) if edges is None else edges.unionByName(within).unionByName(between)
+    assert edges is not None
+    roots = components(edges)
+    near = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("id", "same", "fp0", F.coalesce("root", "id").alias("grp")))
+    prints = near.groupBy("grp", "fp0").agg(F.count("*").alias("n"), F.max(-F.col("id")).alias("late"))
+    pivots = prints.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "late")).alias("most")).where("n > 1")
+    return near.join(checkpointed(pivots.select("grp", (-F.col("most.late")).alias("pivot"))), "grp").select("grp", "pivot", "id", "same")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:
     """(doc_id, component_id) of all documents with an id: groups of shingle similarity ``least`` or more.
 
-    Fingerprints within ``radius`` bits name the candidates; the shingles decide, by the ``sketch`` least hashes of
-    texts that have more (a standard error of 0.02 at most). Equal texts are one
+    ``PRINTS`` fingerprints that are within ``radius`` bits name the candidates; texts that candidates join make
+    a group, in which exact shingle sets decide on every pair that may still matter. First all
+    members meet their group's pivot. Those that differ from it then meet all others, in pairs of blocks of bounded
+    size, so that a group of any size is whole and none must fit a task. Equal texts are one
     node from the start. A text without words is similar to another such one alone. Rows without an id are left out.
     """
-    size = sketch or SKETCH
-    rows = checkpointed(sketched(id_text(docs, id_col, text_col).where("doc_id is not null"), n_words, size))
-    texts = checkpointed(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
-    leaders = checkpointed(texts.groupBy("fp").agg(F.min("id").alias("leader")))
-    within = texts.join(leaders, "fp").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    named = lambda side: leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_id"))
-    between = links(leaders, radius).join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    pairs = within.unionByName(between).distinct()
-    held = rows.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    first, second = held.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    roots = components(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_alike(least, size), "a long, b long"))
-    member = texts.join(roots, texts.id == roots.node, "left").select("same", F.coalesce("root", "id").alias("component_id"))
+    own = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = checkpointed(own.mapInArrow(_printed, "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS))))
+    texts = checkpointed(rows.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(f"fp{s}").alias(f"fp{s}") for s in range(PRINTS))))
+    members = checkpointed(candidate_groups(texts, radius).withColumnRenamed("same", "same_text"))
+    held = own.join(members, (own.doc_id == members.id) & (own.same == members.same_text)).select("grp", "pivot", "id", "text")
+    sets = checkpointed(held.mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary"))
+    hubs = checkpointed(sets.where("id = pivot").groupBy("grp").agg(F.first("shingles").alias("hub")))
+    told = checkpointed(sets.join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean"))
+    pairs = told.where("alike").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.sum(F.when(where, F.octet_length("shingles"))) / BLOCK_BYTES)).cast("int")
+    open_groups = told.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("n_odd"), blocks(~F.col("alike")).alias("odd_blocks"), blocks(F.col("alike")).alias("more_blocks"))
+    open_groups = checkpointed(open_groups.where("n_odd > 0 and n > 2").select("grp", "odd_blocks", "more_blocks"))
+    place = F.xxhash64("id")
+    cut = told.join(open_groups, "grp").withColumn("block", F.when(F.col("alike"), F.col("odd_blocks") + F.pmod(place, F.col("more_blocks"))).otherwise(F.pmod(place, F.col("odd_blocks"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("odd_blocks") + F.col("more_blocks") - 1), lambda o: (o != F.col("block")) & ((F.col("block") < F.col("odd_blocks")) | (o < F.col("odd_blocks"))))
+    dealt = cut.withColumn("other", F.explode(others)).select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles", "alike")
+    late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long")
+    roots = components(pairs.unionByName(late))
+    member = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("same", F.coalesce("root", "id").alias("component_id")))
     return rows.join(member, "same").select("doc_id", "component_id")
 
 

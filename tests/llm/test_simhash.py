@@ -122,10 +122,60 @@ def test_similar_documents(spark, sf_dir):
     got = dict(S.similar_documents(frame).collect())
     want = dict(brute_groups(docs + more))
     found = [got[n] == want[n] for n in want if want[n] != n]
-    assert np.mean(found) > 0.85  # radius 8 finds most pairs at the very limit
+    assert np.mean(found) > 0.97
     assert all(got[n] == n for n in want if want[n] == n)
 
 
+@pytest.mark.parametrize("block", [8 << 20, 4000])
+def test_a_chain_of_near_copies_is_one_group(spark, monkeypatch, block):
+    """Each text differs by a word from the one before, so most differ from the pivot; small blocks make the pairs of blocks work."""
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
+    chance = np.random.default_rng(4)
+    words = [f"w{i}" for i in chance.permutation(3000)[:100]]
+    docs = [(1, " ".join(words))]
+    for i in range(2, 41):
+        words[int(chance.integers(100))] = f"new{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(100, " ".join(words[:50])), (101, ""), (102, " \n")]
+    got = dict(S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = dict(brute_groups(docs))
+    want[102] = 101
+    assert got == want and len(set(want.values())) == 3
+
+
+def test_similar_links_equal_all_pairs():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[30 * (i % 7) : 30 * (i % 7) + 40], 36, replace=False)) for i in range(80)]
+    for part in (np.zeros(80, bool), np.arange(80) % 7 < 2):
+        root = list(range(80))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        def groups():
+            out = {}
+            for i in range(80):
+                out.setdefault(find(i), []).append(i)
+            return sorted(out.values())
+
+        known = np.flatnonzero(part)
+        for i, j in zip(known, known[1:]):
+            root[find(i)] = find(j)
+        start = list(root)
+        for i in range(80):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+        want, root = groups(), start
+        for i, j in zip(*S.similar_links(np.arange(80), sets, part, 0.8)):
+            root[find(i)] = find(j)
+        assert groups() == want and len(want) < 80
+
+
 def test_one_of_each(spark, odd):
     kept = S.one_of_each(odd)
     assert kept.columns == odd.columns
