@@ -304,11 +304,7 @@ def _shingled(n_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sets = text_bytes(batch["text"]), []
-            for i, j in slices(texts):
-                hashes, doc = words(texts[i:j], lower=True).shingles(n_words)
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
-                sets += [(np.unique(hashes[a:b]) if b > a else np.zeros(1, _U)).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            sets = [own.tobytes() for own in _sets(text_bytes(batch["text"]), n_words)]
             yield pa.RecordBatch.from_arrays([batch["grp"], batch["pivot"], batch["id"], pa.array(sets, pa.binary())], ["grp", "pivot", "id", "shingles"])
 
     return run
@@ -396,6 +392,206 @@ def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
     return near.join(checkpointed(pivots.select("grp", (-F.col("most.late")).alias("pivot"))), "grp").select("grp", "pivot", "id", "same")
 
 
+#: Texts, about, whose shingles tell which ones are common, and common ones kept. They steer cost alone.
+COMMON_TEXTS, COMMON = 4096, 50_000
+#: Bits of the parities that tell most pairs apart before their sets are compared.
+PARITIES = 2048
+#: Comparisons of a bucket of shared shingles that one task makes directly.
+SHARED = 1 << 24
+
+
+def _sets(texts: list[bytes], n_words: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, rising; a text without words has the one hash 0."""
+    for i, j in slices(texts):
+        hashes, doc = words(texts[i:j], lower=True).shingles(n_words)
+        ends = np.searchsorted(doc, np.arange(j - i + 1))
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield np.unique(hashes[a:b]) if b > a else np.zeros(1, _U)
+
+
+def common_shingles(texts: DataFrame, n: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of ``n`` texts hold, rising, and how many hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in _sets(text_bytes(batch["text"]), n_words):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
+
+    part = texts.where(F.pmod(F.xxhash64("same"), F.lit(max(1, n // COMMON_TEXTS))) == 0).select("text")
+    found = part.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys = np.array([r["key"] for r in found], np.int64).view(_U)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def _prefixes(n_words: int, least: float, known):
+    """Of each text the shingles of which every similar text shares one, rarest first, and how many it has in all.
+
+    A text of n shingles shares least * n or more with a similar one, so under one order of all
+    shingles the first n - ceil(least * n) + 1 of both have a shingle in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = known.value
+        for batch in batches:
+            first, size = [], []
+            for own in _sets(text_bytes(batch["text"]), n_words):
+                weight = np.zeros(len(own), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    weight = np.where(common[at] == own, counts[at], 0)
+                keep = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                first.append(own[np.argsort(weight, kind="stable")[:keep]].tobytes())
+                size.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(size, pa.int64()), pa.array(first, pa.binary())], ["id", "same", "n", "first"])
+
+    return run
+
+
+_SHARED = ["key", "id", "grp", "n", "place"]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix, with its place there."""
+    for batch in batches:
+        keys = [np.frombuffer(x, np.int64) for x in batch["first"].to_pylist()]
+        many = np.array([len(k) for k in keys], np.int64)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        cols = [np.concatenate(keys or [np.zeros(0, np.int64)]), *(np.repeat(batch[c].to_numpy(zero_copy_only=False), many) for c in ("id", "grp", "n")), place]
+        for i in range(0, len(place), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000], pa.int64()) for c in cols], _SHARED)
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Of rows (key, id, grp, n, place) that share a shingle: whether it can be the first that similar texts of two groups share."""
+    rest = np.minimum(x[3] - x[4], y[3] - y[4])
+    return (x[2] != y[2]) & (rest * (1 + least) >= least * (x[3] + y[3]) - 1e-9)
+
+
+def _pairs_of_runs(least: float, most: int | None):
+    """Pairs (a, b) inside the runs of one key, from batches sorted by key; rows with a key are of buckets over ``most`` comparisons, put off."""
+
+    def rows(x: np.ndarray, y: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(x.shape[1], pa.int64())
+        got = [x[1], x[2], none, none, none, none, none] if y is None else [x[1], x[2], y[1], y[2], none, none, none]
+        if y is None:
+            got[4:] = [x[0], x[3], x[4]]
+        else:
+            swap = x[1] > y[1]
+            got[:4] = [np.where(swap, p, q) for p, q in ((y[1], x[1]), (y[2], x[2]), (x[1], y[1]), (x[2], y[2]))]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in got], ["a", "a_grp", "b", "b_grp", "key", "n", "place"])
+
+    def close(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.concatenate(([True], own[0, 1:] != own[0, :-1])))
+        mixed = np.minimum.reduceat(own[2], edges) < np.maximum.reduceat(own[2], edges)
+        own = own[:, np.repeat(mixed, np.diff(np.append(edges, own.shape[1])))]
+        if not own.shape[1]:
+            return
+        edges = np.flatnonzero(np.concatenate(([True], own[0, 1:] != own[0, :-1], [True])))
+        sizes = np.diff(edges)
+        small = np.repeat(sizes <= 8, sizes)
+        for lag in range(1, min(8, int(sizes.max()))):
+            x, y = own[:, :-lag], own[:, lag:]
+            near = (x[0] == y[0]) & small[lag:] & _may_be_alike(x, y, least)
+            if near.any():
+                yield rows(x[:, near], y[:, near])
+        for i in np.flatnonzero(sizes > 8):
+            part = own[:, edges[i] : edges[i + 1]]
+            _, group, count = np.unique(part[2], return_inverse=True, return_counts=True)
+            odd = group != np.argmax(count)
+            if most and int(odd.sum()) * part.shape[1] > most:
+                yield rows(part, None)
+                continue
+            part, n_odd = part[:, np.argsort(~odd, kind="stable")], int(odd.sum())
+            for k in range(n_odd):
+                near = np.flatnonzero(_may_be_alike(part[:, k : k + 1], part[:, k + 1 :], least)) + k + 1
+                if len(near):
+                    yield rows(np.repeat(part[:, k : k + 1], len(near), axis=1), part[:, near])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            own = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in _SHARED])
+            if not own.shape[1]:
+                continue
+            if held and own[0, -1] == held[0][0, -1]:
+                held.append(own)
+                continue
+            cut = int(np.searchsorted(own[0], own[0, -1]))
+            yield from close(np.concatenate([*held, own[:, :cut]], axis=1)) if held or cut else ()
+            held = [own[:, cut:]]
+        if held:
+            yield from close(np.concatenate(held, axis=1))
+
+    return run
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles of each text and the parity of their number in each of ``PARITIES`` cells."""
+    for batch in batches:
+        own = [np.frombuffer(x, _U) for x in batch["shingles"].to_pylist()]
+        odd = [np.packbits((np.bincount((mix(x) % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).tobytes() for x in own]
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in own], pa.int64()), pa.array(odd, pa.binary())], ["id", "n", "odd"])
+
+
+def _may_be_near(least: float):
+    """The pairs that parities leave open: sets differ in as many shingles as parities do, or more, so no similar pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("x_odd", "y_odd"))
+                n = batch["x_n"].to_numpy() + batch["y_n"].to_numpy()
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * n + 1e-9
+                yield batch.select(["a", "b", "a_grp", "b_grp"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _alike(least: float):
+    """The pairs whose shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+                same.append(both * (1 + least) >= least * (len(x) + len(y)) / 8 - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return run
+
+
+def missed_links(own: DataFrame, member: DataFrame, n_words: int, least: float) -> DataFrame:
+    """(a, b): groups that hold similar texts and are apart in ``member`` (same, id, grp).
+
+    Exact: all pairs of texts of two groups that share a shingle of their prefixes and whose sizes and places allow the
+    similarity are compared. Pairs inside a group, which tell nothing new, are never made.
+    """
+    texts = own.join(member.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"])
+    known = own.sparkSession.sparkContext.broadcast(common_shingles(own, member.count(), n_words))
+    first = own.mapInArrow(_prefixes(n_words, least, known), "id long, same string, n long, first binary").join(member, ["id", "same"]).select("id", "grp", "n", "first")
+    shape, out = "key long, id long, grp long, n long, place long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
+    made = checkpointed(first.mapInArrow(_dealt, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, SHARED), out))
+    pairs = made.where("b is not null").select("a", "b", "a_grp", "b_grp")
+    late = made.where("b is null").select("key", F.col("a").alias("id"), F.col("a_grp").alias("grp"), "n", "place")
+    blocks = late.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 2)).alias("blocks"))
+    if not blocks.isEmpty():
+        cut = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        again = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "grp", "n", "place")
+        pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b", "a_grp", "b_grp"))
+    pairs = checkpointed(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    needed = texts.join(ids, "doc_id", "left_semi").select(F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("pivot"), F.col("doc_id").alias("id"), "text")
+    sets = checkpointed(needed.mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary").dropDuplicates(["id"]))
+    side = lambda name, held: sets.select(F.col("id").alias(name), F.col("shingles").alias(held))
+    odd = checkpointed(sets.select("id", "shingles").mapInArrow(_parities, "id long, n long, odd binary"))
+    tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col("odd").alias(f"{held}_odd"))
+    pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(_may_be_near(least), "a long, b long, a_grp long, b_grp long"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"), "x", "y")
+    return both.mapInArrow(_alike(least), "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:
     """(doc_id, component_id) of all documents with an id: groups of shingle similarity ``least`` or more.
 
@@ -404,6 +600,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members meet their group's pivot. Those that differ from it then meet all others, in pairs of blocks of bounded
     size, so that a group of any size is whole and none must fit a task. Equal texts are one
     node from the start. A text without words is similar to another such one alone. Rows without an id are left out.
+
+    Similar texts whose fingerprints lie further apart (a section added or cut off) are found by ``missed_links``, so
+    that the groups are those of all pairs; the fingerprints save it the pairs inside large groups.
     """
     own = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     rows = checkpointed(own.mapInArrow(_printed, "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS))))
@@ -423,7 +622,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = cut.withColumn("other", F.explode(others)).select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles", "alike")
     late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long")
     roots = components(pairs.unionByName(late))
-    member = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("same", F.coalesce("root", "id").alias("component_id")))
+    member = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("same", "id", F.coalesce("root", "id").alias("grp")))
+    roots = components(missed_links(own, member, n_words, least))
+    member = checkpointed(member.join(roots, member.grp == roots.node, "left").select("same", F.coalesce("root", "grp").alias("component_id")))
     return rows.join(member, "same").select("doc_id", "component_id")
 
 

@@ -182,3 +182,24 @@ def test_one_of_each(spark, odd):
     names = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
     assert names == [1, 4, 5, 7, 8] and kept.where("doc_id is null").count() == 2
     assert S.one_of_each(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [1 << 24, 1])
+def test_copies_with_a_section_added_or_cut_off(spark, sf_dir, monkeypatch, shared):
+    """Similarity of 0.8 or more with 10-25% appended, cut off or inserted in one piece; against all pairs."""
+    monkeypatch.setattr(S, "SHARED", shared)
+    monkeypatch.setattr(S, "BUCKET", 8)
+    docs = [d for d in documents(sf_dir) if 60 <= len((d[1] or "").split()) <= 600][:90]
+    chance = np.random.default_rng(3)
+    more = []
+    for i, (name, text) in enumerate(docs):
+        words, share = text.split(), (0.1, 0.15, 0.19, 0.2, 0.24)[i % 5]
+        n = int(len(words) * share)
+        new = [f"new{j}" for j in chance.integers(0, 10**6, n)]
+        at = int(chance.integers(len(words)))
+        more.append((10_000 + name, " ".join([words + new, words[: len(words) - n], words[:at] + new + words[at:]][i % 3])))
+    boiler = " ".join(f"b{j}" for j in range(40))
+    more += [(20_000 + i, f"{boiler} " + " ".join(f"own{i}x{j}" for j in range(8 + i % 5))) for i in range(20)]
+    got = dict(S.similar_documents(spark.createDataFrame(docs + more, "doc_id long, text string")).collect())
+    want = dict(brute_groups(docs + more))
+    assert got == want and sum(want[n] != n for n in want) > 50
