@@ -4,8 +4,10 @@ Test items are dealt into classes by their number of shingles. For a class of it
 shingles, a document is read in windows of 2h shingles, h apart, so that any passage of h shingles
 lies whole in one window and item and window are of like size, however long the document is. An item
 and a window are candidates where any of ``HASHES`` minima agree; exact shingle containment in the whole document then decides.
+Items of up to ``STEP`` shingles would be too small beside the windows: of n shingles, a document that holds 0.8
+has one of any n - ceil(0.8 n) + 1, and those are looked up in a table, which misses none.
 
-An item contained to 0.8 in a window has a Jaccard similarity of 0.19 or more with it, so a
+A larger item contained to 0.8 in a window has a Jaccard similarity of 0.19 or more with it, so a
 candidate is missed with a chance under 0.81 ** 64, about one in a million. Items go to the tasks in blocks
 of bounded size, one pass over the documents for each block.
 """
@@ -48,11 +50,12 @@ class SizeClass:
 
 @dataclass
 class Benchmark:
-    """The items of one block. ``short``: items of fewer words than a shingle, by word count, matched by their whole word sequence."""
+    """The items of one block. ``few``: shingles of the items of up to ``STEP``, rising, their items, and a filter of their low bits. ``short``: items of fewer words than a shingle, by word count, matched by their whole word sequence."""
 
     item_ids: list[int | None]
     shingles: list[np.ndarray]
     classes: list[SizeClass]
+    few: tuple[np.ndarray, np.ndarray, np.ndarray]
     short: dict[int, dict[int, list[int]]]
 
 
@@ -72,9 +75,8 @@ def benchmark_of(rows: list[tuple[int | None, str | None]]) -> Benchmark:
         short.setdefault(int(count[i]), {}).setdefault(int(shingles[i][0]), []).append(int(i))
     size = np.array([len(s) if n >= SHINGLE else 0 for s, n in zip(shingles, count)])
     classes, high = [], 2 * STEP
-    while size.max(initial=0) > high // 2 or high == 2 * STEP:
-        low = 0 if high == 2 * STEP else high // 2
-        items = np.flatnonzero((size > low) & (size <= high))
+    while size.max(initial=0) > high // 2:
+        items = np.flatnonzero((size > high // 2) & (size <= high))
         if len(items):
             minima = np.array([[_minhash(shingles[i], k).min() for i in items] for k in range(HASHES)], np.uint32)
             order = np.argsort(minima, axis=1, kind="stable")
@@ -83,11 +85,15 @@ def benchmark_of(rows: list[tuple[int | None, str | None]]) -> Benchmark:
                 filters[k, minima[k] & np.uint32(0xFFFF)] = True
             classes.append(SizeClass(high, items, order, np.take_along_axis(minima, order, axis=1), filters))
         high *= 2
-    return Benchmark(item_ids, shingles, classes, short)
+    few = sorted((int(h), int(i)) for i in np.flatnonzero((size > 0) & (size <= STEP)) for h in shingles[i][: size[i] - int(np.ceil(CONTAINMENT * size[i] - 1e-9)) + 1])
+    keys = np.array([h for h, _ in few], _U)
+    seen = np.zeros(1 << 16, bool)
+    seen[keys & _U(0xFFFF)] = True
+    return Benchmark(item_ids, shingles, classes, (keys, np.array([i for _, i in few], np.int64), seen), short)
 
 
 def candidates(known: Benchmark, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """(document, item) pairs with an agreeing minimum in some window. ``doc``: the document of each shingle, rising."""
+    """(document, item) pairs with an agreeing minimum in some window, or with a shingle of the table of small items. ``doc``: the document of each shingle, rising."""
     if not len(hashes):
         return np.zeros((0, 2), np.int64)
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -103,6 +109,11 @@ def candidates(known: Benchmark, hashes: np.ndarray, doc: np.ndarray) -> np.ndar
         stop = np.minimum(start + 2 * stride, np.repeat(block_of_doc[1:], n))
         spans.append((np.stack([start, stop], axis=1).ravel(), np.repeat(np.arange(len(first)), n)))
     found = []
+    keys, items, seen = known.few
+    at = np.flatnonzero(seen[hashes & _U(0xFFFF)])
+    low, high = (np.searchsorted(keys, hashes[at], side=side) for side in ("left", "right"))
+    for d, a, b in zip(doc[at[low < high]], low[low < high], high[low < high]):
+        found += [(d, i) for i in items[a:b]]
     folded = (hashes >> _U(32)).astype(np.uint32)
     for k in range(HASHES):
         least = np.append(np.minimum.reduceat(folded * _FACTORS[k] + _OFFSETS[k], begin), np.uint32(0xFFFFFFFF))

@@ -58,3 +58,18 @@ def test_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
     assert D.find_leaks(odd.limit(0), bench).count() == D.find_leaks(odd, bench.limit(0)).count() == 0
     assert D.find_leaks(odd, bench).count() == 3 and D.without_leaks(odd, bench).columns == odd.columns
+
+
+def test_short_items_word_for_word_in_long_documents():
+    """Items of 5 to 12 words at many places, whole and with one shingle of five to eight lost; against brute force."""
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(5 + k % 8))) for k in range(400)]
+    docs = []
+    for k, text in items:
+        noise = [f"n{i}" for i in rng.integers(0, 10**6, int(rng.integers(40, 400)))]
+        at = int(rng.integers(len(noise)))
+        own = text.split(" ")
+        docs.append((k, " ".join(noise[:at] + (own if k % 3 else own[:-1]) + noise[at:])))
+    known = D.benchmark_of(items)
+    got = sorted(((d, known.item_ids[i], n, m) for d, i, n, m in D.leaks_in(known, [t.encode() for _, t in docs])), key=repr)
+    assert got == brute_leaks(docs, items) and len(got) > 250
