@@ -14,8 +14,6 @@ from .common import checkpointed
 
 #: Turns whose calls one task numbers.
 SPAN = 256
-#: Rounds of moving calls behind later calls that they need; what still moves then lies on a cycle.
-ROUNDS = 16
 #: A schema's types and the variant types that fit them.
 FITS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
@@ -62,31 +60,58 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def ordered(calls: DataFrame) -> DataFrame:
     """The calls with (late, step, cyclic): by (late, step, call_id) every call follows those that it needs.
 
-    A call stands at its turn unless it needs one that stands later; then it moves right behind it.
+    A call stands at its turn unless it needs one that stands there or later; then it moves right behind it. Only
+    conversations with such a need are looked at: in rounds, calls whose needs are all placed are placed too, until none is
+    left or those left need each other. A need (bar, more, least) says where it puts a call: ``more`` steps behind the needed one if that stands at ``bar``
+    or later, else at (bar, least). A need of a call with one open need passes on to that one, which doubles its reach, so long chains take few rounds.
     """
-    edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    place = calls.select("conv_id", "call_id", F.col("turn").alias("late"), F.lit(0).alias("step"))
-    moved = None
-    for _ in range(ROUNDS):
-        behind = edges.join(place.select("conv_id", F.col("call_id").alias("need"), "late", "step"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("late", "step")).alias("last"))
-        onward = place.join(behind, ["conv_id", "call_id"]).where(F.struct("late", "step") <= F.col("last")).select("conv_id", "call_id", F.col("last.late").alias("to_late"), (F.col("last.step") + 1).alias("to_step"))
-        moved = checkpointed(onward)
-        if moved.isEmpty():
-            moved = None
+    keys = ["conv_id", "call_id"]
+    turns = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
+    needs = calls.select(*keys, "turn", F.explode("needs").alias("need")).distinct().join(turns, ["conv_id", "need"])
+    moving = checkpointed(needs.where(F.struct("need_turn") >= F.struct("turn")).select("conv_id").distinct())
+    if moving.isEmpty():
+        return calls.withColumns({"late": F.col("turn"), "step": F.lit(0), "cyclic": F.lit(False)})
+    edges = checkpointed(needs.join(moving, "conv_id", "left_semi").select(*keys, "need", F.col("turn").alias("bar"), F.lit(1).alias("more"), F.lit(0).alias("least")))
+    left = checkpointed(calls.join(moving, "conv_id", "left_semi").select(*keys, F.struct(F.col("turn").alias("late"), F.lit(0).alias("step")).alias("place")))
+    behind = F.when(F.struct("at.late") >= F.struct("bar"), F.struct(F.col("at.late").alias("late"), (F.col("at.step") + F.col("more")).alias("step"))).otherwise(F.struct(F.col("bar").alias("late"), F.col("least").alias("step")))
+    placed: DataFrame | None = None
+    while True:
+        ready = checkpointed(left.join(edges, keys, "left_anti"))
+        if ready.isEmpty():
             break
-        place = checkpointed(place.join(moved, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("to_late", "late").alias("late"), F.coalesce("to_step", "step").alias("step")))
-    if moved is None:
-        out = place.withColumn("cyclic", F.lit(False))
-    else:
-        out = place.withColumn("cyclic", F.col("step") > ROUNDS // 2)
-    return calls.join(out, ["conv_id", "call_id"])
+        placed = ready if placed is None else checkpointed(placed.unionByName(ready))
+        known = ready.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("at"))
+        told = edges.join(known, ["conv_id", "need"]).select(*keys, behind.alias("to"))
+        rest = checkpointed(edges.join(known, ["conv_id", "need"], "left_anti"))
+        left = checkpointed(_moved(left.join(ready, keys, "left_anti"), told))
+        alone = rest.groupBy(*keys).agg(F.count("*").alias("n"), *(F.first(c).alias(f"_{c}") for c in ("need", "bar", "more", "least"))).where("n = 1").drop("n")
+        onward = left.select(*keys, F.col("place").alias("at")).join(alone, keys).withColumnRenamed("call_id", "need")
+        reach = checkpointed(rest.join(onward, ["conv_id", "need"], "left"))
+        left = checkpointed(_moved(left, reach.where("at is not null").select(*keys, behind.alias("to"))))
+        higher = F.struct("_bar") >= F.struct("bar")
+        edges = checkpointed(reach.select(
+            *keys,
+            F.when(F.col("at").isNull(), F.col("need")).otherwise(F.col("_need")).alias("need"),
+            F.when(F.col("at").isNotNull() & higher, F.col("_bar")).otherwise(F.col("bar")).alias("bar"),
+            F.when(F.col("at").isNull(), F.col("more")).otherwise(F.least(F.col("more").cast("long") + F.col("_more"), F.lit(2**30)).cast("int")).alias("more"),
+            F.when(F.col("at").isNotNull() & higher, F.least(F.col("_least").cast("long") + F.col("more"), F.lit(2**30)).cast("int")).otherwise(F.col("least")).alias("least"),
+        ).distinct())
+    done = calls.select(*keys).limit(0).select(*keys, F.lit(None).cast("long").alias("late"), F.lit(0).alias("step")) if placed is None else placed.select(*keys, "place.late", "place.step")
+    own = calls.join(done.withColumn("known", F.lit(True)), keys, "left").join(moving.withColumn("moving", F.lit(True)), "conv_id", "left")
+    return own.withColumns({"late": F.when(F.col("known"), F.col("late")).otherwise(F.col("turn")), "step": F.coalesce("step", F.lit(0)), "cyclic": F.col("moving").isNotNull() & F.col("known").isNull()}).drop("known", "moving")
+
+
+def _moved(left: DataFrame, told: DataFrame) -> DataFrame:
+    """The places of calls, put off to the last that they are told."""
+    last = told.groupBy("conv_id", "call_id").agg(F.max("to").alias("to"))
+    later = F.col("to").isNotNull() & (F.col("to") > F.col("place"))
+    return left.join(last, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(later, F.col("to")).otherwise(F.col("place")).alias("place"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, call_id, position, turn, tool, status, errors, result_turn, record), a row per call and per result without one.
 
-    status: ok, invalid (errors say why), cycle (it needs itself, through others or not, follows one that does,
-    or still moves after ``ROUNDS`` rounds), unanswered, or orphan for a result whose call is missing. Of calls or results that repeat an
+    status: ok, invalid (errors say why), cycle (it needs itself, through others or not, or follows one that does), unanswered, or orphan for a result whose call is missing. Of calls or results that repeat an
     id in a conversation the first by turn counts (then by content). Needs of unknown ids are ignored. Null conversations are
     left out, null call ids too. Empty tables give an empty result. position counts a conversation's calls from 0 in their order.
     """

@@ -1,3 +1,5 @@
+import random
+
 from impactrank.llm import toolcalls as C
 from impactrank.llm.queries import OP8_SQL, op8_tool_calls
 from oracle import oracle_rows, rows_of
@@ -67,3 +69,27 @@ def test_odd_turns_and_long_conversations(spark, monkeypatch):
     calls = [(7, t, f"c{t:03}", "f", "{}", [f"c{t - 1:03}"]) for t in range(50)]
     got = linked(spark, calls, [], [("f", "x", "string", False)])
     assert [got[7, f"c{t:03}"].position for t in range(50)] == list(range(50))
+
+
+def test_long_reversed_chains_and_cycles(spark):
+    """Chains that need the next call, a long cycle with a tail, and random needs against a recursive order; each conversation on its own."""
+    call = lambda conv, t, needs: (conv, t, f"c{t:03}", "f", "{}", [f"c{n:03}" for n in needs])
+    calls = [call(1, t, [t + 1]) for t in range(20)] + [call(2, t, [t + 1]) for t in range(100)]
+    calls += [call(3, t, [(t + 1) % 12]) for t in range(12)] + [call(3, 12, [5]), call(3, 13, [])]
+    chance = random.Random(5)
+    for conv in range(4, 10):
+        turn = chance.sample(range(14), 14)
+        calls += [call(conv, turn[i], [turn[j] for j in chance.sample(range(i), min(i, chance.randint(0, 3)))]) for i in range(14)]
+    got = linked(spark, calls, [], [("f", "x", "string", False)])
+    assert [got[2, f"c{t:03}"].position for t in range(100)] == [*range(99, -1, -1)]
+    assert [got[1, f"c{t:03}"].position for t in range(20)] == [*range(19, -1, -1)]
+    assert {k for k, r in got.items() if r.status == "cycle"} == {(3, f"c{t:03}") for t in range(13)}
+    for conv in range(4, 10):
+        own = {c[2]: c for c in calls if c[0] == conv}
+
+        def place(name):
+            last = max([place(n) for n in own[name][5]], default=(-1, 0))
+            return (last[0], last[1] + 1) if last >= (own[name][1], 0) else (own[name][1], 0)
+
+        want = sorted(own, key=lambda n: (*place(n), n))
+        assert sorted(own, key=lambda n: got[conv, n].position) == want
