@@ -1,289 +1,222 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are cut from one wrapper. Each page's tree is aligned with that of its host's pivot
-page by simple tree matching; a block of text that stands at the same node of nearly all distinct
-pages of the host is template, what varies is content. Runs of siblings of one kind are one node, so trees
-stay small however long a page is. Before that, elements that HTML or their class names mark as menus,
-adverts, comments and the like are left out, and an article or main element is preferred where there is one.
-
-Pages go by in skeletons (labels and hashes of blocks) until the last step, and a host's wrapper is counted from
-all of its pages by aggregation, so a host with a third of all pages needs no task of its own.
+Pages of one host are cut from a few wrappers. A wrapper belongs to a layout: pages of a host with the same elements on the first
+level that has several. Each page's tree, with all its menus and adverts, is aligned by simple tree matching with the tree of its layout's pivot page.
+A node at which texts come back on other pages of the layout is template (a menu, a footer, an advert of a rotation), and so is a
+text that nearly all pages have at one node; what varies is content. Pages whose longest texts are the same count once, so copies of an article are one witness.
+
+Only what the wrapper leaves is looked at further, for what varies and yet is no article: elements that HTML or their class
+names mark as menus, forms, comments and the like go, and articles or a main element are preferred where there are some. Class names
+never empty a page, and of what the wrapper takes an article that HTML marks is given back where nothing else is left.
+
+Pages go by in skeletons (labels and hashes of blocks) until the last step. Hosts are dealt out in salted parts of about ``PART`` pages, and a
+wrapper travels once for each part, ahead of its pages; votes are counted in each part and added up, so a host with a third of all pages needs no task of its own.
 """
 
 from __future__ import annotations
 
-import html as entities
-import json
-import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .htmltree import ARTICLE, HARD, MAIN, SOFT, Page, Tree, code_of, match
+
+#: Distinct pages that a wrapper needs; the part of them that must have a text for it to be constant; the part of a node's texts that must come back for it to be template.
+PAGES, AGREE, RECUR = 5, 0.9, 0.7
+#: Pages that one part of a host holds, about. Recurrence is judged within parts, so it means the same for a host of any size.
+PART = 256
+#: Layouts with less than this part of a host's pages are read by the wrapper of its commonest layout.
+LAYOUT = 0.01
+#: Hosts with less than this part of all pages are one part; so the list of larger ones has at most 1/COLD rows.
+COLD = 1e-5
+
+Wrapper = tuple[Tree, set[int], set[tuple[int, int]]]
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
 
-#: Distinct pages that a host needs for a wrapper, and the part of them that must agree on a block.
-PAGES, AGREE = 5, 0.9
-
-#: Elements by their kind in HTML.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu math audio video label".split())
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond disqus replies reply related recommended recommendations widget widgets pagination pager search toolbar toc skip adsbygoogle advertorial discussion complementary contentinfo alert outbrain taboola".split())
-HEADERS = frozenset("header topbar siteheader pageheader".split())
-_CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
-_MARKING = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
-
-
-class Node:
-    __slots__ = ("tag", "marks", "parts", "up")
-
-    def __init__(self, tag: str, marks: str, up: Node | None):
-        self.tag, self.marks, self.up = tag, marks, up
-        self.parts: list[Node | str] = []
-
-
-def parse(page: str) -> Node:
-    """A tree of elements and texts; end tags that HTML lets one leave out are supplied."""
-    root = Node("#root", "", None)
-    at, done = root, 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > done:
-            at.parts.append(page[done : m.start()])
-        done = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            up = at
-            while up.tag != tag and up.up:
-                if up.tag in ("article", "body", "table", "td") and tag not in ("article", "body", "html", "table", "main", "div", "section", "tr"):
+def kept_blocks(page: Page, template: list[bool], hints: bool = True) -> list[str]:
+    """The texts that are content: what the wrapper leaves, less what HTML and marks rule out."""
+    rest = [(t, f) for t, f, gone in zip(page.texts, page.flags, template) if not gone]
+    if not hints:
+        return [t for t, _ in rest]
+    for blocks in (rest, [(t, f) for t, f in zip(page.texts, page.flags) if f & (ARTICLE | MAIN)]):
+        for out in (HARD | SOFT, HARD):
+            open_ = [(t, f) for t, f in blocks if not f & out]
+            for scope in (ARTICLE, MAIN):
+                if any(f & scope for _, f in open_):
+                    open_ = [(t, f) for t, f in open_ if f & scope]
                     break
-                up = up.up
-            if up.tag == tag:
-                at = up.up
-            continue
-        if tag in BLOCKS and at is not root:
-            up = at
-            while up.up and (up.tag not in BLOCKS or up.tag == "p"):  # a block ends an open paragraph
-                if up.tag == "p":
-                    at = up.up
-                up = up.up
-        if tag in _CLOSED_BY:
-            up = at
-            while up.up and up.tag not in ("ul", "ol", "dl", "table", "select", "div", "article", "body"):
-                if up.tag in _CLOSED_BY[tag]:
-                    at = up.up
-                up = up.up
-        node = Node(tag, "", at)
-        if m[4] and ("=" in m[4] or "hidden" in m[4]):
-            node.marks = " ".join(sorted((a or b or c or name).strip() for name, a, b, c in _MARKING.findall(m[4]) if (a or b or c) != "false"))
-        at.parts.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            at = node
-    if done < len(page):
-        rest = page[done:]
-        at.parts.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)  # a tag that was cut off is no text
-    return root
-
-
-def _holds(node: Node, tags: tuple[str, ...]) -> bool:
-    return any(isinstance(p, Node) and (p.tag in tags or _holds(p, tags)) for p in node.parts)
-
-
-def left_out(node: Node, inside: bool) -> bool:
-    """Whether an element is no part of the article. ``inside``: it stands in an article."""
-    if node.tag in UNREAD or (node.tag == "header" and not inside):
-        return True
-    if node.marks and node.tag not in ("html", "body", "article", "main") or (node.tag == "article" and node.marks):
-        parts = [w.lower() for w in _PART.findall(node.marks)]
-        words = {*parts, *(a + b for a, b in zip(parts, parts[1:]))}  # side-bar as sidebar
-        if words & MARKS or (words & HEADERS and not inside) or words == {"hidden"}:
-            return node.tag == "article" or not _holds(node, ("article", "main"))
-    return False
-
-
-def roots_of(page: Node) -> list[Node]:
-    """The element to be read: the longest article, else the main element, else the whole page."""
-    articles: list[Node] = []
-    mains: list[Node] = []
-
-    def look(node: Node) -> None:
-        for part in node.parts:
-            if isinstance(part, Node) and not left_out(part, False):
-                if part.tag == "article":
-                    articles.append(part)
-                    continue
-                if part.tag == "main" or part.marks == "main":
-                    mains.append(part)
-                look(part)
-
-    look(page)
-    found = articles or mains[:1]
-    if len(found) > 1:
-        found = [max(found, key=lambda a: sum(len(t) for t, _ in read(a, True)))]
-    return found or [page]
-
-
-def read(node: Node, inside: bool) -> list[tuple[str, tuple[str, ...]]]:
-    """(text, path) of each block in page order; the path has the labels of its elements."""
-    out: list[tuple[str, tuple[str, ...]]] = []
-    held: list[str] = []
-
-    def flush(path: tuple[str, ...]) -> None:
-        text = "".join(held)
-        held.clear()
-        text = " ".join((entities.unescape(text) if "&" in text else text).split())
-        if text:
-            out.append((text, path))
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        for part in node.parts:
-            if isinstance(part, str):
-                held.append(part)
-            elif part.tag == "br":
-                held.append(" ")
-            elif not left_out(part, inside):
-                if part.tag in BLOCKS:
-                    flush(path)
-                    below = (*path, f"{part.tag}.{part.marks}")
-                    walk(part, below)
-                    flush(below)
-                else:
-                    walk(part, path)
-
-    top = (f"{node.tag}.{node.marks}",)
-    walk(node, top)
-    flush(top)
-    return out
+            if open_:
+                return [t for t, _ in open_]
+    return []
+
+
+def template_blocks(page: Page, wrapper: Wrapper | None) -> list[bool]:
+    """For each block whether the wrapper has it as template."""
+    if wrapper is None:
+        return [False] * len(page.texts)
+    pivot, slots, constant = wrapper
+    partner = match(pivot, page)[1]
+    return [(at := partner.get(node)) is not None and (at in slots or (at, code_of(text)) in constant) for node, text in zip(page.nodes, page.texts)]
+
+
+def main_text(html: str | None, wrapper: Wrapper | None = None, hints: bool = True) -> str:
+    page = Page(html)
+    return "\n".join(kept_blocks(page, template_blocks(page, wrapper), hints))
+
+
+_TREE = "labels array<string>, parents array<int>, nodes array<int>, codes array<long>"
+_TREE_KINDS = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
 
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page with text as its layout, a hash of the longest quarter of its texts (three at least), and its skeleton."""
+    for batch in batches:
+        out = []
+        for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
+            page = Page(html)
+            if page.texts:
+                codes = [code_of(t) for t in page.texts]
+                longest = sorted(range(len(codes)), key=lambda i: (-len(page.texts[i]), i))[: max(3, len(codes) // 4)]
+                out.append((host, page.layout(), code_of(" ".join(str(codes[i]) for i in longest)), page.labels, page.parents, page.nodes, codes))
+        kinds = [pa.string(), pa.int64(), pa.int64(), *_TREE_KINDS]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], ["host", "layout", "ident", "labels", "parents", "nodes", "codes"])
 
-def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...]]]:
-    tree = parse(page or "")
-    return [b for root in roots_of(tree) for b in read(root, root.tag != "#root")]
-
-
-def _code(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
-
-
-def skeleton(blocks: list[tuple[str, tuple[str, ...]]]) -> list:
-    """[label, block hashes, children]: siblings of one label that follow each other are one node."""
-    root: list = ["#", [], []]
-    for text, path in blocks:
-        at = root
-        for label in path:
-            if not at[2] or at[2][-1][0] != label:
-                at[2].append([label, [], []])
-            at = at[2][-1]
-        at[1].append(_code(text))
-    return root
-
-
-def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs of nodes."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[2], b[2]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            got = pairs[i, j] = match(x[i - 1], y[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + got[0])
-    found, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        size, inner = pairs[i, j]
-        if size and best[i][j] == best[i - 1][j - 1] + size:
-            found += inner
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], found
-
-
-def _numbered(tree: list) -> dict[int, int]:
-    """Preorder numbers of a skeleton's nodes, by identity."""
-    out: dict[int, int] = {}
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        out[id(node)] = len(out)
-        stack += reversed(node[2])
+
+def votes(pivot: tuple[Tree, list[int], list[int]], pages: Iterator[tuple[Tree, list[int], list[int]]]) -> list[tuple[int, int | None, int, int, int]]:
+    """(node, code, pages, texts, back) of some pages of one layout, by nodes of the pivot.
+
+    Without a code: the pages with a text there, the texts (each once a page), and how many of them several pages have. With a code: the pages that have
+    it there; texts that just one of these pages and not the pivot has are left out.
+    """
+    tree, nodes, codes = pivot
+    at_node: Counter[int] = Counter()
+    held: defaultdict[int, Counter[int]] = defaultdict(Counter)
+    for own, own_nodes, own_codes in pages:
+        partner = match(tree, own)[1]
+        found = {(partner[n], c) for n, c in zip(own_nodes, own_codes) if n in partner}
+        at_node.update({n for n, _ in found})
+        for n, c in found:
+            held[n][c] += 1
+    in_pivot = set(zip(nodes, codes))
+    out: list[tuple[int, int | None, int, int, int]] = []
+    for n, counts in held.items():
+        out.append((n, None, at_node[n], sum(counts.values()), sum(k for k in counts.values() if k > 1)))
+        out += [(n, c, k, 0, 0) for c, k in counts.items() if k > 1 or (n, c) in in_pivot]
     return out
 
 
-def agreements(pivot: list, page: list) -> list[tuple[int, int]]:
-    """(pivot node, block hash) of the blocks that a page shares with the pivot at matched nodes."""
-    numbers = _numbered(pivot)
-    return sorted({(numbers[id(a)], code) for a, b in match(pivot, page)[1] for code in set(a[1]) & set(b[1])})
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The votes of each part, from rows sorted by part, the pivot first and then by the hash of the longest texts; parts without a pivot have none."""
+    names = ["host", "layout", "part", "kind", "ident", "labels", "parents", "nodes", "codes"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    key, pivot, seen = None, None, None
+    group: list[tuple[Tree, list[int], list[int]]] = []
 
+    def close() -> pa.RecordBatch:
+        rows = [(key[0], key[1], *v) for v in votes(pivot, iter(group))] if pivot and group else []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["host", "layout", "node", "code", "pages", "texts", "back"])
 
-def main_text(page: str | None, pivot: list | None = None, constant: set[tuple[int, int]] | None = None) -> str:
-    """Blocks joined by line ends, without those that the host's wrapper holds constant."""
-    blocks = blocks_of(page)
-    if pivot and constant:
-        gone = {code for node, code in agreements(pivot, skeleton(blocks)) if (node, code) in constant}
-        blocks = [b for b in blocks if _code(b[0]) not in gone]
-    return "\n".join(t for t, _ in blocks)
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in names)):
+            if row[:3] != key:
+                if key:
+                    yield close()
+                key, pivot, seen, group = row[:3], None, None, []
+            tree = (Tree(row[5], row[6]), row[7], row[8])
+            if row[3] == 0:
+                pivot = tree
+            elif pivot and row[4] != seen:
+                seen = row[4]
+                group.append(tree)
+    if key:
+        yield close()
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+def _parts(pages: DataFrame) -> DataFrame:
+    """(h, parts): in how many parts hosts go that are not one; at most 1/COLD rows of two numbers, so it may be broadcast."""
+    counted = pages.groupBy(F.xxhash64("host").alias("h")).agg(F.count("*").alias("n"))
+    whole = counted.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
+    large = counted.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").where((F.col("n") > PART) & (F.col("n") >= COLD * F.col("all")))
+    return checkpointed(large.select("h", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pivot, constant) of each host with a wrapper, from (host, url, html) of all pages."""
+def _in_part(rows: DataFrame, parts: DataFrame, by: Column) -> DataFrame:
+    """The rows with the part of their host that ``by`` chooses."""
+    own = rows.withColumn("h", F.xxhash64("host")).join(F.broadcast(parts), "h", "left").drop("h")
+    return own.withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = [skeleton(blocks_of(p)) for p in batch["html"].to_pylist()]
-            text = [json.dumps(t, separators=(",", ":")) for t in trees]
-            yield pa.RecordBatch.from_arrays([batch["host"], pa.array(text, pa.string()), pa.array([_code(t) for t in text], pa.int64())], ["host", "tree", "code"])
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, known, last = [], None, None
-            for host, tree, code, pivot in zip(*(batch[c].to_pylist() for c in ("host", "tree", "code", "pivot"))):
-                if pivot != last:
-                    known, last = json.loads(pivot), pivot
-                out += [(host, code, -1, 0), *((host, code, node, block) for node, block in agreements(known, json.loads(tree)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.string(), pa.int64(), pa.int32(), pa.int64()])], ["host", "code", "node", "block"])
-
-    trees = checkpointed(pages.select("host", "html").mapInArrow(outline, "host string, tree string, code long"))
-    # checkpoints keep the aggregates out of the stages of the joins, so that Spark can split a hot host there
-    pivots = checkpointed(trees.groupBy("host").agg(F.min(F.struct("code", "tree"))["tree"].alias("pivot")))
-    votes = trees.join(pivots, "host").mapInArrow(align, "host string, code long, node int, block long").distinct()
-    counted = checkpointed(votes.groupBy("host", "node", "block").agg(F.count("*").alias("n")))
-    total = counted.where("node = -1").where(F.col("n") >= PAGES).select("host", F.col("n").alias("pages"))
-    constant = counted.where("node >= 0").join(total, "host").where(F.col("n") >= AGREE * F.col("pages"))
-    return checkpointed(constant.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("constant")).join(pivots, "host").select("host", "pivot", "constant"))
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page.
-
-    A null or empty page gives an empty text. A null or odd url stands for the host without a name. Repeated
-    pages count once for the wrapper and stay in the result. Other columns are ignored; an empty table gives an empty result.
+def _in_each_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows once for each part of their host."""
+    own = rows.withColumn("h", F.xxhash64("host")).join(F.broadcast(parts), "h", "left").drop("h")
+    return own.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def wrappers(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(host, layout, main, labels, parents, slots, nodes, codes) of each layout that has a wrapper, from (host, html) of all pages.
+
+    labels and parents are the pivot's tree, slots its nodes that are template, (nodes, codes) the constant texts. ``main`` marks the commonest layout of the host.
     """
-    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    parts = _parts(pages) if parts is None else parts
+    trees = checkpointed(pages.select("host", "html").mapInArrow(_outlined, f"host string, layout long, ident long, {_TREE}"))
+    layouts = checkpointed(trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("ident", "labels", "parents", "nodes", "codes")).alias("pivot")))
+    hosts = layouts.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "layout"))["layout"].alias("common"))
+    known = layouts.join(hosts, "host").where((F.col("n") >= PAGES) & (F.col("n") >= LAYOUT * F.col("all")))
+    pivots = checkpointed(known.select("host", "layout", (F.col("layout") == F.col("common")).alias("main"), "pivot.*"))
+    tree = ["host", "layout", "ident", "labels", "parents", "nodes", "codes"]
+    both = _in_part(trees.select(*tree, F.lit(1).alias("kind")), parts, F.col("ident")).unionByName(_in_each_part(pivots.select(*tree, F.lit(0).alias("kind")), parts))
+    dealt = both.repartition("host", "layout", "part").sortWithinPartitions("host", "layout", "part", "kind", "ident")
+    said = dealt.mapInArrow(_aligned, "host string, layout long, node int, code long, pages long, texts long, back long")
+    counted = checkpointed(said.groupBy("host", "layout", "node", "code").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "back"))))
+    of_node = counted.where(F.col("code").isNull() & (F.col("pages") >= PAGES)).select("host", "layout", "node", F.col("pages").alias("seen"), (F.col("back") >= RECUR * F.col("texts")).alias("slot"))
+    found = of_node.join(counted.where("code is not null").select("host", "layout", "node", "code", "pages"), ["host", "layout", "node"], "left")
+    constant = ~F.col("slot") & (F.col("pages") >= AGREE * F.col("seen"))
+    told = found.where(F.col("slot") | constant).groupBy("host", "layout").agg(F.collect_set(F.when(F.col("slot"), F.col("node"))).alias("slots"), F.collect_set(F.when(constant, F.struct("node", "code"))).alias("c"))
+    return checkpointed(pivots.join(told, ["host", "layout"]).select("host", "layout", "main", "labels", "parents", "slots", F.col("c.node").alias("nodes"), F.col("c.code").alias("codes")))
+
+
+def _read(hints: bool):
+    """The texts of pages, from rows sorted by part, the wrappers of its host first."""
+    names = ["host", "part", "kind", "page_id", "url", "html", "layout", "main", "labels", "parents", "slots", "nodes", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, common = None, {}, None
         for batch in batches:
-            out, known, last = [], (None, None), None
-            for page, pivot, constant in zip(*(batch[c].to_pylist() for c in ("html", "pivot", "constant"))):
-                if pivot != last:
-                    known, last = (json.loads(pivot) if pivot else None, {(c["node"], c["block"]) for c in constant or ()}), pivot
-                out.append(main_text(page, *known))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    joined = own.join(wrappers(own), "host", "left").select("page_id", "url", "html", "pivot", "constant")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            out = []
+            for row in zip(*(batch[c].to_pylist() for c in names)):
+                if row[:2] != key:
+                    key, own, common = row[:2], {}, None
+                if row[2] == 0:
+                    own[row[6]] = (Tree(row[8], row[9]), set(row[10]), set(zip(row[11], row[12])))
+                    common = own[row[6]] if row[7] else common
+                    continue
+                page = Page(row[5])
+                wrapper = own.get(page.layout(), common) if own else None
+                text = "\n".join(kept_blocks(page, template_blocks(page, wrapper), hints))
+                out.append((row[3], row[4], text, len(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, [pa.int64(), pa.string(), pa.string(), pa.int64()])], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page. Without ``hints`` the wrappers alone decide.
+
+    A null or empty page gives an empty text, and so does one on which the wrapper leaves nothing. A null or odd url stands for the host without a name. Repeated
+    pages count once for the wrapper and stay in the result. Tags may be nested to any depth, cut off or left open; a tag that the page's end
+    cuts off is no text. Other columns are ignored; an empty table gives an empty result.
+    """
+    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    parts = _parts(own)
+    known = _in_each_part(wrappers(own, parts), parts).withColumn("kind", F.lit(0))
+    read = _in_part(own, parts, F.struct("page_id", "url")).withColumn("kind", F.lit(1))
+    both = read.unionByName(known, allowMissingColumns=True)
+    return both.repartition("host", "part").sortWithinPartitions("host", "part", "kind").mapInArrow(_read(hints), "page_id long, url string, text string, n_chars long")
