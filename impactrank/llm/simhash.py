@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, id_text, mix, slices, text_bytes, words
@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
@@ -376,7 +376,7 @@ def _links_of_blocks(least: float):
 
 
 def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
-    """(grp, pivot, id, same) of the texts that some fingerprint links to others. The pivot is a text of the group's commonest fingerprint."""
+    """(id, same, grp, pivot) of all texts; grp is shared by texts that some fingerprint links. The pivot, null where a text is alone, is a text of the group's commonest fingerprint."""
     edges: DataFrame | None = None
     for s in range(PRINTS):
         leaders = checkpointed(texts.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("id").alias("leader")))
@@ -389,7 +389,7 @@ def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
     near = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("id", "same", "fp0", F.coalesce("root", "id").alias("grp")))
     prints = near.groupBy("grp", "fp0").agg(F.count("*").alias("n"), F.max(-F.col("id")).alias("late"))
     pivots = prints.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "late")).alias("most")).where("n > 1")
-    return near.join(checkpointed(pivots.select("grp", (-F.col("most.late")).alias("pivot"))), "grp").select("grp", "pivot", "id", "same")
+    return checkpointed(near.join(pivots.select("grp", (-F.col("most.late")).alias("pivot")), "grp", "left").select("id", "same", "grp", "pivot"))
 
 
 #: Texts, about, whose shingles tell which ones are common, and common ones kept. They steer cost alone.
@@ -425,7 +425,7 @@ def common_shingles(texts: DataFrame, n: int, n_words: int) -> tuple[np.ndarray,
 
 
 def _prefixes(n_words: int, least: float, known):
-    """Of each text the shingles of which every similar text shares one, rarest first, and how many it has in all.
+    """Of each text the shingles of which every similar text shares one, rarest first, how many it has in all, and the parity of their number in each of ``PARITIES`` cells.
 
     A text of n shingles shares least * n or more with a similar one, so under one order of all
     shingles the first n - ceil(least * n) + 1 of both have a shingle in common.
@@ -434,8 +434,9 @@ def _prefixes(n_words: int, least: float, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = known.value
         for batch in batches:
-            first, size = [], []
+            first, size, odd = [], [], []
             for own in _sets(text_bytes(batch["text"]), n_words):
+                odd.append(np.packbits((np.bincount((mix(own) % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).tobytes())
                 weight = np.zeros(len(own), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -443,27 +444,28 @@ def _prefixes(n_words: int, least: float, known):
                 keep = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
                 first.append(own[np.argsort(weight, kind="stable")[:keep]].tobytes())
                 size.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(size, pa.int64()), pa.array(first, pa.binary())], ["id", "same", "n", "first"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(size, pa.int64()), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], ["doc_id", "same", "n", "first", "odd"])
 
     return run
 
 
-_SHARED = ["key", "id", "grp", "n", "place"]
+_SHARED = ["key", "id", "grp", "at"]
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix, with its place there."""
+    """A row for each shingle of a prefix; ``at`` holds the text's size above the shingle's place, which has 32 bits."""
     for batch in batches:
         keys = [np.frombuffer(x, np.int64) for x in batch["first"].to_pylist()]
         many = np.array([len(k) for k in keys], np.int64)
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        cols = [np.concatenate(keys or [np.zeros(0, np.int64)]), *(np.repeat(batch[c].to_numpy(zero_copy_only=False), many) for c in ("id", "grp", "n")), place]
+        ids, groups, sizes = (np.repeat(batch[c].to_numpy(zero_copy_only=False), many) for c in ("id", "grp", "n"))
+        cols = [np.concatenate(keys or [np.zeros(0, np.int64)]), ids, groups, (sizes << 32) + place]
         for i in range(0, len(place), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000], pa.int64()) for c in cols], _SHARED)
 
 
 def _may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Of rows (key, id, grp, n, place) that share a shingle: whether it can be the first that similar texts of two groups share."""
+    """Of rows (key, id, group, size, place) that share a shingle: whether it can be the first that similar texts of two groups share."""
     rest = np.minimum(x[3] - x[4], y[3] - y[4])
     return (x[2] != y[2]) & (rest * (1 + least) >= least * (x[3] + y[3]) - 1e-9)
 
@@ -511,7 +513,8 @@ def _pairs_of_runs(least: float, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            own = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in _SHARED])
+            *own, at = (batch[c].to_numpy(zero_copy_only=False) for c in _SHARED)
+            own = np.stack([*own, at >> 32, at & 0xFFFFFFFF])
             if not own.shape[1]:
                 continue
             if held and own[0, -1] == held[0][0, -1]:
@@ -526,14 +529,6 @@ def _pairs_of_runs(least: float, most: int | None):
     return run
 
 
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of shingles of each text and the parity of their number in each of ``PARITIES`` cells."""
-    for batch in batches:
-        own = [np.frombuffer(x, _U) for x in batch["shingles"].to_pylist()]
-        odd = [np.packbits((np.bincount((mix(x) % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).tobytes() for x in own]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in own], pa.int64()), pa.array(odd, pa.binary())], ["id", "n", "odd"])
-
-
 def _may_be_near(least: float):
     """The pairs that parities leave open: sets differ in as many shingles as parities do, or more, so no similar pair is lost."""
 
@@ -543,7 +538,7 @@ def _may_be_near(least: float):
                 x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("x_odd", "y_odd"))
                 n = batch["x_n"].to_numpy() + batch["y_n"].to_numpy()
                 near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * n + 1e-9
-                yield batch.select(["a", "b", "a_grp", "b_grp"]).filter(pa.array(near, pa.bool_()))
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -562,56 +557,53 @@ def _alike(least: float):
     return run
 
 
-def missed_links(own: DataFrame, member: DataFrame, n_words: int, least: float) -> DataFrame:
-    """(a, b): groups that hold similar texts and are apart in ``member`` (same, id, grp).
+def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float) -> DataFrame:
+    """(a, b): texts of two groups of ``member`` (id, same, grp) that may be similar, every pair that is among them.
 
-    Exact: all pairs of texts of two groups that share a shingle of their prefixes and whose sizes and places allow the
-    similarity are compared. Pairs inside a group, which tell nothing new, are never made.
+    All pairs of texts of two groups that share a shingle of their prefixes and whose sizes and places allow the
+    similarity are looked at, and those stay whose parities do. Pairs inside a group are never made.
     """
-    texts = own.join(member.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"])
     known = own.sparkSession.sparkContext.broadcast(common_shingles(own, member.count(), n_words))
-    first = own.mapInArrow(_prefixes(n_words, least, known), "id long, same string, n long, first binary").join(member, ["id", "same"]).select("id", "grp", "n", "first")
-    shape, out = "key long, id long, grp long, n long, place long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
+    told = own.mapInArrow(_prefixes(n_words, least, known), "doc_id long, same string, n long, first binary, odd binary")
+    first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd"))
+    shape, out = "key long, id long, grp long, at long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
     made = checkpointed(first.mapInArrow(_dealt, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, SHARED), out))
-    pairs = made.where("b is not null").select("a", "b", "a_grp", "b_grp")
+    pairs = made.where("b is not null").select("a", "b")
     late = made.where("b is null").select("key", F.col("a").alias("id"), F.col("a_grp").alias("grp"), "n", "place")
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 2)).alias("blocks"))
     if not blocks.isEmpty():
         cut = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        again = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "grp", "n", "place")
-        pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b", "a_grp", "b_grp"))
+        again = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "grp", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
+        pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b"))
     pairs = checkpointed(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(ids, "doc_id", "left_semi").select(F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("pivot"), F.col("doc_id").alias("id"), "text")
-    sets = checkpointed(needed.mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary").dropDuplicates(["id"]))
-    side = lambda name, held: sets.select(F.col("id").alias(name), F.col("shingles").alias(held))
-    odd = checkpointed(sets.select("id", "shingles").mapInArrow(_parities, "id long, n long, odd binary"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    odd = checkpointed(first.select("id", "n", "odd").join(ids, "id", "left_semi"))
     tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col("odd").alias(f"{held}_odd"))
-    pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(_may_be_near(least), "a long, b long, a_grp long, b_grp long"))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"), "x", "y")
-    return both.mapInArrow(_alike(least), "a long, b long").distinct()
-
+    return checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(_may_be_near(least), "a long, b long"))
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:
-    """(doc_id, component_id) of all documents with an id: groups of shingle similarity ``least`` or more.
 
-    ``PRINTS`` fingerprints that are within ``radius`` bits name the candidates; texts that candidates join make
-    a group, in which exact shingle sets decide on every pair that may still matter. First all
-    members meet their group's pivot. Those that differ from it then meet all others, in pairs of blocks of bounded
-    size, so that a group of any size is whole and none must fit a task. Equal texts are one
-    node from the start. A text without words is similar to another such one alone. Rows without an id are left out.
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:
+    """(name, same, chief) of each distinct text: the smallest id that has it, its MD5, and the (name, same) that comes first in its group.
 
-    Similar texts whose fingerprints lie further apart (a section added or cut off) are found by ``missed_links``, so
-    that the groups are those of all pairs; the fingerprints save it the pairs inside large groups.
+    Groups are those of all pairs of shingle similarity ``least`` or more, linked through others or not. ``PRINTS`` fingerprints that are
+    within ``radius`` bits name most candidates; texts that candidates join make a group, in which exact shingle sets decide on every pair that may still matter.
+    First all members meet their group's pivot. Those that differ from it then meet all others, in pairs of blocks of bounded
+    size, so that a group of any size is whole and none must fit a task. Similar texts whose fingerprints lie further apart (a section added or
+    cut off) are found by ``pairs_across``; the fingerprints save it the pairs inside large groups. A text without words is similar to another such one alone. Rows without an id are left out.
     """
     own = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = checkpointed(own.mapInArrow(_printed, "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS))))
-    texts = checkpointed(rows.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(f"fp{s}").alias(f"fp{s}") for s in range(PRINTS))))
-    members = checkpointed(candidate_groups(texts, radius).withColumnRenamed("same", "same_text"))
-    held = own.join(members, (own.doc_id == members.id) & (own.same == members.same_text)).select("grp", "pivot", "id", "text")
-    sets = checkpointed(held.mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary"))
-    hubs = checkpointed(sets.where("id = pivot").groupBy("grp").agg(F.first("shingles").alias("hub")))
-    told = checkpointed(sets.join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean"))
+    rows = own.mapInArrow(_printed, "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS)))
+    texts = rows.groupBy("same").agg(F.min("doc_id").alias("name"), *(F.min(f"fp{s}").alias(f"fp{s}") for s in range(PRINTS)))
+    texts = checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
+    members = candidate_groups(texts, radius)
+    member = checkpointed(members.join(texts.select("id", "name"), "id"))
+    apart = pairs_across(own, member, n_words, least)
+    loose = apart.select(F.col("a").alias("id")).union(apart.select("b")).distinct()
+    held = member.where("pivot is not null").unionByName(member.where("pivot is null").join(loose, "id", "left_semi"))
+    found = own.join(held.withColumnRenamed("name", "doc_id"), ["doc_id", "same"]).groupBy("doc_id", "same").agg(*(F.first(c).alias(c) for c in ("grp", "pivot", "id", "text")))
+    sets = checkpointed(found.select("grp", "pivot", "id", "text").mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary"))
+    hubs = checkpointed(sets.where("id = pivot").select("grp", F.col("shingles").alias("hub")))
+    told = checkpointed(sets.where("pivot is not null").join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean"))
     pairs = told.where("alike").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.sum(F.when(where, F.octet_length("shingles"))) / BLOCK_BYTES)).cast("int")
     open_groups = told.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("n_odd"), blocks(~F.col("alike")).alias("odd_blocks"), blocks(F.col("alike")).alias("more_blocks"))
@@ -621,17 +613,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     others = F.filter(F.sequence(F.lit(0), F.col("odd_blocks") + F.col("more_blocks") - 1), lambda o: (o != F.col("block")) & ((F.col("block") < F.col("odd_blocks")) | (o < F.col("odd_blocks"))))
     dealt = cut.withColumn("other", F.explode(others)).select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles", "alike")
     late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long")
-    roots = components(pairs.unionByName(late))
-    member = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("same", "id", F.coalesce("root", "id").alias("grp")))
-    roots = components(missed_links(own, member, n_words, least))
-    member = checkpointed(member.join(roots, member.grp == roots.node, "left").select("same", F.coalesce("root", "grp").alias("component_id")))
-    return rows.join(member, "same").select("doc_id", "component_id")
+    side = lambda name, held: sets.join(loose, "id", "left_semi").select(F.col("id").alias(name), F.col("shingles").alias(held))
+    across = apart.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(least), "a long, b long")
+    roots = components(pairs.unionByName(late).unionByName(across))
+    grouped = checkpointed(member.join(roots, member.id == roots.node, "left").select("name", "same", F.coalesce("root", "id").alias("root")))
+    chiefs = grouped.groupBy("root").agg(F.min(F.struct("name", "same")).alias("chief"))
+    return checkpointed(grouped.join(chiefs, "root").select("name", "same", "chief"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, component_id) of all rows with an id; component_id is the smallest id of the texts that ``similar_texts`` groups."""
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), _md5(docs[text_col]).alias("same"))
+    return rows.join(similar_texts(docs, id_col, text_col, **options), "same").select("doc_id", F.col("chief.name").alias("component_id"))
+
+
+def _md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that name their group, with all their columns: one of each group of similar documents.
+    """One document of each group of similar texts, that of the smallest id, with all its columns.
 
-    Rows of one id are one document. Rows without an id can't be told apart and stay.
+    Rows of one id and one text are one document; rows of one id with other texts are others. Rows without an id can't be told apart and stay.
     """
-    named = similar_documents(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(named, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    chief = similar_texts(docs, id_col, text_col, **options).select(F.col("chief.name").alias("_name"), F.col("chief.same").alias("_same")).distinct()
+    named = docs.where(docs[id_col].isNotNull()).withColumns({"_name": docs[id_col].cast("long"), "_same": _md5(docs[text_col])})
+    kept = named.dropDuplicates(["_name", "_same"]).join(chief, ["_name", "_same"], "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where(docs[id_col].isNull()))

@@ -203,3 +203,11 @@ def test_copies_with_a_section_added_or_cut_off(spark, sf_dir, monkeypatch, shar
     got = dict(S.similar_documents(spark.createDataFrame(docs + more, "doc_id long, text string")).collect())
     want = dict(brute_groups(docs + more))
     assert got == want and sum(want[n] != n for n in want) > 50
+
+
+def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, one), (5, two), (5, one), (3, two + " end"), (9, None), (None, one), (None, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(S.one_of_each(frame).collect(), key=repr) == sorted([(5, one), (3, two + " end"), (9, None), (None, one), (None, one)], key=repr)
+    assert sorted(S.similar_documents(frame).collect()) == [(3, 3), (5, 3), (5, 5), (5, 5), (9, 9)]
