@@ -1,16 +1,17 @@
 """N-gram language model over Elias-Fano tries, trained on and applied to all documents.
 
-Documents are encoded in chunks, each with its own word list. A chunk asks the shards of the model for its
-distinct words and word pairs and says how often each stands in training text. A shard adds up what all
-chunks say, builds its trie and answers: exact word counts from the first level, quantised pair
-counts from the second. So shuffles carry each n-gram once a chunk, in packed rows, and no task holds more than a shard.
-
-A trie has its contexts in one Elias-Fano sequence, monotone pointers in a second, and successors, relative to their
-context's rank, in a third; levels are memory-mapped. Contexts that hold over 1/``HOT`` of all tokens are spread over all shards by successor.
-
-The model smooths a pair's count by a Dirichlet prior on the word probability: P(w|v) = (c(v,w) + MU P(w)) / (c(v) + MU),
-P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). The context of a first word is the end of a text. Words are held as
-64-bit hashes, successors as 40-bit hashes within their context.
+Documents are encoded in chunks, each with its own lists of distinct words and longer n-grams. A chunk asks the shards of the model for
+them and says how often each stands in training text. A shard adds up what all chunks say, builds its trie once and answers. So shuffles
+carry each n-gram once a chunk, in packed rows, and no task holds more than a shard or a chunk.
+
+An n-gram is a context (the words before) and a successor. Shards own contexts; those that hold over 1/``HOT`` of all tokens are spread over all shards by
+successor, and their totals are added up afterwards. A trie has a level of words with counts and a level for each higher order: its contexts in one Elias-Fano
+sequence, monotone pointers in a second, and successors, relative to their context's rank, in a third, with quantised probabilities beside them. Levels are memory-mapped.
+A successor is searched for between its context's pointers.
+
+The model interpolates absolutely discounted probabilities of all orders: P(w|h) = (c(h,w) - D) / c(h) + D n(h) / c(h) P(w|h'), where n(h) is the number of distinct
+successors of h and h' is h without its first word; contexts that training text doesn't have pass on to h'. Tries hold the first term, quantised, for each n-gram and the weight D n(h) / c(h) for each
+context. At the base is P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), from exact counts. A text's first context is its start. Words and contexts are held as 64-bit hashes, successors as 40-bit hashes within their context.
 """
 
 from __future__ import annotations
@@ -28,151 +29,243 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, crc_fold, id_text, mix, slices, text_bytes, words
 
-#: Bytes of text in a chunk, tokens of text for each shard, and the share of tokens from which a context is spread.
-CHUNK_BYTES, SHARD_TOKENS, HOT = 32 << 20, 4_000_000, 2000
-MU = 10.0
+#: Bytes of text in a chunk, n-grams that chunks ask of a shard, and the share of tokens from which a context is spread.
+CHUNK_BYTES, SHARD_GRAMS, HOT = 32 << 20, 3_000_000, 2000
+#: Discounts of the orders from 2 on; their number makes the model's order.
+DISCOUNTS = (0.75, 0.9)
 ALPHA = 0.1
 FOLDS = 10
 _U = np.uint64
-END = _U(0x5EED0FE2D0C5)
+END, START = _U(0x5EED0FE2D0C5), _U(0x57A27)
 _SUCCESSOR = _U(40)
-#: Counts that the codes 1 to 255 stand for: exact up to 128, then in equal ratios up to 2**32.
-CODES = np.concatenate(([0], np.arange(1, 129), np.round(128 * 2 ** (25 * np.arange(1, 128) / 127)))).astype(np.int64)
+_STEP, _LEAST = 1000.0, -30.0
 _SELECT = np.zeros((256, 8), np.int64)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
         _SELECT[_b, _k] = _i
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """The nearest code of each count; one only for counts over zero."""
-    return np.searchsorted((CODES[1:] + CODES[:-1]) / 2, counts, side="right").astype(np.uint8)
+def quantised(values: np.ndarray) -> np.ndarray:
+    """Codes 1 to 65535 of positive values: their decimal logarithms to a thousandth. 0 is left for what a trie does not hold."""
+    return (np.round((np.log10(values) - _LEAST) * _STEP) + 1).clip(1, 65535).astype(np.uint16)
+
+
+def value_of(codes: np.ndarray) -> np.ndarray:
+    """The values of codes; 0 for code 0."""
+    return np.where(codes > 0, 10 ** ((codes.astype(float) - 1) / _STEP + _LEAST), 0.0)
+
+
+def mapped(values: np.ndarray) -> np.ndarray:
+    """The array in a memory-mapped scratch file of this task; it goes when it is no longer used, and a task that is run again makes its own."""
+    if not values.size:
+        return np.ascontiguousarray(values)
+    with tempfile.TemporaryFile() as file:
+        np.ascontiguousarray(values).tofile(file)
+        file.flush()
+        return np.memmap(file, values.dtype, "r", shape=values.shape)
+
+
+def _select(words_: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the set bit of each rank in each 64-bit word."""
+    held = words_.view(np.uint8).reshape(-1, 8)
+    count = np.bitwise_count(held)
+    upto = np.cumsum(count, axis=1, dtype=np.uint8)
+    byte = (upto <= rank[:, None]).sum(axis=1)
+    row = np.arange(len(rank))
+    return 8 * byte + _SELECT[held[row, byte], rank - (upto[row, byte] - count[row, byte])]
 
 
 class EliasFano:
-    """A rising sequence of 64-bit values: low bytes as they are, high bits in unary."""
+    """A sequence of 64-bit values that never falls: low bits packed, high bits in unary."""
 
     def __init__(self, values: np.ndarray):
         self.n = len(values)
         top = int(values[-1]) if self.n else 0
-        self.low_bytes = max(0, min(7, ((top // max(1, self.n)).bit_length()) // 8))
-        shift = _U(8 * self.low_bytes)
-        self.low = mapped(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : self.low_bytes])
-        high = (values >> shift).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros((int(high[-1]) // 64 + 1) * 64 if self.n else 64, np.uint8)
-        bits[high] = 1
-        self.high = mapped(np.packbits(bits, bitorder="little").reshape(-1, 8))
-        ones = np.bitwise_count(self.high).sum(axis=1, dtype=np.int64)
-        self.before = mapped(np.concatenate(([0], np.cumsum(ones))))
+        self.bits = max(0, (top // max(1, self.n)).bit_length() - 1)
+        low = values & _U((1 << self.bits) - 1)
+        at = np.arange(self.n, dtype=np.int64) * self.bits
+        packed = np.zeros(self.n * self.bits // 64 + 2, _U)
+        if self.bits and self.n:
+            word, shift = at >> 6, (at & 63).astype(_U)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            packed[word[first]] = np.bitwise_or.reduceat(low << shift, first)
+            over = np.flatnonzero((at & 63) + self.bits > 64)
+            packed[word[over] + 1] |= low[over] >> (_U(64) - shift[over])
+        self.low = mapped(packed)
+        high = (values >> _U(self.bits)).astype(np.int64) + np.arange(self.n)
+        n_words = (int(high[-1]) // 64 + 2) if self.n else 1
+        flags = np.zeros(n_words * 64, np.uint8)
+        flags[high] = 1
+        self.high = mapped(np.packbits(flags, bitorder="little").view("<u8"))
+        before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)))
+        self.before = mapped(before)
+        self.zeros = mapped(64 * np.arange(len(before), dtype=np.int64) - before)
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        bit = at * self.bits
+        word, shift = bit >> 6, (bit & 63).astype(_U)
+        spill = np.where(shift > 0, self.low[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
+        return ((self.low[word] >> shift) | spill) & _U((1 << self.bits) - 1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.before, at, side="right") - 1
-        rest = at - self.before[word]
-        held = np.bitwise_count(self.high[word]).astype(np.int64)
-        upto = np.cumsum(held, axis=1)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(at))
-        rest = rest - (upto[row, byte] - held[row, byte])
-        place = word * 64 + byte * 8 + _SELECT[self.high[word, byte], rest]
-        out = (place - at).astype(_U) << _U(8 * self.low_bytes)
-        low = self.low[at]
-        for i in range(self.low_bytes):
-            out |= low[:, i].astype(_U) << _U(8 * i)
-        return out
+        place = word * 64 + _select(self.high[word], at - self.before[word])
+        return ((place - at).astype(_U) << _U(self.bits)) | self._low(at)
+
+    def _upto(self, bucket: np.ndarray) -> np.ndarray:
+        """How many values have a high part of at most ``bucket``."""
+        inside = bucket < self.zeros[-1]
+        rank = np.where(inside, bucket, 0)
+        word = np.searchsorted(self.zeros, rank, side="right") - 1
+        return np.where(inside, word * 64 + _select(~self.high[word], rank - self.zeros[word]) - rank, self.n)
 
     def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """For each value, the first place in [low, high) that holds it or more; high where none does."""
-        low, high = low.copy(), high.copy()
-        open_ = np.flatnonzero(low < high)
+        bucket = np.minimum(values >> _U(self.bits), _U(1 << 62)).astype(np.int64)
+        begin = np.where(bucket > 0, self._upto(np.maximum(bucket, 1) - 1), 0)
+        end = self._upto(bucket)
+        at, stop = np.clip(begin, low, high), np.clip(end, low, high)
+        rest = values & _U((1 << self.bits) - 1)
+        open_ = np.flatnonzero(at < stop)
         while len(open_):
-            mid = (low[open_] + high[open_]) >> 1
-            less = self.access(mid) < values[open_]
-            low[open_[less]] = mid[less] + 1
-            high[open_[~less]] = mid[~less]
-            open_ = open_[low[open_] < high[open_]]
-        return low
+            mid = (at[open_] + stop[open_]) >> 1
+            less = self._low(mid) < rest[open_]
+            at[open_[less]] = mid[less] + 1
+            stop[open_[~less]] = mid[~less]
+            open_ = open_[at[open_] < stop[open_]]
+        return at
 
     def find(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The place of each value in [low, high), or -1."""
-        at = self.successor(values, low, high)
-        inside = np.flatnonzero(at < high)
         out = np.full(len(values), -1)
-        same = self.access(at[inside]) == values[inside] if len(inside) else np.zeros(0, bool)
-        out[inside[same]] = at[inside[same]]
+        if self.n and len(values):
+            at = self.successor(values, low, high)
+            inside = np.flatnonzero(at < high)
+            same = self.access(at[inside]) == values[inside]
+            out[inside[same]] = at[inside[same]]
         return out
 
-
-def mapped(values: np.ndarray) -> np.ndarray:
-    """The array in a memory-mapped file that goes when it is no longer used."""
-    if not values.size:
-        return np.ascontiguousarray(values)
-    with tempfile.TemporaryFile() as file:
-        np.ascontiguousarray(values).tofile(file)
-        file.flush()
-        return np.memmap(file, values.dtype, "r", shape=values.shape)
+    def place(self, values: np.ndarray) -> np.ndarray:
+        return self.find(values, np.zeros(len(values), np.int64), np.full(len(values), self.n))
 
 
-class Trie:
-    """Words with counts, contexts, and successors with quantised counts. Keys may come in any order and repeat; counts of equal keys add up."""
+class Words:
+    """The level of words: their exact counts in training text."""
 
-    def __init__(self, word: np.ndarray, n_word: np.ndarray, context: np.ndarray, successor: np.ndarray, n_pair: np.ndarray):
+    def __init__(self, word: np.ndarray, count: np.ndarray):
         keys, at = np.unique(word, return_inverse=True)
-        total = np.bincount(at, weights=n_word, minlength=len(keys)).astype(np.int64)
-        self.words, self.counts = EliasFano(keys[total > 0]), mapped(total[total > 0])
-        order = np.lexsort((successor, context))
-        context, successor, n_pair = context[order], successor[order], n_pair[order]
-        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])))) if len(context) else np.zeros(0, np.int64)
-        total = np.add.reduceat(n_pair, first) if len(first) else np.zeros(0, np.int64)
-        context, successor, total = context[first][total > 0], successor[first][total > 0], total[total > 0]
-        keys, begin, rank = np.unique(context, return_index=True, return_inverse=True)
-        self.contexts = EliasFano(keys)
-        self.pointers = EliasFano(np.append(begin, len(context)).astype(_U))
-        self.successors = EliasFano((rank.astype(_U) << _SUCCESSOR) | successor)
-        self.codes = mapped(quantise(total))
+        total = np.bincount(at, weights=count, minlength=len(keys)).astype(np.int64)
+        self.keys, self.total = EliasFano(keys[total > 0]), mapped(total[total > 0])
 
-    def word_counts(self, word: np.ndarray) -> np.ndarray:
-        at = self.words.find(word, np.zeros(len(word), np.int64), np.full(len(word), self.words.n))
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        at = self.keys.place(word)
         out = np.zeros(len(word), np.int64)
-        out[at >= 0] = self.counts[at[at >= 0]]
+        out[at >= 0] = self.total[at[at >= 0]]
         return out
 
-    def pair_codes(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(context, return_inverse=True)
-        rank = self.contexts.find(keys, np.zeros(len(keys), np.int64), np.full(len(keys), self.contexts.n))
-        known = np.maximum(rank, 0)
-        low, high = (self.pointers.access(known + d).astype(np.int64) for d in (0, 1)) if self.contexts.n else (known, known)
-        high = np.where(rank >= 0, high, low)
-        at = self.successors.find((known[back].astype(_U) << _SUCCESSOR) | successor, low[back], high[back])
-        out = np.zeros(len(context), np.uint8)
-        out[at >= 0] = self.codes[at[at >= 0]]
-        return out
+
+class Level:
+    """One order of the trie. Contexts may come in any order and repeat, ``many`` successors of each in turn; counts of equal n-grams add up.
+
+    Of the contexts in ``hot`` a shard has only some successors: their discounted counts are held as they are, for others to divide, and ``totals`` says what they come to here.
+    """
+
+    def __init__(self, context: np.ndarray, many: np.ndarray, successor: np.ndarray, count: np.ndarray, discount: float, hot: np.ndarray):
+        keys, rank = np.unique(context, return_inverse=True)
+        gram = (np.repeat(rank, many).astype(_U) << _SUCCESSOR) | successor
+        seen = count > 0
+        gram, count = gram[seen], count[seen]
+        order = np.argsort(gram)
+        gram, count = gram[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+        gram, count = gram[first], np.add.reduceat(count, first) if len(first) else count
+        of = (gram >> _SUCCESSOR).astype(np.int64)
+        kinds = np.bincount(of, minlength=len(keys))
+        known = np.flatnonzero(kinds)
+        total = np.bincount(of, weights=count, minlength=len(keys))[known]
+        keys, kinds = keys[known], kinds[known]
+        of = np.repeat(np.arange(len(known)), kinds)
+        shared = np.isin(keys, hot)
+        self.totals = keys[shared], total[shared].astype(np.int64), kinds[shared]
+        self.contexts = EliasFano(keys)
+        self.pointers = EliasFano(np.concatenate(([0], np.cumsum(kinds))).astype(_U))
+        self.successors = EliasFano((of.astype(_U) << _SUCCESSOR) | (gram & _U((1 << 40) - 1)))
+        self.weights = mapped(quantised(np.where(shared, 1.0, discount * kinds / total)))
+        self.probabilities = mapped(quantised((count - discount) / np.where(shared, 1.0, total)[of]))
+
+    def answer(self, context: np.ndarray, many: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the weights of distinct contexts and of the probabilities of their successors; 0 where there are none."""
+        rank = self.contexts.place(context)
+        known = np.flatnonzero(rank >= 0)
+        weight, chance = np.zeros(len(context), np.uint16), np.zeros(len(successor), np.uint16)
+        weight[known] = self.weights[rank[known]]
+        if len(known):
+            low, high = (self.pointers.access(rank[known] + d).astype(np.int64) for d in (0, 1))
+            mine = np.repeat(rank >= 0, many)
+            spread = lambda values: np.repeat(values, many[known])
+            at = self.successors.find((spread(rank[known]).astype(_U) << _SUCCESSOR) | successor[mine], spread(low), spread(high))
+            got = np.zeros(len(at), np.uint16)
+            got[at >= 0] = self.probabilities[at[at >= 0]]
+            chance[mine] = got
+        return weight, chance
 
 
 class Chunk:
-    """Some encoded documents: the sorted word hashes, and the texts as places in them, each text closed by the end."""
+    """Some encoded documents: the sorted word hashes, and the texts as places in them, each text closed by the end.
+
+    ``gram_of[k]`` has the (k + 1)-gram that ends at each token, ``context[k]`` and ``last[k]`` what an n-gram consists of. A context is
+    an n-gram of the order below; the one more than there are is the start of a text.
+    """
 
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, orders: int):
         self.vocabulary, self.tokens, self.lengths, self.train = vocabulary, tokens, lengths, train
-        stops = np.cumsum(lengths)
-        context = np.concatenate((tokens[:1], tokens[:-1]))
-        context[np.concatenate(([0], stops[:-1]))] = np.searchsorted(vocabulary, END)
+        begin = np.cumsum(lengths) - lengths
         trained = np.repeat(train, lengths)
-        pair, self.pair_of = np.unique(context.astype(np.int64) * len(vocabulary) + tokens, return_inverse=True)
-        self.n_pair = np.bincount(self.pair_of[trained], minlength=len(pair))
-        self.n_word = np.bincount(tokens[trained], minlength=len(vocabulary))
-        self.first, self.second = np.divmod(pair, len(vocabulary))
-
-    def dealt(self, shards: int, hot: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Places of the words and of the pairs that each shard is asked for."""
-        of_word = (self.vocabulary % _U(shards)).astype(np.int64)
-        spread = (mix(self.vocabulary) % _U(shards)).astype(np.int64)
-        of_pair = np.where(np.isin(self.vocabulary, hot)[self.first], spread[self.second], of_word[self.first])
-        cut = lambda of: np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1])
-        return cut(of_word), cut(of_pair)
+        self.hashes, self.gram_of = [vocabulary], [tokens]
+        self.count = [np.bincount(tokens[trained], minlength=len(vocabulary))]
+        self.context: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.last: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for k in range(1, orders):
+            before = np.concatenate(([0], self.gram_of[-1][:-1]))
+            before[begin] = len(self.hashes[-1])
+            gram, of = np.unique(before * len(vocabulary) + tokens, return_inverse=True)
+            context, last = np.divmod(gram, len(vocabulary))
+            self.gram_of.append(of)
+            self.context.append(context)
+            self.last.append(last)
+            self.count.append(np.bincount(of[trained], minlength=len(gram)))
+            if k + 1 < orders:
+                self.hashes.append(mix(self.context_hashes(k)[context] * _U(0x9FB21C651E98DF25) + vocabulary[last]))
+
+    def context_hashes(self, k: int) -> np.ndarray:
+        """Of the contexts of (k + 1)-grams, the start last; orders are kept apart."""
+        return np.append(self.hashes[k - 1], START + _U(k)) if k == 1 else mix(np.append(self.hashes[k - 1], START + _U(k)) + _U(k))
+
+    def heavy(self) -> np.ndarray:
+        """Contexts that hold over 1/HOT of the tokens."""
+        out = [np.zeros(0, _U)]
+        for k in range(1, len(self.gram_of)):
+            weight = np.bincount(self.context[k], weights=np.bincount(self.gram_of[k], minlength=len(self.context[k])), minlength=len(self.hashes[k - 1]) + 1)
+            out.append(self.context_hashes(k)[weight * HOT >= len(self.tokens)])
+        return np.concatenate(out)
+
+    def dealt(self, shards: int, hot: np.ndarray) -> list[list[np.ndarray]]:
+        """Of each order, the places of the n-grams that each shard is asked for."""
+        out, spread = [], (mix(self.vocabulary + _U(7)) % _U(shards)).astype(np.int64)
+        for k in range(len(self.gram_of)):
+            if k:
+                hashes = self.context_hashes(k)
+                of = np.where(np.isin(hashes, hot)[self.context[k]], spread[self.last[k]], (mix(hashes) % _U(shards)).astype(np.int64)[self.context[k]])
+            else:
+                of = (mix(self.vocabulary) % _U(shards)).astype(np.int64)
+            out.append(np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1]))
+        return out
 
 
-def _successor_hash(word: np.ndarray) -> np.ndarray:
-    return mix(word) >> _U(64 - 40)
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(values)))
 
 
 def _five_bytes(values: np.ndarray) -> bytes:
@@ -188,146 +281,198 @@ def _from_five(data: bytes) -> np.ndarray:
 _pack = lambda a, kind: zlib.compress(a.astype(kind).tobytes(), 1)
 _unpack = lambda b, kind: np.frombuffer(zlib.decompress(b), kind)
 
-_CHUNK = "chunk long, n_train long, heavy array<long>, vocabulary binary, tokens binary, lengths binary, train binary, doc_ids array<long>"
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = itertools.count(TaskContext.get().partitionId() << 24)
-    ids: list[int | None] = []
-    texts: list[bytes] = []
-
-    def close() -> pa.RecordBatch:
-        hashes, lengths = [], []
-        for i, j in slices(texts):
-            w = words(texts[i:j], lower=True)
-            hashes.append(np.insert(w.hash, w.first[1:], END))
-            lengths.append(np.diff(w.first) + 1)
-        vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-        length = np.concatenate(lengths)
-        train = np.array([crc_fold(i, FOLDS) != 0 for i in ids])
-        count = np.bincount(tokens, minlength=len(vocabulary))
-        heavy = vocabulary[count * HOT >= len(tokens)].view(np.int64)
-        row = [next(number), int(length[train].sum()), heavy.tolist(), vocabulary.tobytes(), _pack(tokens, "<u4"), _pack(length, "<i8"), np.packbits(train).tobytes(), list(ids)]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        ids.clear()
-        texts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
-
-    held = 0
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"])):
-            ids.append(doc_id)
-            texts.append(text)
-            held += len(text)
-            if held >= CHUNK_BYTES:
-                yield close()
-                held = 0
-    if ids:
-        yield close()
-
-
-def _chunk(vocabulary: bytes, tokens: bytes, lengths: bytes, train: bytes) -> Chunk:
+_CHUNK = "chunk long, n_train long, n_grams long, heavy array<long>, vocabulary binary, tokens binary, lengths binary, train binary, doc_ids array<long>"
+
+
+def _encode(orders: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 24)
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+
+        def close() -> pa.RecordBatch:
+            hashes, lengths = [], []
+            for i, j in slices(texts):
+                w = words(texts[i:j], lower=True)
+                hashes.append(np.insert(w.hash, w.first[1:], END))
+                lengths.append(np.diff(w.first) + 1)
+            vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            length = np.concatenate(lengths)
+            train = np.array([crc_fold(i, FOLDS) != 0 for i in ids])
+            own = Chunk(vocabulary, tokens, length, train, orders)
+            n_grams = sum(map(len, own.last))
+            row = [next(number), int(length[train].sum()), n_grams, own.heavy().view(np.int64).tolist(), vocabulary.tobytes(), _pack(tokens, "<u4"), _pack(length, "<i8"), np.packbits(train).tobytes(), list(ids)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            ids.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
+
+        held = 0
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"])):
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+                if held >= CHUNK_BYTES:
+                    yield close()
+                    held = 0
+        if ids:
+            yield close()
+
+    return run
+
+
+def _chunk(parts, orders: int) -> Chunk:
+    vocabulary, tokens, lengths, train = parts
     length = _unpack(lengths, "<i8")
-    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens, "<u4").astype(np.int64), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool))
+    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens, "<u4").astype(np.int64), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool), orders)
+
 
+_ASK = "word binary, n_word binary" + "".join(f", {c}{k} binary" for k in range(1, len(DISCOUNTS) + 1) for c in ("context", "many", "successor", "count"))
 
-def _asks(shards: int, hot: np.ndarray):
+
+def _asks(shards: int, hot: np.ndarray, orders: int):
     """One packed row for each chunk and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *parts in zip(*(batch[c].to_pylist() for c in ("chunk", "vocabulary", "tokens", "lengths", "train"))):
-                c = _chunk(*parts)
-                successor = _successor_hash(c.vocabulary)
-                rows = []
-                for shard, (own, pairs) in enumerate(zip(*c.dealt(shards, hot))):
-                    first = c.first[pairs]
-                    begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.zeros(0, np.int64)
-                    rows.append((shard, name, c.vocabulary[own].tobytes(), _pack(c.n_word[own], "<u4"), c.vocabulary[first[begin]].tobytes(), _pack(np.diff(np.append(begin, len(first))), "<u4"), _five_bytes(successor[c.second[pairs]]), _pack(c.n_pair[pairs], "<u4")))
-                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["shard", "chunk", "word", "n_word", "context", "n_context", "successor", "n_pair"])
+                c = _chunk(parts, orders)
+                successor = mix(c.vocabulary) >> _U(24)
+                contexts = [None, *(c.context_hashes(k) for k in range(1, orders))]
+                for shard, places in enumerate(zip(*c.dealt(shards, hot))):
+                    row = [shard, name, c.vocabulary[places[0]].tobytes(), _pack(c.count[0][places[0]], "<u4")]
+                    for k in range(1, orders):
+                        context = c.context[k][places[k]]
+                        begin, many = _runs(context)
+                        row += [contexts[k][context[begin]].tobytes(), _pack(many, "<u4"), _five_bytes(successor[c.last[k][places[k]]]), _pack(c.count[k][places[k]], "<u4")]
+                    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(row) - 2)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "chunk", *(f.split()[0] for f in _ASK.split(", "))])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each that asked; ``known`` of a shard's first row is its number of words in training text."""
+def build(rows: list[tuple], discounts: tuple[float, ...], hot: np.ndarray) -> tuple[Words, list[Level]]:
+    """The trie of a shard from all that it is told: (words, counts) and for each higher order (contexts, many, successors, counts)."""
+    join = lambda k: np.concatenate([r[k] for r in rows])
+    return Words(join(0), join(1)), [Level(join(2 + 4 * k), join(3 + 4 * k), join(4 + 4 * k), join(5 + 4 * k), d, hot) for k, d in enumerate(discounts)]
+
+
+_TOLD = "shard int, chunk long, known long, hot array<long>, n_hot array<long>, kinds_hot array<long>, counts binary" + "".join(f", {c}{k} binary" for k in range(1, len(DISCOUNTS) + 1) for c in ("weight", "chance"))
+
 
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        join = lambda k, get: np.concatenate([get(r[k]) for r in rows])
+def _answers(discounts: tuple[float, ...], hot: np.ndarray):
+    """A row for each that asked; ``known`` of a shard's first row is its number of words in training text, and with it come its parts of hot contexts."""
+
+    def unpacked(row: tuple) -> tuple:
         u8, u4 = (lambda b: np.frombuffer(b, _U)), (lambda b: _unpack(b, "<u4").astype(np.int64))
-        word, n_word = join(2, u8), join(3, u4)
-        context = np.repeat(join(4, u8), join(5, u4))
-        successor, n_pair = join(6, _from_five), join(7, u4)
-        trie = Trie(word, n_word, context, successor, n_pair)
-        out, i, j = [], 0, 0
-        for r in rows:
-            n, m = len(r[2]) // 8, len(r[6]) // 5
-            out.append((r[0], r[1], trie.words.n if not out else 0, _pack(trie.word_counts(word[i : i + n]), "<u4"), zlib.compress(trie.pair_codes(context[j : j + m], successor[j : j + m]).tobytes(), 1)))
-            i, j = i + n, j + m
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["shard", "chunk", "known", "counts", "codes"])
-
-    rows: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and rows[0][0] != row[0]:
-                yield close(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield close(rows)
-
-
-def _scores(shards: int, hot: np.ndarray, n_train: int, n_known: int, mu: float):
+        return tuple(f(b) for f, b in zip((u8, u4) + (u8, u4, _from_five, u4) * len(discounts), row))
+
+    def close(shard: int, chunks: list[int], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        level, orders = build(rows, discounts, hot)
+        hot_parts = [np.concatenate([o.totals[i] for o in orders]) for i in range(3)]
+        for n, (chunk, row) in enumerate(zip(chunks, rows)):
+            parts = [p.astype(np.int64, copy=False).view(np.int64).tolist() if not n else [] for p in (hot_parts[0].view(np.int64), hot_parts[1], hot_parts[2])]
+            out = [shard, chunk, level.keys.n if not n else 0, *parts, _pack(level.counts(row[0]), "<u4")]
+            for k, o in enumerate(orders):
+                out += [_pack(codes, "<u2") for codes in o.answer(row[2 + 4 * k], row[3 + 4 * k], row[4 + 4 * k])]
+            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()] * (len(out) - 6)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds)], [c.split()[0] for c in _TOLD.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, chunks, rows = None, [], []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, chunk, *row = (c[at].as_py() for c in batch.columns)
+                if own != shard:
+                    if rows:
+                        yield from close(shard, chunks, rows)
+                    shard, chunks, rows = own, [], []
+                chunks.append(chunk)
+                rows.append(unpacked(row))
+        if rows:
+            yield from close(shard, chunks, rows)
+
+    return run
+
+
+def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_train: int, n_known: int, discounts: tuple[float, ...]):
     """Scores of the documents of each chunk, from rows sorted by chunk and shard; a chunk itself comes as shard -1."""
     base_total = n_train + ALPHA * (n_known + 1)
+    orders = len(discounts) + 1
 
     def close(head: tuple, answers: list[tuple]) -> pa.RecordBatch:
-        c = _chunk(*head[4:8])
-        own, pairs = c.dealt(shards, hot)
-        count, code = np.zeros(len(c.vocabulary), np.int64), np.zeros(len(c.first), np.uint8)
-        for shard, counts, codes in answers:
-            count[own[shard]] = _unpack(counts, "<u4")
-            code[pairs[shard]] = _unpack(codes, np.uint8)
+        c = _chunk(head[:4], orders)
+        dealt = c.dealt(shards, hot)
+        count = np.zeros(len(c.vocabulary), np.int64)
+        weight = [np.zeros(len(c.hashes[k]) + 1) for k in range(orders - 1)]
+        chance = [np.zeros(len(c.last[k + 1])) for k in range(orders - 1)]
+        for shard, counts, *codes in answers:
+            count[dealt[0][shard]] = _unpack(counts, "<u4")
+            for k in range(orders - 1):
+                own = dealt[k + 1][shard]
+                context = c.context[k + 1][own]
+                weight[k][context[_runs(context)[0]]] = value_of(_unpack(codes[2 * k], "<u2"))
+                chance[k][own] = value_of(_unpack(codes[2 * k + 1], "<u2"))
         word = (count + ALPHA) / base_total
-        pair = np.log10((CODES[code] + mu * word[c.second]) / (count[c.first] + mu))
+        below = word
+        for k, discount in enumerate(discounts):
+            hashes = c.context_hashes(k + 1)
+            total = np.ones(len(hashes))
+            for i in np.flatnonzero(np.isin(hashes, hot)):  # at most as many as there are hot contexts
+                n, kinds = totals.get(int(hashes[i]), (0, 0))
+                total[i], weight[k][i] = max(n, 1), discount * kinds / max(n, 1)
+            lower = below[c.last[k + 1]] if not k else below[_shorter(c, k + 1)]
+            of = c.context[k + 1]
+            below = np.where(weight[k][of] > 0, chance[k] / total[of] + weight[k][of] * lower, lower)
         begin = np.cumsum(c.lengths) - c.lengths
         add = lambda values: np.add.reduceat(values, begin)
-        cols = [pa.array(head[8], pa.int64()), pa.array(~c.train), pa.array(c.lengths), pa.array(add((count[c.tokens] > 0).astype(np.int64))), pa.array(np.full(len(begin), n_train)), pa.array(add(np.log10(word)[c.tokens])), pa.array(add(pair[c.pair_of]))]
+        cols = [pa.array(head[4], pa.int64()), pa.array(~c.train), pa.array(c.lengths), pa.array(add((count[c.tokens] > 0).astype(np.int64))), pa.array(np.full(len(begin), n_train)), pa.array(add(np.log10(word)[c.tokens])), pa.array(add(np.log10(below)[c.gram_of[-1]]))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, answers = None, []
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
+            for at in range(batch.num_rows):
+                row = [c[at].as_py() for c in batch.columns]
                 if row[1] < 0:
                     if head:
                         yield close(head, answers)
-                    head, answers = row, []
+                    head, answers = row[2:7], []
                 else:
-                    answers.append((row[1], row[2], row[3]))
+                    answers.append((row[1], *row[7:]))
         if head:
             yield close(head, answers)
 
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
+def _shorter(c: Chunk, k: int) -> np.ndarray:
+    """Of each (k + 1)-gram the k-gram that ends at the same token."""
+    out = np.zeros(len(c.last[k]), np.int64)
+    out[c.gram_of[k]] = c.gram_of[k - 1]
+    return out
+
+
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Trained on the documents whose id's crc32 modulo 10 is not 0. A null or empty text is its end alone. A null
     id counts as an empty one, and so is held out. Repeated rows train and are scored each. An empty table gives an empty result; other columns are ignored.
     """
-    chunks = checkpointed(id_text(docs, id_col, text_col).mapInArrow(_encode, _CHUNK))
-    n_train, n_bytes = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
-    hot = np.array([r.word for r in chunks.select(F.explode("heavy").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(2 * HOT).collect()], np.int64).view(_U)
-    shards = max(4, n_bytes // SHARD_TOKENS // 2)
-    asks = chunks.mapInArrow(_asks(shards, hot), "shard int, chunk long, word binary, n_word binary, context binary, n_context binary, successor binary, n_pair binary")
-    told = checkpointed(asks.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answers, "shard int, chunk long, known long, counts binary, codes binary"))
+    orders = len(DISCOUNTS) + 1
+    chunks = checkpointed(id_text(docs, id_col, text_col).mapInArrow(_encode(orders), _CHUNK))
+    n_train, n_grams = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_grams"))).first()
+    heavy = chunks.select(F.explode("heavy").alias("context")).groupBy("context").count().orderBy(F.desc("count"), "context").limit(2 * HOT * (orders - 1))
+    hot = np.array([r.context for r in heavy.collect()], np.int64).view(_U)
+    shards = max(4, n_grams // SHARD_GRAMS)
+    asks = chunks.mapInArrow(_asks(shards, hot, orders), f"shard int, chunk long, {_ASK}")
+    told = checkpointed(asks.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answers(DISCOUNTS, hot), _TOLD))
     n_known = told.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    none = F.lit(None)
-    heads = chunks.select("chunk", F.lit(-1).alias("shard"), none.cast("binary").alias("counts"), none.cast("binary").alias("codes"), "vocabulary", "tokens", "lengths", "train", "doc_ids")
-    answers = told.select("chunk", "shard", "counts", "codes", *(none.cast(k).alias(c) for c, k in (("vocabulary", "binary"), ("tokens", "binary"), ("lengths", "binary"), ("train", "binary"), ("doc_ids", "array<bigint>"))))
-    both = heads.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "shard")
-    return both.mapInArrow(_scores(shards, hot, n_train, n_known, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = told.where(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "n_hot", "kinds_hot")).alias("h")).groupBy("h.hot").agg(F.sum("h.n_hot").alias("n"), F.sum("h.kinds_hot").alias("kinds"))
+    totals = {r.hot % 2**64: (r.n, r.kinds) for r in parts.collect()}  # at most as many as ``hot``
+    heads = chunks.select("chunk", F.lit(-1).alias("shard"), "vocabulary", "tokens", "lengths", "train", "doc_ids")
+    codes = ["counts", *(f"{c}{k}" for k in range(1, orders) for c in ("weight", "chance"))]
+    both = heads.unionByName(told.select("chunk", "shard", *codes), allowMissingColumns=True).select("chunk", "shard", "vocabulary", "tokens", "lengths", "train", "doc_ids", *codes)
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "shard")
+    return dealt.mapInArrow(_scores(shards, hot, totals, n_train, n_known, DISCOUNTS), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
