@@ -394,8 +394,8 @@ def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
 
 #: Texts, about, whose shingles tell which ones are common, and common ones kept. They steer cost alone.
 COMMON_TEXTS, COMMON = 4096, 50_000
-#: Bits of the parities that tell most pairs apart before their sets are compared.
-PARITIES = 2048
+#: Cells in which shingles are counted; parities of the counts, and for longer texts the counts, tell most pairs apart before their sets are compared.
+CELLS = 2048
 #: Comparisons of a bucket of shared shingles that one task makes directly.
 SHARED = 1 << 24
 
@@ -425,7 +425,7 @@ def common_shingles(texts: DataFrame, n: int, n_words: int) -> tuple[np.ndarray,
 
 
 def _prefixes(n_words: int, least: float, known):
-    """Of each text the shingles of which every similar text shares one, rarest first, how many it has in all, and the parity of their number in each of ``PARITIES`` cells.
+    """Of each text the shingles of which every similar text shares one, rarest first, how many it has in all, the parities of their numbers in ``CELLS`` cells, and the numbers where there are more shingles than cells.
 
     A text of n shingles shares least * n or more with a similar one, so under one order of all
     shingles the first n - ceil(least * n) + 1 of both have a shingle in common.
@@ -434,9 +434,11 @@ def _prefixes(n_words: int, least: float, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = known.value
         for batch in batches:
-            first, size, odd = [], [], []
+            first, size, odd, cells = [], [], [], []
             for own in _sets(text_bytes(batch["text"]), n_words):
-                odd.append(np.packbits((np.bincount((mix(own) % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).tobytes())
+                held = np.bincount((mix(own) % _U(CELLS)).astype(np.int64), minlength=CELLS)
+                odd.append(np.packbits((held & 1).astype(bool)).tobytes())
+                cells.append(held.astype(np.uint8 if held.max() < 256 else "<u4").tobytes() if len(own) > CELLS else None)
                 weight = np.zeros(len(own), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
@@ -444,7 +446,7 @@ def _prefixes(n_words: int, least: float, known):
                 keep = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
                 first.append(own[np.argsort(weight, kind="stable")[:keep]].tobytes())
                 size.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(size, pa.int64()), pa.array(first, pa.binary()), pa.array(odd, pa.binary())], ["doc_id", "same", "n", "first", "odd"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(size, pa.int64()), pa.array(first, pa.binary()), pa.array(odd, pa.binary()), pa.array(cells, pa.binary())], ["doc_id", "same", "n", "first", "odd", "cells"])
 
     return run
 
@@ -529,13 +531,13 @@ def _pairs_of_runs(least: float, most: int | None):
     return run
 
 
-def _may_be_near(least: float):
+def _parities_allow(least: float):
     """The pairs that parities leave open: sets differ in as many shingles as parities do, or more, so no similar pair is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("x_odd", "y_odd"))
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("x", "y"))
                 n = batch["x_n"].to_numpy() + batch["y_n"].to_numpy()
                 near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) <= (1 - least) * n + 1e-9
                 yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -543,6 +545,20 @@ def _may_be_near(least: float):
     return run
 
 
+def _counts_allow(least: float):
+    """The pairs that counts by cell leave open: sets differ in as many shingles as counts do together, or more. Pairs of which a text has no counts stay."""
+    counts = lambda b: np.frombuffer(b, np.uint8 if len(b) == CELLS else "<u4").astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y, m, n in zip(*(batch[c].to_pylist() for c in ("x", "y", "x_n", "y_n"))):
+                near.append(x is None or y is None or np.abs(counts(x) - counts(y)).sum() * (1 + least) <= (1 - least) * (m + n) + 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _alike(least: float):
     """The pairs whose shingle sets are similar."""
 
@@ -564,8 +580,8 @@ def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float)
     similarity are looked at, and those stay whose parities do. Pairs inside a group are never made.
     """
     known = own.sparkSession.sparkContext.broadcast(common_shingles(own, member.count(), n_words))
-    told = own.mapInArrow(_prefixes(n_words, least, known), "doc_id long, same string, n long, first binary, odd binary")
-    first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd"))
+    told = own.mapInArrow(_prefixes(n_words, least, known), "doc_id long, same string, n long, first binary, odd binary, cells binary")
+    first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd", "cells"))
     shape, out = "key long, id long, grp long, at long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
     made = checkpointed(first.mapInArrow(_dealt, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, SHARED), out))
     pairs = made.where("b is not null").select("a", "b")
@@ -577,9 +593,11 @@ def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float)
         pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b"))
     pairs = checkpointed(pairs.distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    odd = checkpointed(first.select("id", "n", "odd").join(ids, "id", "left_semi"))
-    tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col("odd").alias(f"{held}_odd"))
-    return checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(_may_be_near(least), "a long, b long"))
+    odd = checkpointed(first.select("id", "n", "odd", "cells").join(ids, "id", "left_semi"))
+    for told_by, test in (("odd", _parities_allow(least)), ("cells", _counts_allow(least))):
+        tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col(told_by).alias(held))  # noqa: B023, E731
+        pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(test, "a long, b long"))
+    return pairs
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, least: float = 0.8, radius: int = 8) -> DataFrame:

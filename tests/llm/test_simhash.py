@@ -211,3 +211,16 @@ def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(S.one_of_each(frame).collect(), key=repr) == sorted([(5, one), (3, two + " end"), (9, None), (None, one), (None, one)], key=repr)
     assert sorted(S.similar_documents(frame).collect()) == [(3, 3), (5, 3), (5, 5), (5, 5), (9, 9)]
+
+
+def test_long_texts_that_share_a_part(spark):
+    """Long texts of which a third to nine tenths are shared; counts by cell must lose none that are similar."""
+    chance = np.random.default_rng(12)
+    base = [f"w{i}" for i in chance.integers(0, 10**6, 9000)]
+    docs = [(1, " ".join(base))]
+    for i, share in enumerate((0.35, 0.6, 0.75, 0.88, 0.89, 0.9, 0.95)):
+        n = int(len(base) * share)
+        docs.append((10 + i, " ".join(base[:n] + [f"v{i}x{j}" for j in range(len(base) - n)])))
+    got = dict(S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = dict(brute_groups(docs))
+    assert got == want and len(set(want.values())) == 4 + (want[13] != 1)
