@@ -146,25 +146,25 @@ CODECS: dict[str, Codec] = {
 
 
 def encoded(bodies: DataFrame, codec: str) -> DataFrame:
-    """(term, impact, codec, payload, n) of segment bodies (term, impact, docids)."""
+    """(term, impact, block, codec, payload, n) of segment bodies (term, impact, block, docids)."""
     encode = CODECS[codec][0]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "codec": codec, "payload": [encode(np.asarray(d, np.int64)) for d in part["docids"]], "n": [len(d) for d in part["docids"]]})
+            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": [encode(np.asarray(d, np.int64)) for d in part["docids"]], "n": [len(d) for d in part["docids"]]})
 
-    return bodies.select("term", "impact", "docids").mapInPandas(run, "term string, impact int, codec string, payload binary, n long")
+    return bodies.select("term", "impact", "block", "docids").mapInPandas(run, "term string, impact int, block long, codec string, payload binary, n long")
 
 
 def decoded(coded: DataFrame) -> DataFrame:
-    """(term, impact, docids) of rows by ``encoded``, each by the codec that it names."""
+    """(term, impact, block, docids) of rows by ``encoded``, each by the codec that it names."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             docids = [CODECS[c][1](bytes(p)).tolist() for c, p in zip(part["codec"], part["payload"])]
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "docids": docids})
+            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "docids": docids})
 
-    return coded.select("term", "impact", "codec", "payload").mapInPandas(run, "term string, impact int, docids array<long>")
+    return coded.select("term", "impact", "block", "codec", "payload").mapInPandas(run, "term string, impact int, block long, docids array<long>")
 
 
 def vbyte_length(value: Column) -> Column:

@@ -72,3 +72,45 @@ def bisect_root(f, low: Column, high: Column, steps: int = 60) -> Column:
         return F.struct(F.when(below, mid).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(mid).alias("high"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), span, halve, lambda s: (s["low"] + s["high"]) / 2)
+
+
+def _steps(n: int, begin: Column, onward, result) -> Column:
+    """A state carried through ``n`` steps."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), begin, lambda s, _: onward(s), result)
+
+
+def regula_falsi_root(f, low: Column, high: Column, steps: int = 60) -> Column:
+    """A root between two bounds at which a Column function differs in sign, by false position; a bound that stays put twice counts half (Illinois)."""
+    low, high = low.cast("double"), high.cast("double")
+    begin = F.struct(low.alias("a"), f(low).cast("double").alias("fa"), high.alias("b"), f(high).cast("double").alias("fb"), F.lit(0).alias("side"))
+
+    def onward(s: Column) -> Column:
+        c = F.when(s["fa"] == s["fb"], s["b"]).otherwise((s["a"] * s["fb"] - s["b"] * s["fa"]) / (s["fb"] - s["fa"]))
+        fc = f(c).cast("double")
+        upper = fc * s["fb"] > 0
+        return F.struct(
+            F.when(upper, s["a"]).otherwise(c).alias("a"),
+            F.when(upper, F.when(s["side"] == 1, s["fa"] / 2).otherwise(s["fa"])).otherwise(fc).alias("fa"),
+            F.when(upper, c).otherwise(s["b"]).alias("b"),
+            F.when(upper, fc).otherwise(F.when(s["side"] == -1, s["fb"] / 2).otherwise(s["fb"])).alias("fb"),
+            F.when(upper, F.lit(1)).otherwise(F.lit(-1)).alias("side"),
+        )
+
+    return _steps(steps, begin, onward, lambda s: F.when(F.abs(s["fa"]) < F.abs(s["fb"]), s["a"]).otherwise(s["b"]))
+
+
+def secant_root(f, first: Column, second: Column, steps: int = 40) -> Column:
+    """A root near two guesses by the secant method; it stays where two values are equal."""
+    first, second = first.cast("double"), second.cast("double")
+    begin = F.struct(first.alias("x"), second.alias("y"))
+
+    def onward(s: Column) -> Column:
+        fx, fy = f(s["x"]).cast("double"), f(s["y"]).cast("double")
+        return F.struct(s["y"].alias("x"), F.when(fx == fy, s["y"]).otherwise(s["y"] - fy * (s["y"] - s["x"]) / (fy - fx)).alias("y"))
+
+    return _steps(steps, begin, onward, lambda s: s["y"])
+
+
+def descend(slope, start: Column, rate: float = 0.1, steps: int = 100) -> Column:
+    """The place to which gradient descent comes from ``start``; ``slope`` is the function's derivative as a Column function."""
+    return _steps(steps, start.cast("double"), lambda x: x - rate * slope(x).cast("double"), lambda x: x)

@@ -1,26 +1,43 @@
-"""Docid gaps of segments and their inverses, as windows."""
+"""Docid gaps of segments and their inverses.
+
+Windows run within blocks of a segment, and what earlier blocks hold is carried over from a table of block totals, so a frequent
+term's postings are spread over tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import BODY_BITS
+
+SEGMENT = ["term", "impact"]
+
 
-def _run() -> WindowSpec:
-    return Window.partitionBy("term", "impact")
+def _carried(rows: DataFrame, keys: list[str], block: Column, order: str, value: Column, name: str) -> DataFrame:
+    """Rows with ``name``: the running sum of ``value`` by ``order`` within ``keys``; ``block`` rises with ``order``."""
+    own = rows.withColumns({"_block": block, "_value": value})
+    whole = own.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = own.withColumn("_within", F.sum("_value").over(upto)).join(before, [*keys, "_block"])
+    return summed.withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_value", "_before", "_within")
 
 
 def numbered(posts: DataFrame) -> DataFrame:
     """Postings with pos, their place from 0 in the segment."""
-    return posts.withColumn("pos", F.row_number().over(_run().orderBy("docid")) - 1)
+    return _carried(posts, SEGMENT, F.shiftright("docid", BODY_BITS), "docid", F.lit(1), "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def gaps(posts: DataFrame, stride: int = 1) -> DataFrame:
     """Each docid less the one ``stride`` places earlier; the first ones as they are."""
-    return numbered(posts).withColumn("gap", F.col("docid") - F.lag("docid", stride, 0).over(_run().orderBy("pos")))
+    own = numbered(posts)
+    earlier = own.select(*SEGMENT, (F.col("pos") + stride).alias("pos"), F.col("docid").alias("_earlier"))
+    return own.join(earlier, [*SEGMENT, "pos"], "left").withColumn("gap", F.col("docid") - F.coalesce("_earlier", F.lit(0))).drop("_earlier")
 
 
 def from_gaps(coded: DataFrame, stride: int = 1) -> DataFrame:
     """Docids back from (term, impact, pos, gap): ``stride`` interleaved running sums."""
-    lane = Window.partitionBy("term", "impact", F.col("pos") % stride).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return coded.withColumn("docid", F.sum("gap").over(lane))
+    laned = coded.withColumn("_lane", F.col("pos") % stride)
+    return _carried(laned, [*SEGMENT, "_lane"], F.shiftright("pos", BODY_BITS), "pos", F.col("gap"), "docid").drop("_lane")

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactrank.functions import text as T
+from impactrank.shared import checkpointed
 
+#: Docids of one body row, as a power of two: a term of any frequency is as many rows as it needs.
+BODY_BITS = 20
 #: The largest impact; a term frequency above it counts as this much.
 MAX_IMPACT = 255
 
@@ -40,20 +43,19 @@ def postings(documents: DataFrame, terms: DataFrame | None = None, **options: st
     return term_frequencies(documents, terms, **options).select("term", "docid", capped_impact(F.col("tf")).alias("impact"))
 
 
-def bm25_postings(documents: DataFrame, terms: DataFrame | None = None, k1: float = 0.9, b: float = 0.4, **options: str) -> DataFrame:
+def bm25_postings(documents: DataFrame, k1: float = 0.9, b: float = 0.4, **options: str) -> DataFrame:
     """(term, docid, impact): BM25 weights quantised linearly to 1..MAX_IMPACT over the whole collection."""
-    tf = term_frequencies(documents, None, **options)
+    tf = checkpointed(term_frequencies(documents, None, **options))
     length = tf.groupBy("docid").agg(F.sum("tf").alias("dl"))
     whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    own = tf if terms is None else tf.join(terms.select("term").distinct(), "term", "left_semi")
-    own = _with_row(own.join(length, "docid").join(df, "term"), whole)
+    own = _with_row(tf.join(length, "docid").join(df, "term"), whole)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = own.select("term", "docid", weight.alias("weight"))
+    scored = checkpointed(own.select("term", "docid", F.round(weight, 9).alias("weight")))
     span = scored.agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
     step = (F.col("weight") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
-    return _with_row(scored, span).select("term", "docid", F.greatest(F.lit(1), F.ceil(step * MAX_IMPACT).cast("int")).alias("impact"))
+    return _with_row(scored, span).select("term", "docid", F.greatest(F.lit(1), F.ceil(F.round(step * MAX_IMPACT, 6)).cast("int")).alias("impact"))
 
 
 def segments(posts: DataFrame) -> DataFrame:
@@ -62,8 +64,9 @@ def segments(posts: DataFrame) -> DataFrame:
 
 
 def segment_postings(posts: DataFrame) -> DataFrame:
-    """Bodies: (term, impact, docids), docids rising."""
-    return posts.groupBy("term", "impact").agg(F.sort_array(F.collect_list("docid")).alias("docids"))
+    """Bodies: (term, impact, block, docids), docids rising; a row holds the docids of one block of 2**BODY_BITS, so a frequent term meets in no one task."""
+    own = posts.withColumn("block", F.shiftright("docid", BODY_BITS))
+    return own.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("docid")).alias("docids"))
 
 
 def vocabulary(heads: DataFrame) -> DataFrame:

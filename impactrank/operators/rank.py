@@ -14,8 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from impactrank.shared import checkpointed
+
 from .index import Index
 
+#: Postings of a query that the first round of early termination reads, and by how much a round reads more than the one before.
+FIRST_ROUND, GROWTH = 4096, 8
+
+
 def term_lookup(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Query terms with their vocabulary rows; unknown terms drop out, repeated ones stay."""
     return qterms.join(vocab, "term").select("query_id", "term_pos", "term", "df", "n_segments", "max_impact")
@@ -114,19 +120,41 @@ def _stop(k: int, strict: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) -> DataFrame:
-    """(query_id, docid, rsv, rank, segments, postings, checks, stopped) with the scores so far where a query stopped.
-
-    After each segment the k + 1 best so far are looked at; the query stops when no gap between
-    neighbours could still close: every gap over what remains (strict), or at least it (not strict, where ties may come out otherwise).
+def _walked(plan: DataFrame, posts: DataFrame, k: int, strict: bool) -> DataFrame:
+    """Where each query of a plan stops, and its ranking there.
 
     A document's score after each of its segments is a running sum. Only documents of the segment at hand can enter the
     best k + 1, and only its own best k + 1 of them, so each step is cut to k + 1 rows before a query's steps meet in one task.
     """
-    plan = with_bounds(segment_plan(qterms, index.heads))
-    hits = index.posts.join(plan, ["term", "impact"])
+    hits = posts.join(plan, ["term", "impact"])
     upto = Window.partitionBy("query_id", "docid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = hits.select("query_id", "seq", "docid", "remaining", "cum_freq", F.sum(F.col("impact").cast("long")).over(upto).alias("rsv_after"))
     of_step = Window.partitionBy("query_id", "seq").orderBy(F.desc("rsv_after"), F.desc("docid"))
     cut = steps.withColumn("place", F.row_number().over(of_step)).where(F.col("place") <= k + 1).drop("place")
     return cut.groupBy("query_id").applyInPandas(_stop(k, strict), "query_id long, docid long, rsv long, rank int, segments int, postings long, checks int, stopped int")
+
+
+def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) -> DataFrame:
+    """(query_id, docid, rsv, rank, segments, postings, checks, stopped) with the scores so far where a query stopped.
+
+    After each segment the k + 1 best so far are looked at; the query stops when no gap between
+    neighbours could still close: every gap over what remains (strict), or at least it (not strict, where ties may come out otherwise).
+
+    Queries go in rounds. A round reads the segments that begin within a number of postings, told from headers; queries that
+    stop there, or that have no more, are settled, and the next round reads ``GROWTH`` times as much for the others. So a query reads little more than it needs.
+    """
+    plan = checkpointed(with_bounds(segment_plan(qterms, index.heads)))
+    open_ = plan.groupBy("query_id").agg(F.max("seq").alias("last"))
+    found: DataFrame | None = None
+    budget = FIRST_ROUND
+    while True:
+        part = plan.join(open_, "query_id").where(F.col("cum_freq") - F.col("freq") < budget)
+        walked = checkpointed(_walked(part.drop("last"), index.posts, k, strict))
+        whole = part.where(F.col("seq") == F.col("last")).select("query_id")
+        settled = checkpointed(walked.where("stopped = 1").select("query_id").union(whole).distinct())
+        done = walked.join(settled, "query_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = checkpointed(open_.join(settled, "query_id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        budget *= GROWTH

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactrank.operators.index import Index, segment_postings, vocabulary
+from impactrank.shared import checkpointed
 
 #: Terms that one pushed-down filter names; a larger query batch is joined instead.
 PUSHED_TERMS = 1000
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Write headers, bodies, vocabulary and document list; terms are range-partitioned, so a reader skips row groups by term."""
+    """Write bodies, headers, vocabulary and document list; terms are range-partitioned, so a reader skips row groups by term. Postings are computed once: the rest is read from the bodies."""
+    spark = index.posts.sparkSession
     spread = lambda df, *keys: (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)).sortWithinPartitions("term", F.desc("impact"))
-    spread(index.heads, "term", "impact").write.mode("overwrite").parquet(f"{path}/segments")
-    spread(segment_postings(index.posts), "term", "impact").write.mode("overwrite").parquet(f"{path}/bodies")
-    vocabulary(index.heads).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    bodies = segment_postings(index.posts).withColumn("freq", F.size("docids").cast("long"))
+    spread(checkpointed(bodies), "term", "impact", "block").write.mode("overwrite").parquet(f"{path}/bodies")
+    heads = spark.read.parquet(f"{path}/bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq"))
+    spread(heads, "term", "impact").write.mode("overwrite").parquet(f"{path}/segments")
+    vocabulary(spark.read.parquet(f"{path}/segments")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
@@ -34,3 +38,8 @@ def read_index(spark: SparkSession, path: str, qterms: DataFrame | None = None)
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/vocabulary")
+
+
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(term, impact, block, docids, freq), as they are stored."""
+    return spark.read.parquet(f"{path}/bodies")

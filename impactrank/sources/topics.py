@@ -14,7 +14,7 @@ TAGS = {"t": "title", "d": "description", "n": "narrative", "q": "query"}
 def query_terms(lines: DataFrame, column: str = "value") -> DataFrame:
     """(query_id, term_pos, term) from lines of an id and terms. Blank lines are skipped; an id that is no number is 0."""
     parts = lines.where(F.trim(F.regexp_replace(F.col(column), r"\s", " ")) != "").select(T.words(F.col(column)).alias("w"))
-    return parts.select(T.parse_long(F.col("w")[0]).alias("query_id"), F.posexplode(F.slice("w", 2, 1_000_000)).alias("term_pos", "term")).withColumn("term_pos", F.col("term_pos").cast("int"))
+    return parts.select(T.parse_long(F.col("w")[0]).alias("query_id"), F.posexplode(F.slice("w", F.lit(2), F.size("w"))).alias("term_pos", "term")).withColumn("term_pos", F.col("term_pos").cast("int"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -92,3 +92,59 @@ def test_bm25_impacts_are_in_range(spark, sf_dir):
 def test_summary_of_no_queries(spark):
     none = spark.createDataFrame([], "query_id long, segments_processed long, postings_processed long")
     assert summary(none).first().asDict() == {"topics": 0, "total_segments": None, "total_postings": None, "mean_segments": None, "mean_postings": None}
+
+
+def plain_early(posts, terms, k, strict):
+    """One query walked segment by segment over all its documents."""
+    segments = {}
+    for t, d, i in posts:
+        segments.setdefault((t, i), []).append(d)
+    order = sorted(((-i, len(ds), p, t, i) for p, t in enumerate(terms) for (u, i), ds in segments.items() if u == t))
+    top = {p: max((i for (u, i) in segments if u == t), default=0) for p, t in enumerate(terms)}
+    left, score, postings, checks = dict(top), {}, 0, 0
+    for n, (_, size, p, t, i) in enumerate(order, 1):
+        for d in segments[t, i]:
+            score[d] = score.get(d, 0) + i
+        postings += size
+        left[p] = max((j for (u, j) in segments if u == t and j < i), default=0)
+        best = sorted(((s, d) for d, s in score.items()), reverse=True)[: k + 1]
+        if len(best) > k:
+            checks += 1
+            least = min(a[0] - b[0] for a, b in zip(best, best[1:]))
+            if least > sum(left.values()) or (not strict and least == sum(left.values())):
+                return [(d, s, r, n, postings, checks, 1) for r, (s, d) in enumerate(best[:k], 1)]
+    return [(d, s, r, len(order), postings, checks, 0) for r, (s, d) in enumerate(best[:k], 1)]
+
+
+@pytest.mark.parametrize("first", [2, 4096])
+def test_early_termination_equals_a_plain_walk(spark, monkeypatch, first):
+    """Also where the rounds are small, so that queries are settled in different ones."""
+    monkeypatch.setattr(R, "FIRST_ROUND", first)
+    chance = random.Random(11)
+    posts = [(t, d, chance.choice([1, 2, 5, 40, 200])) for t in "abcde" for d in chance.sample(range(30), 20)] + [("f", 1, 255), ("g", 2, 90), ("f", 2, 3)]
+    queries = {q: [chance.choice("abcdefg") for _ in range(chance.randint(1, 4))] for q in range(12)}
+    for strict in (True, False):
+        found = R.early(queries_of(spark, queries), index_of(spark, posts), 2, strict).collect()
+        for q, terms in queries.items():
+            got = sorted((r[1:] for r in found if r.query_id == q), key=lambda r: r[2])
+            assert list(map(tuple, got)) == plain_early(posts, terms, 2, strict)
+    assert {r.stopped for r in found} == {0, 1}
+
+
+def test_bodies_and_gaps_go_over_blocks(spark, monkeypatch):
+    from impactrank.operators import gaps as G
+    from impactrank.operators import index as I
+
+    monkeypatch.setattr(I, "BODY_BITS", 3)
+    monkeypatch.setattr(G, "BODY_BITS", 3)
+    chance = random.Random(2)
+    posts = sorted({(t, d, i) for t, i in (("a", 1), ("a", 2), ("b", 1)) for d in chance.sample(range(200), 37)})
+    frame = spark.createDataFrame(posts, "term string, docid long, impact int")
+    assert sum(len(r.docids) for r in I.segment_postings(frame).collect()) == len(posts) and I.segment_postings(frame).count() > 3
+    for stride in (1, 4):
+        coded = G.gaps(frame, stride)
+        for r in coded.collect():
+            own = [d for t, d, i in posts if (t, i) == (r.term, r.impact)]
+            at = own.index(r.docid)
+            assert (r.pos, r.gap) == (at, own[at] - (own[at - stride] if at >= stride else 0))
+        assert sorted((r.term, r.docid, r.impact) for r in G.from_gaps(coded.drop("docid"), stride).collect()) == posts
