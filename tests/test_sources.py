@@ -63,11 +63,11 @@ def test_xml_topics(spark, tmp_path):
 
 
 def test_query_lines_round_trip(spark, tmp_path):
-    lines = spark.createDataFrame([("51 horse  hoov ",), ("  ",), ("\t70\tto be\r",), ("x9 odd",)], "value string")
+    lines = spark.createDataFrame([("51 mule  sho ",), ("  ",), ("\t70\tto be\r",), ("x9 odd",)], "value string")
     got = sorted((r.query_id, r.term_pos, r.term) for r in topics.query_terms(lines).collect())
-    assert got == [(0, 0, "odd"), (51, 0, "horse"), (51, 1, "hoov"), (70, 0, "to"), (70, 1, "be")]
+    assert got == [(0, 0, "odd"), (51, 0, "mule"), (51, 1, "sho"), (70, 0, "to"), (70, 1, "be")]
     topics.write_queries(spark.createDataFrame([(51, ["mule", "sho"])], "query_id long, terms array<string>"), str(tmp_path / "q"))
-    assert {r.term for r in topics.read_term_list(spark, str(tmp_path / "q")).collect()} == {"horse", "hoov"}
+    assert {r.term for r in topics.read_term_list(spark, str(tmp_path / "q")).collect()} == {"mule", "sho"}
 
 
 def test_index_and_run_round_trip(spark, sf_dir, tmp_path):
