@@ -1,4 +1,4 @@
-"""Shared helpers: checkpoints in the cluster's shared folder, and a NumPy text kernel for Arrow batches.
+"""Shared helpers, and a NumPy text kernel for Arrow batches.
 
 The kernel finds words and hashes them for many documents at once, so that operators pay a few
 vector operations a byte instead of a Python step a word.
@@ -6,7 +6,6 @@ vector operations a byte instead of a Python step a word.
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impactrank.shared import checkpointed  # noqa: F401
+
 #: Bytes of text that the kernel handles at once; one longer document is handled whole.
 SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -23,18 +24,6 @@ _WORD = np.uint64
 _ROOM: dict[str, np.ndarray] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named by ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none (local tests).
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="impactrank-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
