@@ -81,7 +81,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def sample_features(docs: DataFrame, roles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and roles of the sampled documents. ``roles``: (doc_id, role int), of a size that the callers bound."""
+    """Features and roles of the sampled documents, one text of each id. ``roles``: (doc_id, role int), of a size that the callers bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +90,8 @@ def sample_features(docs: DataFrame, roles: DataFrame) -> tuple[np.ndarray, np.n
                 rows = features.matrix(words(texts[i:j])).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([role[i:j], pa.array([r.tobytes() for r in rows], pa.binary())], ["role", "x"])
 
-    got = docs.join(F.broadcast(roles), "doc_id").mapInArrow(run, "role int, x binary").toArrow()
+    one = docs.join(F.broadcast(roles), "doc_id").groupBy("doc_id", "role").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = one.mapInArrow(run, "role int, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, features.WIDTH).astype(np.float32)
     role = got["role"].to_numpy()
     order = np.lexsort((x @ np.linspace(1, 2, features.WIDTH, dtype=np.float32), role))  # the same whatever task ends first

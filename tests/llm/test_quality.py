@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import re
 from collections import Counter
 
@@ -77,3 +78,11 @@ def test_the_risk_is_held_at_zero():
     assert 0.3 < pu.estimate_prior(positive, free) < 0.6
     weights = pu.fit(positive, free, 0.5)
     assert (negative[150:] @ weights < 0).mean() > 0.95 and (positive @ weights > 0).mean() > 0.9
+
+
+def test_a_repeated_id_is_sampled_once(spark):
+    from impactrank.llm.pu import sample_features
+
+    docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2).alias("text"))
+    x, role = sample_features(docs, spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, role int"))
+    assert len(x) == 2 and sorted(role) == [0, 1] and (x[0] == x[1]).all()
