@@ -129,8 +129,8 @@ def candidates(known: Benchmark, hashes: np.ndarray, doc: np.ndarray) -> np.ndar
     return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
 
 
-def leaks_in(known: Benchmark, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(text, item, shared shingles, the item's shingles) of all items found in the texts."""
+def leaks_in(known: Benchmark, texts: list[bytes], short: bool = True) -> list[tuple[int, int, int, int]]:
+    """(text, item, shared shingles, the item's shingles) of all items found in the texts; without ``short``, of those of a shingle or more."""
     w = words(texts, lower=True, between=NOT_WORD)
     hashes, doc = w.shingles(SHINGLE)
     out, last, own = [], -1, np.zeros(0, _U)
@@ -141,7 +141,7 @@ def leaks_in(known: Benchmark, texts: list[bytes]) -> list[tuple[int, int, int,
         shared = int(np.isin(item, own).sum())
         if shared >= CONTAINMENT * len(item):
             out.append((d, i, shared, len(item)))
-    for n, table in known.short.items():
+    for n, table in known.short.items() if short else ():
         at = np.flatnonzero(w.doc[: len(w.doc) - n + 1] == w.doc[n - 1 :]) if len(w.doc) >= n else np.zeros(0, np.int64)
         if not len(at):
             continue
@@ -189,17 +189,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
+    """The documents in which no item is found, with all their columns.
+
+    Items of fewer words than a shingle ("yes", "in Paris") stand in clean documents too, so they remove none unless ``short`` is set; ``find_leaks`` reports them.
+    """
     for rows in item_blocks(benchmark, item_col, item_text_col):
-        docs = keep_rows(docs, text_col, _clean(docs.sparkSession.sparkContext.broadcast(benchmark_of(rows))))
+        docs = keep_rows(docs, text_col, _clean(docs.sparkSession.sparkContext.broadcast(benchmark_of(rows)), short))
     return docs
 
 
-def _clean(known):
+def _clean(known, short: bool):
     def verdict(texts: list[bytes]) -> np.ndarray:
         flags = np.ones(len(texts), bool)
-        flags[[d for d, *_ in leaks_in(known.value, texts)]] = False
+        flags[[d for d, *_ in leaks_in(known.value, texts, short)]] = False
         return flags
 
     return verdict
