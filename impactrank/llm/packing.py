@@ -34,6 +34,11 @@ def _tokenizer_path(path: str | None) -> str:
     return path or public_tokenizers.path(TOKENIZER)
 
 
+def read(text: bytes) -> str:
+    """The characters of a text; bytes that are no UTF-8 count as replacement characters."""
+    return text.decode("utf-8", "replace")
+
+
 class Remembered(dict):
     """A bounded memory of two generations: what is asked for again outlives a clearing."""
 
@@ -70,17 +75,18 @@ class WordIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
+        """Ids by the tokenizer itself."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[bytes]) -> None:
         """Remember the ids of words of lower-case ASCII and any other letters."""
-        text = b"\n".join(new).decode()
+        text = read(b"\n".join(new))
         if self.odd(text):
-            strange = {w for w in new if self.odd(w.decode())}
+            strange = {w for w in new if self.odd(read(w))}
             for word in strange:
-                self.words[word] = self.whole(word.decode())
+                self.words[word] = self.whole(read(word))
             new = [w for w in new if w not in strange]
-            text = b"\n".join(new).decode()
+            text = read(b"\n".join(new))
         parts = self.cut(text.lower())  # in these scripts nothing is left to compose
         missing = []
         for part in set(parts).difference(("\n",)):
@@ -92,11 +98,12 @@ class WordIds:
         if missing:
             ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(missing)
             data, at = ids.tobytes(), 0
             for name, stop in zip(missing, (4 * stops).tolist()):
                 self.parts[name] = data[at:stop]
                 at = stop
+            if len(stops) != len(missing):  # a vocabulary without ends of words: each by itself
+                self.parts.update((name, self.whole(name)) for name in missing)
         get = self.parts.__getitem__
         held: list[bytes] = []
         names = iter(new)
@@ -124,7 +131,7 @@ class WordIds:
                     new.append(word)
         self.learn(new)
         get = self.words.__getitem__
-        return [self.whole(t.decode()) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        return [self.whole(read(t)) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -172,10 +179,10 @@ def pack_block(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     for i in np.argsort(-sizes, kind="stable"):
         size = int(sizes[i])
-        # into gap g: N(g) falls by one and N(g - size) rises by one; a full bin counts no more
-        change = count[: capacity + 1 - size].copy()
+        # into gap g: N(g)^2 falls by 2 N(g) - 1 and N(g - size)^2 rises by 2 N(g - size) + 1; a full bin counts no more
+        change = 2 * count[: capacity + 1 - size]
         change[0] = -1
-        change -= count[size:]
+        change -= 2 * count[size:]
         gaps = np.flatnonzero(count[size:])
         if len(gaps):
             gap = int(gaps[np.argmin(change[gaps])]) + size
@@ -231,10 +238,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFra
     return whole.join(top, whole._id == top.item).drop("_id", "item").withColumnsRenamed({"bin": "sequence_id", "at": "offset"})
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece.
+def pack_documents(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block: int = BLOCK, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), a row per piece.
 
-    A null or empty text is the end id alone. Repeated rows are packed each by itself, ids and
+    A null or empty text is the end id alone. Bytes that are no UTF-8 are read as replacement characters. Repeated rows are packed each by itself, ids and
     null ids as they come. An empty table gives an empty result. Other columns are ignored.
     """
-    return pack(cut_pieces(docs, capacity, id_col, text_col, tokenizer), capacity, block)
+    return pack(cut_pieces(docs, capacity, id_col, text_col, tokenizer, keep_ids), capacity, block)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, n_tokens, ids) of pieces that were packed with their ids: little-endian 32-bit ids, at most a capacity of them."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))

@@ -73,3 +73,47 @@ def test_forgotten_words_come_again(monkeypatch):
     own = P.WordIds(PATH)
     for text in ("one two three four five", "six seven", "one two eight", "it's its <|endoftext|>x", "four ten é"):
         assert own.encode([text.encode()])[0] == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_bytes_that_are_no_text(spark):
+    for text in (b"\xff\xfe abc", b"ab\xc3 cd\x80ef", b"<|x \xff"):
+        assert P.encoder(PATH).encode([text])[0] == np.array(TOKENIZER.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    frame = spark.range(1).selectExpr("id AS doc_id", "CAST(unhex('FFFE20616263') AS STRING) AS text")
+    assert P.pack_documents(frame).count() == 1
+
+
+def plain_choice(sizes, capacity):
+    """Each piece by falling size into the open bin that leaves the least sum of squared numbers of open bins by gap, all sums formed anew."""
+    bins = []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        best = None
+        for gap in sorted({capacity - b for b in bins if capacity > b >= 0 and capacity - b >= sizes[i]}):
+            counts = {}
+            for b in bins:
+                counts[capacity - b] = counts.get(capacity - b, 0) + 1
+            counts[gap] -= 1
+            counts[gap - sizes[i]] = counts.get(gap - sizes[i], 0) + 1
+            total = sum(n * n for g, n in counts.items() if 0 < g < capacity)
+            if best is None or total < best[0]:
+                best = (total, gap)
+        if best:
+            bins[bins.index(capacity - best[1])] += sizes[i]
+        else:
+            bins.append(sizes[i])
+    return sorted(bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_placement_is_the_least_sum_of_squares(sizes):
+    _, _, fill = P.pack_block(np.array(sizes, np.int64), 20)
+    assert sorted(fill.tolist()) == plain_choice(sizes, 20)
+
+
+def test_sequences_hold_the_ids(spark, odd):
+    packed = P.pack_documents(odd, 64, block=7, keep_ids=True)
+    rows = {r.sequence_id: r for r in P.sequences(packed).collect()}
+    for r in packed.collect():
+        own = rows[r.sequence_id]
+        assert bytes(own.ids)[4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        assert len(own.ids) == 4 * own.n_tokens <= 256
