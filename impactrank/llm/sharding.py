@@ -20,6 +20,8 @@ VIRTUAL = 64
 CELL_BITS = 12
 #: Rows that one task ranks, about.
 RANGE_ROWS = 200_000
+#: Equal rows that share a place on the ring; more of them get several places, so that no range holds them all.
+COPIES = 1000
 
 
 def ring(spark: SparkSession, shards: int, virtual: int) -> DataFrame:
@@ -80,16 +82,26 @@ def _placements(arcs: DataFrame, shards: int) -> DataFrame:
     return joined.select("arc", "shard", "taken", "slot", "waiting", F.filter("all_moves", lambda m: (m["start"] < end) & (m["stop"] > F.col("waiting"))).alias("moves"))
 
 
+def _at_places(rows: DataFrame) -> DataFrame:
+    """The rows with their places: a hash of the row, and for every ``COPIES`` of a row that comes more often one of its own."""
+    whole = ["doc_id", "text_crc32", "size"]
+    common = rows.groupBy(*whole).agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select(*(F.col(c).alias(f"c_{c}") for c in whole), F.ceil(F.col("n") / COPIES).alias("places"))
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in whole]
+    own = rows.withColumn("row", F.monotonically_increasing_id()).join(common, same[0] & same[1] & same[2], "left")
+    spread = _hash(*whole, F.pmod("row", "places"))
+    return checkpointed(own.select(*whole, F.when(F.col("places").isNull(), _hash(*whole)).otherwise(spread).alias("place")))
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", virtual: int = VIRTUAL) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; shard counts are at most one apart.
 
     A null text counts as empty: size 1, crc of no bytes. A null id hashes by the text alone. Repeated
-    rows are placed each by itself; which of them gets which place is open, as they are alike. An empty table gives an empty result; other columns are ignored.
+    rows are placed each by itself; which of them gets which place is open, as they are alike. Equal texts under several ids are rows like any others and lie apart. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = checkpointed(rows.withColumn("place", _hash("doc_id", "text_crc32", "size")))
+    rows = _at_places(checkpointed(rows))
     n = rows.count()
     points = checkpointed(ring(spark, shards, virtual))
     cells = _cells(points, shards * virtual)
