@@ -1,8 +1,8 @@
 """Licence scans by a generalised suffix automaton over the tokens of licence templates.
 
 The automaton holds every run of words that stands in any template. A text is streamed through it
-once: at each word it gives the longest run that ends there and where that run stands in the templates
-(matching statistics). Long runs that follow each other both in the text and in a template are
+once: at each word it gives the longest run that ends there, the shorter ones by suffix links, and where they stand in the templates
+(matching statistics). So every template has its own runs, those that can't grow in it, though another template may hold a longer one. Long runs that follow each other both in the text and in a template are
 chained into spans; a span that covers enough of a template is a finding.
 """
 
@@ -15,34 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import NOT_WORD, id_text, text_bytes
+from .licencetexts import TEXTS
 
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates: opening notices, grants and disclaimers of public licences, with their labels. Fixed values.
-TEMPLATES = [
-    ("mit", "released under the MIT License"),
-    ("mit", "licensed under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "licensed under the Apache License, Version 2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "licensed under the GNU General Public License, version 3"),
-    ("gpl", "licensed under the GNU General Public License, version 2"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "licensed under the GNU Affero General Public License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("mpl", "licensed under the Mozilla Public License"),
-    ("bsd", "licensed under the BSD License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by", "licensed under CC BY 4.0"),
-    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "dedicated to the public domain under CC0 1.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
+#: Templates with their labels.
+TEMPLATES = TEXTS
 #: Words of the shortest run that a chain uses, words that may lie between two runs, and the part of a template to be covered.
 RUN, GAP, COVERED = 3, 6, 0.8
 _TABLE = bytes(0x20 if NOT_WORD[i] else i for i in range(256))
@@ -60,6 +39,7 @@ class State:
     step: dict[int, int] = field(default_factory=dict)
     #: (template, end) places of the longest run of this state.
     places: set[tuple[int, int]] = field(default_factory=set)
+    templates: frozenset[int] = frozenset()
 
 
 class Automaton:
@@ -77,6 +57,8 @@ class Automaton:
         for state in sorted(self.states[1:], key=lambda s: -s.length):  # a run's suffixes end where it ends
             if state.link > 0:
                 self.states[state.link].places |= state.places
+        for state in self.states:
+            state.templates = frozenset(n for n, _ in state.places)
 
     def _extend(self, last: int, c: int) -> int:
         states = self.states
@@ -135,12 +117,41 @@ class Automaton:
             out.append((len(words), length, at))
         return out
 
+    def runs_by_template(self, words: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """For each template its runs of ``RUN`` words or more that stop growing: (start, place, length) for every place where one stands in it."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        states, at, length = self.states, 0, 0
+        before: dict[int, tuple[int, int]] = {}  # template: length and state of its run that ends at the word before
+
+        def end(i: int, number: int, held: int, state: int) -> None:
+            own = out.setdefault(number, [])
+            own += [(i - held, stop - held, held) for n, stop in states[state].places if n == number]
+
+        for i, c in enumerate(map(self.ids.get, words)):
+            onward = states[at].step.get(c) if c is not None else None
+            while at > 0 and onward is None and c is not None:
+                at = states[at].link
+                onward = states[at].step.get(c)
+                length = states[at].length
+            at, length = (onward, length + 1) if onward is not None else (0, 0)
+            now: dict[int, tuple[int, int]] = {}
+            state, held = at, length
+            while held >= RUN:
+                for number in states[state].templates:
+                    now.setdefault(number, (held, state))
+                state = states[state].link
+                held = states[state].length
+            for number, (held, state) in before.items():
+                if now.get(number, (0, 0))[0] != held + 1:
+                    end(i, number, held, state)
+            before = now
+        for number, (held, state) in before.items():
+            end(len(words), number, held, state)
+        return out
+
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, first word, end word, covered part) of every chain that covers ``COVERED`` of its template or more."""
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for end, length, state in self.runs(words):
-            for number, stop in self.states[state].places:
-                pieces.setdefault(number, []).append((end - length, stop - length, length))
+        pieces = self.runs_by_template(words)
         out = []
         for number, own in pieces.items():
             need = COVERED * self.sizes[number]

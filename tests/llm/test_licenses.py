@@ -53,14 +53,58 @@ def test_automaton_equals_brute_force():
             assert own.states[state].places == {(k, j) for k, t in enumerate(templates) for j in range(n, len(t) + 1) if t[j - n : j] == run}
 
 
+def test_every_template_has_its_own_runs():
+    """Against all pairs of places: the runs of each template that can't grow to the right, and are the longest that end there."""
+    chance = random.Random(3)
+    for _ in range(80):
+        templates = [[bytes([chance.choice(b"abc")]) for _ in range(chance.randint(3, 12))] for _ in range(4)]
+        text = [bytes([chance.choice(b"abcd")]) for _ in range(40)]
+        got = L.Automaton(templates).runs_by_template(text)
+        for k, own in enumerate(templates):
+            runs = {tuple(own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1)}
+            length = [max(n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in runs) for i in range(len(text))]
+            want = []
+            for i, n in enumerate(length):
+                if n >= L.RUN and (i + 1 == len(text) or length[i + 1] != n + 1):
+                    want += [(i + 1 - n, j - n, n) for j in range(n, len(own) + 1) if own[j - n : j] == text[i + 1 - n : i + 1]]
+            assert sorted(got.get(k, [])) == sorted(want)
+
+
 def test_chained_spans():
-    text = dict((l, t) for l, t in L.TEMPLATES)["isc"].encode()
+    text = next(t for label, t in L.TEMPLATES if label == "isc").encode()
     words = text.split()
     changed = b"before " * 5 + b" ".join([*words[:12], b"WIDGET", *words[12:20], b"other", *words[21:]]) + b" after"
     got = L.scan(changed)
-    assert got["labels"] == "isc" and got["n_base"] == 0 and 0.8 <= got["score"] < 1
-    span = got["spans"][0]
-    assert span["start"] == 5 and span["end"] == got["n_words"] - 1
+    assert got["labels"] == "isc" and got["n_base"] == 0
+    span = next(s for s in got["spans"] if s["template"] == [label for label, _ in L.TEMPLATES].index("isc"))
+    assert span["start"] == 5 and span["end"] == got["n_words"] - 1 and 0.8 <= span["covered"] < 1
     assert L.scan(b" ".join(words[:12]))["labels"] == ""
+
+
+def test_templates_find_themselves():
+    """Every template is found in itself, whole, among other words, with one word in thirty changed, and under its own label; ties between templates are all reported."""
+    chance = random.Random(7)
+    for number, (label, text) in enumerate(L.TEMPLATES):
+        words = L.tokens(text.encode())
+        got = L.scan(b"some words before " + text.encode() + b" and after")
+        assert label in got["labels"].split(",") and got["score"] == 1
+        assert any(s["template"] == number and (s["start"], s["end"], s["covered"]) == (3, 3 + len(words), 1) for s in got["spans"])
+        if len(words) > 60:
+            for at in range(chance.randrange(30), len(words), 30):
+                words[at] = b"changed"
+            assert any(s["template"] == number for s in L.scan(b" ".join(words))["spans"])
+    every = L.scan(" ".join(t for _, t in L.TEMPLATES).encode())
+    assert set(every["labels"].split(",")) == {label for label, _ in L.TEMPLATES}
+    assert L.scan("\n".join(f"{n}. plain words of a text that grants nothing" for n in range(500)).encode())["labels"] == ""
+
+
+def test_chains_bridge_gaps_and_end():
+    label, text = next((label, t) for label, t in L.TEMPLATES if label == "zlib")
+    words = L.tokens(text.encode())
+    near = words[:40] + [b"x"] * (L.GAP - 1) + words[40:]
+    far = words[:15] + [b"x"] * 60 + words[15:]
+    assert L.scan(b" ".join(near))["labels"] == label and L.scan(b" ".join(far))["labels"] == label  # the longer part alone covers enough
+    half = len(words) // 2
+    assert L.scan(b" ".join(words[:half] + [b"x"] * 60 + words[half:]))["labels"] == ""
     assert L.scan(b"Licensed under CC BY-NC 4.0.")["labels"] == "cc-by-nc"
     assert L.scan(b"This work is licensed under the GNU General Public License, version 3.")["labels"] == "gpl"
