@@ -22,8 +22,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 #: Templates with their labels.
 TEMPLATES = TEXTS
-#: Words of the shortest run that a chain uses, words that may lie between two runs, and the part of a template to be covered.
-RUN, GAP, COVERED = 3, 6, 0.8
+#: Words of the shortest run that a chain uses, words that may lie between two runs, and the part of a template to be covered; a template of fewer than ``WHOLE`` words must be covered whole.
+RUN, GAP, COVERED, WHOLE = 3, 6, 0.8, 20
 _TABLE = bytes(0x20 if NOT_WORD[i] else i for i in range(256))
 
 
@@ -154,7 +154,7 @@ class Automaton:
         pieces = self.runs_by_template(words)
         out = []
         for number, own in pieces.items():
-            need = COVERED * self.sizes[number]
+            need = COVERED * self.sizes[number] if self.sizes[number] >= WHOLE else self.sizes[number]
             chains: list[list[int]] = []  # open chains: text start, text end, template end, covered words
             for start, place, length in sorted(own):
                 chains = [c for c in chains if start - c[1] <= GAP or self._finish(c, number, need, out)]
@@ -181,6 +181,23 @@ class Automaton:
             out.append((number, chain[0], chain[1], min(1.0, chain[3] / self.sizes[number])))
 
 
+def best_spans(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The spans but for those that one of another label, covered to a larger part, overlaps by more than half: licences share most of their words with their variants."""
+    open_: list[tuple[int, int, int, int, float]] = []
+    gone: set[int] = set()
+    for n, (number, start, end, covered) in enumerate(spans):  # by start
+        open_ = [o for o in open_ if o[2] > start]
+        for m, begin, stop, other, part in open_:
+            if TEMPLATES[other][0] != TEMPLATES[number][0]:
+                shared = min(end, stop) - start
+                if part > covered and 2 * shared > end - start:
+                    gone.add(n)
+                if covered > part and 2 * shared > stop - begin:
+                    gone.add(m)
+        open_.append((n, start, end, number, covered))
+    return [s for n, s in enumerate(spans) if n not in gone]
+
+
 _KNOWN: list[Automaton] = []
 _PHRASES = [(tuple(p.encode().split()), label) for p, label in BASE.items()]
 
@@ -201,7 +218,7 @@ def scan(text: bytes) -> dict:
             if at + 1 >= len(phrase) and tuple(words[at + 1 - len(phrase) : at + 1]) == phrase:
                 places.append(at + 1 - len(phrase))
                 labels.add(label)
-    spans = _KNOWN[0].spans(words)
+    spans = best_spans(_KNOWN[0].spans(words))
     every = labels | {TEMPLATES[n][0] for n, *_ in spans}
     return {
         "n_words": len(words),

@@ -108,3 +108,13 @@ def test_chains_bridge_gaps_and_end():
     assert L.scan(b" ".join(words[:half] + [b"x"] * 60 + words[half:]))["labels"] == ""
     assert L.scan(b"Licensed under CC BY-NC 4.0.")["labels"] == "cc-by-nc"
     assert L.scan(b"This work is licensed under the GNU General Public License, version 3.")["labels"] == "gpl"
+
+
+def test_variants_are_told_apart():
+    """GPL, LGPL and AGPL notices differ in a word; each has its own label alone."""
+    for label in ("gpl", "lgpl", "agpl", "mpl"):
+        for own, text in L.TEMPLATES:
+            if own == label:
+                found = L.scan(text.encode())
+                assert {f["label"] for f in found["spans"]} == {label} and set(found["labels"].split(",")) == {label, *found["base_labels"].split(",")} - {""}, text
+    assert L.scan(b"licensed under the GNU Lesser General Public License")["labels"] == "gpl,lgpl"  # the base phrase stays
