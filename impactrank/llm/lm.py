@@ -1,17 +1,18 @@
 """N-gram language model over Elias-Fano tries, trained on and applied to all documents.
 
-Documents are encoded in chunks, each with its own lists of distinct words and longer n-grams. A chunk asks the shards of the model for
+Documents are encoded in chunks, each with its own lists of distinct words, pairs and triples of words. A chunk asks the shards of the model for
 them and says how often each stands in training text. A shard adds up what all chunks say, builds its trie once and answers. So shuffles
 carry each n-gram once a chunk, in packed rows, and no task holds more than a shard or a chunk.
 
-An n-gram is a context (the words before) and a successor. Shards own contexts; those that hold over 1/``HOT`` of all tokens are spread over all shards by
-successor, and their totals are added up afterwards. A trie has a level of words with counts and a level for each higher order: its contexts in one Elias-Fano
-sequence, monotone pointers in a second, and successors, relative to their context's rank, in a third, with quantised probabilities beside them. Levels are memory-mapped.
+A trie has three levels: words, their successors, and the successors of those pairs. Shards own first words with all that follows them; first words that hold over 1/``HOT`` of
+all tokens are spread over all shards by their successors, and their totals are added up afterwards. Each level has its nodes, relative to their
+context's rank, in one Elias-Fano sequence, monotone pointers to their children in another, and quantised probabilities beside them; levels are memory-mapped.
 A successor is searched for between its context's pointers.
 
 The model interpolates absolutely discounted probabilities of all orders: P(w|h) = (c(h,w) - D) / c(h) + D n(h) / c(h) P(w|h'), where n(h) is the number of distinct
 successors of h and h' is h without its first word; contexts that training text doesn't have pass on to h'. Tries hold the first term, quantised, for each n-gram and the weight D n(h) / c(h) for each
-context. At the base is P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), from exact counts. A text's first context is its start. Words and contexts are held as 64-bit hashes, successors as 40-bit hashes within their context.
+context. At the base is P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), from exact counts. A text's first word has the start of a text as its context. Words are held as 64-bit hashes, contexts
+as 48 bits besides their shard, successors as 40 and 32 bits within their context.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, crc_fold, id_text, mix, slices, text_bytes, words
 
-#: Bytes of text in a chunk, n-grams that chunks ask of a shard, and the share of tokens from which a context is spread.
-CHUNK_BYTES, SHARD_GRAMS, HOT = 32 << 20, 3_000_000, 2000
-#: Discounts of the orders from 2 on; their number makes the model's order.
+#: Bytes of text in a chunk, tokens of text for each shard, and the share of tokens from which a first word is spread.
+CHUNK_BYTES, SHARD_TOKENS, HOT = 32 << 20, 2_500_000, 2000
+#: Discounts of pairs and triples.
 DISCOUNTS = (0.75, 0.9)
 ALPHA = 0.1
 FOLDS = 10
 _U = np.uint64
 END, START = _U(0x5EED0FE2D0C5), _U(0x57A27)
-_SUCCESSOR = _U(40)
-_STEP, _LEAST = 1000.0, -30.0
+_SECOND, _THIRD = _U(40), _U(32)
+_STEP, _LEAST = 100.0, -30.0
 _SELECT = np.zeros((256, 8), np.int64)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
@@ -46,7 +47,7 @@ for _b in range(256):
 
 
 def quantised(values: np.ndarray) -> np.ndarray:
-    """Codes 1 to 65535 of positive values: their decimal logarithms to a thousandth. 0 is left for what a trie does not hold."""
+    """Codes 1 to 65535 of positive values: their decimal logarithms to a hundredth. 0 is left for what a trie does not hold."""
     return (np.round((np.log10(values) - _LEAST) * _STEP) + 1).clip(1, 65535).astype(np.uint16)
 
 
@@ -149,37 +150,48 @@ class EliasFano:
         return self.find(values, np.zeros(len(values), np.int64), np.full(len(values), self.n))
 
 
-class Words:
-    """The level of words: their exact counts in training text."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(values)))
 
-    def __init__(self, word: np.ndarray, count: np.ndarray):
-        keys, at = np.unique(word, return_inverse=True)
-        total = np.bincount(at, weights=count, minlength=len(keys)).astype(np.int64)
-        self.keys, self.total = EliasFano(keys[total > 0]), mapped(total[total > 0])
 
-    def counts(self, word: np.ndarray) -> np.ndarray:
-        at = self.keys.place(word)
-        out = np.zeros(len(word), np.int64)
-        out[at >= 0] = self.total[at[at >= 0]]
-        return out
+def _summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys that are counted at all, rising, and their counts added up."""
+    keys, count = keys[count > 0], count[count > 0]
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin, _ = _runs(keys)
+    return keys[begin], np.add.reduceat(count[order], begin) if len(begin) else count
+
 
+class Told:
+    """What chunks tell a shard and ask of it: words, contexts, the ``pairs`` successors of each context in turn, and the ``triples`` successors of each pair in turn, with counts."""
 
-class Level:
-    """One order of the trie. Contexts may come in any order and repeat, ``many`` successors of each in turn; counts of equal n-grams add up.
+    FIELDS = ("word", "n_word", "context", "pairs", "second", "n_second", "triples", "third", "n_third")
+
+    def __init__(self, *parts: np.ndarray):
+        for name, part in zip(self.FIELDS, parts):
+            setattr(self, name, part)
+
+    @staticmethod
+    def together(rows: list[Told]) -> Told:
+        return Told(*(np.concatenate([getattr(r, f) for r in rows]) for f in Told.FIELDS))
+
+
+class Trie:
+    """Words, successors and successors of pairs. Contexts may come in any order and repeat; counts of equal n-grams add up.
 
     Of the contexts in ``hot`` a shard has only some successors: their discounted counts are held as they are, for others to divide, and ``totals`` says what they come to here.
     """
 
-    def __init__(self, context: np.ndarray, many: np.ndarray, successor: np.ndarray, count: np.ndarray, discount: float, hot: np.ndarray):
-        keys, rank = np.unique(context, return_inverse=True)
-        gram = (np.repeat(rank, many).astype(_U) << _SUCCESSOR) | successor
-        seen = count > 0
-        gram, count = gram[seen], count[seen]
-        order = np.argsort(gram)
-        gram, count = gram[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
-        gram, count = gram[first], np.add.reduceat(count, first) if len(first) else count
-        of = (gram >> _SUCCESSOR).astype(np.int64)
+    def __init__(self, told: Told, discounts: tuple[float, float], hot: np.ndarray):
+        words_, count = _summed(told.word, told.n_word)
+        self.words, self.counts = EliasFano(words_), mapped(count)
+        keys, rank = np.unique(told.context, return_inverse=True)
+        asked = (np.repeat(rank, told.pairs).astype(_U) << _SECOND) | told.second
+        pair, count = _summed(asked, told.n_second)
+        of = (pair >> _SECOND).astype(np.int64)
         kinds = np.bincount(of, minlength=len(keys))
         known = np.flatnonzero(kinds)
         total = np.bincount(of, weights=count, minlength=len(keys))[known]
@@ -189,195 +201,197 @@ class Level:
         self.totals = keys[shared], total[shared].astype(np.int64), kinds[shared]
         self.contexts = EliasFano(keys)
         self.pointers = EliasFano(np.concatenate(([0], np.cumsum(kinds))).astype(_U))
-        self.successors = EliasFano((of.astype(_U) << _SUCCESSOR) | (gram & _U((1 << 40) - 1)))
-        self.weights = mapped(quantised(np.where(shared, 1.0, discount * kinds / total)))
-        self.probabilities = mapped(quantised((count - discount) / np.where(shared, 1.0, total)[of]))
-
-    def answer(self, context: np.ndarray, many: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the weights of distinct contexts and of the probabilities of their successors; 0 where there are none."""
-        rank = self.contexts.place(context)
-        known = np.flatnonzero(rank >= 0)
-        weight, chance = np.zeros(len(context), np.uint16), np.zeros(len(successor), np.uint16)
-        weight[known] = self.weights[rank[known]]
-        if len(known):
-            low, high = (self.pointers.access(rank[known] + d).astype(np.int64) for d in (0, 1))
-            mine = np.repeat(rank >= 0, many)
-            spread = lambda values: np.repeat(values, many[known])
-            at = self.successors.find((spread(rank[known]).astype(_U) << _SUCCESSOR) | successor[mine], spread(low), spread(high))
-            got = np.zeros(len(at), np.uint16)
-            got[at >= 0] = self.probabilities[at[at >= 0]]
-            chance[mine] = got
-        return weight, chance
+        self.seconds = EliasFano((of.astype(_U) << _SECOND) | (pair & _U((1 << 40) - 1)))
+        self.weights = mapped(quantised(np.where(shared, 1.0, discounts[0] * kinds / total)))
+        self.chances = mapped(quantised((count - discounts[0]) / np.where(shared, 1.0, total)[of]))
+        node = np.repeat(np.searchsorted(pair, asked), told.triples)
+        triple, count = _summed((node.astype(_U) << _THIRD) | told.third, told.n_third)
+        of = (triple >> _THIRD).astype(np.int64)
+        kinds = np.bincount(of, minlength=len(pair))
+        total = np.bincount(of, weights=count, minlength=len(pair))
+        self.pair_pointers = EliasFano(np.concatenate(([0], np.cumsum(kinds))).astype(_U))
+        self.thirds = EliasFano(triple)
+        inner = np.zeros(len(pair), np.uint16)
+        inner[kinds > 0] = quantised(discounts[1] * kinds[kinds > 0] / total[kinds > 0])
+        self.pair_weights, self.pair_chances = mapped(inner), mapped(quantised((count - discounts[1]) / total[of]))
+
+    def answer(self, asked: Told) -> tuple[np.ndarray, ...]:
+        """Counts of the words, and codes: weights of the contexts, probabilities and weights of the pairs, probabilities of the triples; 0 for what is not held."""
+        at = self.words.place(asked.word)
+        counts = np.zeros(len(at), np.int64)
+        counts[at >= 0] = self.counts[at[at >= 0]]
+        rank = self.contexts.place(asked.context)
+        pair = _children(rank, asked.pairs, asked.second, self.pointers, self.seconds, _SECOND)
+        triple = _children(pair, asked.triples, asked.third, self.pair_pointers, self.thirds, _THIRD)
+        return counts, _codes(self.weights, rank), _codes(self.chances, pair), _codes(self.pair_weights, pair), _codes(self.pair_chances, triple)
+
+
+def _children(parent: np.ndarray, many: np.ndarray, child: np.ndarray, pointers: EliasFano, nodes: EliasFano, shift: np.uint64) -> np.ndarray:
+    """Where the asked children of each parent stand, ``many`` of each in turn; -1 where parent or child is not held."""
+    out = np.full(len(child), -1)
+    held = np.flatnonzero(parent >= 0)
+    if len(held):
+        low, high = (pointers.access(parent[held] + d).astype(np.int64) for d in (0, 1))
+        spread = lambda values: np.repeat(values, many[held])
+        mine = np.flatnonzero(np.repeat(parent >= 0, many))
+        out[mine] = nodes.find((spread(parent[held]).astype(_U) << shift) | child[mine], spread(low), spread(high))
+    return out
+
+
+def _codes(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint16)
+    out[at >= 0] = held[at[at >= 0]]
+    return out
 
 
 class Chunk:
-    """Some encoded documents: the sorted word hashes, and the texts as places in them, each text closed by the end.
+    """Some encoded documents: word hashes, and the texts as places in them, each text closed by the end.
 
-    ``gram_of[k]`` has the (k + 1)-gram that ends at each token, ``context[k]`` and ``last[k]`` what an n-gram consists of. A context is
-    an n-gram of the order below; the one more than there are is the start of a text.
+    Pairs are (context, last) and triples (pair, last), in rising order; ``pair_of`` and ``triple_of`` say which ends at each token. The context one more than there are words is
+    the start of a text, whose first token ends no triple.
     """
 
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, orders: int):
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray):
         self.vocabulary, self.tokens, self.lengths, self.train = vocabulary, tokens, lengths, train
-        begin = np.cumsum(lengths) - lengths
+        self.begin = np.cumsum(lengths) - lengths
+        n = len(vocabulary)
         trained = np.repeat(train, lengths)
-        self.hashes, self.gram_of = [vocabulary], [tokens]
-        self.count = [np.bincount(tokens[trained], minlength=len(vocabulary))]
-        self.context: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.last: list[np.ndarray] = [np.zeros(0, np.int64)]
-        for k in range(1, orders):
-            before = np.concatenate(([0], self.gram_of[-1][:-1]))
-            before[begin] = len(self.hashes[-1])
-            gram, of = np.unique(before * len(vocabulary) + tokens, return_inverse=True)
-            context, last = np.divmod(gram, len(vocabulary))
-            self.gram_of.append(of)
-            self.context.append(context)
-            self.last.append(last)
-            self.count.append(np.bincount(of[trained], minlength=len(gram)))
-            if k + 1 < orders:
-                self.hashes.append(mix(self.context_hashes(k)[context] * _U(0x9FB21C651E98DF25) + vocabulary[last]))
-
-    def context_hashes(self, k: int) -> np.ndarray:
-        """Of the contexts of (k + 1)-grams, the start last; orders are kept apart."""
-        return np.append(self.hashes[k - 1], START + _U(k)) if k == 1 else mix(np.append(self.hashes[k - 1], START + _U(k)) + _U(k))
-
-    def heavy(self) -> np.ndarray:
-        """Contexts that hold over 1/HOT of the tokens."""
-        out = [np.zeros(0, _U)]
-        for k in range(1, len(self.gram_of)):
-            weight = np.bincount(self.context[k], weights=np.bincount(self.gram_of[k], minlength=len(self.context[k])), minlength=len(self.hashes[k - 1]) + 1)
-            out.append(self.context_hashes(k)[weight * HOT >= len(self.tokens)])
-        return np.concatenate(out)
+        self.n_word = np.bincount(tokens[trained], minlength=n)
+        before = np.concatenate((tokens[:1], tokens[:-1])).astype(np.int64)
+        before[self.begin] = n
+        pair, of = np.unique(before * n + tokens, return_inverse=True)
+        self.pair_of = of.astype(np.int32)
+        self.context, self.second = (x.astype(np.int32) for x in np.divmod(pair, n))
+        self.n_second = np.bincount(of[trained], minlength=len(pair))
+        inner = np.ones(len(tokens), bool)
+        inner[self.begin] = False
+        self.inner = np.flatnonzero(inner)
+        triple, of = np.unique(self.pair_of[self.inner - 1].astype(np.int64) * n + tokens[self.inner], return_inverse=True)
+        self.triple_of = of.astype(np.int32)
+        self.pair, self.third = (x.astype(np.int32) for x in np.divmod(triple, n))
+        self.n_third = np.bincount(of[trained[self.inner]], minlength=len(triple))
+
+    def context_hashes(self) -> np.ndarray:
+        """48 bits of each context."""
+        return mix(np.append(self.vocabulary, START)) >> _U(16)
 
     def dealt(self, shards: int, hot: np.ndarray) -> list[list[np.ndarray]]:
-        """Of each order, the places of the n-grams that each shard is asked for."""
-        out, spread = [], (mix(self.vocabulary + _U(7)) % _U(shards)).astype(np.int64)
-        for k in range(len(self.gram_of)):
-            if k:
-                hashes = self.context_hashes(k)
-                of = np.where(np.isin(hashes, hot)[self.context[k]], spread[self.last[k]], (mix(hashes) % _U(shards)).astype(np.int64)[self.context[k]])
-            else:
-                of = (mix(self.vocabulary) % _U(shards)).astype(np.int64)
-            out.append(np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1]))
-        return out
-
+        """The words, pairs and triples that each shard is asked for, by their places."""
+        spread = mix(np.append(self.vocabulary, START) + _U(7)) % _U(shards)
+        of_word = spread[:-1].astype(np.int32)
+        of_pair = np.where(np.isin(self.context_hashes(), hot)[self.context], of_word[self.second], spread.astype(np.int32)[self.context])
+        cut = lambda of: np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1])
+        return [cut(of_word), cut(of_pair), cut(of_pair[self.pair])]
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of equal values begin, and their lengths."""
-    begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(values)))
+    def told(self, words_: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The fields of ``Told`` for a shard's words, pairs and triples."""
+        successor = mix(self.vocabulary)
+        begin, many = _runs(self.context[pairs])
+        follow = np.bincount(np.searchsorted(pairs, self.pair[triples]), minlength=len(pairs))
+        return self.vocabulary[words_], self.n_word[words_], self.context_hashes()[self.context[pairs][begin]], many, successor[self.second[pairs]] >> _U(24), self.n_second[pairs], follow, (successor[self.third[triples]] & _U((1 << 32) - 1)), self.n_third[triples]
 
 
-def _five_bytes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _bytes_of(values: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of each value."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _from_five(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _from_bytes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
-_pack = lambda a, kind: zlib.compress(a.astype(kind).tobytes(), 1)
-_unpack = lambda b, kind: np.frombuffer(zlib.decompress(b), kind)
-
-_CHUNK = "chunk long, n_train long, n_grams long, heavy array<long>, vocabulary binary, tokens binary, lengths binary, train binary, doc_ids array<long>"
-
-
-def _encode(orders: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = itertools.count(TaskContext.get().partitionId() << 24)
-        ids: list[int | None] = []
-        texts: list[bytes] = []
-
-        def close() -> pa.RecordBatch:
-            hashes, lengths = [], []
-            for i, j in slices(texts):
-                w = words(texts[i:j], lower=True)
-                hashes.append(np.insert(w.hash, w.first[1:], END))
-                lengths.append(np.diff(w.first) + 1)
-            vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-            length = np.concatenate(lengths)
-            train = np.array([crc_fold(i, FOLDS) != 0 for i in ids])
-            own = Chunk(vocabulary, tokens, length, train, orders)
-            n_grams = sum(map(len, own.last))
-            row = [next(number), int(length[train].sum()), n_grams, own.heavy().view(np.int64).tolist(), vocabulary.tobytes(), _pack(tokens, "<u4"), _pack(length, "<i8"), np.packbits(train).tobytes(), list(ids)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            ids.clear()
-            texts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
-
-        held = 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"])):
-                ids.append(doc_id)
-                texts.append(text)
-                held += len(text)
-                if held >= CHUNK_BYTES:
-                    yield close()
-                    held = 0
-        if ids:
-            yield close()
-
-    return run
-
-
-def _chunk(parts, orders: int) -> Chunk:
-    vocabulary, tokens, lengths, train = parts
-    length = _unpack(lengths, "<i8")
-    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens, "<u4").astype(np.int64), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool), orders)
-
-
-_ASK = "word binary, n_word binary" + "".join(f", {c}{k} binary" for k in range(1, len(DISCOUNTS) + 1) for c in ("context", "many", "successor", "count"))
-
-
-def _asks(shards: int, hot: np.ndarray, orders: int):
+def _pack(values: np.ndarray, size: int = 4) -> bytes:
+    """Small numbers, byte by byte of their places, deflated."""
+    planes = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpack(data: bytes, size: int = 4) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.int64)
+
+
+#: How the fields of ``Told`` travel: whole bytes of hashes, or packed numbers.
+_SIZES = {"word": 8, "context": 6, "second": 5, "third": 4}
+_CHUNK = "chunk long, n_train long, n_tokens long, heavy array<long>, vocabulary binary, tokens binary, lengths binary, train binary, doc_ids array<long>"
+_ASK = "shard int, chunk long, " + ", ".join(f"{f} binary" for f in Told.FIELDS)
+_ANSWER = "shard int, chunk long, known long, hot array<long>, n_hot array<long>, kinds_hot array<long>, counts binary, weights binary, chances binary, pair_weights binary, pair_chances binary"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def _row(shape: str, values: list) -> pa.RecordBatch:
+    """One row of a Spark schema."""
+    names, kinds = zip(*(c.split() for c in shape.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([v], _ARROW[k]) for v, k in zip(values, kinds)], list(names))
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = itertools.count(TaskContext.get().partitionId() << 24)
+    ids: list[int | None] = []
+    texts: list[bytes] = []
+
+    def close() -> pa.RecordBatch:
+        hashes, lengths = [], []
+        for i, j in slices(texts):
+            w = words(texts[i:j], lower=True)
+            hashes.append(np.insert(w.hash, w.first[1:], END))
+            lengths.append(np.diff(w.first) + 1)
+        vocabulary, tokens, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # small numbers for common words
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        length = np.concatenate(lengths)
+        train = np.array([crc_fold(i, FOLDS) != 0 for i in ids])
+        heavy = mix(vocabulary[count * HOT >= len(tokens)]) >> _U(16)
+        row = [next(number), int(length[train].sum()), len(tokens), heavy.view(np.int64).tolist(), vocabulary[order].tobytes(), _pack(place[tokens]), _pack(length), np.packbits(train).tobytes(), list(ids)]
+        ids.clear()
+        texts.clear()
+        return _row(_CHUNK, row)
+
+    held = 0
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"])):
+            ids.append(doc_id)
+            texts.append(text)
+            held += len(text)
+            if held >= CHUNK_BYTES:
+                yield close()
+                held = 0
+    if ids:
+        yield close()
+
+
+def _chunk(vocabulary: bytes, tokens: bytes, lengths: bytes, train: bytes) -> Chunk:
+    length = _unpack(lengths)
+    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens).astype(np.int32), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool))
+
+
+def _asks(shards: int, hot: np.ndarray):
     """One packed row for each chunk and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *parts in zip(*(batch[c].to_pylist() for c in ("chunk", "vocabulary", "tokens", "lengths", "train"))):
-                c = _chunk(parts, orders)
-                successor = mix(c.vocabulary) >> _U(24)
-                contexts = [None, *(c.context_hashes(k) for k in range(1, orders))]
+                c = _chunk(*parts)
                 for shard, places in enumerate(zip(*c.dealt(shards, hot))):
-                    row = [shard, name, c.vocabulary[places[0]].tobytes(), _pack(c.count[0][places[0]], "<u4")]
-                    for k in range(1, orders):
-                        context = c.context[k][places[k]]
-                        begin, many = _runs(context)
-                        row += [contexts[k][context[begin]].tobytes(), _pack(many, "<u4"), _five_bytes(successor[c.last[k][places[k]]]), _pack(c.count[k][places[k]], "<u4")]
-                    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(row) - 2)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "chunk", *(f.split()[0] for f in _ASK.split(", "))])
+                    fields = zip(Told.FIELDS, c.told(*places))
+                    yield _row(_ASK, [shard, name, *(_bytes_of(v, _SIZES[f]) if f in _SIZES else _pack(v) for f, v in fields)])
 
     return run
 
 
-def build(rows: list[tuple], discounts: tuple[float, ...], hot: np.ndarray) -> tuple[Words, list[Level]]:
-    """The trie of a shard from all that it is told: (words, counts) and for each higher order (contexts, many, successors, counts)."""
-    join = lambda k: np.concatenate([r[k] for r in rows])
-    return Words(join(0), join(1)), [Level(join(2 + 4 * k), join(3 + 4 * k), join(4 + 4 * k), join(5 + 4 * k), d, hot) for k, d in enumerate(discounts)]
-
-
-_TOLD = "shard int, chunk long, known long, hot array<long>, n_hot array<long>, kinds_hot array<long>, counts binary" + "".join(f", {c}{k} binary" for k in range(1, len(DISCOUNTS) + 1) for c in ("weight", "chance"))
-
-
-def _answers(discounts: tuple[float, ...], hot: np.ndarray):
+def _answers(discounts: tuple[float, float], hot: np.ndarray):
     """A row for each that asked; ``known`` of a shard's first row is its number of words in training text, and with it come its parts of hot contexts."""
 
-    def unpacked(row: tuple) -> tuple:
-        u8, u4 = (lambda b: np.frombuffer(b, _U)), (lambda b: _unpack(b, "<u4").astype(np.int64))
-        return tuple(f(b) for f, b in zip((u8, u4) + (u8, u4, _from_five, u4) * len(discounts), row))
-
-    def close(shard: int, chunks: list[int], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        level, orders = build(rows, discounts, hot)
-        hot_parts = [np.concatenate([o.totals[i] for o in orders]) for i in range(3)]
+    def close(shard: int, chunks: list[int], rows: list[Told]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(Told.together(rows), discounts, hot)
+        keys, total, kinds = trie.totals
         for n, (chunk, row) in enumerate(zip(chunks, rows)):
-            parts = [p.astype(np.int64, copy=False).view(np.int64).tolist() if not n else [] for p in (hot_parts[0].view(np.int64), hot_parts[1], hot_parts[2])]
-            out = [shard, chunk, level.keys.n if not n else 0, *parts, _pack(level.counts(row[0]), "<u4")]
-            for k, o in enumerate(orders):
-                out += [_pack(codes, "<u2") for codes in o.answer(row[2 + 4 * k], row[3 + 4 * k], row[4 + 4 * k])]
-            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()] * (len(out) - 6)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds)], [c.split()[0] for c in _TOLD.split(", ")])
+            extra = [trie.words.n, keys.view(np.int64).tolist(), total.tolist(), kinds.tolist()] if not n else [0, [], [], []]
+            counts, *codes = trie.answer(row)
+            yield _row(_ANSWER, [shard, chunk, *extra, _pack(counts), *(_pack(c, 2) for c in codes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunks, rows = None, [], []
@@ -389,45 +403,42 @@ def _answers(discounts: tuple[float, ...], hot: np.ndarray):
                         yield from close(shard, chunks, rows)
                     shard, chunks, rows = own, [], []
                 chunks.append(chunk)
-                rows.append(unpacked(row))
+                rows.append(Told(*(_from_bytes(v, _SIZES[f]) if f in _SIZES else _unpack(v) for f, v in zip(Told.FIELDS, row))))
         if rows:
             yield from close(shard, chunks, rows)
 
     return run
 
 
-def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_train: int, n_known: int, discounts: tuple[float, ...]):
+def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_train: int, n_known: int, discount: float):
     """Scores of the documents of each chunk, from rows sorted by chunk and shard; a chunk itself comes as shard -1."""
     base_total = n_train + ALPHA * (n_known + 1)
-    orders = len(discounts) + 1
 
-    def close(head: tuple, answers: list[tuple]) -> pa.RecordBatch:
-        c = _chunk(head[:4], orders)
+    def close(head: list, answers: list[list]) -> pa.RecordBatch:
+        c = _chunk(*head[:4])
         dealt = c.dealt(shards, hot)
-        count = np.zeros(len(c.vocabulary), np.int64)
-        weight = [np.zeros(len(c.hashes[k]) + 1) for k in range(orders - 1)]
-        chance = [np.zeros(len(c.last[k + 1])) for k in range(orders - 1)]
+        count, weight, total = np.zeros(len(c.vocabulary), np.int64), np.zeros(len(c.vocabulary) + 1), np.ones(len(c.vocabulary) + 1)
+        chance, pair_weight, pair_chance = np.zeros(len(c.second)), np.zeros(len(c.second)), np.zeros(len(c.third))
         for shard, counts, *codes in answers:
-            count[dealt[0][shard]] = _unpack(counts, "<u4")
-            for k in range(orders - 1):
-                own = dealt[k + 1][shard]
-                context = c.context[k + 1][own]
-                weight[k][context[_runs(context)[0]]] = value_of(_unpack(codes[2 * k], "<u2"))
-                chance[k][own] = value_of(_unpack(codes[2 * k + 1], "<u2"))
+            words_, pairs, triples = (places[shard] for places in dealt)
+            count[words_] = _unpack(counts)
+            of_context, of_pair, of_inner, of_triple = (value_of(_unpack(x, 2)) for x in codes)
+            context = c.context[pairs]
+            weight[context[_runs(context)[0]]] = of_context
+            chance[pairs], pair_weight[pairs], pair_chance[triples] = of_pair, of_inner, of_triple
+        hashes = c.context_hashes()
+        for i in np.flatnonzero(np.isin(hashes, hot)):  # at most as many as there are hot contexts
+            n, kinds = totals.get(int(hashes[i]), (0, 0))
+            total[i], weight[i] = max(n, 1), discount * kinds / max(n, 1)
         word = (count + ALPHA) / base_total
-        below = word
-        for k, discount in enumerate(discounts):
-            hashes = c.context_hashes(k + 1)
-            total = np.ones(len(hashes))
-            for i in np.flatnonzero(np.isin(hashes, hot)):  # at most as many as there are hot contexts
-                n, kinds = totals.get(int(hashes[i]), (0, 0))
-                total[i], weight[k][i] = max(n, 1), discount * kinds / max(n, 1)
-            lower = below[c.last[k + 1]] if not k else below[_shorter(c, k + 1)]
-            of = c.context[k + 1]
-            below = np.where(weight[k][of] > 0, chance[k] / total[of] + weight[k][of] * lower, lower)
-        begin = np.cumsum(c.lengths) - c.lengths
-        add = lambda values: np.add.reduceat(values, begin)
-        cols = [pa.array(head[4], pa.int64()), pa.array(~c.train), pa.array(c.lengths), pa.array(add((count[c.tokens] > 0).astype(np.int64))), pa.array(np.full(len(begin), n_train)), pa.array(add(np.log10(word)[c.tokens])), pa.array(add(np.log10(below)[c.gram_of[-1]]))]
+        two = np.where(weight[c.context] > 0, chance / total[c.context] + weight[c.context] * word[c.second], word[c.second])
+        shorter = np.zeros(len(c.third), np.int32)
+        shorter[c.triple_of] = c.pair_of[c.inner]
+        three = np.where(pair_weight[c.pair] > 0, pair_chance + pair_weight[c.pair] * two[shorter], two[shorter])
+        of_token = two[c.pair_of]
+        of_token[c.inner] = three[c.triple_of]
+        add = lambda values: np.add.reduceat(values, c.begin)
+        cols = [pa.array(head[4], pa.int64()), pa.array(~c.train), pa.array(c.lengths), pa.array(add((count[c.tokens] > 0).astype(np.int64))), pa.array(np.full(len(c.begin), n_train)), pa.array(add(np.log10(word)[c.tokens])), pa.array(add(np.log10(of_token)))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,39 +451,32 @@ def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_
                         yield close(head, answers)
                     head, answers = row[2:7], []
                 else:
-                    answers.append((row[1], *row[7:]))
+                    answers.append([row[1], *row[7:]])
         if head:
             yield close(head, answers)
 
     return run
 
 
-def _shorter(c: Chunk, k: int) -> np.ndarray:
-    """Of each (k + 1)-gram the k-gram that ends at the same token."""
-    out = np.zeros(len(c.last[k]), np.int64)
-    out[c.gram_of[k]] = c.gram_of[k - 1]
-    return out
-
-
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Trained on the documents whose id's crc32 modulo 10 is not 0. A null or empty text is its end alone. A null
     id counts as an empty one, and so is held out. Repeated rows train and are scored each. An empty table gives an empty result; other columns are ignored.
     """
-    orders = len(DISCOUNTS) + 1
-    chunks = checkpointed(id_text(docs, id_col, text_col).mapInArrow(_encode(orders), _CHUNK))
-    n_train, n_grams = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_grams"))).first()
-    heavy = chunks.select(F.explode("heavy").alias("context")).groupBy("context").count().orderBy(F.desc("count"), "context").limit(2 * HOT * (orders - 1))
-    hot = np.array([r.context for r in heavy.collect()], np.int64).view(_U)
-    shards = max(4, n_grams // SHARD_GRAMS)
-    asks = chunks.mapInArrow(_asks(shards, hot, orders), f"shard int, chunk long, {_ASK}")
-    told = checkpointed(asks.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answers(DISCOUNTS, hot), _TOLD))
+    chunks = checkpointed(id_text(docs, id_col, text_col).mapInArrow(_encode, _CHUNK))
+    n_train, n_tokens = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_tokens"))).first()
+    heavy = chunks.select(F.explode("heavy").alias("context")).groupBy("context").count().orderBy(F.desc("count"), "context").limit(2 * HOT)
+    hot = np.append(np.array([r.context for r in heavy.collect()], np.int64).view(_U), mix(np.array([START])) >> _U(16))
+    shards = max(4, n_tokens // SHARD_TOKENS)
+    asks = chunks.mapInArrow(_asks(shards, hot), _ASK)
+    told = checkpointed(asks.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_answers(DISCOUNTS, hot), _ANSWER))
     n_known = told.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     parts = told.where(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "n_hot", "kinds_hot")).alias("h")).groupBy("h.hot").agg(F.sum("h.n_hot").alias("n"), F.sum("h.kinds_hot").alias("kinds"))
     totals = {r.hot % 2**64: (r.n, r.kinds) for r in parts.collect()}  # at most as many as ``hot``
-    heads = chunks.select("chunk", F.lit(-1).alias("shard"), "vocabulary", "tokens", "lengths", "train", "doc_ids")
-    codes = ["counts", *(f"{c}{k}" for k in range(1, orders) for c in ("weight", "chance"))]
-    both = heads.unionByName(told.select("chunk", "shard", *codes), allowMissingColumns=True).select("chunk", "shard", "vocabulary", "tokens", "lengths", "train", "doc_ids", *codes)
+    codes = ["counts", "weights", "chances", "pair_weights", "pair_chances"]
+    own = ["vocabulary", "tokens", "lengths", "train", "doc_ids"]
+    heads = chunks.select("chunk", F.lit(-1).alias("shard"), *own)
+    both = heads.unionByName(told.select("chunk", "shard", *codes), allowMissingColumns=True).select("chunk", "shard", *own, *codes)
     dealt = both.repartition("chunk").sortWithinPartitions("chunk", "shard")
-    return dealt.mapInArrow(_scores(shards, hot, totals, n_train, n_known, DISCOUNTS), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.mapInArrow(_scores(shards, hot, totals, n_train, n_known, DISCOUNTS[0]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -41,7 +41,8 @@ def brute_scores(docs):
     out = []
     for doc_id, text in docs:
         own = tokens(text)
-        one, _, three = grams(own)
+        one, two, three = grams(own)
+        three[0] = two[0]  # a first word has no more context than the start
         out.append((doc_id, crc_fold(doc_id, 10) == 0, len(own), sum(counts[0][g] > 0 for g in one), n, sum(math.log10(base(g)) for g in one), sum(math.log10(chance(g)) for g in three)))
     return sorted(out, key=repr)
 
@@ -51,9 +52,9 @@ def rows_of(frame):
 
 
 def assert_equal(got, want):
-    """Counts are equal, and scores but for the rounding of a thousandth a token that quantised probabilities bring."""
+    """Counts are equal, and scores but for the rounding to a hundredth of a decade that quantised probabilities bring."""
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert all(abs(g[5] - w[5]) < 1e-6 * g[2] and abs(g[6] - w[6]) < 2e-3 * g[2] for g, w in zip(got, want))
+    assert all(abs(g[5] - w[5]) < 1e-6 * g[2] and abs(g[6] - w[6]) < 1e-2 * g[2] for g, w in zip(got, want))
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -66,7 +67,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 def test_odd_rows_in_small_chunks_and_many_shards(odd, monkeypatch):
     want = brute_scores([(r.doc_id, r.text) for r in odd.collect()])
     assert_equal(rows_of(lm.language_model_scores(odd)), want)
-    monkeypatch.setattr(lm, "SHARD_GRAMS", 10_000)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 10_000)
     assert_equal(rows_of(lm.language_model_scores(odd)), want)
     assert lm.language_model_scores(odd.limit(0)).count() == 0
 
@@ -79,30 +80,39 @@ def test_seen_and_unseen_contexts(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     own = {r.doc_id: r for r in lm.language_model_scores(frame).collect()}
     model = dict((r[0], r[6]) for r in brute_scores(docs))
-    assert all(abs(own[k].score - s) < 2e-3 * own[k].n_tokens for k, s in model.items())
+    assert all(abs(own[k].score - s) < 1e-2 * own[k].n_tokens for k, s in model.items())
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 40), st.integers(0, 3)), max_size=120), st.integers(0, 6))
-def test_level_answers_its_counts(grams, hot):
-    """Against plain counts: every n-gram of the level, absent ones, and one context whose successors are spread over shards."""
-    rows = sorted({(c, w): n for c, w, n in grams}.items())
-    context = np.array([c for (c, _), _ in rows], np.uint64)
-    one = np.ones(len(rows), np.int64)
-    level = lm.Level(context, one, np.array([w for (_, w), _ in rows], np.uint64), np.array([n for _, n in rows], np.int64), 0.75, np.array([hot], np.uint64))
-    total, kinds, held = Counter(), Counter(), {k: n for k, n in rows if n}
-    for (c, _), n in held.items():
-        total[c] += n
-        kinds[c] += 1
-    every = [(c, w) for c in range(8) for w in range(42)]
-    weight, chance = level.answer(np.arange(8, dtype=np.uint64), np.full(8, 42), np.array([w for _, w in every], np.uint64))
-    for c in range(8):
-        want = 0 if not total[c] else 1 if c == hot else 0.75 * kinds[c] / total[c]
-        assert abs(lm.value_of(weight)[c] - want) <= 0.002 * want
-    for (c, w), got in zip(every, lm.value_of(chance)):
-        want = 0 if (c, w) not in held else (held[c, w] - 0.75) / (1 if c == hot else total[c])
-        assert abs(got - want) <= 0.002 * want
-    assert [a.tolist() for a in level.totals] == ([[hot], [total[hot]], [kinds[hot]]] if total[hot] else [[], [], []])
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(0, 5), st.integers(0, 3)), max_size=120), st.integers(0, 5))
+def test_trie_answers_its_counts(grams, hot):
+    """Against plain counts: all n-grams of the trie, absent ones, and one context whose successors are spread over shards."""
+    triples = {(a, b, c): n for a, b, c, n in grams}
+    pairs, total, kinds = Counter(), Counter(), Counter()
+    for (a, b, _), n in triples.items():
+        pairs[a, b] += n
+    every = [(a, b, c) for a in range(6) for b in range(6) for c in range(6)]
+    u = lambda values: np.array(values, np.uint64)
+    ints = lambda values: np.array(values, np.int64)
+    words = u(range(6))
+    told = lm.Told(words, ints([3, 0, 1, 0, 2, 9]), words, ints([6] * 6), u([b for _ in range(6) for b in range(6)]), ints([pairs[a, b] for a in range(6) for b in range(6)]), ints([6] * 36), u([c for *_, c in every]), ints([triples.get(g, 0) for g in every]))
+    trie = lm.Trie(lm.Told.together([told]), (0.75, 0.9), u([hot]))
+    counts, *codes = trie.answer(told)
+    weights, chances, inner_weights, inner_chances = map(lm.value_of, codes)
+    close = lambda got, want: abs(got - want) <= 0.012 * want
+    assert counts.tolist() == [3, 0, 1, 0, 2, 9] and trie.words.n == 4
+    for (a, b), n in pairs.items():
+        total[a] += n
+        kinds[a] += n > 0
+    for a in range(6):
+        assert close(weights[a], 0 if not total[a] else 1 if a == hot else 0.75 * kinds[a] / total[a])
+        for b in range(6):
+            at, n = 6 * a + b, pairs[a, b]
+            assert close(chances[at], 0 if not n else (n - 0.75) / (1 if a == hot else total[a]))
+            follow = [triples.get((a, b, c), 0) for c in range(6)]
+            assert close(inner_weights[at], 0.9 * sum(x > 0 for x in follow) / n if n else 0)
+            assert all(close(inner_chances[6 * at + c], (x - 0.9) / n if x else 0) for c, x in enumerate(follow))
+    assert [a.tolist() for a in trie.totals] == ([[hot], [total[hot]], [kinds[hot]]] if total[hot] else [[], [], []])
 
 
 @settings(max_examples=80, deadline=None)
@@ -123,4 +133,4 @@ def test_compact_sequences_and_codes():
     size = sum(a.nbytes for a in (held.low, held.high, held.before, held.zeros))
     assert size < 6 * len(values) and (held.place(values) >= 0).all() and (held.place(values + np.uint64(1)) >= 0).mean() < 0.01
     x = np.array([1e-12, 0.1, 0.25, 1.0, 1e9])
-    assert (abs(lm.value_of(lm.quantised(x)) - x) <= 0.0012 * x).all() and lm.value_of(np.zeros(1, np.uint16))[0] == 0
+    assert (abs(lm.value_of(lm.quantised(x)) - x) <= 0.012 * x).all() and lm.value_of(np.zeros(1, np.uint16))[0] == 0
