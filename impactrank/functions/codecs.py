@@ -60,84 +60,169 @@ def bit_length(v: np.ndarray) -> np.ndarray:
     return np.frexp(v.astype(np.float64))[1].astype(np.int64)
 
 
-def _whole(values: np.ndarray, at: int, n: int, bits: int) -> bool:
-    part = values[at : at + n]
-    return len(part) == n and bool((part == 1).all() if bits == 0 else (part >> bits == 0).all())
+def _choices(values: np.ndarray, stops: np.ndarray, shapes: list[tuple[int, int]], otherwise: int) -> np.ndarray:
+    """For each place the first shape (integers, bits) that the integers from there on fill and fit before the place where theirs stop; ``otherwise`` where none does."""
+    n = len(values)
+    out = np.full(n, otherwise)
+    at = np.arange(n)
+    for number in reversed(range(len(shapes))):
+        many, bits = shapes[number]
+        odd = values != 1 if bits == 0 else values >> bits != 0
+        clear = np.minimum.accumulate(np.where(odd, at, n)[::-1])[::-1]  # the next that doesn't fit
+        out[np.minimum(clear, stops) - at >= many] = number
+    return out
 
 
-def simple8b_encode(values: np.ndarray) -> bytes:
-    """Full 64-bit words, the selector in the low 4 bits: for each, the selector of most integers that all fit.
+def _steps(choice: np.ndarray, stops: np.ndarray, many: list[int]) -> np.ndarray:
+    """The places at which words begin, each word taking as many integers as its choice says, up to where they stop."""
+    onward = np.minimum(np.arange(len(choice)) + np.array(many)[choice], stops).tolist()
+    out, at = [], 0
+    while at < len(onward):
+        out.append(at)
+        at = onward[at]
+    return np.array(out, np.int64)
 
-    A zero needs a bit as any other number, so that runs of ones stay runs of ones.
-    """
-    v, out, at = values.astype(np.int64), [], 0
-    while at < len(v):
-        selector = next(s for s in range(16) if _whole(v, at, PER_WORD[s], WORD_BITS[s]))
-        n, bits, word = PER_WORD[selector], WORD_BITS[selector], selector
-        for k, x in enumerate(v[at : at + n].tolist() if bits else ()):
-            word |= x << (4 + k * bits)
-        out.append(word)
-        at += n
-    return np.array(out, "<u8").tobytes()
-
-
-def simple8b_decode(data: bytes) -> np.ndarray:
-    out = []
-    for word in np.frombuffer(data, "<u8").tolist():
-        n, bits = PER_WORD[word & 15], WORD_BITS[word & 15]
-        out.append(np.ones(n, np.int64) if not bits else np.array([(word >> (4 + k * bits)) & ((1 << bits) - 1) for k in range(n)], np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences one behind the other, the place where each stops, and that place for every integer."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes)
+    return np.concatenate(parts).astype(np.int64), ends, np.repeat(ends, sizes)
+
+
+def _bits_packed(values: np.ndarray, bits: int, room: int) -> np.ndarray:
+    """Rows of numbers as rows of ``room`` bytes, the first number in the lowest bits."""
+    flags = ((values[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(values), -1)
+    out = np.zeros((len(values), 8 * room), np.uint8)
+    out[:, : flags.shape[1]] = flags
+    return np.packbits(out, axis=1, bitorder="little")
+
+
+def _bits_unpacked(rows: np.ndarray, many: int, bits: int) -> np.ndarray:
+    flags = np.unpackbits(rows, axis=1, bitorder="little")[:, : many * bits].reshape(len(rows), many, bits).astype(np.int64)
+    return (flags << np.arange(bits)).sum(axis=2)
+
+
+def _in_turn(groups: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> np.ndarray:
+    """Rows of several widths in one sequence; each group has the numbers of its rows and their values."""
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.int64)
+    for rows, values in groups:
+        out[begin[rows][:, None] + np.arange(values.shape[1])] = values
+    return out
 
 
-def blocks_encode(values: np.ndarray) -> bytes:
+def simple8b_encode(parts: list[np.ndarray]) -> list[bytes]:
+    """Full 64-bit words, the selector in the low 4 bits: for each, the selector of most integers that all fit.
+
+    A zero needs a bit as any other number, so that runs of ones stay runs of ones. Many sequences are encoded at once, each in words of its own.
+    """
+    if not parts:
+        return []
+    v, ends, stops = _joined(parts)
+    choice = _choices(v, stops, list(zip(PER_WORD, WORD_BITS)), -1)
+    begin = _steps(choice, stops, list(PER_WORD))
+    words = choice[begin].astype("<u8")
+    for selector, (many, bits) in enumerate(zip(PER_WORD, WORD_BITS)):
+        rows = np.flatnonzero(choice[begin] == selector)
+        if bits and len(rows):
+            own = v[begin[rows][:, None] + np.arange(many)].astype(np.uint64)
+            words[rows] |= np.bitwise_or.reduce(own << (4 + bits * np.arange(many)).astype(np.uint64), axis=1)
+    data, cut = words.tobytes(), (8 * np.searchsorted(begin, ends)).tolist()
+    return [data[i:j] for i, j in zip([0, *cut], cut)]
+
+
+def simple8b_decode(parts: list[bytes]) -> list[np.ndarray]:
+    words = np.frombuffer(b"".join(parts), "<u8")
+    selector = (words & np.uint64(15)).astype(np.int64)
+    groups = []
+    for s in np.unique(selector):
+        many, bits = PER_WORD[s], WORD_BITS[s]
+        rows = np.flatnonzero(selector == s)
+        own = (words[rows][:, None] >> (4 + bits * np.arange(many)).astype(np.uint64)) & np.uint64((1 << bits) - 1) if bits else np.ones((len(rows), many))
+        groups.append((rows, own.astype(np.int64)))
+    held = np.concatenate(([0], np.cumsum(np.array(PER_WORD)[selector])))
+    values = _in_turn(groups, np.array(PER_WORD)[selector])
+    cut = held[np.cumsum([0, *(len(p) // 8 for p in parts)])].tolist()
+    return [values[i:j] for i, j in zip(cut, cut[1:])]
+
+
+def blocks_encode(parts: list[np.ndarray]) -> list[bytes]:
     """Runs of 128-bit blocks of one width. Each selector byte holds a width's number and a run of up to 16 blocks; selectors stand reversed at the end.
 
     A block of width w holds 128 // w integers, of ones 256. A tail too short for its width's block goes into blocks of 32 bits,
-    the last of them padded; the count at the very end says what counts.
+    the last of them padded; the count at the very end says what counts. Many sequences are encoded at once, each in blocks of its own.
     """
-    v, at, body, selectors = values.astype(np.int64), 0, [], []
-    while at < len(v):
-        width = next((i for i, b in enumerate(BLOCK_BITS) if _whole(v, at, 128 // b if b else 256, b)), len(BLOCK_BITS) - 1)
-        bits = BLOCK_BITS[width]
-        n, word = (128 // bits if bits else 256), 0
+    if not parts:
+        return []
+    v, ends, stops = _joined(parts)
+    shapes = [(128 // b if b else 256, b) for b in BLOCK_BITS]
+    choice = _choices(v, stops, shapes, len(BLOCK_BITS) - 1)
+    begin = _steps(choice, stops, [n for n, _ in shapes])
+    width = choice[begin]
+    body = np.zeros((len(begin), 16), np.uint8)
+    for w in np.unique(width):
+        many, bits = shapes[w]
+        rows = np.flatnonzero(width == w)
         if bits:
-            for k, x in enumerate(v[at : at + n].tolist()):
-                word |= x << (k * bits)
-            body.append(word.to_bytes(16, "little"))
-        if selectors and selectors[-1] >> 4 == width and selectors[-1] & 15 < 15:
-            selectors[-1] += 1
-        else:
-            selectors.append(width << 4)
-        at += n
-    return b"".join(body) + bytes(reversed(selectors)) + len(selectors).to_bytes(4, "little") + len(v).to_bytes(4, "little")
-
-
-def blocks_decode(data: bytes) -> np.ndarray:
-    count, n_selectors = int.from_bytes(data[-4:], "little"), int.from_bytes(data[-8:-4], "little")
-    selectors, at, out = data[-8 - n_selectors : -8][::-1], 0, []
-    for s in selectors:
-        bits = BLOCK_BITS[s >> 4]
-        for _ in range((s & 15) + 1):
-            if not bits:
-                out.append(np.ones(256, np.int64))
-                continue
-            word, at = int.from_bytes(data[at : at + 16], "little"), at + 16
-            out.append(np.array([(word >> (k * bits)) & ((1 << bits) - 1) for k in range(128 // bits)], np.int64))
-    return (np.concatenate(out) if out else np.zeros(0, np.int64))[:count]
-
-
-Codec = tuple[Callable[[np.ndarray], bytes], Callable[[bytes], np.ndarray]]
+            at = begin[rows][:, None] + np.arange(many)
+            inside = at < stops[begin[rows]][:, None]
+            body[rows] = _bits_packed(np.where(inside, v[np.minimum(at, len(v) - 1)], 0), bits, 16)
+    cut = np.searchsorted(begin, ends)
+    filled = np.array(BLOCK_BITS)[width] > 0
+    data, place = body[filled].tobytes(), (16 * np.concatenate(([0], np.cumsum(filled)))).tolist()
+    out = []
+    for low, high, part in zip([0, *cut.tolist()], cut.tolist(), parts):
+        selectors: list[int] = []
+        for w in width[low:high].tolist():
+            if selectors and selectors[-1] >> 4 == w and selectors[-1] & 15 < 15:
+                selectors[-1] += 1
+            else:
+                selectors.append(w << 4)
+        out.append(data[place[low] : place[high]] + bytes(reversed(selectors)) + len(selectors).to_bytes(4, "little") + len(part).to_bytes(4, "little"))
+    return out
+
+
+def blocks_decode(parts: list[bytes]) -> list[np.ndarray]:
+    widths, bodies, counts, blocks = [], [], [], []
+    for data in parts:
+        n_selectors = int.from_bytes(data[-8:-4], "little")
+        own = [s >> 4 for s in data[-8 - n_selectors : -8][::-1] for _ in range((s & 15) + 1)]
+        widths += own
+        blocks.append(len(own))
+        bodies.append(data[: len(data) - 8 - n_selectors])
+        counts.append(int.from_bytes(data[-4:], "little"))
+    width = np.array(widths, np.int64)
+    body = np.zeros((len(width), 16), np.uint8)
+    body[np.array(BLOCK_BITS)[width] > 0] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 16)
+    groups = []
+    for w in np.unique(width):
+        bits = BLOCK_BITS[w]
+        rows = np.flatnonzero(width == w)
+        groups.append((rows, _bits_unpacked(body[rows], 128 // bits, bits) if bits else np.ones((len(rows), 256), np.int64)))
+    many = np.array([128 // b if b else 256 for b in BLOCK_BITS])[width]
+    values = _in_turn(groups, many)
+    begin = np.concatenate(([0], np.cumsum(many)))[np.cumsum([0, *blocks])].tolist()
+    return [values[i : i + n] for i, n in zip(begin, counts)]
+
+
+#: A codec encodes many sequences at once, so that short ones cost little, and decodes them.
+Codec = tuple[Callable[[list[np.ndarray]], list[bytes]], Callable[[list[bytes]], list[np.ndarray]]]
+
+
+def _each(codec: tuple[Callable[[np.ndarray], bytes], Callable[[bytes], np.ndarray]]) -> Codec:
+    return (lambda parts: [codec[0](v) for v in parts]), (lambda parts: [codec[1](b) for b in parts])
 
 
 def _with_delta(codec: Codec, stride: int) -> Codec:
-    return (lambda v: codec[0](delta(v, stride))), (lambda b: undelta(codec[1](b), stride))
+    return (lambda parts: codec[0]([delta(v, stride) for v in parts])), (lambda parts: [undelta(v, stride) for v in codec[1](parts)])
 
 
-_RAW: Codec = (lambda v: v.astype("<u4").tobytes(), lambda b: np.frombuffer(b, "<u4").astype(np.int64))
+_RAW = _each((lambda v: v.astype("<u4").tobytes(), lambda b: np.frombuffer(b, "<u4").astype(np.int64)))
 #: Codecs by name; docids rise strictly. Simple-8b and blocks take gaps in the stride that their name says.
 CODECS: dict[str, Codec] = {
     "none": _RAW,
-    "vbyte": _with_delta((vbyte_encode, vbyte_decode), 1),
+    "vbyte": _with_delta(_each((vbyte_encode, vbyte_decode)), 1),
     "simple8b": _with_delta((simple8b_encode, simple8b_decode), 1),
     "blocks": _with_delta((blocks_encode, blocks_decode), 1),
     "blocks_d0": (blocks_encode, blocks_decode),
@@ -151,7 +236,7 @@ def encoded(bodies: DataFrame, codec: str) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": [encode(np.asarray(d, np.int64)) for d in part["docids"]], "n": [len(d) for d in part["docids"]]})
+            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": encode([np.asarray(d, np.int64) for d in part["docids"]]), "n": [len(d) for d in part["docids"]]})
 
     return bodies.select("term", "impact", "block", "docids").mapInPandas(run, "term string, impact int, block long, codec string, payload binary, n long")
 
@@ -161,8 +246,9 @@ def decoded(coded: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            docids = [CODECS[c][1](bytes(p)).tolist() for c, p in zip(part["codec"], part["payload"])]
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "docids": docids})
+            for codec, own in part.groupby("codec", sort=False):
+                docids = [v.tolist() for v in CODECS[codec][1]([bytes(p) for p in own["payload"]])]
+                yield pd.DataFrame({"term": own["term"], "impact": own["impact"], "block": own["block"], "docids": docids})
 
     return coded.select("term", "impact", "block", "codec", "payload").mapInPandas(run, "term string, impact int, block long, docids array<long>")
 

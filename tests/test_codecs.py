@@ -23,25 +23,30 @@ SEQUENCES = {
 def test_round_trip(codec, name):
     encode, decode = codecs.CODECS[codec]
     values = np.array(SEQUENCES[name], np.int64)
-    assert decode(encode(values)).tolist() == SEQUENCES[name]
+    assert decode(encode([values]))[0].tolist() == SEQUENCES[name]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), unique=True, max_size=400).map(sorted))
 def test_any_rising_sequence(values):
     for encode, decode in codecs.CODECS.values():
-        assert decode(encode(np.array(values, np.int64))).tolist() == values
+        assert decode(encode([np.array(values, np.int64)]))[0].tolist() == values
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**28), max_size=300))
-def test_unsorted_numbers(values):
-    v = np.array(values, np.int64)
-    for encode, decode in ((codecs.vbyte_encode, codecs.vbyte_decode), (codecs.simple8b_encode, codecs.simple8b_decode), (codecs.blocks_encode, codecs.blocks_decode)):
-        assert decode(encode(v)).tolist() == values
+@given(st.lists(st.lists(st.integers(0, 2**28) | st.just(1), max_size=300), max_size=6))
+def test_unsorted_numbers_many_at_once(parts):
+    """Sequences encoded together are those encoded each by itself."""
+    arrays = [np.array(v, np.int64) for v in parts]
+    for v in arrays:
+        assert codecs.vbyte_decode(codecs.vbyte_encode(v)).tolist() == v.tolist()
+    for encode, decode in ((codecs.simple8b_encode, codecs.simple8b_decode), (codecs.blocks_encode, codecs.blocks_decode)):
+        coded = encode(arrays)
+        assert coded == [encode([v])[0] for v in arrays]
+        assert [v.tolist() for v in decode(coded)] == parts
 
 
 def test_known_bytes():
     assert codecs.vbyte_encode(np.array([1, 128, 300])) == bytes([0x81, 0x01, 0x80, 0x02, 0xAC])
-    assert codecs.simple8b_encode(np.ones(240, np.int64)) == bytes(8)
-    assert len(codecs.blocks_encode(np.ones(256 * 16, np.int64))) == 1 + 8
+    assert codecs.simple8b_encode([np.ones(240, np.int64)]) == [bytes(8)]
+    assert len(codecs.blocks_encode([np.ones(256 * 16, np.int64)])[0]) == 1 + 8
