@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc_fold, id_text, mix, slices, text_bytes, words
 
 #: Bytes of text in a chunk, tokens of text for each shard, and the share of tokens from which a first word is spread.
-CHUNK_BYTES, SHARD_TOKENS, HOT = 32 << 20, 2_500_000, 2000
+CHUNK_BYTES, SHARD_TOKENS, HOT = 16 << 20, 2_500_000, 2000
 #: Discounts of pairs and triples.
 DISCOUNTS = (0.75, 0.9)
 ALPHA = 0.1
@@ -40,6 +40,7 @@ _U = np.uint64
 END, START = _U(0x5EED0FE2D0C5), _U(0x57A27)
 _SECOND, _THIRD = _U(40), _U(32)
 _STEP, _LEAST = 100.0, -30.0
+_VALUES = np.concatenate(([0.0], 10 ** (np.arange(65535) / _STEP + _LEAST).clip(max=300)))
 _SELECT = np.zeros((256, 8), np.int64)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
@@ -53,7 +54,7 @@ def quantised(values: np.ndarray) -> np.ndarray:
 
 def value_of(codes: np.ndarray) -> np.ndarray:
     """The values of codes; 0 for code 0."""
-    return np.where(codes > 0, 10 ** ((codes.astype(float) - 1) / _STEP + _LEAST), 0.0)
+    return _VALUES[codes]
 
 
 def mapped(values: np.ndarray) -> np.ndarray:
@@ -418,7 +419,7 @@ def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_
         c = _chunk(*head[:4])
         dealt = c.dealt(shards, hot)
         count, weight, total = np.zeros(len(c.vocabulary), np.int64), np.zeros(len(c.vocabulary) + 1), np.ones(len(c.vocabulary) + 1)
-        chance, pair_weight, pair_chance = np.zeros(len(c.second)), np.zeros(len(c.second)), np.zeros(len(c.third))
+        chance, pair_weight, pair_chance = (np.zeros(n, np.float32) for n in (len(c.second), len(c.second), len(c.third)))
         for shard, counts, *codes in answers:
             words_, pairs, triples = (places[shard] for places in dealt)
             count[words_] = _unpack(counts)
