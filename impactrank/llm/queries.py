@@ -116,6 +116,35 @@ UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codebooks import compress
+
+    return compress(read(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """The rounds one after the other; a part of a row is a list, and so is an entry."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        near = f"SELECT rid, part, entry, d FROM (SELECT v.rid, v.part, c.entry, {apart} AS d FROM parts v JOIN book{i} c ON v.part = c.part) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1"
+        steps.append(f"near{i} AS MATERIALIZED ({near})")
+        if i < rounds:
+            means = f"SELECT part, entry, list(mean ORDER BY pos) AS x FROM (SELECT n.part, n.entry, e.pos, CAST(floor(sum(e.x) / count(*)) AS BIGINT) AS mean FROM near{i} n JOIN each e ON n.rid = e.rid AND n.part = e.part GROUP BY n.part, n.entry, e.pos) GROUP BY part, entry"
+            steps.append(f"book{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN ({means}) m ON b.part = m.part AND b.entry = m.entry)")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, part, x[part * len(x) // 8 + 1:(part + 1) * len(x) // 8] AS x FROM kept, range(8) AS p(part)),
+each AS MATERIALIZED (SELECT rid, part, generate_subscripts(x, 1) AS pos, unnest(x) AS x FROM parts),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM parts WHERE rid <= 16),
+{", ".join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM book{rounds}),
+coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM coded JOIN kept USING (rid), sha
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -130,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_main_text,
         op10_decontaminate,
         op11_source_divergence,
+        op12_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op8_tool_calls": OP8_SQL, "op11_source_divergence": OP11_SQL}
+ORACLES: dict[str, str] = {"op8_tool_calls": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_vector_codes": _op12_sql()}
