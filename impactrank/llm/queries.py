@@ -145,6 +145,12 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -160,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontaminate,
         op11_source_divergence,
         op12_vector_codes,
+        op13_nearest_neighbours,
     )
 }
 ORACLES: dict[str, str] = {"op8_tool_calls": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_vector_codes": _op12_sql()}
