@@ -92,11 +92,22 @@ def without_metadata(heads: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Headers, bodies as postings rows or as docid arrays, and the document list."""
+    """Headers, postings rows, the document list and, where the index is stored, bodies as docid arrays."""
 
     heads: DataFrame
     posts: DataFrame
     docs: DataFrame
+    bodies: DataFrame | None = None
+
+    def arrays(self) -> DataFrame:
+        """(term, impact, block, docids)."""
+        return segment_postings(self.posts) if self.bodies is None else self.bodies
+
+    def hits(self, chosen: DataFrame) -> DataFrame:
+        """Postings of chosen (term, impact) segments with the other columns of ``chosen``; stored bodies are joined before they are taken apart."""
+        if self.bodies is None:
+            return self.posts.join(chosen, ["term", "impact"])
+        return self.bodies.join(chosen, ["term", "impact"]).withColumn("docid", F.explode("docids")).drop("docids", "block", "freq")
 
     @staticmethod
     def over(documents: DataFrame, terms: DataFrame | None = None, **options: str) -> Index:

@@ -7,19 +7,24 @@ budget of postings that is decided from headers alone, and early termination sto
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Literal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from impactrank.shared import checkpointed
+from impactrank.shared import written
 
-from .index import Index
+from .index import BODY_BITS, Index
 
-#: Postings of a query that the first round of early termination reads, and by how much a round reads more than the one before.
-FIRST_ROUND, GROWTH = 4096, 8
+#: Postings of a query that the first round of early termination reads at least (two megabytes, less work than starting a round), and by how much a round reads more than the one before.
+FIRST_ROUND, GROWTH = 1 << 18, 8
+#: Ranks that Spark cuts within tasks before it sorts a query's rows in one; beyond, ranks come from counts.
+WINDOW_RANKS = 1000
+#: Neighbouring scores that count as one range where ranks come from counts, as a power of two.
+RANGE_BITS = 8
 
 
 def term_lookup(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -55,22 +60,45 @@ def within_budget(plan: DataFrame, budget: int | None) -> DataFrame:
     return plan if budget is None else plan.where(F.col("cum_freq") <= budget)
 
 
-def accumulate(plan: DataFrame, posts: DataFrame) -> DataFrame:
+def accumulate(plan: DataFrame, index: Index) -> DataFrame:
     """(query_id, docid, rsv): the sum of impacts over the chosen segments, each occurrence of a term counted.
 
     Equal (query, term, impact) segments are first counted, so a repeated term is joined once.
     """
     chosen = plan.groupBy("query_id", "term", "impact").agg(F.count("*").alias("times"))
-    hits = posts.join(chosen, ["term", "impact"])
-    return hits.groupBy("query_id", "docid").agg(F.sum(F.col("impact").cast("long") * F.col("times")).alias("rsv"))
+    return index.hits(chosen).groupBy("query_id", "docid").agg(F.sum(F.col("impact").cast("long") * F.col("times")).alias("rsv"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """(query_id, docid, rsv, rank): by falling score, then falling docid."""
+    """(query_id, docid, rsv, rank): by falling score, then falling docid. Ranks to a few hundred are a window that tasks cut before they send rows on; more come from counts."""
+    if k > WINDOW_RANKS:
+        return _ranks_by_counts(scores, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rsv"), F.desc("docid")))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _ranks_by_counts(scores: DataFrame, k: int) -> DataFrame:
+    """The same rows, where a query may have more of them than one task can sort.
+
+    Rows are counted by cell, a score and a block of docids. A row's rank is the number of rows in better cells and its place in its own, which
+    holds at most the documents of a block. Sums over cells go in steps: blocks of a score, scores of a range, ranges of a query (an array).
+    """
+    own = scores.withColumn("block", F.shiftright("docid", BODY_BITS))
+    cells = own.groupBy("query_id", "rsv", "block").agg(F.count("*").alias("n"))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = cells.withColumn("in_score", before(["query_id", "rsv"], "block"))
+    by_score = cells.groupBy("query_id", "rsv").agg(F.sum("n").alias("n")).withColumn("range", F.shiftright("rsv", RANGE_BITS))
+    by_score = by_score.withColumn("in_range", before(["query_id", "range"], "rsv"))
+    ranges = by_score.groupBy("query_id", "range").agg(F.sum("n").alias("n"))
+    whole = ranges.groupBy("query_id").agg(F.collect_list(F.struct("range", "n")).alias("ranges"))
+    better = F.aggregate(F.filter("ranges", lambda r: r["range"] > F.col("range")), F.lit(0).cast("long"), lambda total, r: total + r["n"])
+    placed = by_score.drop("n").join(whole, "query_id").select("query_id", "rsv", (F.col("in_range") + better).alias("above")).where(F.col("above") < k)
+    offsets = blocks.join(placed, ["query_id", "rsv"]).select("query_id", "rsv", "block", (F.col("above") + F.col("in_score")).alias("offset")).where(F.col("offset") < k)
+    place = F.row_number().over(Window.partitionBy("query_id", "rsv", "block").orderBy(F.desc("docid")))
+    ranked = own.join(offsets, ["query_id", "rsv", "block"]).withColumn("rank", (F.col("offset") + place).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "docid", "rsv", "rank")
+
+
 def named(run: DataFrame, docs: DataFrame) -> DataFrame:
     """A run with document names, joined after the cut to k."""
     return run.join(docs, "docid").select("query_id", "docid", "docno", "rank", "rsv")
@@ -81,7 +109,7 @@ def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None
     if mode == "early":
         return early(qterms, index, k, strict).select("query_id", "docid", "rsv", "rank")
     plan = segment_plan(qterms, index.heads)
-    return top_k(accumulate(within_budget(plan, budget if mode == "anytime" else None), index.posts), k)
+    return top_k(accumulate(within_budget(plan, budget if mode == "anytime" else None), index), k)
 
 
 def score_gaps(run: DataFrame) -> DataFrame:
@@ -95,66 +123,220 @@ def overlap(run: DataFrame, reference: DataFrame) -> DataFrame:
     return reference.join(hit, ["query_id", "docid"], "left").groupBy("query_id").agg(F.count("*").alias("n_reference"), F.count("hit").alias("n_shared"))
 
 
-def _stop(k: int, strict: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Walks the steps of one query with its k + 1 best documents; the rows are at most k + 1 a step."""
+def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) -> DataFrame:
+    """(query_id, docid, rsv, rank, segments, postings, checks, stopped, read) with the scores so far where a query stopped; read counts the postings looked at for it.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        best: dict[int, int] = {}
-        n_checks = stopped = 0
-        last = None
-        for seq, step in part.sort_values("seq").groupby("seq", sort=False):
-            best.update(zip(step["docid"].tolist(), step["rsv_after"].tolist()))
-            top = sorted(((s, d) for d, s in best.items()), reverse=True)[: k + 1]
-            best = {d: s for s, d in top}
-            last = step.iloc[0]
-            if len(top) > k:
-                n_checks += 1
-                gaps = [a[0] - b[0] for a, b in zip(top, top[1:])]
-                if all(g > last["remaining"] if strict else g >= last["remaining"] for g in gaps):
-                    stopped = 1
-                    break
-        top = sorted(((s, d) for d, s in best.items()), reverse=True)[:k]
-        rows = [(part["query_id"].iloc[0], d, s, i + 1, int(last["seq"]), int(last["cum_freq"]), n_checks, stopped) for i, (s, d) in enumerate(top)]
-        return pd.DataFrame(rows, columns=["query_id", "docid", "rsv", "rank", "segments", "postings", "checks", "stopped"])
+    After each segment the k + 1 best so far are looked at; the query stops when no gap between
+    neighbours could still close: every gap over what remains (strict), or at least it (not strict, where ties may come out otherwise).
 
-    return run
+    Queries go in rounds. A round reads new segments only: those that begin within a number of postings that grows by ``GROWTH``, and at least as far
+    as the next step at which the query may stop, told from headers. Scores are kept by (query, block of docids) from round to round, without documents
+    that can no longer come among the best. A block tells which of its own k + 1 best change at a step; only these changes meet in one task for a query.
+    """
+    plan = written(with_bounds(segment_plan(qterms, index.heads)))
+    none = F.lit(0).cast("long")
+    open_ = plan.groupBy("query_id").agg(F.lit(0).alias("at"), none.alias("least"), none.alias("span"), F.lit(0).alias("filled"))
+    state: DataFrame | None = None
+    best: DataFrame | None = None
+    found: list[DataFrame] = []
+    budget = FIRST_ROUND
+    while True:
+        goals = written(_goals(plan, open_, k, strict, budget))
+        if goals.isEmpty():
+            return _all(found) if found else _nothing(plan)
+        scored = written(_scored(plan, index, goals, state, k))
+        merged = written(_merged(plan, goals, scored.where("NOT kept"), best, k, strict))
+        found.append(merged.where("settled AND rank <= " + str(k)).select(*_EARLY))
+        best = merged.where("NOT settled")
+        open_ = best.where("rank = 1").select("query_id", F.col("segments").alias("at"), "least", "span", "filled")
+        state = scored.where("kept").drop("kept")
+        budget *= GROWTH
 
 
-def _walked(plan: DataFrame, posts: DataFrame, k: int, strict: bool) -> DataFrame:
-    """Where each query of a plan stops, and its ranking there.
+_EARLY = ["query_id", "docid", "rsv", "rank", "segments", "postings", "checks", "stopped", "read"]
+_MERGED = "query_id long, docid long, rsv long, rank int, segments int, postings long, checks int, stopped int, read long, settled boolean, least long, span long, filled int"
+_SCORED = "query_id long, block long, seq int, docids array<long>, scores array<long>, kept boolean"
 
-    A document's score after each of its segments is a running sum. Only documents of the segment at hand can enter the
-    best k + 1, and only its own best k + 1 of them, so each step is cut to k + 1 rows before a query's steps meet in one task.
-    """
-    hits = posts.join(plan, ["term", "impact"])
-    upto = Window.partitionBy("query_id", "docid").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = hits.select("query_id", "seq", "docid", "remaining", "cum_freq", F.sum(F.col("impact").cast("long")).over(upto).alias("rsv_after"))
-    of_step = Window.partitionBy("query_id", "seq").orderBy(F.desc("rsv_after"), F.desc("docid"))
-    cut = steps.withColumn("place", F.row_number().over(of_step)).where(F.col("place") <= k + 1).drop("place")
-    return cut.groupBy("query_id").applyInPandas(_stop(k, strict), "query_id long, docid long, rsv long, rank int, segments int, postings long, checks int, stopped int")
 
+_TYPES = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in _MERGED.split(", ")]
 
-def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) -> DataFrame:
-    """(query_id, docid, rsv, rank, segments, postings, checks, stopped) with the scores so far where a query stopped.
 
-    After each segment the k + 1 best so far are looked at; the query stops when no gap between
-    neighbours could still close: every gap over what remains (strict), or at least it (not strict, where ties may come out otherwise).
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nothing(plan: DataFrame) -> DataFrame:
+    """No rows: no query knows a term."""
+    return plan.sparkSession.createDataFrame([], _MERGED).select(*_EARLY)
+
 
-    Queries go in rounds. A round reads the segments that begin within a number of postings, told from headers; queries that
-    stop there, or that have no more, are settled, and the next round reads ``GROWTH`` times as much for the others. So a query reads little more than it needs.
+def _goals(plan: DataFrame, open_: DataFrame, k: int, strict: bool, budget: int) -> DataFrame:
+    """(query_id, at, to, left, last, filled): how far each open query reads in this round.
+
+    A query can't stop where a gap can't have grown over what remains. A score grows by at most the next impact of every term that comes up, and the
+    scores below don't fall: so no gap grows by more, nor do the k gaps together. Steps that even such gaps rule out are read in the same round.
     """
-    plan = checkpointed(with_bounds(segment_plan(qterms, index.heads)))
-    open_ = plan.groupBy("query_id").agg(F.max("seq").alias("last"))
-    found: DataFrame | None = None
-    budget = FIRST_ROUND
-    while True:
-        part = plan.join(open_, "query_id").where(F.col("cum_freq") - F.col("freq") < budget)
-        walked = checkpointed(_walked(part.drop("last"), index.posts, k, strict))
-        whole = part.where(F.col("seq") == F.col("last")).select("query_id")
-        settled = checkpointed(walked.where("stopped = 1").select("query_id").union(whole).distinct())
-        done = walked.join(settled, "query_id", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        open_ = checkpointed(open_.join(settled, "query_id", "left_anti"))
-        if open_.isEmpty():
-            return found
-        budget *= GROWTH
+    ahead = plan.join(open_, "query_id").where(F.col("seq") > F.col("at"))
+    fresh = F.row_number().over(Window.partitionBy("query_id", "term_pos").orderBy("seq")) == 1
+    upto = Window.partitionBy("query_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grown = ahead.withColumn("fresh", F.when(fresh, F.col("impact")).otherwise(0)).withColumn("gain", F.sum("fresh").over(upto))
+    one, every = F.col("least") + F.col("gain"), F.col("span") + F.col("gain")
+    may = (F.col("remaining") < one) & (F.col("remaining") * k < every) if strict else (F.col("remaining") <= one) & (F.col("remaining") * k <= every)
+    step = F.struct("seq", "remaining")
+    within = F.max(F.when(F.col("cum_freq") - F.col("freq") < budget, step))
+    goal = grown.groupBy("query_id", "at", "filled").agg(F.greatest(within, F.coalesce(F.min(F.when(may, step)), F.max(step))).alias("goal"), F.max("seq").alias("last"))
+    return goal.select("query_id", "at", F.col("goal.seq").alias("to"), F.col("goal.remaining").alias("left"), "last", "filled")
+
+
+def _scored(plan: DataFrame, index: Index, goals: DataFrame, state: DataFrame | None, k: int) -> DataFrame:
+    """Changes among the best of each (query, block) by step (kept is false), and the scores to carry on (kept is true).
+
+    Segments come as stored, one array of docids for each block, and stream past their scores in order.
+    """
+    part = plan.join(goals.select("query_id", "at", "to", "left"), "query_id").where((F.col("seq") > F.col("at")) & (F.col("seq") <= F.col("to")))
+    rows = index.arrays().join(part.select("query_id", "term", "impact", "seq", "left"), ["term", "impact"]).select("query_id", "block", "seq", "impact", "docids", F.lit(None).cast("array<long>").alias("scores"), "left")
+    if state is not None:
+        held = state.join(goals.select("query_id", "left"), "query_id").select("query_id", "block", "seq", F.lit(0).alias("impact"), "docids", "scores", "left")
+        rows = held.unionByName(rows)
+    return rows.repartition("query_id", "block").sortWithinPartitions("query_id", "block", "seq").mapInArrow(_block_scores(k), _SCORED)
+
+
+class _Scores:
+    """Scores of the documents of one block: by place where ids lie close together, else by a sorted list of ids."""
+
+    def __init__(self) -> None:
+        self.base: int | None = None
+        self.ids: np.ndarray | None = None
+
+    def add(self, docids: np.ndarray, gain: np.ndarray | int) -> np.ndarray:
+        """The scores of ``docids``, which differ and rise, after ``gain``."""
+        if self.base is None:
+            self.base, self.held = int(docids[0]) >> BODY_BITS << BODY_BITS, np.zeros(1 << BODY_BITS, np.int64)
+        if self.ids is None and (docids[0] < self.base or docids[-1] - self.base >= 1 << BODY_BITS):
+            self.ids, self.held = self.all()
+        if self.ids is None:
+            at = docids - self.base
+        else:
+            at = np.searchsorted(self.ids, docids)
+            new = (at == len(self.ids)) | (self.ids[np.minimum(at, len(self.ids) - 1)] != docids) if len(self.ids) else np.ones(len(docids), bool)
+            if new.any():
+                self.held = np.insert(self.held, at[new], 0)
+                self.ids = np.insert(self.ids, at[new], docids[new])
+                at = np.searchsorted(self.ids, docids)
+        self.held[at] += gain
+        return self.held[at]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.ids is not None:
+            return self.ids, self.held
+        at = np.flatnonzero(self.held)
+        return at + self.base, self.held[at]
+
+
+def _block_scores(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, list[int], list[int], bool]] = []
+        key: tuple[int, int] | None = None
+        scores, best, left, last = _Scores(), [], 0, 0  # best: (score, docid), falling
+
+        def sent() -> pa.RecordBatch:
+            query, block, seq, ids, held, kept = zip(*out) if out else ((),) * 6
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(block, pa.int64()), pa.array(seq, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (ids, held)), pa.array(kept, pa.bool_())], names=["query_id", "block", "seq", "docids", "scores", "kept"])
+
+        def close() -> None:
+            ids, held = scores.all()
+            alive = held + left >= best[-1][0] if len(best) > k else np.ones(len(ids), bool)
+            out.append((*key, last, ids[alive], held[alive], True))
+
+        for batch in batches:
+            ends, flat = np.asarray(batch["docids"].offsets), np.asarray(batch["docids"].values, np.int64)
+            for i, (query, block, seq, impact, own, rest) in enumerate(zip(*(batch[c].to_pylist() for c in ("query_id", "block", "seq", "impact", "scores", "left")))):
+                if (query, block) != key:
+                    if key is not None:
+                        close()
+                        yield sent()
+                    key, scores, best = (query, block), _Scores(), []
+                left, last = rest, seq
+                whole = here = flat[ends[i] : ends[i + 1]]
+                if not len(here):
+                    continue
+                after = scores.add(here, impact if own is None else np.array(own, np.int64))
+                if len(best) > k:
+                    near = np.flatnonzero(after >= best[-1][0])
+                    if not len(near):
+                        continue
+                    here, after = here[near], after[near]
+                if len(here) > k + 1:
+                    order = np.lexsort((-here, -after))[: k + 1]
+                    here, after = here[order], after[order]
+                new = dict(zip(here.tolist(), after.tolist()))
+                at = np.searchsorted(whole, [d for _, d in best])
+                stay = [b for b, n in zip(best, at.tolist()) if n == len(whole) or whole[n] != b[1]]
+                best = sorted([*stay, *((s, d) for d, s in new.items())], reverse=True)[: k + 1]
+                changed = [(d, s) for s, d in best if d in new]
+                if own is None and changed:
+                    out.append((query, block, seq, [d for d, _ in changed], [s for _, s in changed], False))
+        if key is not None:
+            close()
+        yield sent()
+
+    return run
+
+
+def _merged(plan: DataFrame, goals: DataFrame, changes: DataFrame, best: DataFrame | None, k: int, strict: bool) -> DataFrame:
+    """The k + 1 best of each query where it stops, or at its goal, with what the next round needs to know."""
+    part = plan.join(goals, "query_id").where((F.col("seq") > F.col("at")) & (F.col("seq") <= F.col("to")))
+    listed = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
+    steps = part.groupBy("query_id", "filled", (F.col("to") == F.col("last")).alias("ends")).agg(listed("seq", "remaining", "cum_freq").alias("steps"))
+    rows = changes.select("query_id", "seq", F.explode(F.arrays_zip("docids", "scores")).alias("x")).select("query_id", "seq", F.col("x.docids").alias("docid"), F.col("x.scores").alias("score"))
+    if best is not None:
+        rows = rows.unionByName(best.select("query_id", F.col("segments").alias("seq"), "docid", F.col("rsv").alias("score")))
+    events = rows.groupBy("query_id").agg(listed("seq", "docid", "score").alias("events"))
+    return steps.join(events, "query_id").mapInArrow(_stops(k, strict), _MERGED)
+
+
+def _stops(k: int, strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks the changes of each query's best documents; between two changes what remains only falls, so the step that ends the query is found by search."""
+    names = [c.split()[0] for c in _MERGED.split(", ")]
+
+    def one(query: int, filled: int, ends: bool, steps: pa.StructArray, events: pa.StructArray) -> list[tuple]:
+        seqs, left, read = (np.asarray(steps.field(c)) for c in ("seq", "remaining", "cum_freq"))
+        at, ids, scores = (np.asarray(events.field(c)) for c in ("seq", "docid", "score"))
+        cuts = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+        first = np.searchsorted(seqs, at[cuts]).tolist()
+        best: dict[int, int] = {}
+        top: list[tuple[int, int]] = []
+        stop = None
+        for n, begin in enumerate(cuts.tolist()):
+            end = int(cuts[n + 1]) if n + 1 < len(cuts) else len(at)
+            best.update(zip(ids[begin:end].tolist(), scores[begin:end].tolist()))
+            top = sorted(((s, d) for d, s in best.items()), reverse=True)[: k + 1]
+            best = {d: s for s, d in top}
+            if len(top) <= k:
+                continue
+            filled = filled or int(at[begin])
+            least = min(a[0] - b[0] for a, b in zip(top, top[1:]))
+            to = first[n + 1] if n + 1 < len(cuts) else len(seqs)
+            low = left[to - 1] if to > first[n] else None
+            if low is None or (low >= least if strict else low > least):
+                continue
+            stop = first[n] + int(np.flatnonzero(left[first[n] : to] < least if strict else left[first[n] : to] <= least)[0])
+            break
+        i = len(seqs) - 1 if stop is None else stop
+        gaps = [a[0] - b[0] for a, b in zip(top, top[1:])] + ([top[-1][0]] if len(top) == k else [0] if len(top) < k else [])
+        span = top[0][0] - (top[k][0] if len(top) > k else 0)
+        checks = int(seqs[i]) - filled + 1 if filled else 0
+        tail = (int(seqs[i]), int(read[i]), checks, int(stop is not None), int(read[-1]), stop is not None or ends, min(gaps), span, filled)
+        return [(query, d, s, n, *tail) for n, (s, d) in enumerate(top, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for i in range(len(batch)) for r in one(batch["query_id"][i].as_py(), batch["filled"][i].as_py(), batch["ends"][i].as_py(), batch["steps"][i].values, batch["events"][i].values)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _TYPES)], names=names)
+
+    return run

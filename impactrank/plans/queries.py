@@ -268,7 +268,7 @@ def rank_single_query(spark, sf_dir):
     """One query needs no window by query: its best rows are a sorted limit."""
     terms = one_query(spark, 100003)
     index = stored(spark, sf_dir, terms)
-    return R.accumulate(R.segment_plan(terms, index.heads), index.posts).select("docid", "rsv").orderBy(F.desc("rsv"), F.desc("docid")).limit(10)
+    return R.accumulate(R.segment_plan(terms, index.heads), index).select("docid", "rsv").orderBy(F.desc("rsv"), F.desc("docid")).limit(10)
 
 
 def _early_sql(gap: str) -> str:
@@ -289,7 +289,7 @@ FROM best b JOIN ends e ON b.query_id = e.query_id AND b.seq = coalesce(e.stop,
 
 def _early(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     terms, index = prepared(spark, sf_dir)
-    return R.early(terms, index, 5, strict)
+    return R.early(terms, index, 5, strict).drop("read")
 
 
 @query(_early_sql(">"))

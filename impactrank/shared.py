@@ -44,3 +44,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.conf.unset(_DROP_SHUFFLES)
         else:
             spark.conf.set(_DROP_SHUFFLES, before)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Computed now and kept as Parquet in the shared folder. Unlike a checkpoint, what is read back carries no constraints of the plan that made it, so loops don't pile them up."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,45 +1,70 @@
-"""An index as Parquet: narrow headers apart from bodies, both sorted for pruning by term."""
+"""An index as Parquet: narrow headers apart from bodies, in folders by hash of the term, so that a batch of any size reads the folders of its terms only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactrank.operators.index import Index, segment_postings, vocabulary
 from impactrank.shared import checkpointed
 
-#: Terms that one pushed-down filter names; a larger query batch is joined instead.
-PUSHED_TERMS = 1000
+#: Postings of a folder, about, and the most folders.
+BUCKET_POSTINGS, MOST_BUCKETS = 1 << 20, 1 << 16
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    """The folder of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Write bodies, headers, vocabulary and document list; terms are range-partitioned, so a reader skips row groups by term. Postings are computed once: the rest is read from the bodies."""
+def write_index(index: Index, path: str, partitions: int | None = None, buckets: int | None = None) -> None:
+    """Write bodies, headers, vocabulary and document list. Folders are as many as the postings need; within them rows are sorted by term, so a reader skips row groups too. Postings are computed once: the rest is read from the bodies."""
     spark = index.posts.sparkSession
-    spread = lambda df, *keys: (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)).sortWithinPartitions("term", F.desc("impact"))
-    bodies = segment_postings(index.posts).withColumn("freq", F.size("docids").cast("long"))
-    spread(checkpointed(bodies), "term", "impact", "block").write.mode("overwrite").parquet(f"{path}/bodies")
-    heads = spark.read.parquet(f"{path}/bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq"))
-    spread(heads, "term", "impact").write.mode("overwrite").parquet(f"{path}/segments")
+    bodies = checkpointed(segment_postings(index.posts).withColumn("freq", F.size("docids").cast("long")))
+    total = bodies.agg(F.sum("freq")).first()[0] or 0
+    buckets = buckets or min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, total) / BUCKET_POSTINGS))))
+
+    def write(df: DataFrame, part: str, *keys: str) -> None:
+        own = df.withColumn("bucket", bucket(F.col("term"), buckets))
+        spread = own.repartitionByRange(partitions, "bucket", *keys) if partitions else own.repartitionByRange("bucket", *keys)
+        spread.sortWithinPartitions("bucket", "term", F.desc("impact")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{part}")
+
+    write(bodies, "bodies", "term", "impact", "block")
+    write(spark.read.parquet(f"{path}/bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq")), "segments", "term", "impact")
     vocabulary(spark.read.parquet(f"{path}/segments")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
-def read_index(spark: SparkSession, path: str, qterms: DataFrame | None = None) -> Index:
-    """The index, or what a query batch needs of it: few terms are pushed into the scans, many are joined by semi-join."""
-    heads, bodies = (spark.read.parquet(f"{path}/{part}") for part in ("segments", "bodies"))
+def _of_terms(spark: SparkSession, path: str, part: str, qterms: DataFrame | None) -> DataFrame:
+    """A part of the index, or the rows of a batch's terms in it. The folders to read are named to the scan: they are at most ``MOST_BUCKETS`` numbers, however many the terms.
+
+    Terms too few for Spark to turn their filter into a range are also named, so that row groups are skipped by their statistics.
+    """
+    rows = spark.read.parquet(f"{path}/{part}")
     if qterms is not None:
-        named = [r.term for r in qterms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        if len(named) <= PUSHED_TERMS:
-            heads, bodies = (df.where(F.col("term").isin(named)) for df in (heads, bodies))
-        else:
-            heads, bodies = (df.join(qterms.select("term").distinct(), "term", "left_semi") for df in (heads, bodies))
-    return Index(heads, bodies.select("term", "impact", F.explode("docids").alias("docid")), spark.read.parquet(f"{path}/docs"))
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        terms = qterms.select("term").distinct()
+        touched = [r[0] for r in terms.select(bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(touched)) if len(touched) < buckets else rows
+        few = int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+        named = [r[0] for r in terms.limit(few + 1).collect()]
+        rows = rows.where(F.col("term").isin(named)) if len(named) <= few else rows.join(terms, "term", "left_semi")
+    return rows.drop("bucket")
+
+
+def read_index(spark: SparkSession, path: str, qterms: DataFrame | None = None) -> Index:
+    """The index, or what a query batch needs of it."""
+    heads, bodies = (_of_terms(spark, path, part, qterms) for part in ("segments", "bodies"))
+    return Index(heads, bodies.select("term", "impact", F.explode("docids").alias("docid")), spark.read.parquet(f"{path}/docs"), bodies)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/vocabulary")
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+def read_bodies(spark: SparkSession, path: str, qterms: DataFrame | None = None) -> DataFrame:
     """(term, impact, block, docids, freq), as they are stored."""
-    return spark.read.parquet(f"{path}/bodies")
+    return _of_terms(spark, path, "bodies", qterms)

@@ -1,6 +1,9 @@
 import random
+import re
 
+import numpy as np
 import pytest
+from impactrank.operators import index as I
 from impactrank.operators import rank as R
 from impactrank.operators.index import Index, bm25_postings, doc_list, postings, segments, vocabulary
 from impactrank.operators.stats import summary
@@ -116,19 +119,45 @@ def plain_early(posts, terms, k, strict):
     return [(d, s, r, len(order), postings, checks, 0) for r, (s, d) in enumerate(best[:k], 1)]
 
 
-@pytest.mark.parametrize("first", [2, 4096])
-def test_early_termination_equals_a_plain_walk(spark, monkeypatch, first):
-    """Also where the rounds are small, so that queries are settled in different ones."""
+@pytest.mark.parametrize("first,bits", [(1, 20), (6, 3), (16_384, 20)])
+def test_early_termination_equals_a_plain_walk(spark, monkeypatch, first, bits):
+    """Also where rounds are small, so that queries are settled in different ones, and where a segment is many blocks."""
     monkeypatch.setattr(R, "FIRST_ROUND", first)
+    monkeypatch.setattr(R, "GROWTH", 2)
+    for module in (R, I):
+        monkeypatch.setattr(module, "BODY_BITS", bits)
     chance = random.Random(11)
     posts = [(t, d, chance.choice([1, 2, 5, 40, 200])) for t in "abcde" for d in chance.sample(range(30), 20)] + [("f", 1, 255), ("g", 2, 90), ("f", 2, 3)]
     queries = {q: [chance.choice("abcdefg") for _ in range(chance.randint(1, 4))] for q in range(12)}
     for strict in (True, False):
         found = R.early(queries_of(spark, queries), index_of(spark, posts), 2, strict).collect()
         for q, terms in queries.items():
-            got = sorted((r[1:] for r in found if r.query_id == q), key=lambda r: r[2])
+            got = sorted((r[1:8] for r in found if r.query_id == q), key=lambda r: r[2])
             assert list(map(tuple, got)) == plain_early(posts, terms, 2, strict)
     assert {r.stopped for r in found} == {0, 1}
+    assert all(r.read >= r.postings for r in found) and (first > 1 or any(r.read < sum(1 for t in queries[r.query_id] for p in posts if p[0] == t) for r in found))
+
+
+def test_early_termination_of_far_apart_ids_and_no_known_terms(spark):
+    posts = [(t, (d * 2654435761 * 40503) % 2**62, i) for t, d, i in (("a", 1, 9), ("a", 2, 9), ("b", 2, 200), ("b", 3, 4), ("c", 4, 1), ("c", 1, 1))]
+    index = index_of(spark, posts)
+    found = R.early(queries_of(spark, {1: ["a", "b", "c"], 2: ["zz"], 3: ["c"]}), index, 2).collect()
+    for q, terms in ((1, "abc"), (3, "c")):
+        assert [tuple(r[1:8]) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == plain_early(posts, terms, 2, True)
+    assert {r.query_id for r in found} == {1, 3} and R.early(queries_of(spark, {2: ["zz"]}), index, 2).count() == 0
+
+
+def test_scores_far_apart_equal_those_close_together():
+    chance = np.random.default_rng(3)
+    near, far, plain = R._Scores(), R._Scores(), {}
+    for _ in range(40):
+        ids = np.unique(chance.integers(0, 500, 60))
+        for d in ids.tolist():
+            plain[d] = plain.get(d, 0) + 3
+        a, b = near.add(ids, 3), far.add(ids * 10**12, 3)
+        assert a.tolist() == b.tolist() == [plain[d] for d in ids.tolist()]
+    assert far.ids is not None and near.ids is None
+    assert dict(zip(*(x.tolist() for x in near.all()))) == plain == {d // 10**12: s for d, s in zip(*(x.tolist() for x in far.all()))}
 
 
 def test_bodies_and_gaps_go_over_blocks(spark, monkeypatch):
@@ -148,3 +177,23 @@ def test_bodies_and_gaps_go_over_blocks(spark, monkeypatch):
             at = own.index(r.docid)
             assert (r.pos, r.gap) == (at, own[at] - (own[at - stride] if at >= stride else 0))
         assert sorted((r.term, r.docid, r.impact) for r in G.from_gaps(coded.drop("docid"), stride).collect()) == posts
+
+
+@pytest.mark.parametrize("k", [1, 7, 60, 10**6])
+def test_ranks_by_counts_equal_a_window(spark, monkeypatch, k):
+    """Few distinct scores, so that ties go over blocks, and far-apart ones, so that they go over ranges."""
+    chance = random.Random(k)
+    rows = [(q, d, chance.choice([1, 2, 2, 2, 300, 900, 70_000])) for q in range(4) for d in chance.sample(range(400), 50 + 30 * q)]
+    scores = spark.createDataFrame(rows, "query_id long, docid long, rsv long")
+    want = sorted(map(tuple, R.top_k(scores, k).select("query_id", "docid", "rsv", "rank").collect())) if k <= R.WINDOW_RANKS else None
+    monkeypatch.setattr(R, "WINDOW_RANKS", 0)
+    monkeypatch.setattr(R, "BODY_BITS", 4)
+    got = R.top_k(scores, k)
+    found = sorted(map(tuple, got.collect()))
+    plain = []
+    for q in range(4):
+        own = sorted(((s, d) for p, d, s in rows if p == q), reverse=True)[:k]
+        plain += [(q, d, s, i) for i, (s, d) in enumerate(own, 1)]
+    assert found == sorted(plain) and want in (None, found)
+    keys = re.findall(r"windowspecdefinition\((\w+)#\d+L?, (\w+)", got._jdf.queryExecution().analyzed().toString())
+    assert keys and all(first == "query_id" and second in ("rsv", "range") for first, second in keys)

@@ -1,3 +1,4 @@
+import pytest
 from impactrank.operators.index import Index
 from impactrank.operators.rank import named, rank
 from impactrank.sources import indexio, runs, topics
@@ -89,11 +90,44 @@ def test_index_and_run_round_trip(spark, sf_dir, tmp_path):
     assert len(lines) == 6 and f"1 Q0 doc-{first.docid} 1 {first.rsv} COMPILED (ID:{first.docid})" in lines
 
 
-def test_pushed_terms_prune_the_scan(spark, sf_dir, tmp_path):
-    indexio.write_index(Index.over(spark.read.parquet(f"{sf_dir}/documents.parquet")), str(tmp_path / "i"), 2)
-    terms = topics.query_terms(spark.createDataFrame([("1 the",)], "value string"))
-    plan = indexio.read_index(spark, str(tmp_path / "i"), terms).heads._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(term), EqualTo(term,the)]" in plan or "In(term, [the])" in plan
+def scan_of(frame):
+    """The file scan of a plan that has run."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    while not plan.children().isEmpty():
+        plan = plan.children().head()
+    return plan
+
+
+@pytest.mark.parametrize("n_terms", [1, 40, 1100, 5000])
+def test_a_batch_reads_the_folders_of_its_terms_only(spark, wide_index, n_terms):
+    """Also where the terms are thousands: files read are those of the terms' folders, fewer than stored."""
+    chosen = spark.range(n_terms).select(F.concat(F.lit("w"), F.col("id") * 7).alias("term"))
+    touched = chosen.select(indexio.bucket(F.col("term"), 2048)).distinct().count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = indexio.read_bodies(spark, wide_index, chosen)
+        assert {r.term for r in found.select("term").collect()} == {f"w{7 * i}" for i in range(n_terms)}
+        scanned = indexio.read_bodies(spark, wide_index, chosen).select("term", "impact", "freq")
+        scanned.collect()
+        metrics = scan_of(scanned).metrics()
+        assert metrics.apply("numFiles").value() == metrics.apply("numPartitions").value() == touched < 2048
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.fixture(scope="module")
+def wide_index(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("wide") / "i")
+    posts = spark.range(40_000).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(3).cast("long").alias("docid"), F.lit(1).alias("impact"))
+    docs = spark.range(1).select(F.lit(3).cast("long").alias("docid"), F.lit("doc-3").alias("docno"))
+    indexio.write_index(Index(posts, posts, docs), path, 1, 2048)
+    return path
+
+
+def test_few_terms_are_named_to_the_scan(spark, wide_index):
+    terms = topics.query_terms(spark.createDataFrame([("1 w5",)], "value string"))
+    plan = indexio.read_index(spark, wide_index, terms).heads._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,w5)" in plan or "In(term, [w5])" in plan
 
 
 def test_streamed_queries(spark, sf_dir, tmp_path):
