@@ -230,13 +230,20 @@ CODECS: dict[str, Codec] = {
 }
 
 
+def _checked(docids: np.ndarray) -> np.ndarray:
+    """The formats are of 32 bits; larger docids are no docids to them."""
+    if len(docids) and (docids.max() >= 1 << 32 or docids.min() < 0):
+        raise ValueError("codecs hold docids from 0 to 2**32 - 1")
+    return docids
+
+
 def encoded(bodies: DataFrame, codec: str) -> DataFrame:
     """(term, impact, block, codec, payload, n) of segment bodies (term, impact, block, docids)."""
     encode = CODECS[codec][0]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": encode([np.asarray(d, np.int64) for d in part["docids"]]), "n": [len(d) for d in part["docids"]]})
+            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": encode([_checked(np.asarray(d, np.int64)) for d in part["docids"]]), "n": [len(d) for d in part["docids"]]})
 
     return bodies.select("term", "impact", "block", "docids").mapInPandas(run, "term string, impact int, block long, codec string, payload binary, n long")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impactrank.functions import text as T
@@ -12,6 +12,8 @@ from impactrank.shared import checkpointed
 
 #: Docids of one body row, as a power of two: a term of any frequency is as many rows as it needs.
 BODY_BITS = 20
+#: Docids that a block knows of those before it.
+TAIL = 4
 #: The largest impact; a term frequency above it counts as this much.
 MAX_IMPACT = 255
 
@@ -63,12 +65,50 @@ def segments(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term", "impact").agg(F.count("*").alias("freq"))
 
 
-def segment_postings(posts: DataFrame) -> DataFrame:
-    """Bodies: (term, impact, block, docids), docids rising; a row holds the docids of one block of 2**BODY_BITS, so a frequent term meets in no one task."""
-    own = posts.withColumn("block", F.shiftright("docid", BODY_BITS))
+def block_cuts(docs: DataFrame) -> list[int]:
+    """The docids at which blocks begin, but for the first: every 2**BODY_BITS-th of all, by exact rank, so that blocks are full whatever the ids are.
+
+    Ids are sorted by range and counted by partition; the driver gets a number for each partition and for each block, a millionth of the documents.
+    """
+    size = 1 << BODY_BITS
+    if docs.count() <= size:
+        return []
+    ranged = checkpointed(docs.select("docid").where("docid IS NOT NULL").distinct().repartitionByRange("docid").sortWithinPartitions("docid").withColumn("at", F.monotonically_increasing_id()))
+    own = ranged.select("docid", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = sorted(tuple(r) for r in own.groupBy("part").count().collect())
+    starts = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    begins = docs.sparkSession.createDataFrame(starts, "part long, start long")
+    rank = F.col("start") + F.col("place")
+    return sorted(r[0] for r in own.join(F.broadcast(begins), "part").where((rank % size == 0) & (rank > 0)).select("docid").collect())
+
+
+def block_of(docid: Column, cuts: list[int] | None) -> Column:
+    """The block of a docid: how many cuts it has reached, by halving; without a list of cuts, its bits above the lowest BODY_BITS."""
+    if cuts is None:
+        return F.shiftright(docid, BODY_BITS)
+    if not cuts:
+        return F.lit(0).cast("long")
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.try_element_at(listed, low + step) <= docid, low + step).otherwise(low)).cast("long")
+
+
+def segment_postings(posts: DataFrame, cuts: list[int] | None = None) -> DataFrame:
+    """Bodies: (term, impact, block, docids), docids rising; a row holds the docids of one block of at most 2**BODY_BITS documents, so a frequent term meets in no one task."""
+    own = posts.withColumn("block", block_of(F.col("docid"), cuts))
     return own.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("docid")).alias("docids"))
 
 
+def with_heads(bodies: DataFrame) -> DataFrame:
+    """Bodies with pos, how many postings of the segment come before the block, and before, the last ``TAIL`` docids there. Only a few numbers of each block are ordered by segment, and only blocks after the first meet them again."""
+    own = Window.partitionBy("term", "impact").orderBy("block")
+    tails = bodies.select("term", "impact", "block", F.size("docids").cast("long").alias("n"), F.slice("docids", F.greatest(F.lit(1), F.size("docids") - TAIL + 1), TAIL).alias("tail"))
+    last = F.flatten(F.collect_list("tail").over(own.rowsBetween(-TAIL, -1)))
+    heads = tails.select("term", "impact", "block", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("pos"), F.slice(last, F.greatest(F.lit(1), F.size(last) - TAIL + 1), TAIL).alias("before"))
+    joined = bodies.join(heads.where(F.col("pos") > 0), ["term", "impact", "block"], "left")
+    return joined.withColumns({"pos": F.coalesce("pos", F.lit(0)), "before": F.coalesce("before", F.array().cast("array<bigint>"))})
+
+
 def vocabulary(heads: DataFrame) -> DataFrame:
     """(term, df, cf, n_segments, max_impact) from segment headers; cf counts capped impacts."""
     return heads.groupBy("term").agg(F.sum("freq").alias("df"), F.sum(F.col("freq") * F.col("impact")).alias("cf"), F.count("*").alias("n_segments"), F.max("impact").alias("max_impact"))
@@ -98,16 +138,17 @@ class Index:
     posts: DataFrame
     docs: DataFrame
     bodies: DataFrame | None = None
+    cuts: list[int] | None = None
 
     def arrays(self) -> DataFrame:
         """(term, impact, block, docids)."""
-        return segment_postings(self.posts) if self.bodies is None else self.bodies
+        return segment_postings(self.posts, block_cuts(self.docs)) if self.bodies is None else self.bodies
 
     def hits(self, chosen: DataFrame) -> DataFrame:
         """Postings of chosen (term, impact) segments with the other columns of ``chosen``; stored bodies are joined before they are taken apart."""
         if self.bodies is None:
             return self.posts.join(chosen, ["term", "impact"])
-        return self.bodies.join(chosen, ["term", "impact"]).withColumn("docid", F.explode("docids")).drop("docids", "block", "freq")
+        return self.bodies.join(chosen, ["term", "impact"]).withColumn("docid", F.explode("docids")).drop("docids", "block", "freq", "pos", "before")
 
     @staticmethod
     def over(documents: DataFrame, terms: DataFrame | None = None, **options: str) -> Index:

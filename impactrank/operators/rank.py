@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from impactrank.shared import written
 
-from .index import BODY_BITS, Index
+from .index import BODY_BITS, Index, block_of
 
 #: Postings of a query that the first round of early termination reads at least (two megabytes, less work than starting a round), and by how much a round reads more than the one before.
 FIRST_ROUND, GROWTH = 1 << 18, 8
@@ -69,21 +69,21 @@ def accumulate(plan: DataFrame, index: Index) -> DataFrame:
     return index.hits(chosen).groupBy("query_id", "docid").agg(F.sum(F.col("impact").cast("long") * F.col("times")).alias("rsv"))
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """(query_id, docid, rsv, rank): by falling score, then falling docid. Ranks to a few hundred are a window that tasks cut before they send rows on; more come from counts."""
+def top_k(scores: DataFrame, k: int, cuts: list[int] | None = None) -> DataFrame:
+    """(query_id, docid, rsv, rank): by falling score, then falling docid. Ranks to a few hundred are a window that tasks cut before they send rows on; more come from counts, by the blocks that ``cuts`` bound."""
     if k > WINDOW_RANKS:
-        return _ranks_by_counts(scores, k)
+        return _ranks_by_counts(scores, k, cuts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rsv"), F.desc("docid")))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _ranks_by_counts(scores: DataFrame, k: int) -> DataFrame:
+def _ranks_by_counts(scores: DataFrame, k: int, cuts: list[int] | None) -> DataFrame:
     """The same rows, where a query may have more of them than one task can sort.
 
     Rows are counted by cell, a score and a block of docids. A row's rank is the number of rows in better cells and its place in its own, which
     holds at most the documents of a block. Sums over cells go in steps: blocks of a score, scores of a range, ranges of a query (an array).
     """
-    own = scores.withColumn("block", F.shiftright("docid", BODY_BITS))
+    own = scores.withColumn("block", block_of(F.col("docid"), cuts))
     cells = own.groupBy("query_id", "rsv", "block").agg(F.count("*").alias("n"))
     before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = cells.withColumn("in_score", before(["query_id", "rsv"], "block"))
@@ -109,7 +109,7 @@ def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None
     if mode == "early":
         return early(qterms, index, k, strict).select("query_id", "docid", "rsv", "rank")
     plan = segment_plan(qterms, index.heads)
-    return top_k(accumulate(within_budget(plan, budget if mode == "anytime" else None), index), k)
+    return top_k(accumulate(within_budget(plan, budget if mode == "anytime" else None), index), k, index.cuts)
 
 
 def score_gaps(run: DataFrame) -> DataFrame:

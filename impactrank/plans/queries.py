@@ -319,22 +319,30 @@ _GAPS = "CAST(docid - lag(docid, {n}, CAST(0 AS BIGINT)) OVER (PARTITION BY term
 
 @query(f"SELECT term, impact, docid, {_GAPS.format(n=1)} FROM post")
 def gaps_d1(spark, sf_dir):
-    return G.gaps(stored(spark, sf_dir).posts).select("term", "impact", "docid", "gap")
+    return _gaps(spark, sf_dir, 1)
 
 
 @query(f"SELECT term, impact, docid, {_GAPS.format(n=4)} FROM post")
 def gaps_d4(spark, sf_dir):
-    return G.gaps(stored(spark, sf_dir).posts, 4).select("term", "impact", "docid", "gap")
+    return _gaps(spark, sf_dir, 4)
+
+
+def _coded(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
+    return G.block_gaps(indexio.read_bodies(spark, index_path(spark, sf_dir)), stride)
+
+
+def _gaps(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
+    return G.gap_rows(_coded(spark, sf_dir, stride)).select("term", "impact", "docid", "gap")
 
 
 @query("SELECT term, impact, docid FROM post")
 def gaps_d1_roundtrip(spark, sf_dir):
-    return G.from_gaps(G.gaps(stored(spark, sf_dir).posts).drop("docid")).select("term", "impact", "docid")
+    return G.from_block_gaps(_coded(spark, sf_dir, 1).drop("docids"))
 
 
 @query("SELECT term, impact, docid FROM post")
 def gaps_d4_roundtrip(spark, sf_dir):
-    return G.from_gaps(G.gaps(stored(spark, sf_dir).posts, 4).drop("docid"), 4).select("term", "impact", "docid")
+    return G.from_block_gaps(_coded(spark, sf_dir, 4).drop("docids"), 4)
 
 
 _WIDTH = "CASE WHEN gap = 1 THEN 0 " + " ".join(f"WHEN gap < {1 << b} THEN {b}" for b in codecs.BLOCK_BITS[1:]) + " ELSE 64 END"

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactrank.operators.index import Index, segment_postings, vocabulary
+from impactrank.operators.index import Index, block_cuts, segment_postings, vocabulary, with_heads
 from impactrank.shared import checkpointed
 
 #: Postings of a folder, about, and the most folders.
@@ -22,7 +22,8 @@ def bucket(term: Column, buckets: int) -> Column:
 def write_index(index: Index, path: str, partitions: int | None = None, buckets: int | None = None) -> None:
     """Write bodies, headers, vocabulary and document list. Folders are as many as the postings need; within them rows are sorted by term, so a reader skips row groups too. Postings are computed once: the rest is read from the bodies."""
     spark = index.posts.sparkSession
-    bodies = checkpointed(segment_postings(index.posts).withColumn("freq", F.size("docids").cast("long")))
+    cuts = block_cuts(index.docs)
+    bodies = checkpointed(segment_postings(index.posts, cuts).withColumn("freq", F.size("docids").cast("long")))
     total = bodies.agg(F.sum("freq")).first()[0] or 0
     buckets = buckets or min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, total) / BUCKET_POSTINGS))))
 
@@ -31,11 +32,12 @@ def write_index(index: Index, path: str, partitions: int | None = None, buckets:
         spread = own.repartitionByRange(partitions, "bucket", *keys) if partitions else own.repartitionByRange("bucket", *keys)
         spread.sortWithinPartitions("bucket", "term", F.desc("impact")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{part}")
 
-    write(bodies, "bodies", "term", "impact", "block")
+    headed = with_heads(bodies) if cuts else bodies.withColumns({"pos": F.lit(0).cast("long"), "before": F.array().cast("array<bigint>")})
+    write(headed, "bodies", "term", "impact", "block")
     write(spark.read.parquet(f"{path}/bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq")), "segments", "term", "impact")
     vocabulary(spark.read.parquet(f"{path}/segments")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>").alias("cuts") if cuts else F.array().cast("array<bigint>").alias("cuts")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def _of_terms(spark: SparkSession, path: str, part: str, qterms: DataFrame | None) -> DataFrame:
@@ -58,7 +60,8 @@ def _of_terms(spark: SparkSession, path: str, part: str, qterms: DataFrame | Non
 def read_index(spark: SparkSession, path: str, qterms: DataFrame | None = None) -> Index:
     """The index, or what a query batch needs of it."""
     heads, bodies = (_of_terms(spark, path, part, qterms) for part in ("segments", "bodies"))
-    return Index(heads, bodies.select("term", "impact", F.explode("docids").alias("docid")), spark.read.parquet(f"{path}/docs"), bodies)
+    cuts = spark.read.parquet(f"{path}/layout").first()["cuts"]
+    return Index(heads, bodies.select("term", "impact", F.explode("docids").alias("docid")), spark.read.parquet(f"{path}/docs"), bodies, cuts)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -66,5 +69,5 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, path: str, qterms: DataFrame | None = None) -> DataFrame:
-    """(term, impact, block, docids, freq), as they are stored."""
+    """(term, impact, block, docids, freq, pos, before), as they are stored: pos postings of the segment come before the block, the last of them before."""
     return _of_terms(spark, path, "bodies", qterms)

@@ -50,3 +50,10 @@ def test_known_bytes():
     assert codecs.vbyte_encode(np.array([1, 128, 300])) == bytes([0x81, 0x01, 0x80, 0x02, 0xAC])
     assert codecs.simple8b_encode([np.ones(240, np.int64)]) == [bytes(8)]
     assert len(codecs.blocks_encode([np.ones(256 * 16, np.int64)])[0]) == 1 + 8
+
+
+@pytest.mark.parametrize("wrong", [2**32, -1])
+def test_docids_beyond_the_formats_are_refused(spark, wrong):
+    bodies = spark.createDataFrame([("a", 1, 0, [5, wrong])], "term string, impact int, block long, docids array<long>")
+    with pytest.raises(Exception, match="2\\*\\*32"):
+        codecs.encoded(bodies, "none").collect()

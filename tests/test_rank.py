@@ -170,7 +170,11 @@ def test_bodies_and_gaps_go_over_blocks(spark, monkeypatch):
     posts = sorted({(t, d, i) for t, i in (("a", 1), ("a", 2), ("b", 1)) for d in chance.sample(range(200), 37)})
     frame = spark.createDataFrame(posts, "term string, docid long, impact int")
     assert sum(len(r.docids) for r in I.segment_postings(frame).collect()) == len(posts) and I.segment_postings(frame).count() > 3
-    for stride in (1, 4):
+    with pytest.raises(ValueError):
+        G.gaps(frame, 5)
+    for stride in (1, 2, 4):
+        blocks = G.block_gaps(I.with_heads(I.segment_postings(frame)), stride)
+        assert sorted((r.term, r.docid, r.impact) for r in G.from_block_gaps(blocks.drop("docids"), stride).collect()) == posts
         coded = G.gaps(frame, stride)
         for r in coded.collect():
             own = [d for t, d, i in posts if (t, i) == (r.term, r.impact)]
@@ -197,3 +201,36 @@ def test_ranks_by_counts_equal_a_window(spark, monkeypatch, k):
     assert found == sorted(plain) and want in (None, found)
     keys = re.findall(r"windowspecdefinition\((\w+)#\d+L?, (\w+)", got._jdf.queryExecution().analyzed().toString())
     assert keys and all(first == "query_id" and second in ("rsv", "range") for first, second in keys)
+
+
+def test_far_apart_ids_fill_blocks_as_close_ones_do(spark, monkeypatch, tmp_path):
+    """The stored index has the same rows, heads and ranks, whatever numbers the documents have."""
+    from impactrank.sources import indexio
+
+    for module in (R, I):
+        monkeypatch.setattr(module, "BODY_BITS", 3)
+    monkeypatch.setattr(R, "WINDOW_RANKS", 0)
+    chance = random.Random(8)
+    far = sorted(chance.sample(range(2**62), 100))
+    posts = [(t, d, chance.choice([1, 1, 2])) for t in "ab" for d in sorted(chance.sample(range(100), 70))]
+    shapes, runs = [], []
+    for name, number in (("close", list(range(100))), ("far", far)):
+        frame = spark.createDataFrame([(t, number[d], i) for t, d, i in posts], "term string, docid long, impact int")
+        docs = spark.createDataFrame([(d, f"doc-{d}") for d in number], "docid long, docno string")
+        assert I.block_cuts(docs) == number[8::8]
+        indexio.write_index(Index(segments(frame), frame, docs), str(tmp_path / name), 2)
+        index = indexio.read_index(spark, str(tmp_path / name))
+        back = {d: i for i, d in enumerate(number)}
+        bodies = index.bodies.collect()
+        shapes.append(sorted((r.term, r.impact, r.block, r.freq, r.pos, [back[d] for d in r.before], [back[d] for d in r.docids]) for r in bodies))
+        runs.append(sorted((r.query_id, r["rank"], back[r.docid], r.rsv) for r in R.rank(queries_of(spark, {1: ["a", "b", "a"]}), index, 50).collect()))
+    assert shapes[0] == shapes[1] and runs[0] == runs[1] and len(runs[0]) == 50
+    assert max(r[3] for r in shapes[0]) > 4 and any(r[6][0] > 8 and len(r[5]) == 4 for r in shapes[0])
+    assert indexio.read_index(spark, str(tmp_path / "close")).cuts == list(range(8, 100, 8))
+
+
+def test_gaps_and_back_take_one_exchange(spark, sf_dir):
+    from impactrank.plans.queries import QUERIES
+
+    plan = QUERIES["gaps_d4_roundtrip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("FileScan") == 1

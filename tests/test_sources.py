@@ -5,70 +5,80 @@ from impactrank.sources import indexio, runs, topics
 from impactrank.streaming.ranking import rank_stream
 from pyspark.sql import functions as F
 
+#: Records as the readers take them, each with something that may go wrong: labels, line breaks inside a field, empty fields, tags in capitals, a record without a number.
 SGML = """<top>
-<num> Number: 701
-<title> N.Z. wool trade routes
+<num> Number: 8
+<title>
+  amber   beads
 <desc> Description:
-Describe the routes of the N.Z. wool
-trade
+Which beads float?
+Say why.
 <narr> Narrative:
-Relevant documents.
 </top>
+<TOP>
+<NUM> 13
+<TITLE> kelp
+<DESC> seaweed farms
+<NARR> any
+</TOP>
 <top>
-<num> Number: 702
-<title> Glass bottles
-<desc> Description:
-Where?
-<narr> Narrative:
-Any.
+<num> Number: none
+<title> nobody's
 </top>
 """
 XML = """<topicset>
-<topic number="51" type="faceted"><query>mule shoes</query><description> Find pictures of mule shoes. </description>
-<subtopic number="1" type="inf">Find shoes.</subtopic><subtopic number="2" type="inav">Other.</subtopic></topic>
-<topic number="265" type="single"><query>K9 kennel</query><description>What?</description></topic>
+<topic number="4" type="plain"><query>kelp</query><description>
+  seaweed  farms </description></topic>
+<topic number="6" type="split"><query>amber beads</query>
+<subtopic number="1" type="p">which float</subtopic><subtopic number="2" type="q"> which sink </subtopic><description>why</description></topic>
 </topicset>
 """
-#: Topic texts and the query terms that they give: fixed values.
-GOLDEN = {
-    "mule shoes": ["mule", "sho"],
-    "old miss river las palmas": ["old", "mis", "river", "la", "palma"],
-    "517c": ["517", "c"],
-    "hms blue heron": ["hm", "blue", "heron"],
-    "K9 kennel": ["k", "9", "kennel"],
-    "N.Z. wool trade routes": ["n", "z", "wool", "trade", "rout"],
-    "ponies": ["pony"],
+#: A text for each branch of the rules for tokens and stems, and what it gives.
+BRANCHES = {
+    "skies flies": ["sky", "fly"],  # ies: y
+    "boxes plates": ["box", "plat"],  # es goes
+    "lamps glass": ["lamp", "glas"],  # s goes, once
+    "kelp": ["kelp"],  # nothing goes
+    "b2b 3d": ["b", "2", "b", "3", "d"],  # letters and digits part
+    "it's s es ies": ["it", "y"],  # stems that come out empty are left out
+    "RED red Red": ["red", "red", "red"],  # repeats stay, case goes
+    "a-b_c, d.": ["a", "b", "c", "d"],  # other characters part
+    "": [],
 }
 
 
-def test_golden_stems(spark):
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(GOLDEN)], "number long, title string")
+def test_each_branch_of_tokens_and_stems(spark):
+    frame = spark.createDataFrame(list(enumerate(BRANCHES)), "number long, title string")
     got = {r.query_id: r.terms for r in topics.topic_queries(frame).collect()}
-    assert [got[i] for i in range(len(GOLDEN))] == list(GOLDEN.values())
+    assert [got[i] for i in range(len(BRANCHES))] == list(BRANCHES.values())
 
 
 def test_sgml_topics(spark, tmp_path):
     (tmp_path / "t").write_text(SGML)
     rows = topics.read_sgml_topics(spark, str(tmp_path / "t")).orderBy("number").collect()
-    assert [(r.number, r.title) for r in rows] == [(701, "N.Z. wool trade routes"), (702, "Glass bottles")]
-    assert rows[0].description == "Describe the routes of the N.Z. wool trade" and rows[1].narrative == "Any."
-    both = topics.topic_queries(topics.read_sgml_topics(spark, str(tmp_path / "t")), "td").where("query_id = 702").first()
-    assert both.terms == ["glas", "bottl", "where"]
+    assert [(r.number, r.title, r.description) for r in rows] == [(8, "amber beads", "Which beads float? Say why."), (13, "kelp", "seaweed farms")]
+    assert rows[0].narrative == ""
+    both = topics.topic_queries(topics.read_sgml_topics(spark, str(tmp_path / "t")), "td").where("query_id = 8").first()
+    assert both.terms == ["amber", "bead", "which", "bead", "float", "say", "why"]
 
 
 def test_xml_topics(spark, tmp_path):
     (tmp_path / "t.xml").write_text(XML)
     rows = topics.read_xml_topics(spark, str(tmp_path / "t.xml")).orderBy("number").collect()
-    assert [(r.number, r.type, r.query, len(r.subtopics)) for r in rows] == [(51, "faceted", "mule shoes", 2), (265, "single", "K9 kennel", 0)]
-    assert rows[0].subtopics[1]["type"] == "inav" and rows[0].description == "Find pictures of mule shoes."
+    assert [(r.number, r.type, r.query, r.description) for r in rows] == [(4, "plain", "kelp", "seaweed farms"), (6, "split", "amber beads", "why")]
+    assert [[(s["number"], s["type"], s["text"]) for s in r.subtopics] for r in rows] == [[], [(1, "p", "which float"), (2, "q", "which sink")]]
 
 
 def test_query_lines_round_trip(spark, tmp_path):
-    lines = spark.createDataFrame([("51 mule  sho ",), ("  ",), ("\t70\tto be\r",), ("x9 odd",)], "value string")
+    """Blank lines are no queries; an id is the number that a line begins with, or 0; runs of blanks part words once; a line may have no terms."""
+    lines = spark.createDataFrame([("5 red  kelp",), ("\t12\tred\r",), (" ",), ("",), ("none red",), ("7",)], "value string")
     got = sorted((r.query_id, r.term_pos, r.term) for r in topics.query_terms(lines).collect())
-    assert got == [(0, 0, "odd"), (51, 0, "mule"), (51, 1, "sho"), (70, 0, "to"), (70, 1, "be")]
-    topics.write_queries(spark.createDataFrame([(51, ["mule", "sho"])], "query_id long, terms array<string>"), str(tmp_path / "q"))
-    assert {r.term for r in topics.read_term_list(spark, str(tmp_path / "q")).collect()} == {"mule", "sho"}
+    assert got == [(0, 0, "red"), (5, 0, "red"), (5, 1, "kelp"), (12, 0, "red")]
+    kept = spark.createDataFrame([(5, ["red", "kelp", "red"]), (12, ["sand"])], "query_id long, terms array<string>")
+    topics.write_queries(kept, str(tmp_path / "q"))
+    assert {r.term for r in topics.read_term_list(spark, str(tmp_path / "q")).collect()} == {"red", "kelp", "sand"}
+    back = topics.read_queries(spark, str(tmp_path / "q")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term_pos", "term"))).alias("t"))
+    assert {r.query_id: [t.term for t in r.t] for r in back.collect()} == {5: ["red", "kelp", "red"], 12: ["sand"]}
 
 
 def test_index_and_run_round_trip(spark, sf_dir, tmp_path):
