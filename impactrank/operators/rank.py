@@ -12,7 +12,7 @@ from typing import Literal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from impactrank.shared import written
@@ -104,12 +104,18 @@ def named(run: DataFrame, docs: DataFrame) -> DataFrame:
     return run.join(docs, "docid").select("query_id", "docid", "docno", "rank", "rsv")
 
 
-def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None, mode: Literal["exhaustive", "anytime", "early"] = "exhaustive", strict: bool = True) -> DataFrame:
-    """The run of all queries. ``budget`` counts postings and holds in anytime mode; ``strict`` in early mode."""
+def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None, mode: Literal["exhaustive", "anytime", "early"] = "exhaustive", strict: bool = True, watch: Observation | None = None) -> DataFrame:
+    """The run of all queries. ``budget`` counts postings and holds in anytime mode; ``strict`` in early mode. ``watch`` gets topics, segments, postings, checks and stops as the run is made."""
     if mode == "early":
-        return early(qterms, index, k, strict).select("query_id", "docid", "rsv", "rank")
-    plan = segment_plan(qterms, index.heads)
-    return top_k(accumulate(within_budget(plan, budget if mode == "anytime" else None), index), k, index.cuts)
+        run = early(qterms, index, k, strict)
+        first = F.when(F.col("rank") == 1, 1)
+        if watch is not None:
+            run = run.observe(watch, F.count(first).alias("topics"), *(F.sum(first * F.col(c)).alias(name) for c, name in (("segments", "segments"), ("postings", "postings"), ("checks", "checks"), ("stopped", "stops"))))
+        return run.select("query_id", "docid", "rsv", "rank")
+    plan = within_budget(segment_plan(qterms, index.heads), budget if mode == "anytime" else None)
+    if watch is not None:
+        plan = plan.observe(watch, F.count(F.when(F.col("seq") == 1, 1)).alias("topics"), F.count("*").alias("segments"), F.sum("freq").alias("postings"), F.sum(F.lit(0)).alias("checks"), F.sum(F.lit(0)).alias("stops"))
+    return top_k(accumulate(plan, index), k, index.cuts)
 
 
 def score_gaps(run: DataFrame) -> DataFrame:

@@ -457,9 +457,31 @@ def stats_summary(spark, sf_dir):
     return S.summary(S.query_stats(R.within_budget(R.segment_plan(terms, index.heads), MEDIUM)))
 
 
-@query(f"SELECT query_id, 'query id,postings processed,ns:' || query_id || ',' || CAST(sum(freq) AS BIGINT) || ',0' AS line FROM plan GROUP BY query_id")
+@query("SELECT query_id, 'query id,postings processed,ns:' || query_id || ',' || CAST(sum(freq) AS BIGINT) AS counted, true AS timed FROM plan GROUP BY query_id")
 def stats_lines(spark, sf_dir):
-    return runs.stats_lines(query_stats(spark, sf_dir))
+    """The lines of a batch that has been ranked and written, cut before the time, and whether there is one."""
+    terms, index = prepared(spark, sf_dir)
+    took = runs.observed_run(terms, index, fresh_path(spark, "run"))["nanoseconds"]
+    lines = runs.stats_lines(S.query_stats(R.segment_plan(terms, index.heads)), took)
+    return lines.select("query_id", F.substring_index("line", ",", 4).alias("counted"), (F.substring_index("line", ",", -1).cast("long") > 0).alias("timed"))
+
+
+_OF_RUN = "CAST(count(*) AS BIGINT) AS topics, CAST(sum({s}) AS BIGINT) AS segments, CAST(sum({p}) AS BIGINT) AS postings, CAST(sum({c}) AS BIGINT) AS checks, CAST(sum({t}) AS BIGINT) AS stops, true AS timed"
+_OF_PLAN = "SELECT query_id, count(*) AS s, sum(freq) AS p FROM plan {where} GROUP BY query_id"
+
+
+@query(f"""{_early_sql(">").replace("SELECT b.query_id, b.docid", ", run AS (SELECT b.query_id, b.docid")})
+SELECT 'early' AS mode, {_OF_RUN.format(s="segments", p="postings", c="checks", t="stopped")} FROM run WHERE rank = 1
+UNION ALL SELECT 'exhaustive', {_OF_RUN.format(s="s", p="p", c="0", t="0")} FROM ({_OF_PLAN.format(where="")})
+UNION ALL SELECT 'anytime', {_OF_RUN.format(s="s", p="p", c="0", t="0")} FROM ({_OF_PLAN.format(where=f"WHERE cum_freq <= {MEDIUM}")})""")
+def run_statistics(spark, sf_dir):
+    """What runs of each kind took, observed as they were made."""
+    terms, index = prepared(spark, sf_dir)
+    rows = []
+    for mode in ("early", "exhaustive", "anytime"):
+        seen = runs.observed_run(terms, index, fresh_path(spark, f"run-{mode}"), 5, MEDIUM, mode)
+        rows.append((mode, *(seen[c] for c in ("topics", "segments", "postings", "checks", "stops")), seen["nanoseconds"] > 0))
+    return spark.createDataFrame(rows, "mode string, topics long, segments long, postings long, checks long, stops long, timed boolean")
 
 
 _BM25 = """, tf AS (SELECT term, docid, count(*) AS tf FROM tok GROUP BY term, docid),

@@ -152,3 +152,22 @@ def test_streamed_queries(spark, sf_dir, tmp_path):
 def test_chosen_columns_only(spark):
     frame = spark.createDataFrame([(1, "q w", "d")], "number long, query string, description string").withColumn("extra", F.lit(1))
     assert topics.topic_queries(frame, "qdn").first().terms == ["q", "w", "d"]
+
+
+def test_runs_say_what_they_took(spark, sf_dir, tmp_path):
+    """Counts are those of the plan and of early termination, from the run itself."""
+    from impactrank.operators import rank as R
+
+    index = Index.over(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    terms = topics.query_terms(spark.createDataFrame([("1 the of anea the",), ("2 de la",), ("3 zzzq",)], "value string"))
+    plan = R.segment_plan(terms, index.heads)
+    for mode, budget in (("exhaustive", None), ("anytime", 300)):
+        seen = runs.observed_run(terms, index, str(tmp_path / mode), 4, budget, mode)
+        want = R.within_budget(plan, budget).agg(F.countDistinct("query_id"), F.count("*"), F.sum("freq")).first()
+        assert [seen[c] for c in ("topics", "segments", "postings", "checks", "stops")] == [*want, 0, 0] and seen["nanoseconds"] > 0
+    seen = runs.observed_run(terms, index, str(tmp_path / "early"), 4, mode="early")
+    rows = R.early(terms, index, 4).where("rank = 1").collect()
+    assert [seen[c] for c in ("topics", "segments", "postings", "checks", "stops")] == [len(rows), *(sum(r[c] for r in rows) for c in ("segments", "postings", "checks", "stopped"))]
+    assert spark.read.text(str(tmp_path / "early")).count() == 8 and seen["checks"] > 0
+    line = runs.stats_lines(plan.groupBy("query_id").agg(F.sum("freq").alias("postings_processed")), seen["nanoseconds"]).first().line
+    assert int(line.rsplit(",", 1)[1]) == seen["nanoseconds"] > 0
