@@ -121,12 +121,12 @@ class EliasFano:
         word = np.searchsorted(self.zeros, rank, side="right") - 1
         return np.where(inside, word * 64 + _select(~self.high[word], rank - self.zeros[word]) - rank, self.n)
 
-    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """For each value, the first place in [low, high) that holds it or more; high where none does."""
+    def _search(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each value, the first place in [low, high) that holds it or more, high where none does; the end of the places with its high bits; its low bits."""
         bucket = np.minimum(values >> _U(self.bits), _U(1 << 62)).astype(np.int64)
         begin = np.where(bucket > 0, self._upto(np.maximum(bucket, 1) - 1), 0)
-        end = self._upto(bucket)
-        at, stop = np.clip(begin, low, high), np.clip(end, low, high)
+        end = np.clip(self._upto(bucket), low, high)
+        at, stop = np.clip(begin, low, high), end.copy()
         rest = values & _U((1 << self.bits) - 1)
         open_ = np.flatnonzero(at < stop)
         while len(open_):
@@ -135,15 +135,18 @@ class EliasFano:
             at[open_[less]] = mid[less] + 1
             stop[open_[~less]] = mid[~less]
             open_ = open_[at[open_] < stop[open_]]
-        return at
+        return at, end, rest
+
+    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self._search(values, low, high)[0]
 
     def find(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The place of each value in [low, high), or -1."""
+        """The place of each value in [low, high), or -1. A successor among the places with the value's high bits is the value if its low bits are."""
         out = np.full(len(values), -1)
         if self.n and len(values):
-            at = self.successor(values, low, high)
-            inside = np.flatnonzero(at < high)
-            same = self.access(at[inside]) == values[inside]
+            at, end, rest = self._search(values, low, high)
+            inside = np.flatnonzero(at < end)
+            same = self._low(at[inside]) == rest[inside]
             out[inside[same]] = at[inside[same]]
         return out
 
@@ -159,11 +162,19 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys that are counted at all, rising, and their counts added up."""
-    keys, count = keys[count > 0], count[count > 0]
-    order = np.argsort(keys)
-    keys = keys[order]
-    begin, _ = _runs(keys)
-    return keys[begin], np.add.reduceat(count[order], begin) if len(begin) else count
+    return _placed(keys, count)[:2]
+
+
+def _placed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_summed``, and the place of each given key among them; 0 for keys not counted."""
+    held = np.flatnonzero(count > 0)
+    own = keys[held]
+    order = np.argsort(own)
+    own, held = own[order], held[order]
+    begin, many = _runs(own)
+    place = np.zeros(len(keys), np.int64)
+    place[held] = np.repeat(np.arange(len(begin)), many)
+    return own[begin], np.add.reduceat(count[held], begin) if len(begin) else count[held], place
 
 
 class Told:
@@ -191,7 +202,7 @@ class Trie:
         self.words, self.counts = EliasFano(words_), mapped(count)
         keys, rank = np.unique(told.context, return_inverse=True)
         asked = (np.repeat(rank, told.pairs).astype(_U) << _SECOND) | told.second
-        pair, count = _summed(asked, told.n_second)
+        pair, count, place = _placed(asked, told.n_second)
         of = (pair >> _SECOND).astype(np.int64)
         kinds = np.bincount(of, minlength=len(keys))
         known = np.flatnonzero(kinds)
@@ -205,7 +216,7 @@ class Trie:
         self.seconds = EliasFano((of.astype(_U) << _SECOND) | (pair & _U((1 << 40) - 1)))
         self.weights = mapped(quantised(np.where(shared, 1.0, discounts[0] * kinds / total)))
         self.chances = mapped(quantised((count - discounts[0]) / np.where(shared, 1.0, total)[of]))
-        node = np.repeat(np.searchsorted(pair, asked), told.triples)
+        node = np.repeat(place, told.triples)
         triple, count = _summed((node.astype(_U) << _THIRD) | told.third, told.n_third)
         of = (triple >> _THIRD).astype(np.int64)
         kinds = np.bincount(of, minlength=len(pair))
@@ -281,7 +292,8 @@ class Chunk:
         spread = mix(np.append(self.vocabulary, START) + _U(7)) % _U(shards)
         of_word = spread[:-1].astype(np.int32)
         of_pair = np.where(np.isin(self.context_hashes(), hot)[self.context], of_word[self.second], spread.astype(np.int32)[self.context])
-        cut = lambda of: np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1])
+        small = np.min_scalar_type(shards)  # short numbers are sorted by their digits
+        cut = lambda of: np.split(np.argsort(of.astype(small), kind="stable"), np.cumsum(np.bincount(of, minlength=shards))[:-1])
         return [cut(of_word), cut(of_pair), cut(of_pair[self.pair])]
 
     def told(self, words_: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, ...]:
