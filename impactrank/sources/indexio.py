@@ -13,6 +13,13 @@ from impactrank.shared import checkpointed
 #: Postings of a folder, about, and the most folders.
 BUCKET_POSTINGS, MOST_BUCKETS = 1 << 20, 1 << 16
 
+#: Columns of the parts in folders; an index of no postings has no folder to tell them.
+_SCHEMAS = {"bodies": "term string, impact int, block long, docids array<long>, freq long, pos long, before array<long>, bucket int", "segments": "term string, impact int, freq long, bucket int"}
+
+
+def _read(spark: SparkSession, path: str, part: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[part]).parquet(f"{path}/{part}")
+
 
 def bucket(term: Column, buckets: int) -> Column:
     """The folder of a term."""
@@ -34,8 +41,8 @@ def write_index(index: Index, path: str, partitions: int | None = None, buckets:
 
     headed = with_heads(bodies) if cuts else bodies.withColumns({"pos": F.lit(0).cast("long"), "before": F.array().cast("array<bigint>")})
     write(headed, "bodies", "term", "impact", "block")
-    write(spark.read.parquet(f"{path}/bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq")), "segments", "term", "impact")
-    vocabulary(spark.read.parquet(f"{path}/segments")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    write(_read(spark, path, "bodies").groupBy("term", "impact").agg(F.sum("freq").alias("freq")), "segments", "term", "impact")
+    vocabulary(_read(spark, path, "segments")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     spark.range(1).select(F.lit(buckets).alias("buckets"), F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>").alias("cuts") if cuts else F.array().cast("array<bigint>").alias("cuts")).write.mode("overwrite").parquet(f"{path}/layout")
 
@@ -45,7 +52,7 @@ def _of_terms(spark: SparkSession, path: str, part: str, qterms: DataFrame | Non
 
     Terms too few for Spark to turn their filter into a range are also named, so that row groups are skipped by their statistics.
     """
-    rows = spark.read.parquet(f"{path}/{part}")
+    rows = _read(spark, path, part)
     if qterms is not None:
         buckets = spark.read.parquet(f"{path}/layout").first()[0]
         terms = qterms.select("term").distinct()
@@ -64,6 +71,11 @@ def read_index(spark: SparkSession, path: str, qterms: DataFrame | None = None)
     return Index(heads, bodies.select("term", "impact", F.explode("docids").alias("docid")), spark.read.parquet(f"{path}/docs"), bodies, cuts)
 
 
+def postings_of(spark: SparkSession, path: str) -> int:
+    """How many postings a stored index has."""
+    return _read(spark, path, "segments").agg(F.sum("freq")).first()[0] or 0
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/vocabulary")
 
