@@ -18,7 +18,7 @@ from impactrank.operators import index as I
 from impactrank.operators import rank as R
 from impactrank.operators import stats as S
 from impactrank.shared import fresh_path
-from impactrank.sources import indexio, runs, topics
+from impactrank.sources import growth, indexio, runs, topics, views
 from impactrank.sources.topics import query_lines
 
 #: Query lines besides those from the benchmark: repeated terms, unknown terms alone, and known and unknown ones.
@@ -484,6 +484,28 @@ def run_statistics(spark, sf_dir):
     return spark.createDataFrame(rows, "mode string, topics long, segments long, postings long, checks long, stops long, timed boolean")
 
 
+@query(f"SELECT * FROM {_ranked()} WHERE rank <= 10")
+def rank_grown(spark, sf_dir):
+    """An index that has come to the whole table by steps: long documents were drafts, cut short, and short ones had copies, since taken out."""
+    docs = documents(spark, sf_dir)
+    long_ = F.length("text") > 500
+    drafts = docs.withColumn("text", F.when(long_, F.substring("text", 1, 500)).otherwise(F.col("text")))
+    copies = docs.where(~long_).withColumn("doc_id", -1 - F.col("doc_id"))
+    path = fresh_path(spark, "grown")
+    growth.change(spark, path, drafts.unionByName(copies))
+    growth.change(spark, path, docs.where(long_), copies.select(F.col("doc_id").alias("docid")))
+    terms = qterms(spark, sf_dir)
+    return R.rank(terms, growth.read_grown(spark, path, terms), 10)
+
+
+@query(f"SELECT 'doc-' || docid AS docno, query_id, rank, rsv FROM {_ranked(f'WHERE p.cum_freq <= {MEDIUM}')} WHERE rank <= 10")
+def rank_in_sql(spark, sf_dir):
+    """Anytime ranking written in SQL alone, over the index's views."""
+    terms, index = prepared(spark, sf_dir)
+    views.register_views(spark, index, terms)
+    return spark.sql(f"SELECT d.docno, r.query_id, r.rank, r.rsv FROM rank_queries(10, {MEDIUM}) r JOIN index_documents d ON d.docid = r.docid")
+
+
 _BM25 = """, tf AS (SELECT term, docid, count(*) AS tf FROM tok GROUP BY term, docid),
 dl AS (SELECT docid, sum(tf) AS dl FROM tf GROUP BY docid), whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT tf.term, tf.docid, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl)), 9) AS weight FROM tf JOIN dl USING (docid) JOIN df USING (term), whole),
