@@ -45,8 +45,8 @@ def postings(documents: DataFrame, terms: DataFrame | None = None, **options: st
     return term_frequencies(documents, terms, **options).select("term", "docid", capped_impact(F.col("tf")).alias("impact"))
 
 
-def bm25_postings(documents: DataFrame, k1: float = 0.9, b: float = 0.4, **options: str) -> DataFrame:
-    """(term, docid, impact): BM25 weights quantised linearly to 1..MAX_IMPACT over the whole collection."""
+def bm25_weights(documents: DataFrame, k1: float = 0.9, b: float = 0.4, **options: str) -> DataFrame:
+    """(term, docid, weight), checkpointed."""
     tf = checkpointed(term_frequencies(documents, None, **options))
     length = tf.groupBy("docid").agg(F.sum("tf").alias("dl"))
     whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -54,10 +54,31 @@ def bm25_postings(documents: DataFrame, k1: float = 0.9, b: float = 0.4, **optio
     own = _with_row(tf.join(length, "docid").join(df, "term"), whole)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = checkpointed(own.select("term", "docid", F.round(weight, 9).alias("weight")))
-    span = scored.agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
+    return checkpointed(own.select("term", "docid", F.round(weight, 9).alias("weight")))
+
+
+def linear_impacts(weights: DataFrame) -> DataFrame:
+    """(term, docid, impact): weights cut into MAX_IMPACT steps of equal height over the whole collection."""
+    span = weights.agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
     step = (F.col("weight") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
-    return _with_row(scored, span).select("term", "docid", F.greatest(F.lit(1), F.ceil(F.round(step * MAX_IMPACT, 6)).cast("int")).alias("impact"))
+    return _with_row(weights, span).select("term", "docid", F.greatest(F.lit(1), F.ceil(F.round(step * MAX_IMPACT, 6)).cast("int")).alias("impact"))
+
+
+def quantile_impacts(weights: DataFrame, levels: int = MAX_IMPACT, accuracy: int = 10_000) -> DataFrame:
+    """(term, docid, impact): weights cut into steps of equal numbers of postings, so that heavy tails don't leave most impacts unused.
+
+    Cuts come from a sketch that tasks make of their rows and that are merged: the rank of a cut is off by at most a share of 1 / ``accuracy``
+    of all postings. An impact is one more than the number of cuts below the weight, so equal weights have equal impacts. No weights give no rows.
+    """
+    shares = [i / levels for i in range(1, levels)]
+    cuts = weights.agg(F.percentile_approx("weight", shares, accuracy).alias("cuts")).first()["cuts"] or []
+    return weights.select("term", "docid", (count_below(F.array(*map(F.lit, cuts)), len(cuts), F.col("weight")) + 1).cast("int").alias("impact"))
+
+
+def bm25_postings(documents: DataFrame, k1: float = 0.9, b: float = 0.4, quantiles: bool = False, **options: str) -> DataFrame:
+    """(term, docid, impact): BM25 weights as impacts, by equal steps or by equal numbers of postings."""
+    weights = bm25_weights(documents, k1, b, **options)
+    return quantile_impacts(weights) if quantiles else linear_impacts(weights)
 
 
 def segments(posts: DataFrame) -> DataFrame:
@@ -89,8 +110,14 @@ def block_of(docid: Column, cuts: list[int] | None) -> Column:
     if not cuts:
         return F.lit(0).cast("long")
     listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.try_element_at(listed, low + step) <= docid, low + step).otherwise(low)).cast("long")
+    return count_below(listed, len(cuts), docid, equal=True).cast("long")
+
+
+def count_below(cuts: Column, n: int, value: Column, equal: bool = False) -> Column:
+    """How many of ``n`` rising cuts lie below a value, or are equal to it where that counts; found by halving."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(n.bit_length()))))
+    reached = lambda cut: cut <= value if equal else cut < value
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(reached(F.try_element_at(cuts, low + step)), low + step).otherwise(low)) if n else F.lit(0)
 
 
 def segment_postings(posts: DataFrame, cuts: list[int] | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def index_path(spark: SparkSession, sf_dir: str, kind: str = "frequency") -> str
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _STORED:
         docs = documents(spark, sf_dir)
-        posts = I.postings(docs) if kind == "frequency" else I.bm25_postings(docs)
+        posts = I.postings(docs) if kind == "frequency" else I.bm25_postings(docs, quantiles=kind == "bm25-quantiles")
         path = fresh_path(spark, f"index-{kind}")
         indexio.write_index(I.Index(I.segments(posts), posts, I.doc_list(docs)), path)
         _STORED[key] = path
@@ -521,6 +521,13 @@ def rank_bm25(spark, sf_dir):
     return R.rank(terms, stored(spark, sf_dir, terms, "bm25"), 10)
 
 
+@query()
+def rank_bm25_quantiles(spark, sf_dir):
+    """Exhaustive ranking over BM25 impacts that hold equal numbers of postings; the cuts come from a sketch, so SQL can't say them."""
+    terms = qterms(spark, sf_dir)
+    return R.rank(terms, stored(spark, sf_dir, terms, "bm25-quantiles"), 10)
+
+
 def _topic_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """The benchmark as a topic file: each item a topic, its text the title or the query."""
     path = fresh_path(spark, f"topics-{kind}")

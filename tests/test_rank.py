@@ -234,3 +234,22 @@ def test_gaps_and_back_take_one_exchange(spark, sf_dir):
 
     plan = QUERIES["gaps_d4_roundtrip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("accuracy", [100, 10**6])
+def test_quantile_impacts_are_those_of_exact_ranks_within_the_bound(spark, accuracy):
+    """Skewed weights with many ties; an impact says how many cuts lie below, and a cut's rank is off by n / accuracy at most."""
+    chance = random.Random(accuracy)
+    weights = [round(chance.choice([chance.expovariate(1), 0.25, 7.5]), 6) for _ in range(5000)]
+    frame = spark.createDataFrame([("t", d, w) for d, w in enumerate(weights)], "term string, docid long, weight double").repartition(5)
+    got = {r.docid: r.impact for r in I.quantile_impacts(frame, 20, accuracy).collect()}
+    assert len(got) == 5000 and set(got.values()) <= set(range(1, 21))
+    ordered = np.sort(weights)
+    slack = 5000 / accuracy + 1
+    for d, w in enumerate(weights):
+        below, upto = np.searchsorted(ordered, w, "left"), np.searchsorted(ordered, w, "right")
+        least, most = (sum(np.ceil(5000 * i / 20) + s <= n for i in range(1, 20)) for n, s in ((below, slack), (below, -slack)))
+        assert least <= got[d] - 1 <= most and upto > below
+    by_weight = sorted((w, got[d]) for d, w in enumerate(weights))
+    assert all(a[1] <= b[1] and (a[0] < b[0] or a[1] == b[1]) for a, b in zip(by_weight, by_weight[1:]))
+    assert I.quantile_impacts(frame.limit(0), 20).count() == 0
