@@ -536,9 +536,10 @@ def _topic_file(spark: SparkSession, sf_dir: str, kind: str) -> str:
     if kind == "sgml":
         lines = items.select(F.concat(F.lit("<top>\n<num> Number: "), "n", F.lit("\n<title> "), "t", F.lit("\n<desc> Description:\nabout "), "n", F.lit("\n<narr> Narrative:\nnone\n</top>")))
         lines.write.text(path)
-    else:  # an XML file has one root, so topics go in files of a few
+    else:  # an XML file has one root, so topics go in files of some hundreds
         topic = F.concat(F.lit('<topic number="'), "n", F.lit('" type="single">\n<query>'), "t", F.lit("</query>\n<description>about "), "n", F.lit("</description>\n</topic>"))
-        files = items.groupBy(F.pmod(F.xxhash64("n"), F.lit(8)).alias("file")).agg(F.array_join(F.collect_list(topic), "\n").alias("inner"))
+        n_files = 1 + items.count() // 500
+        files = items.groupBy(F.pmod(F.xxhash64("n"), F.lit(n_files)).alias("file")).agg(F.array_join(F.collect_list(topic), "\n").alias("inner"))
         files.select("file", F.concat(F.lit("<topics>\n"), "inner", F.lit("\n</topics>")).alias("value")).write.partitionBy("file").text(path)
     return path
 
