@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import itertools
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -315,14 +314,19 @@ def _from_bytes(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(values: np.ndarray, size: int = 4) -> bytes:
-    """Small numbers, byte by byte of their places, deflated."""
+    """Small numbers, byte by byte of their places, compressed; the number of bytes stands before."""
     planes = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    data = np.ascontiguousarray(planes).tobytes()
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True) if data else b""
 
 
 def _unpack(data: bytes, size: int = 4) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1)
+    plain = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if data else b""
+    planes = np.frombuffer(plain, np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.int64)
 
 
