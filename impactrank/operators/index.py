@@ -28,11 +28,19 @@ def term_frequencies(documents: DataFrame, terms: DataFrame | None = None, id_co
     """(term, docid, tf). ``terms``, if given, keeps only its ``term`` values, before anything is shuffled.
 
     Identical (document, term) pairs are counted map-side first, so a frequent term costs a row a document, not a row an occurrence.
+    Stemmers of many steps run once a distinct term, and their stems are joined back.
     """
-    found = documents.select(F.col(id_col).cast("long").alias("docid"), F.explode(T.stemmed(T.tokens(F.col(text_col), pattern), stemmer)).alias("term"))
+    late = stemmer in T.BY_VOCABULARY
+    found = documents.select(F.col(id_col).cast("long").alias("docid"), F.explode(T.stemmed(T.tokens(F.col(text_col), pattern), "-" if late else stemmer)).alias("term"))
+    if late:
+        raw = found.groupBy("term", "docid").agg(F.count("*").alias("n"))
+        stems = raw.select("term").distinct().select("term", F.explode(T.stemmed(F.array("term"), stemmer)).alias("stem"))
+        found = raw.join(stems, "term").select("docid", F.col("stem").alias("term"), "n")
+    else:
+        found = found.withColumn("n", F.lit(1).cast("long"))
     if terms is not None:
         found = found.join(terms.select("term").distinct(), "term", "left_semi")
-    return found.groupBy("term", "docid").agg(F.count("*").alias("tf"))
+    return found.groupBy("term", "docid").agg(F.sum("n").alias("tf"))
 
 
 def capped_impact(tf: Column) -> Column:

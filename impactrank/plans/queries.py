@@ -167,6 +167,13 @@ def vocab_stemmed(spark, sf_dir):
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query()
+def vocab_suffixes(spark, sf_dir):
+    """Terms stemmed by a machine of suffix rules, which SQL has no words for."""
+    tf = I.term_frequencies(documents(spark, sf_dir), stemmer="p")
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 @query("SELECT * FROM q")
 def query_terms(spark, sf_dir):
     return qterms(spark, sf_dir)
