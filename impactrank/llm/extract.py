@@ -5,17 +5,22 @@ level that has several. Each page's tree, with all its menus and adverts, is ali
 A node at which texts come back on other pages of the layout is template (a menu, a footer, an advert of a rotation), and so is a
 text that nearly all pages have at one node; what varies is content. Pages whose longest texts are the same count once, so copies of an article are one witness.
 
-Only what the wrapper leaves is looked at further, for what varies and yet is no article: elements that HTML or their class
+Hosts of few pages show no wrapper of their own, and large ones may not show all of it. What hosts of one theme share is told from all pages that
+have the same tree, node for node with class names, whatever their host; the name of its host is the same text on any page. A block is template
+if its host's wrapper or that of its tree says so. Trees of less than ``RICH`` nodes are nobody's theme and have none.
+
+Only what the wrappers leave is looked at further, for what varies and yet is no article: elements that HTML or their class
 names mark as menus, forms, comments and the like go, and articles or a main element are preferred where there are some. Class names
 never empty a page, and of what the wrapper takes an article that HTML marks is given back where nothing else is left.
 
-Pages go by in skeletons (labels and hashes of blocks) until the last step. Hosts are dealt out in salted parts of about ``PART`` pages, and a
-wrapper travels once for each part, ahead of its pages; votes are counted in each part and added up, so a host with a third of all pages needs no task of its own.
+Pages go by in skeletons (labels and hashes of blocks) until the last step. Large hosts and layouts are dealt out in salted parts of about ``PART`` pages. Votes are counted in each part
+and added up before anything is judged, so a wrapper is the same however pages are dealt and whatever other hosts are there, and a host with a third of all pages needs no task of its own. A part is sent the wrappers
+of the layouts and trees that its own pages have.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,14 +32,17 @@ from .htmltree import ARTICLE, HARD, MAIN, SOFT, Page, Tree, code_of, match
 
 #: Distinct pages that a wrapper needs; the part of them that must have a text for it to be constant; the part of a node's texts that must come back for it to be template.
 PAGES, AGREE, RECUR = 5, 0.9, 0.7
-#: Pages that one part of a host holds, about. Recurrence is judged within parts, so it means the same for a host of any size.
+#: Nodes of the least tree that hosts may share.
+RICH = 8
+#: Pages that one part of a host or layout holds, about, and after which a task passes its counts on.
 PART = 256
-#: Layouts with less than this part of a host's pages are read by the wrapper of its commonest layout.
-LAYOUT = 0.01
-#: Hosts with less than this part of all pages are one part; so the list of larger ones has at most 1/COLD rows.
+#: What has less than this part of all pages is one part; so the list of larger ones has at most 1/COLD rows.
 COLD = 1e-5
+#: Over how many places the wrapper of a tree goes to meet the hosts that have it.
+SALTS = 64
 
 Wrapper = tuple[Tree, set[int], set[tuple[int, int]]]
+Shared = tuple[set[int], set[tuple[int, int]]]
 
 
 def host_of(url: Column) -> Column:
@@ -58,13 +66,25 @@ def kept_blocks(page: Page, template: list[bool], hints: bool = True) -> list[st
     return []
 
 
-def template_blocks(page: Page, wrapper: Wrapper | None) -> list[bool]:
-    """For each block whether the wrapper has it as template."""
-    if wrapper is None:
-        return [False] * len(page.texts)
-    pivot, slots, constant = wrapper
-    partner = match(pivot, page)[1]
-    return [(at := partner.get(node)) is not None and (at in slots or (at, code_of(text)) in constant) for node, text in zip(page.nodes, page.texts)]
+def codes_of(page: Page, host: str = "") -> list[int]:
+    """A hash of each block's text, in which the name of the page's host stands for that of any host."""
+    name = host.removeprefix("www.").partition(":")[0]
+    return [code_of(t.replace(name, "\0") if "." in name else t) for t in page.texts]
+
+
+def template_blocks(page: Page, wrapper: Wrapper | None, shared: Shared | None = None, host: str = "") -> list[bool]:
+    """For each block whether its host's wrapper or that of its tree has it as template."""
+    gone = [False] * len(page.texts)
+    if wrapper is None and shared is None:
+        return gone
+    codes = codes_of(page, host)
+    if wrapper is not None:
+        pivot, slots, constant = wrapper
+        partner = match(pivot, page)[1]
+        gone = [(at := partner.get(node)) is not None and (at in slots or (at, c) in constant) for node, c in zip(page.nodes, codes)]
+    if shared is not None:
+        gone = [g or node in shared[0] or (node, c) in shared[1] for g, node, c in zip(gone, page.nodes, codes)]
+    return gone
 
 
 def main_text(html: str | None, wrapper: Wrapper | None = None, hints: bool = True) -> str:
@@ -73,136 +93,163 @@ def main_text(html: str | None, wrapper: Wrapper | None = None, hints: bool = Tr
 
 
 _TREE = "labels array<string>, parents array<int>, nodes array<int>, codes array<long>"
-_TREE_KINDS = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+_OUTLINE = f"host string, part int, layout long, shape long, ident long, {_TREE}"
+_OUTLINE_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+_TREE_NAMES = ["labels", "parents", "nodes", "codes"]
+
+
+def _frame(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
 
 
 def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page with text as its layout, a hash of the longest quarter of its texts (three at least), and its skeleton."""
+    """Each page with text as its layout, its shape, a hash of the longest quarter of its texts (three at least), and its skeleton."""
     for batch in batches:
         out = []
-        for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
+        for host, part, html in zip(*(batch[c].to_pylist() for c in ("host", "part", "html"))):
             page = Page(html)
             if page.texts:
-                codes = [code_of(t) for t in page.texts]
+                codes = codes_of(page, host)
                 longest = sorted(range(len(codes)), key=lambda i: (-len(page.texts[i]), i))[: max(3, len(codes) // 4)]
-                out.append((host, page.layout(), code_of(" ".join(str(codes[i]) for i in longest)), page.labels, page.parents, page.nodes, codes))
-        kinds = [pa.string(), pa.int64(), pa.int64(), *_TREE_KINDS]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], ["host", "layout", "ident", "labels", "parents", "nodes", "codes"])
-
+                out.append((host, part, page.layout(), page.shape(), code_of(" ".join(str(codes[i]) for i in longest)), page.labels, page.parents, page.nodes, codes))
+        yield _frame(out, ["host", "part", "layout", "shape", "ident", *_TREE_NAMES], _OUTLINE_KINDS)
 
-def votes(pivot: tuple[Tree, list[int], list[int]], pages: Iterator[tuple[Tree, list[int], list[int]]]) -> list[tuple[int, int | None, int, int, int]]:
-    """(node, code, pages, texts, back) of some pages of one layout, by nodes of the pivot.
 
-    Without a code: the pages with a text there, the texts (each once a page), and how many of them several pages have. With a code: the pages that have
-    it there; texts that just one of these pages and not the pivot has are left out.
-    """
-    tree, nodes, codes = pivot
-    at_node: Counter[int] = Counter()
-    held: defaultdict[int, Counter[int]] = defaultdict(Counter)
-    for own, own_nodes, own_codes in pages:
-        partner = match(tree, own)[1]
-        found = {(partner[n], c) for n, c in zip(own_nodes, own_codes) if n in partner}
-        at_node.update({n for n, _ in found})
-        for n, c in found:
-            held[n][c] += 1
-    in_pivot = set(zip(nodes, codes))
-    out: list[tuple[int, int | None, int, int, int]] = []
-    for n, counts in held.items():
-        out.append((n, None, at_node[n], sum(counts.values()), sum(k for k in counts.values() if k > 1)))
-        out += [(n, c, k, 0, 0) for c, k in counts.items() if k > 1 or (n, c) in in_pivot]
+def votes(pivot: Tree, pages: Iterator[tuple[Tree, list[int], list[int]]]) -> Counter[tuple[int, int | None]]:
+    """How many of some pages have a text at a node of the pivot, by (node, None), and how many have one text there, by (node, code)."""
+    out: Counter[tuple[int, int | None]] = Counter()
+    for own, nodes, codes in pages:
+        partner = match(pivot, own)[1]
+        found: set[tuple[int, int | None]] = {(partner[n], c) for n, c in zip(nodes, codes) if n in partner}
+        out.update(found | {(n, None) for n, _ in found})
     return out
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The votes of each part, from rows sorted by part, the pivot first and then by the hash of the longest texts; parts without a pivot have none."""
-    names = ["host", "layout", "part", "kind", "ident", "labels", "parents", "nodes", "codes"]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["host", "layout", "dealt", "kind", "ident", *_TREE_NAMES]
     key, pivot, seen = None, None, None
     group: list[tuple[Tree, list[int], list[int]]] = []
 
     def close() -> pa.RecordBatch:
-        rows = [(key[0], key[1], *v) for v in votes(pivot, iter(group))] if pivot and group else []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["host", "layout", "node", "code", "pages", "texts", "back"])
+        rows = [(key[0], key[1], n, c, k) for (n, c), k in votes(pivot, iter(group)).items()]
+        group.clear()
+        return _frame(rows, ["host", "layout", "node", "code", "pages"], [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
     for batch in batches:
         for row in zip(*(batch[c].to_pylist() for c in names)):
             if row[:3] != key:
-                if key:
+                if group:
                     yield close()
-                key, pivot, seen, group = row[:3], None, None, []
-            tree = (Tree(row[5], row[6]), row[7], row[8])
+                key, pivot, seen = row[:3], None, None
             if row[3] == 0:
-                pivot = tree
+                pivot = Tree(row[5], row[6])
             elif pivot and row[4] != seen:
                 seen = row[4]
-                group.append(tree)
-    if key:
+                group.append((Tree(row[5], row[6]), row[7], row[8]))
+                if len(group) == PART:
+                    yield close()
+    if group:
         yield close()
 
 
-def _parts(pages: DataFrame) -> DataFrame:
-    """(h, parts): in how many parts hosts go that are not one; at most 1/COLD rows of two numbers, so it may be broadcast."""
-    counted = pages.groupBy(F.xxhash64("host").alias("h")).agg(F.count("*").alias("n"))
+def _parts(pages: DataFrame, *keys: str) -> DataFrame:
+    """(h, parts): in how many parts hosts, or what has the same ``keys``, go that are not one; at most 1/COLD rows of two numbers, so it may be broadcast."""
+    counted = pages.groupBy(F.xxhash64(*(keys or ("host",))).alias("h")).agg(F.count("*").alias("n"))
     whole = counted.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
     large = counted.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").where((F.col("n") > PART) & (F.col("n") >= COLD * F.col("all")))
     return checkpointed(large.select("h", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
 
 
-def _in_part(rows: DataFrame, parts: DataFrame, by: Column) -> DataFrame:
-    """The rows with the part of their host that ``by`` chooses."""
-    own = rows.withColumn("h", F.xxhash64("host")).join(F.broadcast(parts), "h", "left").drop("h")
-    return own.withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+def _in_part(rows: DataFrame, parts: DataFrame, by: Column, name: str = "part", keys: tuple[str, ...] = ("host",)) -> DataFrame:
+    """The rows with the part that ``by`` chooses among those of their keys."""
+    own = rows.withColumn("h", F.xxhash64(*keys)).join(F.broadcast(parts), "h", "left").drop("h")
+    return own.withColumn(name, F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
 
+def _in_each_part(rows: DataFrame, parts: DataFrame, name: str = "part", keys: tuple[str, ...] = ("host",)) -> DataFrame:
+    """The rows once for each part of their keys."""
+    own = rows.withColumn("h", F.xxhash64(*keys)).join(F.broadcast(parts), "h", "left").drop("h")
+    return own.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
-def _in_each_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows once for each part of their host."""
-    own = rows.withColumn("h", F.xxhash64("host")).join(F.broadcast(parts), "h", "left").drop("h")
-    return own.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
+def outlines(pages: DataFrame) -> DataFrame:
+    """The skeletons of (host, part, html)."""
+    return checkpointed(pages.select("host", "part", "html").mapInArrow(_outlined, _OUTLINE))
 
-def wrappers(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """(host, layout, main, labels, parents, slots, nodes, codes) of each layout that has a wrapper, from (host, html) of all pages.
+
+def _told(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, slots, c) from the votes (keys, node, code, pages): the nodes that are template, and the (node, code) that are constant."""
+    is_text = F.col("code").isNotNull()
+    texts = F.sum(F.when(is_text, F.col("pages")).otherwise(0))
+    back = F.sum(F.when(is_text & (F.col("pages") > 1), F.col("pages")).otherwise(0))
+    nodes = counted.groupBy(*keys, "node").agg(F.sum(F.when(~is_text, F.col("pages"))).alias("seen"), (back >= RECUR * texts).alias("slot")).where(F.col("seen") >= PAGES)
+    often = counted.where(is_text & (F.col("pages") >= AGREE * PAGES)).select(*keys, "node", "code", "pages")
+    constant = ~F.col("slot") & (F.col("pages") >= AGREE * F.col("seen"))
+    return (
+        nodes.join(often, [*keys, "node"], "left").where(F.col("slot") | constant).groupBy(*keys)
+        .agg(F.collect_set(F.when(F.col("slot"), F.col("node"))).alias("slots"), F.collect_set(F.when(constant, F.struct("node", "code"))).alias("c"))
+    )
+
+
+def own_wrappers(trees: DataFrame) -> DataFrame:
+    """(host, layout, main, labels, parents, slots, nodes, codes) of each layout of a host that has a wrapper, from skeletons.
 
     labels and parents are the pivot's tree, slots its nodes that are template, (nodes, codes) the constant texts. ``main`` marks the commonest layout of the host.
     """
-    parts = _parts(pages) if parts is None else parts
-    trees = checkpointed(pages.select("host", "html").mapInArrow(_outlined, f"host string, layout long, ident long, {_TREE}"))
-    layouts = checkpointed(trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("ident", "labels", "parents", "nodes", "codes")).alias("pivot")))
-    hosts = layouts.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "layout"))["layout"].alias("common"))
-    known = layouts.join(hosts, "host").where((F.col("n") >= PAGES) & (F.col("n") >= LAYOUT * F.col("all")))
-    pivots = checkpointed(known.select("host", "layout", (F.col("layout") == F.col("common")).alias("main"), "pivot.*"))
-    tree = ["host", "layout", "ident", "labels", "parents", "nodes", "codes"]
-    both = _in_part(trees.select(*tree, F.lit(1).alias("kind")), parts, F.col("ident")).unionByName(_in_each_part(pivots.select(*tree, F.lit(0).alias("kind")), parts))
-    dealt = both.repartition("host", "layout", "part").sortWithinPartitions("host", "layout", "part", "kind", "ident")
-    said = dealt.mapInArrow(_aligned, "host string, layout long, node int, code long, pages long, texts long, back long")
-    counted = checkpointed(said.groupBy("host", "layout", "node", "code").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "back"))))
-    of_node = counted.where(F.col("code").isNull() & (F.col("pages") >= PAGES)).select("host", "layout", "node", F.col("pages").alias("seen"), (F.col("back") >= RECUR * F.col("texts")).alias("slot"))
-    found = of_node.join(counted.where("code is not null").select("host", "layout", "node", "code", "pages"), ["host", "layout", "node"], "left")
-    constant = ~F.col("slot") & (F.col("pages") >= AGREE * F.col("seen"))
-    told = found.where(F.col("slot") | constant).groupBy("host", "layout").agg(F.collect_set(F.when(F.col("slot"), F.col("node"))).alias("slots"), F.collect_set(F.when(constant, F.struct("node", "code"))).alias("c"))
-    return checkpointed(pivots.join(told, ["host", "layout"]).select("host", "layout", "main", "labels", "parents", "slots", F.col("c.node").alias("nodes"), F.col("c.code").alias("codes")))
+    layouts = checkpointed(trees.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("ident", *_TREE_NAMES)).alias("pivot")))
+    common = layouts.groupBy("host").agg(F.max(F.struct("n", "layout"))["layout"].alias("common"))
+    pivots = checkpointed(layouts.where(F.col("n") >= PAGES).join(common, "host").select("host", "layout", (F.col("layout") == F.col("common")).alias("main"), "pivot.*"))
+    keys = ("host", "layout")
+    parts = _parts(trees, *keys)
+    tree = [*keys, "ident", *_TREE_NAMES]
+    pages = trees.join(pivots.select(*keys), [*keys], "left_semi").select(*tree, F.lit(1).alias("kind"))
+    both = _in_part(pages, parts, F.col("ident"), "dealt", keys).unionByName(_in_each_part(pivots.select(*tree, F.lit(0).alias("kind")), parts, "dealt", keys))
+    dealt = both.repartition(*keys, "dealt").sortWithinPartitions(*keys, "dealt", "kind", "ident")
+    said = dealt.mapInArrow(_aligned, "host string, layout long, node int, code long, pages long")
+    counted = checkpointed(said.groupBy(*keys, "node", "code").agg(F.sum("pages").alias("pages")))
+    told = _told(counted, *keys)
+    return checkpointed(pivots.join(told, [*keys]).select(*keys, "main", "labels", "parents", "slots", F.col("c.node").alias("nodes"), F.col("c.code").alias("codes")))
+
+
+def shared_wrappers(trees: DataFrame) -> DataFrame:
+    """(shape, slots, nodes, codes) of each tree that has a wrapper, over all hosts, from skeletons. Equal trees need no alignment: a node is itself."""
+    once = trees.where(F.size("labels") >= RICH).groupBy("shape", "ident").agg(F.min(F.struct("nodes", "codes")).alias("t"))
+    texts = F.array_distinct(F.arrays_zip(F.col("t.nodes").alias("node"), F.col("t.codes").alias("code")))
+    nodes = F.transform(F.array_distinct("t.nodes"), lambda n: F.struct(n.alias("node"), F.lit(None).cast("long").alias("code")))
+    counted = checkpointed(once.select("shape", F.explode(F.concat(nodes, texts)).alias("x")).groupBy("shape", "x.node", "x.code").agg(F.count("*").alias("pages")))
+    return checkpointed(_told(counted, "shape").select("shape", "slots", F.col("c.node").alias("nodes"), F.col("c.code").alias("codes")))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """The wrappers of hosts from (host, html) of all pages; see own_wrappers."""
+    return own_wrappers(outlines(pages.withColumn("part", F.lit(0))))
 
 
 def _read(hints: bool):
-    """The texts of pages, from rows sorted by part, the wrappers of its host first."""
-    names = ["host", "part", "kind", "page_id", "url", "html", "layout", "main", "labels", "parents", "slots", "nodes", "codes"]
+    """The texts of pages, from rows sorted by part, the wrappers that its pages may need first."""
+    names = ["host", "part", "kind", "page_id", "url", "html", "layout", "shape", "main", "labels", "parents", "slots", "nodes", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, common = None, {}, None
+        key, own, common, shared = None, {}, None, {}
         for batch in batches:
             out = []
             for row in zip(*(batch[c].to_pylist() for c in names)):
                 if row[:2] != key:
-                    key, own, common = row[:2], {}, None
+                    key, own, common, shared = row[:2], {}, None, {}
                 if row[2] == 0:
-                    own[row[6]] = (Tree(row[8], row[9]), set(row[10]), set(zip(row[11], row[12])))
-                    common = own[row[6]] if row[7] else common
+                    told = set(row[11]), set(zip(row[12], row[13]))
+                    if row[7] is not None:
+                        shared[row[7]] = told
+                    else:
+                        own[row[6]] = (Tree(row[9], row[10]), *told)
+                        common = own[row[6]] if row[8] else common
                     continue
                 page = Page(row[5])
-                wrapper = own.get(page.layout(), common) if own else None
-                text = "\n".join(kept_blocks(page, template_blocks(page, wrapper), hints))
+                template = template_blocks(page, own.get(page.layout(), common) if own else None, shared.get(page.shape()) if shared else None, row[0])
+                text = "\n".join(kept_blocks(page, template, hints))
                 out.append((row[3], row[4], text, len(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, [pa.int64(), pa.string(), pa.string(), pa.int64()])], ["page_id", "url", "text", "n_chars"])
+            yield _frame(out, ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()])
 
     return run
 
@@ -216,7 +263,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     parts = _parts(own)
-    known = _in_each_part(wrappers(own, parts), parts).withColumn("kind", F.lit(0))
-    read = _in_part(own, parts, F.struct("page_id", "url")).withColumn("kind", F.lit(1))
-    both = read.unionByName(known, allowMissingColumns=True)
+    read = _in_part(own, parts, F.struct("page_id", "url"))
+    trees = outlines(read)
+    of_host, of_tree = own_wrappers(trees), shared_wrappers(trees)
+    salt = F.pmod(F.xxhash64("host", "part"), F.lit(SALTS)).cast("int")
+    salted = of_tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = (
+        trees.select("host", "part", "layout").distinct().join(of_host, ["host", "layout"])
+        .unionByName(_in_each_part(of_host.where("main"), parts))
+        .unionByName(trees.select("host", "part", "shape").distinct().withColumn("salt", salt).join(salted, ["shape", "salt"]).drop("salt"), allowMissingColumns=True)
+    )
+    both = read.withColumn("kind", F.lit(1)).unionByName(known.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     return both.repartition("host", "part").sortWithinPartitions("host", "part", "kind").mapInArrow(_read(hints), "page_id long, url string, text string, n_chars long")

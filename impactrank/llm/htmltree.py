@@ -100,6 +100,10 @@ class Tree:
                 return code_of("\n".join(sorted(found)))
         return 0
 
+    def shape(self) -> int:
+        """A hash of the whole tree."""
+        return code_of("\n".join([*self.labels, *map(str, self.parents)]))
+
 
 class Page(Tree):
     """A page's blocks in order: ``texts``, the ``nodes`` they stand at and their ``flags``."""

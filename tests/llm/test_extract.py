@@ -1,5 +1,6 @@
 import collections
 import html
+import pathlib
 import random
 import re
 import time
@@ -195,3 +196,69 @@ def test_wrappers_alone_find_the_articles_of_large_hosts(spark):
         assert got[i].split("\n") == re.findall("<p>([a-h ]+)</p>", page)
     parts = E._parts(frame.withColumn("host", E.host_of(F.col("url")))).collect()
     assert [r.parts for r in parts] == [3]
+
+
+def test_wrappers_alone_decide_the_given_pages(spark, sf_dir):
+    """Without a look at tags or class names all pages are their article; without wrappers, none is. Fifty pages show none: shells come from one of 60."""
+    sf_dir = pathlib.Path(sf_dir).with_name("sf0.01")
+    pages = {r["page_id"]: r["html"] for r in table(sf_dir, "pages")}
+    got = {r.page_id: r.text for r in E.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), hints=False).collect()}
+    assert got == {i: article_of(page) for i, page in pages.items()}
+    assert not any(E.main_text(page, hints=False) == article_of(page) for page in pages.values())
+
+
+THEME = "<body><div class='t'><span>{menu}</span><em>x</em></div><div class='b'><b>by {host}</b></div><section class='s'><h2>{head}</h2><p>{one}</p></section><section class='z'><dl><dt>{foot}</dt></dl></section></body>"
+
+
+def themed(n, seed, hosts):
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    for i in range(n):
+        host = f"h{draw.randrange(hosts)}.example.org"
+        head, one = word(), f"{word()} {word()}"
+        page = THEME.format(menu=f"menu {i % 7}", host=host, head=head, one=one, foot=f"all rights {i % 3}")
+        yield i, f"http://www.{host}/{i}", page, f"{head}\n{one}"
+
+
+def test_hosts_of_one_theme_share_a_wrapper(spark):
+    """One page a host at most times: what recurs over hosts goes, the host's own name too; a tree that hosts share by chance takes nothing."""
+    pages = list(themed(120, 4, 100))
+    bland = [(1000 + i, f"http://p{i}.example.net/", f"<body><p>said by all {i % 2}</p><div>own {i}</div></body>") for i in range(40)]
+    frame = spark.createDataFrame([p[:3] for p in pages] + bland, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in E.extract_text(frame, hints=False).collect()}
+    assert all(got[i] == text for i, _, _, text in pages)
+    assert got[1003] == "said by all 1\nown 3"
+
+
+def test_shared_wrappers_equal_a_plain_count(spark):
+    pages = list(themed(90, 6, 30))
+    frame = spark.createDataFrame([p[:3] for p in pages] * 2, "page_id long, url string, html string").withColumn("host", E.host_of(F.col("url"))).withColumn("part", F.lit(0))
+    (found,) = E.shared_wrappers(E.outlines(frame)).collect()
+    held, at = collections.Counter(), collections.Counter()
+    for _, url, text, _ in pages:
+        page = T.Page(text)
+        own = set(zip(page.nodes, E.codes_of(page, url.split("/")[2])))
+        held.update(own)
+        at.update({n for n, _ in own})
+        assert page.shape() == found["shape"]
+    back = lambda n: sum(k for (m, _), k in held.items() if m == n and k > 1) / sum(k for (m, _), k in held.items() if m == n)
+    assert set(found.slots) == {n for n in at if back(n) >= E.RECUR} and found.slots
+    assert set(zip(found.nodes, found.codes)) == {(n, c) for (n, c), k in held.items() if n not in found.slots and k >= E.AGREE * at[n]}
+
+
+def test_a_wrapper_is_the_same_beside_other_hosts(spark):
+    """A layout of 2 % of a large host loses an advert of a long rotation as it does alone; other hosts change no wrapper."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    rare = [("h.example.org", f"<body><main><div>buy ware {i % 20}</div><p>{word()} {word()}</p></main><i>x</i></body>") for i in range(100)]
+    common = [("h.example.org", f"<body><section><h2>{word()}</h2><p>{word()} {word()}</p></section></body>") for i in range(1900)]
+    others = [(f"o{i % 50}.example.org", f"<body><div><h2>{word()}</h2></div></body>") for i in range(500)]
+    layout = T.Page(rare[0][1]).layout()
+
+    def wrapper(pages):
+        rows = E.wrappers(spark.createDataFrame(pages, "host string, html string")).where(F.col("host") == "h.example.org").where(F.col("layout") == layout).collect()
+        return [(r.labels, sorted(r.slots), sorted(zip(r.nodes, r.codes))) for r in rows]
+
+    alone = wrapper(rare)
+    assert len(alone) == 1 and alone[0][1]
+    assert wrapper(rare + common) == wrapper(rare + common + others) == alone
