@@ -1,4 +1,7 @@
-"""Fixed values: (label, text) of public licences. Short licences stand whole, of long ones the notices and the paragraphs that name their terms."""
+"""Fixed values: (label, text) of public licences. Short licences stand whole, of long ones the notices and the paragraphs that name their terms; whole
+long ones are the files of folder ``licences``. Lines that do no more than name a licence are kept apart."""
+
+from importlib.resources import files
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
 _MIT_NOTICE = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -36,7 +39,10 @@ TEXTS = [
     ("cc0", """The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."""),
     ("cc-by", """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons"""),
     ("cc-by-sa", """This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons"""),
-    # lines that name a licence
+]
+
+#: Lines that name a licence.
+LINES = [
     ("mit", "released under the MIT License"),
     ("mit", "licensed under the MIT License"),
     ("apache", "licensed under the Apache License, Version 2.0"),
@@ -55,3 +61,22 @@ TEXTS = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 ]
+
+#: The files of whole licences with their labels.
+WHOLE_FILES = {
+    "Apache-2.0": "apache",
+    "Artistic": "artistic",
+    "CC0-1.0": "cc0",
+    "GFDL-1.3": "gfdl",
+    "GPL-2": "gpl",
+    "GPL-3": "gpl",
+    "LGPL-2.1": "lgpl",
+    "LGPL-3": "lgpl",
+    "MPL-2.0": "mpl",
+}
+
+
+def bodies() -> list[tuple[str, str]]:
+    """(label, text) of the whole licences."""
+    folder = files(__package__) / "licences"
+    return [(label, (folder / f"{name}.txt").read_text("utf-8")) for name, label in WHOLE_FILES.items()]

@@ -3,7 +3,8 @@
 The automaton holds every run of words that stands in any template. A text is streamed through it
 once: at each word it gives the longest run that ends there, the shorter ones by suffix links, and where they stand in the templates
 (matching statistics). So every template has its own runs, those that can't grow in it, though another template may hold a longer one. Long runs that follow each other both in the text and in a template are
-chained into spans; a span that covers enough of a template is a finding.
+chained into spans; a span that covers enough of a template is a finding. Templates are whole licences, notices and paragraphs, and lines
+that name a licence; every label says what it comes from.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import NOT_WORD, id_text, text_bytes
-from .licencetexts import TEXTS
+from .licencetexts import LINES, TEXTS, bodies
 
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates with their labels.
-TEMPLATES = TEXTS
+#: Templates with their labels, and of which kind they are.
+TEMPLATES = [*TEXTS, *LINES, *(_bodies := bodies())]
+KINDS = ["notice"] * len(TEXTS) + ["line"] * len(LINES) + ["body"] * len(_bodies)
 #: Words of the shortest run that a chain uses, words that may lie between two runs, and the part of a template to be covered; a template of fewer than ``WHOLE`` words must be covered whole.
 RUN, GAP, COVERED, WHOLE = 3, 6, 0.8, 20
+#: Words from which on a template is long; runs and gaps in chains of long ones, where short runs have too many places and say little.
+LONG, LONG_RUN, LONG_GAP = 500, 8, 24
 _TABLE = bytes(0x20 if NOT_WORD[i] else i for i in range(256))
 
 
@@ -49,6 +53,8 @@ class Automaton:
         self.ids: dict[bytes, int] = {}
         self.states = [State(0)]
         self.sizes = [len(s) for s in sequences]
+        self.least = [LONG_RUN if n >= LONG else RUN for n in self.sizes]
+        self.gaps = [LONG_GAP if n >= LONG else GAP for n in self.sizes]
         for number, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
@@ -118,12 +124,14 @@ class Automaton:
         return out
 
     def runs_by_template(self, words: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
-        """For each template its runs of ``RUN`` words or more that stop growing: (start, place, length) for every place where one stands in it."""
+        """For each template its runs of ``RUN`` words (``LONG_RUN`` for long ones) or more that stop growing: (start, place, length) for every place where one stands in it."""
         out: dict[int, list[tuple[int, int, int]]] = {}
         states, at, length = self.states, 0, 0
         before: dict[int, tuple[int, int]] = {}  # template: length and state of its run that ends at the word before
 
         def end(i: int, number: int, held: int, state: int) -> None:
+            if held < self.least[number]:
+                return
             own = out.setdefault(number, [])
             own += [(i - held, stop - held, held) for n, stop in states[state].places if n == number]
 
@@ -154,14 +162,15 @@ class Automaton:
         pieces = self.runs_by_template(words)
         out = []
         for number, own in pieces.items():
+            gap = self.gaps[number]
             need = COVERED * self.sizes[number] if self.sizes[number] >= WHOLE else self.sizes[number]
             chains: list[list[int]] = []  # open chains: text start, text end, template end, covered words
             for start, place, length in sorted(own):
-                chains = [c for c in chains if start - c[1] <= GAP or self._finish(c, number, need, out)]
+                chains = [c for c in chains if start - c[1] <= gap or self._finish(c, number, need, out)]
                 best = None
                 for c in chains:
                     fresh = length - max(0, c[1] - start, c[2] - place)  # what does not overlap the chain
-                    if fresh > 0 and abs((place - c[2]) - (start - c[1])) <= GAP and place + length > c[2] and (best is None or c[3] + fresh > best[0]):
+                    if fresh > 0 and abs((place - c[2]) - (start - c[1])) <= gap and place + length > c[2] and (best is None or c[3] + fresh > best[0]):
                         best = (c[3] + fresh, c)
                 if best:
                     chains.append([best[1][0], start + length, place + length, best[0]])
@@ -219,26 +228,28 @@ def scan(text: bytes) -> dict:
                 places.append(at + 1 - len(phrase))
                 labels.add(label)
     spans = best_spans(_KNOWN[0].spans(words))
-    every = labels | {TEMPLATES[n][0] for n, *_ in spans}
+    said = {(label, "phrase") for label in labels} | {(TEMPLATES[n][0], KINDS[n]) for n, *_ in spans}
     return {
         "n_words": len(words),
         "n_base": len(places),
         "first_word": min(places, default=None),
         "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(labels)),
-        "labels": ",".join(sorted(every)),
+        "labels": ",".join(sorted({label for label, _ in said})),
         "score": max([c for *_, c in spans], default=0.5 if places else 0.0),
         "spans": [{"label": TEMPLATES[n][0], "template": n, "start": a, "end": b, "covered": c} for n, a, b, c in spans],
+        "found_by": ",".join(sorted(f"{label}:{kind}" for label, kind in said)),
     }
 
 
 _SPAN = pa.struct([("label", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.float64())])
-_SCHEMA = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(_SPAN)}
+_SCHEMA = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(_SPAN), "found_by": pa.string()}
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, labels and spans of every document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+    """Counts, labels and spans of every document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans, found_by.
 
+    found_by names each label with what it was found by: a whole licence (body), a notice or paragraph (notice), a line that names it (line) or a base phrase (phrase).
     The score is the largest covered part of a template; 0.5 where a phrase alone is found, 0 where nothing
     is. Null and empty texts have no words. Repeated rows and null ids stay; other columns are ignored; an empty table gives an empty result.
     """
@@ -250,4 +261,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols], ["doc_id", *_SCHEMA])
 
     span = "array<struct<label: string, template: int, start: long, end: long, covered: double>>"
-    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}")
+    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {span}, found_by string")

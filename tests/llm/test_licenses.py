@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 from conftest_data import documents
 from impactrank.llm import licenses as L
 from impactrank.llm.queries import op2_license_scan
@@ -118,3 +120,52 @@ def test_variants_are_told_apart():
                 found = L.scan(text.encode())
                 assert {f["label"] for f in found["spans"]} == {label} and set(found["labels"].split(",")) == {label, *found["base_labels"].split(",")} - {""}, text
     assert L.scan(b"licensed under the GNU Lesser General Public License")["labels"] == "gpl,lgpl"  # the base phrase stays
+
+
+def test_coverage_after_edits_is_what_the_edits_left():
+    """Words changed at random: a template is found where the runs that are left cover enough of it with no long gap between them, never where the words left don't, and its score lies between both."""
+    chance = random.Random(11)
+    L.scan(b"")
+    found = 0
+    for number, (label, text) in enumerate(L.TEMPLATES):
+        words = L.tokens(text.encode())
+        size, long = len(words), len(words) >= L.LONG
+        least, widest, need = L.LONG_RUN if long else L.RUN, L.LONG_GAP if long else L.GAP, L.COVERED if size >= L.WHOLE else 1
+        for rate in (0.01, 0.03, 0.1, 0.3):
+            own = [w if chance.random() >= rate else b"zzz" for w in words]
+            marks = "".join("-" if w == b"zzz" else "w" for w in own)
+            runs = [m.span() for m in re.finditer(f"w{{{least},}}", marks)]
+            lower, upper = sum(e - s for s, e in runs) / size, marks.count("w") / size
+            near = all(after[0] - before[1] <= widest for before, after in zip(runs, runs[1:]))
+            text = b" ".join(own)
+            covered = max((c for n, _, _, c in L._KNOWN[0].spans(L.tokens(text)) if n == number), default=None)
+            if lower >= need and near:
+                got = L.scan(b"before it " + text + b" after")
+                assert covered is not None and covered >= lower - 1e-9 and got["score"] >= lower - 1e-9, (label, number, rate)
+                found += 1
+            if covered is not None:
+                assert need <= covered <= upper + 1e-9, (label, number, rate)
+    assert found > len(L.TEMPLATES)
+
+
+def test_whole_licences_are_found_as_bodies():
+    chance = random.Random(5)
+    for label, text in L.bodies():
+        words = text.split()
+        for at in range(chance.randrange(40), len(words), 40):
+            words[at] = "Changed"
+        got = L.scan(" ".join(["A", "file", *words, "end"]).encode())
+        assert f"{label}:body" in got["found_by"].split(",") and got["score"] > 0.8, label
+        quarter = L.scan(" ".join(words[: len(words) // 4]).encode())
+        assert f"{label}:body" not in quarter["found_by"].split(",")
+    assert L.scan(b"it is released under the MIT License here")["found_by"] == "mit:line,mit:phrase"
+    assert L.scan(b"see the mit license")["found_by"] == "mit:phrase" and L.scan(b"nothing")["found_by"] == ""
+
+
+@pytest.mark.parametrize("unit", ["of the license ", "the ", "the terms of this license and the program or any work based on it ", "licensed under the ", "a b c d e "])
+def test_hostile_texts_take_linear_time(unit):
+    text = (unit * (1_000_000 // len(unit))).encode()
+    L.scan(b"warm")
+    began = time.perf_counter()
+    L.scan(text)
+    assert time.perf_counter() - began < 60
