@@ -14,6 +14,8 @@ from .common import checkpointed
 
 #: Turns whose calls one task numbers.
 SPAN = 256
+#: The turn of calls that have none: before all others.
+NO_TURN = -(2**63)
 #: A schema's types and the variant types that fit them.
 FITS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
@@ -113,23 +115,25 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
     status: ok, invalid (errors say why), cycle (it needs itself, through others or not, or follows one that does), unanswered, or orphan for a result whose call is missing. Of calls or results that repeat an
     id in a conversation the first by turn counts (then by content). Needs of unknown ids are ignored. Null conversations are
-    left out, null call ids too. Empty tables give an empty result. position counts a conversation's calls from 0 in their order.
+    left out, null call ids too. Calls and results without a turn stand before all others and keep a null turn; null arguments are no object, a null tool is
+    unknown, null needs are none, and a schema's parameter without a type fits every value. Empty tables give an empty result. position counts a conversation's calls from 0 in their order.
     """
     keys = ["conv_id", "call_id"]
     named = lambda df: df.where("conv_id is not null and call_id is not null")
-    one = named(calls).groupBy(keys).agg(F.min(F.struct("turn", "arguments", "tool", "needs")).alias("c")).select(*keys, "c.*")
+    one = named(calls).withColumn("turn", F.coalesce("turn", F.lit(NO_TURN))).groupBy(keys).agg(F.min(F.struct("turn", "arguments", "tool", "needs")).alias("c")).select(*keys, "c.*")
     one = checkpointed(one)
-    answer = named(results).groupBy(keys).agg(F.min(F.struct("turn", "content")).alias("r")).select(*keys, F.col("r.turn").alias("result_turn"), "r.content")
+    answer = named(results).groupBy(keys).agg(F.min(F.struct("turn", "content")).alias("r")).select(*keys, F.col("r.turn").alias("result_turn"), "r.content", F.lit(True).alias("answered"))
     placed = ordered(one).withColumn("span", F.floor(F.col("late") / SPAN))
     spans = placed.groupBy("conv_id", "span").agg(F.count("*").alias("n"))
     spans = spans.select("conv_id", "span", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("conv_id", "span").orderBy("late", "step", "call_id"))
     placed = placed.withColumn("within", within).join(spans, ["conv_id", "span"]).withColumn("position", F.col("before") + F.col("within") - 1)
     linked = placed.join(argument_errors(one, schemas), keys, "left").join(answer, keys, "left")
-    status = F.when(F.col("cyclic"), "cycle").when(F.col("errors").isNotNull(), "invalid").when(F.col("result_turn").isNull(), "unanswered").otherwise("ok")
+    status = F.when(F.col("cyclic"), "cycle").when(F.col("errors").isNotNull(), "invalid").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
     parsed = F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.lit("null")))
     record = F.to_json(F.struct(parsed.alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("position"), F.col("content").alias("result"), F.col("tool")), {"ignoreNullFields": "false"})
-    out = linked.select(*keys, "position", "turn", "tool", status.alias("status"), "errors", "result_turn", record.alias("record"))
+    turn = F.when(F.col("turn") != NO_TURN, F.col("turn"))
+    out = linked.select(*keys, "position", turn.alias("turn"), "tool", status.alias("status"), "errors", "result_turn", record.alias("record"))
     orphan = answer.join(one.select(keys), keys, "left_anti").select(*keys, F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("tool"), F.lit("orphan").alias("status"), F.lit(None).cast("string").alias("errors"), "result_turn", F.lit(None).cast("string").alias("record"))
     return out.unionByName(orphan)
 

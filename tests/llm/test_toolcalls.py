@@ -93,3 +93,33 @@ def test_long_reversed_chains_and_cycles(spark):
 
         want = sorted(own, key=lambda n: (*place(n), n))
         assert sorted(own, key=lambda n: got[conv, n].position) == want
+
+
+def test_nulls_in_every_column(spark):
+    """Calls without turn, tool, arguments or needs, or with null, empty and repeated needs, stay; a result without a turn or text is a result."""
+    calls = [
+        (1, None, "a", "f", '{"x": "1"}', None),
+        (1, 0, "b", None, '{"x": "1"}', []),
+        (1, 1, "c", "f", None, [None, "", "d", "d"]),
+        (1, 2, "d", "f", "", ["a", None]),
+        (1, 3, "e", "f", "null", ["a"]),
+        (1, None, "g", "f", '{"x": null, "z": 1}', ["b"]),
+        (1, 4, "g", "f", '{"x": "later"}', []),
+        (1, 5, "", "f", '{"x": "1"}', []),
+    ]
+    schemas = [("f", "x", "string", True), ("f", "z", None, None), (None, "x", "string", True), ("f", None, "string", False)]
+    got = linked(spark, calls, [(1, None, "a", None), (1, 6, "e", None), (1, None, "none", "r"), (None, 1, "a", "r"), (1, 1, None, "r")], schemas)
+    assert set(got) == {(1, k) for k in ("a", "b", "c", "d", "e", "g", "", "none")}
+    assert [got[1, k].position for k in ("a", "b", "g", "d", "e", "", "c")] == list(range(7))
+    assert {k: (r.status, r.errors) for (_, k), r in got.items()} == {
+        "a": ("ok", None),
+        "b": ("invalid", "unknown tool"),
+        "c": ("invalid", "arguments are no object"),
+        "d": ("invalid", "arguments are no object"),
+        "e": ("invalid", "arguments are no object"),
+        "g": ("invalid", "x is no string"),
+        "": ("unanswered", None),
+        "none": ("orphan", None),
+    }
+    assert got[1, "a"].turn is None and got[1, "a"].result_turn is None and got[1, "g"].turn is None and got[1, "d"].turn == 2
+    assert got[1, "e"].record == '{"arguments":null,"call_id":"e","conv_id":1,"position":4,"result":null,"tool":"f"}'
