@@ -113,7 +113,7 @@ def test_nulls_in_every_column(spark):
     assert [got[1, k].position for k in ("a", "b", "g", "d", "e", "", "c")] == list(range(7))
     assert {k: (r.status, r.errors) for (_, k), r in got.items()} == {
         "a": ("ok", None),
-        "b": ("invalid", "unknown tool"),
+        "b": ("invalid", "unknown tool; unknown x"),
         "c": ("invalid", "arguments are no object"),
         "d": ("invalid", "arguments are no object"),
         "e": ("invalid", "arguments are no object"),
