@@ -47,13 +47,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 60
     """
     held: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for k in (0, 1):
-        p, u = np.arange(len(positive)) % 2 == k, np.arange(len(unlabelled)) % 2 == k
-        x = np.vstack([positive[p], unlabelled[u]])
-        y = np.concatenate([np.ones(p.sum()), np.zeros(u.sum())])
-        share = np.where(y == 1, 0.5 / max(1, p.sum()), 0.5 / max(1, u.sum()))
+        p, u = positive[k::2], unlabelled[k::2]
+        x = np.vstack([p, u])
+        y = np.concatenate([np.ones(len(p)), np.zeros(len(u))])
+        share = np.where(y == 1, 0.5 / max(1, len(p)), 0.5 / max(1, len(u)))
         weights = descend(x, lambda z, y=y, share=share: (sigmoid(z) - y) * share, steps, 0.05)
-        held[True].append(positive[~p] @ weights)
-        held[False].append(unlabelled[~u] @ weights)
+        held[True].append(positive[1 - k :: 2] @ weights)
+        held[False].append(unlabelled[1 - k :: 2] @ weights)
     p, u = np.sort(np.concatenate(held[True])), np.sort(np.concatenate(held[False]))
     if not len(p) or not len(u):
         return 0.5
@@ -81,7 +81,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def sample_features(docs: DataFrame, roles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and roles of the sampled documents, one text of each id. ``roles``: (doc_id, role int), of a size that the callers bound."""
+    """Features and roles of the sampled documents, one text of each id, by rising role. ``roles``: (doc_id, role int), of a size that the callers bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +92,15 @@ def sample_features(docs: DataFrame, roles: DataFrame) -> tuple[np.ndarray, np.n
 
     one = docs.join(F.broadcast(roles), "doc_id").groupBy("doc_id", "role").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = one.mapInArrow(run, "role int, x binary").toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, features.WIDTH).astype(np.float32)
     role = got["role"].to_numpy()
+    half = np.empty((len(role), features.WIDTH), np.float16)
+    for i, row in enumerate(got["x"]):  # row by row: the driver holds the sample as it came and one copy
+        half[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
+    x = half.astype(np.float32)
     order = np.lexsort((x @ np.linspace(1, 2, features.WIDTH, dtype=np.float32), role))  # the same whatever task ends first
-    return x[order], role[order]
+    x[:] = half[order]
+    return x, role[order]
 
 
 def score_column(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -117,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda ids, n, role: ids.where(fold(F.col("doc_id"), 3) != 1).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
     trusted = labels.where("quality = 1").select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
     x, role = sample_features(own, pick(trusted, positives, 1).unionByName(pick(own.select("doc_id"), unlabelled, 0)))
-    positive, free = x[role == 1], x[role == 0]
+    free, positive = np.split(x, [int((role == 0).sum())])  # rows come by role, so both are views
     if len(positive) < 2 or len(free) < 2:
         return np.zeros(features.WIDTH)
     return fit(positive, free, estimate_prior(positive, free))

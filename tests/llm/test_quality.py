@@ -86,3 +86,26 @@ def test_a_repeated_id_is_sampled_once(spark):
     docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2).alias("text"))
     x, role = sample_features(docs, spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, role int"))
     assert len(x) == 2 and sorted(role) == [0, 1] and (x[0] == x[1]).all()
+
+
+def test_driver_holds_the_sample_at_most_twice(spark):
+    import tracemalloc
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = 0
+    fit = pu.fit
+
+    def watched(positive, free, *more):
+        nonlocal held
+        held = positive.nbytes + free.nbytes
+        return fit(positive, free, *more)
+
+    tracemalloc.start()
+    try:
+        pu.fit = watched
+        pu.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        pu.fit = fit
+        tracemalloc.stop()
+    assert held > 40_000_000 and peak < 2.4 * held
