@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from impactrank.shared import written
 
 from .index import BODY_BITS, Index, block_of
+from .scoring import scores
 
 #: Postings of a query that the first round of early termination reads at least (two megabytes, less work than starting a round), and by how much a round reads more than the one before.
 FIRST_ROUND, GROWTH = 1 << 18, 8
@@ -60,13 +61,12 @@ def within_budget(plan: DataFrame, budget: int | None) -> DataFrame:
     return plan if budget is None else plan.where(F.col("cum_freq") <= budget)
 
 
-def accumulate(plan: DataFrame, index: Index) -> DataFrame:
-    """(query_id, docid, rsv): the sum of impacts over the chosen segments, each occurrence of a term counted.
+def accumulate(plan: DataFrame, index: Index, k: int | None = None) -> DataFrame:
+    """(query_id, docid, rsv): the sum of impacts over the chosen segments, each occurrence of a term counted; with ``k`` at least the k best of each query.
 
     Equal (query, term, impact) segments are first counted, so a repeated term is joined once.
     """
-    chosen = plan.groupBy("query_id", "term", "impact").agg(F.count("*").alias("times"))
-    return index.hits(chosen).groupBy("query_id", "docid").agg(F.sum(F.col("impact").cast("long") * F.col("times")).alias("rsv"))
+    return scores(plan.groupBy("query_id", "term", "impact").agg(F.count("*").alias("times")), index, k)
 
 
 def top_k(scores: DataFrame, k: int, cuts: list[int] | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None
     plan = within_budget(segment_plan(qterms, index.heads), budget if mode == "anytime" else None)
     if watch is not None:
         plan = plan.observe(watch, F.count(F.when(F.col("seq") == 1, 1)).alias("topics"), F.count("*").alias("segments"), F.sum("freq").alias("postings"), F.sum(F.lit(0)).alias("checks"), F.sum(F.lit(0)).alias("stops"))
-    return top_k(accumulate(plan, index), k, index.cuts)
+    return top_k(accumulate(plan, index, k), k, index.cuts)
 
 
 def score_gaps(run: DataFrame) -> DataFrame:
