@@ -18,6 +18,8 @@ PER_WORD = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WORD_BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Bit widths of a 128-bit block; width 0 means a block of ones.
 BLOCK_BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 21, 32)
+#: Docids that are coded at once, a longer row alone, and blocks whose bits are taken apart at once: what a task holds beside its batch.
+AT_ONCE, BLOCKS_AT_ONCE = 1 << 17, 1 << 12
 
 
 def delta(values: np.ndarray, stride: int = 1) -> np.ndarray:
@@ -92,15 +94,22 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _bits_packed(values: np.ndarray, bits: int, room: int) -> np.ndarray:
     """Rows of numbers as rows of ``room`` bytes, the first number in the lowest bits."""
-    flags = ((values[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(values), -1)
-    out = np.zeros((len(values), 8 * room), np.uint8)
-    out[:, : flags.shape[1]] = flags
-    return np.packbits(out, axis=1, bitorder="little")
+    out = np.zeros((len(values), room), np.uint8)
+    for i in range(0, len(values), BLOCKS_AT_ONCE):
+        own = values[i : i + BLOCKS_AT_ONCE]
+        flags = np.zeros((len(own), 8 * room), np.uint8)
+        flags[:, : own.shape[1] * bits] = ((own[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(own), -1)
+        out[i : i + BLOCKS_AT_ONCE] = np.packbits(flags, axis=1, bitorder="little")
+    return out
 
 
 def _bits_unpacked(rows: np.ndarray, many: int, bits: int) -> np.ndarray:
-    flags = np.unpackbits(rows, axis=1, bitorder="little")[:, : many * bits].reshape(len(rows), many, bits).astype(np.int64)
-    return (flags << np.arange(bits)).sum(axis=2)
+    out = np.zeros((len(rows), many), np.int64)
+    for i in range(0, len(rows), BLOCKS_AT_ONCE):
+        own = rows[i : i + BLOCKS_AT_ONCE]
+        flags = np.unpackbits(own, axis=1, bitorder="little")[:, : many * bits].reshape(len(own), many, bits).astype(np.int64)
+        out[i : i + BLOCKS_AT_ONCE] = (flags << np.arange(bits)).sum(axis=2)
+    return out
 
 
 def _in_turn(groups: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> np.ndarray:
@@ -237,13 +246,25 @@ def _checked(docids: np.ndarray) -> np.ndarray:
     return docids
 
 
+def _portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``AT_ONCE`` docids together; a row of more is one of its own."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+        yield begin, end
+        begin = end
+
+
 def encoded(bodies: DataFrame, codec: str) -> DataFrame:
     """(term, impact, block, codec, payload, n) of segment bodies (term, impact, block, docids)."""
     encode = CODECS[codec][0]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"term": part["term"], "impact": part["impact"], "block": part["block"], "codec": codec, "payload": encode([_checked(np.asarray(d, np.int64)) for d in part["docids"]]), "n": [len(d) for d in part["docids"]]})
+            sizes = part["docids"].map(len).to_numpy(np.int64)
+            for i, j in _portions(sizes):
+                own = part.iloc[i:j]
+                yield pd.DataFrame({"term": own["term"], "impact": own["impact"], "block": own["block"], "codec": codec, "payload": encode([_checked(np.asarray(d, np.int64)) for d in own["docids"]]), "n": sizes[i:j]})
 
     return bodies.select("term", "impact", "block", "docids").mapInPandas(run, "term string, impact int, block long, codec string, payload binary, n long")
 
@@ -253,11 +274,13 @@ def decoded(coded: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for codec, own in part.groupby("codec", sort=False):
-                docids = [v.tolist() for v in CODECS[codec][1]([bytes(p) for p in own["payload"]])]
-                yield pd.DataFrame({"term": own["term"], "impact": own["impact"], "block": own["block"], "docids": docids})
+            for codec, rows in part.groupby("codec", sort=False):
+                for i, j in _portions(rows["n"].to_numpy(np.int64)):
+                    own = rows.iloc[i:j]
+                    docids = CODECS[codec][1]([bytes(p) for p in own["payload"]])
+                    yield pd.DataFrame({"term": own["term"], "impact": own["impact"], "block": own["block"], "docids": pd.Series(docids, index=own.index, dtype=object)})
 
-    return coded.select("term", "impact", "block", "codec", "payload").mapInPandas(run, "term string, impact int, block long, docids array<long>")
+    return coded.select("term", "impact", "block", "codec", "payload", "n").mapInPandas(run, "term string, impact int, block long, docids array<long>")
 
 
 def vbyte_length(value: Column) -> Column:
