@@ -62,14 +62,17 @@ def log_add(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it: within a lambda Spark computes each mention anew."""
+    return F.transform(F.array(value), then)[0]
+
+
 def bisect_root(f, low: Column, high: Column, steps: int = 60) -> Column:
     """A root of a rising Column function between two bounds by bisection."""
     span = F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
-        mid = (s["low"] + s["high"]) / 2
-        below = f(mid) < 0
-        return F.struct(F.when(below, mid).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(mid).alias("high"))
+        return let((s["low"] + s["high"]) / 2, lambda mid: F.when(f(mid) < 0, F.struct(mid.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high"))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), span, halve, lambda s: (s["low"] + s["high"]) / 2)
 
@@ -86,15 +89,13 @@ def regula_falsi_root(f, low: Column, high: Column, steps: int = 60) -> Column:
 
     def onward(s: Column) -> Column:
         c = F.when(s["fa"] == s["fb"], s["b"]).otherwise((s["a"] * s["fb"] - s["b"] * s["fa"]) / (s["fb"] - s["fa"]))
-        fc = f(c).cast("double")
-        upper = fc * s["fb"] > 0
-        return F.struct(
-            F.when(upper, s["a"]).otherwise(c).alias("a"),
-            F.when(upper, F.when(s["side"] == 1, s["fa"] / 2).otherwise(s["fa"])).otherwise(fc).alias("fa"),
-            F.when(upper, c).otherwise(s["b"]).alias("b"),
-            F.when(upper, fc).otherwise(F.when(s["side"] == -1, s["fb"] / 2).otherwise(s["fb"])).alias("fb"),
-            F.when(upper, F.lit(1)).otherwise(F.lit(-1)).alias("side"),
-        )
+        return let(c, lambda c: let(f(c).cast("double"), lambda fc: at(s, c, fc)))
+
+    def at(s: Column, c: Column, fc: Column) -> Column:
+        state = lambda a, fa, b, fb, side: F.struct(a.alias("a"), fa.alias("fa"), b.alias("b"), fb.alias("fb"), F.lit(side).alias("side"))
+        upper = state(s["a"], F.when(s["side"] == 1, s["fa"] / 2).otherwise(s["fa"]), c, fc, 1)
+        lower = state(c, fc, s["b"], F.when(s["side"] == -1, s["fb"] / 2).otherwise(s["fb"]), -1)
+        return F.when(fc * s["fb"] > 0, upper).otherwise(lower)
 
     return _steps(steps, begin, onward, lambda s: F.when(F.abs(s["fa"]) < F.abs(s["fb"]), s["a"]).otherwise(s["b"]))
 
@@ -105,8 +106,8 @@ def secant_root(f, first: Column, second: Column, steps: int = 40) -> Column:
     begin = F.struct(first.alias("x"), second.alias("y"))
 
     def onward(s: Column) -> Column:
-        fx, fy = f(s["x"]).cast("double"), f(s["y"]).cast("double")
-        return F.struct(s["y"].alias("x"), F.when(fx == fy, s["y"]).otherwise(s["y"] - fy * (s["y"] - s["x"]) / (fy - fx)).alias("y"))
+        further = lambda fx, fy: F.when(fx == fy, s["y"]).otherwise(s["y"] - fy * (s["y"] - s["x"]) / (fy - fx))
+        return F.struct(s["y"].alias("x"), let(f(s["x"]).cast("double"), lambda fx: let(f(s["y"]).cast("double"), lambda fy: further(fx, fy))).alias("y"))
 
     return _steps(steps, begin, onward, lambda s: s["y"])
 
