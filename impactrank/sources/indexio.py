@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactrank.operators.index import Index, block_cuts, segment_postings, vocabulary, with_heads
-from impactrank.shared import checkpointed
+from impactrank.shared import written
 
 #: Postings of a folder, about, and the most folders.
 BUCKET_POSTINGS, MOST_BUCKETS = 1 << 20, 1 << 16
 
+#: Terms of a batch up to which they are sent to every task, so that bodies needn't be shuffled to meet them.
+SENT_TERMS = 1 << 17
+
 #: Columns of the parts in folders; an index of no postings has no folder to tell them.
 _SCHEMAS = {"bodies": "term string, impact int, block long, docids array<long>, freq long, pos long, before array<long>, bucket int", "segments": "term string, impact int, freq long, bucket int"}
 
@@ -29,8 +32,8 @@ def bucket(term: Column, buckets: int) -> Column:
 def write_index(index: Index, path: str, partitions: int | None = None, buckets: int | None = None) -> None:
     """Write bodies, headers, vocabulary and document list. Folders are as many as the postings need; within them rows are sorted by term, so a reader skips row groups too. Postings are computed once: the rest is read from the bodies."""
     spark = index.posts.sparkSession
-    cuts = block_cuts(index.docs)
-    bodies = checkpointed(segment_postings(index.posts, cuts).withColumn("freq", F.size("docids").cast("long")))
+    cuts = block_cuts(index.docs) if index.cuts is None else index.cuts
+    bodies = written((segment_postings(index.posts, cuts) if index.bodies is None else index.bodies).withColumn("freq", F.size("docids").cast("long")), "bodies")
     total = bodies.agg(F.sum("freq")).first()[0] or 0
     buckets = buckets or min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, total) / BUCKET_POSTINGS))))
 
@@ -60,6 +63,8 @@ def _of_terms(spark: SparkSession, path: str, part: str, qterms: DataFrame | Non
         rows = rows.where(F.col("bucket").isin(touched)) if len(touched) < buckets else rows
         few = int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
         named = [r[0] for r in terms.limit(few + 1).collect()]
+        if len(named) > few and terms.count() <= SENT_TERMS:
+            terms = F.broadcast(terms)
         rows = rows.where(F.col("term").isin(named)) if len(named) <= few else rows.join(terms, "term", "left_semi")
     return rows.drop("bucket")
 
