@@ -14,6 +14,7 @@ blocks, every pair of blocks to its own task, so no group must fit one task and
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import checkpointed, id_text, mix, slices, text_bytes, words
 BUCKET = 4096
 #: Fingerprints that the cost estimates look at. They steer cost alone: links are exact for any estimate.
 ESTIMATE = 2048
+#: Rows that a task of a narrow table has at least, where the table needs more tasks than there are cores; links up to which nodes are sent to them.
+TASK_ROWS, SENT_LINKS = 1 << 14, 1 << 17
 SEED = 42
 _U = np.uint64
 
@@ -212,6 +215,8 @@ def _links_of_runs(radius: int, most: int | None):
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within ``radius`` bits do. ``nodes``: distinct ``fp``."""
     n = nodes.count()
+    tasks = tasks_for(nodes, n)
+    nodes = nodes.coalesce(tasks)
     sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(ESTIMATE).collect()], np.int64).view(_U)
     masks = np.array(plan_masks(sample, n, radius), _U)
     salts = (np.arange(1, len(masks) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -226,7 +231,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], ["key", "fp"])
 
     dealt = nodes.select("fp").mapInArrow(probes, "key long, fp long")
-    first = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, BUCKET), "a long, b long, key long"))
+    first = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, BUCKET), "a long, b long, key long").coalesce(tasks_for(nodes, n * len(masks))))
     found = first.where("b is not null").select("a", "b")
     late = first.where("b is null").select("key", F.col("a").alias("fp"))
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 2)).alias("n"))
@@ -234,24 +239,35 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
         cut = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
         pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
         found = found.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, None), "a long, b long, key long").select("a", "b"))
-    return found.distinct()
+    return found.distinct().coalesce(tasks)
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """As many tasks as the session has cores, or as ``rows`` need: a small table in more partitions costs more to start than to compute."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, by alternating large-star and small-star steps, checkpointed each round."""
+    """(node, root) of every node with a link, by alternating large-star and small-star steps, checkpointed each round.
+
+    Each step gives every node a least neighbour. Of up to ``SENT_LINKS`` links these are sent to the links, else they meet by a shuffle.
+    """
     edges = checkpointed(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
-    mark = None
+    mark, n = None, edges.count()
     while True:
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        tasks, few = tasks_for(edges, n), n <= SENT_LINKS
+        sent = lambda told: F.broadcast(told.coalesce(tasks)) if few else told  # noqa: B023, E731
+        both = edges.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
+        large = both.join(sent(least), "u").where("v > u").select(F.col("m").alias("u"), "v")
+        large = large if few else large.distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y")).where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
-        edges = checkpointed(small)
+        small = large.join(sent(low), "v").select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y")).where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+        edges = checkpointed(small.coalesce(tasks))
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
@@ -378,18 +394,22 @@ def _links_of_blocks(least: float):
 def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
     """(id, same, grp, pivot) of all texts; grp is shared by texts that some fingerprint links. The pivot, null where a text is alone, is a text of the group's commonest fingerprint."""
     edges: DataFrame | None = None
+    n = texts.count()
+    tasks = tasks_for(texts, n)
+    texts = texts.coalesce(tasks)
+    sent = lambda told: F.broadcast(told) if n <= SENT_LINKS else told
     for s in range(PRINTS):
-        leaders = checkpointed(texts.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("id").alias("leader")))
-        within = texts.join(leaders, texts[f"fp{s}"] == leaders.fp).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        leaders = checkpointed(texts.groupBy(F.col(f"fp{s}").alias("fp")).agg(F.min("id").alias("leader")).coalesce(tasks))
+        within = texts.join(sent(leaders), texts[f"fp{s}"] == leaders.fp).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
         named = lambda side, leaders=leaders: leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_id"))
-        between = links(leaders, radius).join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        between = links(leaders, radius).join(sent(named("a")), "a").join(sent(named("b")), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         edges = within.unionByName(between) if edges is None else edges.unionByName(within).unionByName(between)
     assert edges is not None
     roots = components(edges)
-    near = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("id", "same", "fp0", F.coalesce("root", "id").alias("grp")))
+    near = checkpointed(texts.join(roots, texts.id == roots.node, "left").select("id", "same", "fp0", F.coalesce("root", "id").alias("grp")).coalesce(tasks))
     prints = near.groupBy("grp", "fp0").agg(F.count("*").alias("n"), F.max(-F.col("id")).alias("late"))
     pivots = prints.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "late")).alias("most")).where("n > 1")
-    return checkpointed(near.join(pivots.select("grp", (-F.col("most.late")).alias("pivot")), "grp", "left").select("id", "same", "grp", "pivot"))
+    return checkpointed(near.join(pivots.select("grp", (-F.col("most.late")).alias("pivot")), "grp", "left").select("id", "same", "grp", "pivot").coalesce(tasks))
 
 
 #: Texts, about, whose shingles tell which ones are common, and common ones kept. They steer cost alone.
@@ -579,9 +599,10 @@ def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float)
     All pairs of texts of two groups that share a shingle of their prefixes and whose sizes and places allow the
     similarity are looked at, and those stay whose parities do. Pairs inside a group are never made.
     """
-    known = own.sparkSession.sparkContext.broadcast(common_shingles(own, member.count(), n_words))
+    n = member.count()
+    known = own.sparkSession.sparkContext.broadcast(common_shingles(own, n, n_words))
     told = own.mapInArrow(_prefixes(n_words, least, known), "doc_id long, same string, n long, first binary, odd binary, cells binary")
-    first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd", "cells"))
+    first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd", "cells").coalesce(tasks_for(member, 8 * n)))
     shape, out = "key long, id long, grp long, at long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
     made = checkpointed(first.mapInArrow(_dealt, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, SHARED), out))
     pairs = made.where("b is not null").select("a", "b")
@@ -592,8 +613,9 @@ def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float)
         again = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "grp", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
         pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b"))
     pairs = checkpointed(pairs.distinct())
+    pairs = pairs.coalesce(tasks_for(pairs, pairs.count()))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    odd = checkpointed(first.select("id", "n", "odd", "cells").join(ids, "id", "left_semi"))
+    odd = checkpointed(first.select("id", "n", "odd", "cells").join(ids, "id", "left_semi").coalesce(tasks_for(member, 8 * n)))
     for told_by, test in (("odd", _parities_allow(least)), ("cells", _counts_allow(least))):
         tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col(told_by).alias(held))  # noqa: B023, E731
         pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(test, "a long, b long"))
@@ -614,29 +636,32 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = rows.groupBy("same").agg(F.min("doc_id").alias("name"), *(F.min(f"fp{s}").alias(f"fp{s}") for s in range(PRINTS)))
     texts = checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
     members = candidate_groups(texts, radius)
-    member = checkpointed(members.join(texts.select("id", "name"), "id"))
+    n = texts.count()
+    tasks, wide = tasks_for(texts, n), tasks_for(texts, 8 * n)
+    member = checkpointed(members.join(texts.select("id", "name").coalesce(tasks), "id").coalesce(tasks))
     apart = pairs_across(own, member, n_words, least)
-    loose = apart.select(F.col("a").alias("id")).union(apart.select("b")).distinct()
+    loose = checkpointed(apart.select(F.col("a").alias("id")).union(apart.select("b")).distinct().coalesce(tasks))
+    loose = F.broadcast(loose) if n <= SENT_LINKS else loose
     held = member.where("pivot is not null").unionByName(member.where("pivot is null").join(loose, "id", "left_semi"))
     found = own.join(held.withColumnRenamed("name", "doc_id"), ["doc_id", "same"]).groupBy("doc_id", "same").agg(*(F.first(c).alias(c) for c in ("grp", "pivot", "id", "text")))
-    sets = checkpointed(found.select("grp", "pivot", "id", "text").mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary"))
-    hubs = checkpointed(sets.where("id = pivot").select("grp", F.col("shingles").alias("hub")))
-    told = checkpointed(sets.where("pivot is not null").join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean"))
+    sets = checkpointed(found.select("grp", "pivot", "id", "text").mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary").coalesce(wide))
+    hubs = checkpointed(sets.where("id = pivot").select("grp", F.col("shingles").alias("hub")).coalesce(wide))
+    told = checkpointed(sets.where("pivot is not null").join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean").coalesce(wide))
     pairs = told.where("alike").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.sum(F.when(where, F.octet_length("shingles"))) / BLOCK_BYTES)).cast("int")
     open_groups = told.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("n_odd"), blocks(~F.col("alike")).alias("odd_blocks"), blocks(F.col("alike")).alias("more_blocks"))
-    open_groups = checkpointed(open_groups.where("n_odd > 0 and n > 2").select("grp", "odd_blocks", "more_blocks"))
+    open_groups = checkpointed(open_groups.where("n_odd > 0 and n > 2").select("grp", "odd_blocks", "more_blocks").coalesce(tasks))
     place = F.xxhash64("id")
     cut = told.join(open_groups, "grp").withColumn("block", F.when(F.col("alike"), F.col("odd_blocks") + F.pmod(place, F.col("more_blocks"))).otherwise(F.pmod(place, F.col("odd_blocks"))))
     others = F.filter(F.sequence(F.lit(0), F.col("odd_blocks") + F.col("more_blocks") - 1), lambda o: (o != F.col("block")) & ((F.col("block") < F.col("odd_blocks")) | (o < F.col("odd_blocks"))))
     dealt = cut.withColumn("other", F.explode(others)).select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles", "alike")
-    late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long")
+    late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long").coalesce(wide)
     side = lambda name, held: sets.join(loose, "id", "left_semi").select(F.col("id").alias(name), F.col("shingles").alias(held))
     across = apart.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(least), "a long, b long")
     roots = components(pairs.unionByName(late).unionByName(across))
-    grouped = checkpointed(member.join(roots, member.id == roots.node, "left").select("name", "same", F.coalesce("root", "id").alias("root")))
+    grouped = checkpointed(member.join(roots, member.id == roots.node, "left").select("name", "same", F.coalesce("root", "id").alias("root")).coalesce(tasks))
     chiefs = grouped.groupBy("root").agg(F.min(F.struct("name", "same")).alias("chief"))
-    return checkpointed(grouped.join(chiefs, "root").select("name", "same", "chief"))
+    return checkpointed(grouped.join(chiefs, "root").select("name", "same", "chief").coalesce(tasks))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -224,3 +224,25 @@ def test_long_texts_that_share_a_part(spark):
     got = dict(S.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     want = dict(brute_groups(docs))
     assert got == want and len(set(want.values())) == 4 + (want[13] != 1)
+
+
+def test_small_tables_need_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions the session has, rounds over a few links run in about as many tasks as there are cores; links beyond those that are sent give the same."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7] + [(100, 3), (200, 201)], "a long, b long")
+    tracker = spark.sparkContext.statusTracker()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("stars", "")
+        roots = S.components(edges)
+        found = sorted(map(tuple, roots.collect()))
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("stars") for s in tracker.getJobInfo(j).stageIds]
+        assert sum(1 for s in stages if s and s.numTasks >= 97) <= 4  # the links come in so many and are counted; rounds do not
+        monkeypatch.setattr(S, "SENT_LINKS", 0)
+        assert sorted(map(tuple, S.components(edges).collect())) == found
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (2, 1) in found and (7, 1) in found and (100, 1) in found and (201, 200) in found
