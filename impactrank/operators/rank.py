@@ -7,6 +7,7 @@ budget of postings that is decided from headers alone, and early termination sto
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Literal
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from impactrank.shared import written
 
 from .index import BODY_BITS, Index, block_of
-from .scoring import scores
+from .scoring import DEALT, SENT_SEGMENTS, TOGETHER, dealt, parts_of, scores
 
 #: Postings of a query that the first round of early termination reads at least (two megabytes, less work than starting a round), and by how much a round reads more than the one before.
 FIRST_ROUND, GROWTH = 1 << 18, 8
@@ -135,14 +136,13 @@ def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) ->
     After each segment the k + 1 best so far are looked at; the query stops when no gap between
     neighbours could still close: every gap over what remains (strict), or at least it (not strict, where ties may come out otherwise).
 
-    Queries go in rounds. A round reads new segments only: those that begin within a number of postings that grows by ``GROWTH``, and at least as far
-    as the next step at which the query may stop, told from headers. Scores are kept by (query, block of docids) from round to round, without documents
-    that can no longer come among the best. A block tells which of its own k + 1 best change at a step; only these changes meet in one task for a query.
+    Queries go in rounds. A round reads the segments that begin within a number of postings that grows by ``GROWTH``, and at least as far
+    as the next step at which the query may stop, told from headers. It reads them from the first, as rounds grow so fast that the earlier ones cost less than
+    their scores would cost to keep. A part of a block gets a body once for many queries and tells which of its own k + 1 best change at a step; only these changes meet in one task for a query.
     """
     plan = written(with_bounds(segment_plan(qterms, index.heads)))
     none = F.lit(0).cast("long")
     open_ = plan.groupBy("query_id").agg(F.lit(0).alias("at"), none.alias("least"), none.alias("span"), F.lit(0).alias("filled"))
-    state: DataFrame | None = None
     best: DataFrame | None = None
     found: list[DataFrame] = []
     budget = FIRST_ROUND
@@ -150,18 +150,16 @@ def early(qterms: DataFrame, index: Index, k: int = 10, strict: bool = True) ->
         goals = written(_goals(plan, open_, k, strict, budget))
         if goals.isEmpty():
             return _all(found) if found else _nothing(plan)
-        scored = written(_scored(plan, index, goals, state, k))
-        merged = written(_merged(plan, goals, scored.where("NOT kept"), best, k, strict))
+        merged = written(_merged(plan, goals, _changes(plan, index, goals, k), best, k, strict))
         found.append(merged.where("settled AND rank <= " + str(k)).select(*_EARLY))
         best = merged.where("NOT settled")
         open_ = best.where("rank = 1").select("query_id", F.col("segments").alias("at"), "least", "span", "filled")
-        state = scored.where("kept").drop("kept")
         budget *= GROWTH
 
 
 _EARLY = ["query_id", "docid", "rsv", "rank", "segments", "postings", "checks", "stopped", "read"]
 _MERGED = "query_id long, docid long, rsv long, rank int, segments int, postings long, checks int, stopped int, read long, settled boolean, least long, span long, filled int"
-_SCORED = "query_id long, block long, seq int, docids array<long>, scores array<long>, kept boolean"
+_CHANGED = "query_id long, seq int, docids array<long>, scores array<long>"
 
 
 _TYPES = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in _MERGED.split(", ")]
@@ -197,31 +195,41 @@ def _goals(plan: DataFrame, open_: DataFrame, k: int, strict: bool, budget: int)
     return goal.select("query_id", "at", F.col("goal.seq").alias("to"), F.col("goal.remaining").alias("left"), "last", "filled")
 
 
-def _scored(plan: DataFrame, index: Index, goals: DataFrame, state: DataFrame | None, k: int) -> DataFrame:
-    """Changes among the best of each (query, block) by step (kept is false), and the scores to carry on (kept is true).
+def _changes(plan: DataFrame, index: Index, goals: DataFrame, k: int) -> DataFrame:
+    """(query_id, seq, docids, scores): changes among the best of each query in a part of a block, by step.
 
-    Segments come as stored, one array of docids for each block, and stream past their scores in order.
+    All queries take segments by falling impact, then rising size, so bodies stream past the scores of many queries in one order; only bodies equal in both are put in each query's own.
     """
-    part = plan.join(goals.select("query_id", "at", "to", "left"), "query_id").where((F.col("seq") > F.col("at")) & (F.col("seq") <= F.col("to")))
-    rows = index.arrays().join(part.select("query_id", "term", "impact", "seq", "left"), ["term", "impact"]).select("query_id", "block", "seq", "impact", "docids", F.lit(None).cast("array<long>").alias("scores"), "left")
-    if state is not None:
-        held = state.join(goals.select("query_id", "left"), "query_id").select("query_id", "block", "seq", F.lit(0).alias("impact"), "docids", "scores", "left")
-        rows = held.unionByName(rows)
-    return rows.repartition("query_id", "block").sortWithinPartitions("query_id", "block", "seq").mapInArrow(_block_scores(k), _SCORED)
+    part = plan.join(goals.select("query_id", "to"), "query_id").where(F.col("seq") <= F.col("to"))
+    n, queries = part.agg(F.count("*"), F.count_distinct("query_id")).first()
+    parts = parts_of(index)
+    places = parts * (1 + len(index.cuts or []))
+    # where documents are few, queries are dealt to all cores
+    groups = max(math.ceil(queries / TOGETHER), min(queries, math.ceil(plan.sparkSession.sparkContext.defaultParallelism / places)))
+    many = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
+    wanted = part.withColumn("many", many).groupBy("term", "impact", "freq", "many").agg(F.collect_list(F.struct("query_id", F.col("seq").cast("long").alias("seq"))).alias("q"))
+    wanted = F.broadcast(wanted) if n <= SENT_SEGMENTS else wanted
+    met = index.arrays().select("term", "impact", "block", "docids").join(wanted, ["term", "impact"])
+    met = met.select("many", "block", F.lit(0).alias("part"), F.col("q.query_id").alias("queries"), F.col("q.seq").alias("gains"), "docids", "impact", "freq")
+    rows = met.mapInArrow(dealt(parts, ("impact", "freq")), f"{DEALT}, impact int, freq long") if parts > 1 else met
+    tasks = min(1 << 11, 2 * groups * places)
+    ordered = rows.repartition(tasks, "many", "block", "part").sortWithinPartitions("many", "block", "part", F.desc("impact"), "freq")
+    return ordered.mapInArrow(_part_changes(k, parts), _CHANGED).join(goals.select("query_id", "at"), "query_id").where(F.col("seq") > F.col("at")).drop("at")
 
 
 class _Scores:
     """Scores of the documents of one block: by place where ids lie close together, else by a sorted list of ids."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int | None = None) -> None:
+        self.bits = BODY_BITS if bits is None else bits
         self.base: int | None = None
         self.ids: np.ndarray | None = None
 
     def add(self, docids: np.ndarray, gain: np.ndarray | int) -> np.ndarray:
         """The scores of ``docids``, which differ and rise, after ``gain``."""
         if self.base is None:
-            self.base, self.held = int(docids[0]) >> BODY_BITS << BODY_BITS, np.zeros(1 << BODY_BITS, np.int64)
-        if self.ids is None and (docids[0] < self.base or docids[-1] - self.base >= 1 << BODY_BITS):
+            self.base, self.held = int(docids[0]) >> self.bits << self.bits, np.zeros(1 << self.bits, np.int64)
+        if self.ids is None and (docids[0] < self.base or docids[-1] - self.base >= 1 << self.bits):
             self.ids, self.held = self.all()
         if self.ids is None:
             at = docids - self.base
@@ -242,52 +250,70 @@ class _Scores:
         return at + self.base, self.held[at]
 
 
-def _block_scores(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class _Best:
+    """The scores of a query in a part, and the k + 1 best."""
+
+    def __init__(self, k: int, bits: int) -> None:
+        self.k, self.scores, self.best = k, _Scores(bits), []  # best: (score, place), falling
+
+    def step(self, places: np.ndarray, impact: int) -> list[tuple[int, int]]:
+        """The (score, place) among the best that a body changes."""
+        here, after = places, self.scores.add(places, impact)
+        if len(self.best) > self.k:
+            near = np.flatnonzero(after >= self.best[-1][0])
+            if not len(near):
+                return []
+            here, after = here[near], after[near]
+        if len(here) > self.k + 1:
+            order = np.lexsort((-here, -after))[: self.k + 1]
+            here, after = here[order], after[order]
+        new = dict(zip(here.tolist(), after.tolist()))
+        at = np.searchsorted(places, [d for _, d in self.best])
+        stay = [b for b, n in zip(self.best, at.tolist()) if n == len(places) or places[n] != b[1]]
+        self.best = sorted([*stay, *((s, d) for d, s in new.items())], reverse=True)[: self.k + 1]
+        return [b for b in self.best if b[1] in new]
+
+
+def _part_changes(k: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Within a part docids leave the same remainder, so a place is the docid divided by the number of parts."""
+    bits = max(1, BODY_BITS - (parts - 1).bit_length() + (1 if parts & (parts - 1) else 0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, list[int], list[int], bool]] = []
-        key: tuple[int, int] | None = None
-        scores, best, left, last = _Scores(), [], 0, 0  # best: (score, docid), falling
+        out: list[tuple[int, int, list[int], list[int]]] = []
+        key: tuple[int, int, int] | None = None
+        level: tuple[int, int] | None = None
+        held: dict[int, _Best] = {}
+        equal: list[tuple[int, int, np.ndarray]] = []  # (seq, query, places) of bodies of one impact and size
+
+        def taken() -> None:
+            equal.sort(key=lambda e: e[0])
+            for seq, query, places in equal:
+                if query not in held:
+                    held[query] = _Best(k, bits)
+                changed = held[query].step(places, level[0])
+                if changed:
+                    out.append((query, seq, [d * parts + key[2] for _, d in changed], [s for s, _ in changed]))
+            equal.clear()
 
         def sent() -> pa.RecordBatch:
-            query, block, seq, ids, held, kept = zip(*out) if out else ((),) * 6
+            query, seq, ids, scores = zip(*out) if out else ((),) * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(block, pa.int64()), pa.array(seq, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (ids, held)), pa.array(kept, pa.bool_())], names=["query_id", "block", "seq", "docids", "scores", "kept"])
-
-        def close() -> None:
-            ids, held = scores.all()
-            alive = held + left >= best[-1][0] if len(best) > k else np.ones(len(ids), bool)
-            out.append((*key, last, ids[alive], held[alive], True))
+            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(seq, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (ids, scores))], names=["query_id", "seq", "docids", "scores"])
 
         for batch in batches:
-            ends, flat = np.asarray(batch["docids"].offsets), np.asarray(batch["docids"].values, np.int64)
-            for i, (query, block, seq, impact, own, rest) in enumerate(zip(*(batch[c].to_pylist() for c in ("query_id", "block", "seq", "impact", "scores", "left")))):
-                if (query, block) != key:
-                    if key is not None:
-                        close()
-                        yield sent()
-                    key, scores, best = (query, block), _Scores(), []
-                left, last = rest, seq
-                whole = here = flat[ends[i] : ends[i + 1]]
-                if not len(here):
-                    continue
-                after = scores.add(here, impact if own is None else np.array(own, np.int64))
-                if len(best) > k:
-                    near = np.flatnonzero(after >= best[-1][0])
-                    if not len(near):
-                        continue
-                    here, after = here[near], after[near]
-                if len(here) > k + 1:
-                    order = np.lexsort((-here, -after))[: k + 1]
-                    here, after = here[order], after[order]
-                new = dict(zip(here.tolist(), after.tolist()))
-                at = np.searchsorted(whole, [d for _, d in best])
-                stay = [b for b, n in zip(best, at.tolist()) if n == len(whole) or whole[n] != b[1]]
-                best = sorted([*stay, *((s, d) for d, s in new.items())], reverse=True)[: k + 1]
-                changed = [(d, s) for s, d in best if d in new]
-                if own is None and changed:
-                    out.append((query, block, seq, [d for d, _ in changed], [s for _, s in changed], False))
-        if key is not None:
-            close()
+            ends, flat = np.asarray(batch["docids"].offsets), np.asarray(batch["docids"].values, np.int64) // parts
+            for i, (many, block, part, queries, seqs, impact, freq) in enumerate(zip(*(batch[c].to_pylist() for c in ("many", "block", "part", "queries", "gains", "impact", "freq")))):
+                if (many, block, part) != key or (impact, freq) != level:
+                    taken()
+                    if (many, block, part) != key:
+                        key, held = (many, block, part), {}
+                    level = (impact, freq)
+                places = flat[ends[i] : ends[i + 1]]
+                if len(places):
+                    equal += [(seq, query, places) for query, seq in zip(queries, seqs)]
+            if len(out) >= 1 << 12:
+                yield sent()
+        taken()
         yield sent()
 
     return run

@@ -24,7 +24,7 @@ PART_BITS, TOGETHER = 15, 128
 SENT_SEGMENTS = 1 << 18
 #: Pairs of a query and a posting that are made at once, postings that wait to be added, and the postings of a row from which it is added alone.
 PAIRS, WAITING, ALONE = 1 << 21, 1 << 18, 256
-_DEALT = "many int, block long, part int, queries array<long>, gains array<long>, docids array<long>"
+DEALT = "many int, block long, part int, queries array<long>, gains array<long>, docids array<long>"
 _NAMES = ["many", "block", "part", "queries", "gains", "docids"]
 
 
@@ -33,14 +33,14 @@ def scores(chosen: DataFrame, index: Index, k: int | None = None) -> DataFrame:
     chosen = written(chosen)
     segments, queries = chosen.agg(F.count("*"), F.count_distinct("query_id")).first()
     groups = max(1, math.ceil(queries / TOGETHER))
-    parts = min(1 << max(0, BODY_BITS - PART_BITS), max(1, math.ceil(index.docs.count() / (1 << PART_BITS))))
+    parts = parts_of(index)
     gain = F.struct("query_id", (F.col("impact").cast("long") * F.col("times")).alias("gain"))
     wanted = chosen.withColumn("many", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).groupBy("term", "impact", "many").agg(F.collect_list(gain).alias("q"))
     wanted = F.broadcast(wanted) if segments <= SENT_SEGMENTS else wanted
     met = index.arrays().join(wanted, ["term", "impact"]).select("many", "block", F.lit(0).alias("part"), F.col("q.query_id").alias("queries"), F.col("q.gain").alias("gains"), "docids")
-    dealt = met.mapInArrow(_dealt(parts), _DEALT) if parts > 1 else met
+    rows = met.mapInArrow(dealt(parts), DEALT) if parts > 1 else met
     tasks = min(1 << 11, 2 * groups * parts * (1 + len(index.cuts or [])))
-    return dealt.repartition(tasks, "many", "block", "part").sortWithinPartitions("many", "block", "part").mapInArrow(_summed(k), "query_id long, docid long, rsv long")
+    return rows.repartition(tasks, "many", "block", "part").sortWithinPartitions("many", "block", "part").mapInArrow(_summed(k), "query_id long, docid long, rsv long")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -48,8 +48,13 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(column.value_lengths(), np.int64), column.flatten()
 
 
-def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each row as one for each part that has some of its docids."""
+def parts_of(index: Index) -> int:
+    """The parts of a block of documents."""
+    return min(1 << max(0, BODY_BITS - PART_BITS), max(1, math.ceil(index.docs.count() / (1 << PART_BITS))))
+
+
+def dealt(parts: int, more: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row as one for each part that has some of its docids; ``more`` columns go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +69,7 @@ def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for i in range(0, len(first), 1 << 13):  # a row's queries are repeated for each of its parts, so some thousand at a time
                 own = first[i : i + (1 << 13)]
                 same = pa.array(row[own])
-                yield pa.RecordBatch.from_arrays([batch["many"].take(same), batch["block"].take(same), pa.array(part[own].astype(np.int32)), batch["queries"].take(same), batch["gains"].take(same), pa.ListArray.from_arrays(ends.slice(i, len(own) + 1), pa.array(ids))], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([batch["many"].take(same), batch["block"].take(same), pa.array(part[own].astype(np.int32)), batch["queries"].take(same), batch["gains"].take(same), pa.ListArray.from_arrays(ends.slice(i, len(own) + 1), pa.array(ids)), *(batch[c].take(same) for c in more)], names=[*_NAMES, *more])
 
     return run
 

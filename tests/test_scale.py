@@ -12,6 +12,7 @@ from impactrank.operators import index as I
 from impactrank.operators import rank as R
 from impactrank.operators import scoring
 from impactrank.plans.queries import QUERIES, index_path
+from pyspark.sql import functions as F
 
 
 def test_bodies_of_documents_are_those_of_their_postings(spark):
@@ -89,3 +90,18 @@ def test_coding_holds_little_beside_its_batch(codec):
 
 def test_roots_are_found_on_all_cores(spark, sf_dir):
     assert QUERIES["math_reals"](spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_early_rounds_keep_no_scores_and_send_a_body_once_for_many_queries(spark, monkeypatch):
+    """Scores of every query and document are neither written nor shuffled between rounds, and a body goes to queries in groups."""
+    documents = spark.createDataFrame([(i, "a " * (1 + i % 5) + "b c" * (i % 3)) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, p, t) for q in range(40) for p, t in enumerate("abc")], "query_id long, term_pos int, term string")
+    tables, plans, real = [], [], R.written
+    changes = R._merged
+    monkeypatch.setattr(R, "written", lambda df, *name: tables.append(df.columns) or real(df, *name))
+    monkeypatch.setattr(R, "_merged", lambda plan, goals, rows, *more: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or changes(plan, goals, rows, *more))
+    monkeypatch.setattr(R, "FIRST_ROUND", 1)
+    found = R.early(queries, I.Index.over(documents), 3)
+    assert found.select("query_id").distinct().count() == 40
+    assert tables and not any("scores" in columns for columns in tables)
+    assert len(plans) > 1 and all("collect_list(struct(query_id" in p for p in plans)
