@@ -104,6 +104,19 @@ def term_cells(documents: DataFrame, cuts: list[int], id_col: str = "doc_id", te
     return cells.unionByName(rows)
 
 
+def stem_vocabulary(documents: DataFrame, stemmer: str = "p", id_col: str = "doc_id", **options: str) -> DataFrame:
+    """(term, df, cf) of stems, as ``term_frequencies`` of the stemmer summed up; documents without an id count as one.
+
+    Terms are counted where a document is read and stemmed once a batch; the documents of a stem's terms meet as arrays, block by block, as several of the terms may be in one document.
+    """
+    cells = term_cells(documents, block_cuts(doc_list(documents, id_col)), id_col, **options)
+    stems = cells.select(F.explode(T.stemmed(F.array("term"), stemmer)).alias("term"), "block", "docids", (F.col("tf") * F.size("docids")).alias("cf"))
+    found = stems.repartition("term", "block").groupBy("term", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docids")))).cast("long").alias("df"), F.sum("cf").alias("cf"))
+    unnamed = term_frequencies(documents.where(F.col(id_col).isNull()), None, id_col, stemmer=stemmer, **options)
+    every = found.select("term", "df", "cf").unionByName(unnamed.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("cf")))
+    return every.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bodies_of(cells: DataFrame) -> DataFrame:
     """Bodies (term, impact, block, docids), docids rising, of rows (term, impact, block, docids) of which several may belong to a body. Rows are dealt as they are: counting them by task first would only sort them."""
     return cells.repartition("term", "impact", "block").groupBy("term", "impact", "block").agg(F.sort_array(F.flatten(F.collect_list("docids"))).alias("docids"))

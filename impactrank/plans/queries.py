@@ -169,8 +169,7 @@ def vocab_stemmed(spark, sf_dir):
 @query()
 def vocab_suffixes(spark, sf_dir):
     """Terms stemmed by a machine of suffix rules, which SQL has no words for."""
-    tf = I.term_frequencies(documents(spark, sf_dir), stemmer="p")
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return I.stem_vocabulary(documents(spark, sf_dir), "p")
 
 
 @query("SELECT * FROM q")

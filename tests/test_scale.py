@@ -105,3 +105,18 @@ def test_early_rounds_keep_no_scores_and_send_a_body_once_for_many_queries(spark
     assert found.select("query_id").distinct().count() == 40
     assert tables and not any("scores" in columns for columns in tables)
     assert len(plans) > 1 and all("collect_list(struct(query_id" in p for p in plans)
+
+
+def test_a_vocabulary_of_stems_is_made_of_arrays(spark, monkeypatch, tmp_path):
+    """As counted row by row, also where forms of a stem share a document, ids come twice or are null, and blocks are several; no row of a posting is shuffled."""
+    texts = ["running runs run", "runner running ran", None, "", "relational relate relates 7 7", "hopping hopes hope"]
+    rows = [(i, texts[i % 6]) for i in range(40)] + [(3, "runs runs"), (None, "runs hopes"), (None, "hope")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(I, "BODY_BITS", 3)
+    tf = I.term_frequencies(documents, stemmer="p")
+    plain = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    found = I.stem_vocabulary(documents)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.schema.simpleString() == plain.schema.simpleString()
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["vocab_suffixes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(docids" in plan
