@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactrank.operators.index import Index, doc_list, postings, segments
+from impactrank.operators.index import Index, doc_list, segments
 from impactrank.shared import written
 
 from .indexio import postings_of, read_index, write_index
@@ -94,8 +94,7 @@ def change(spark: SparkSession, path: str, documents: DataFrame | None = None, t
     none = spark.createDataFrame([], "doc_id long, text string")
     added = documents if documents is not None else none
     docs = doc_list(added)
-    own = Index(segments(posts := postings(added, None, **options)), posts, docs)
-    write_index(own, f"{folder}/index")
+    write_index(Index.whole(added, **options), f"{folder}/index")
     if generations:
         gone = docs.select("docid") if taken_out is None else docs.select("docid").union(taken_out.select(F.col("docid").cast("long")))
         every, all_docs, _ = _live(spark, path, generations, None)

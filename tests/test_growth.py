@@ -50,3 +50,10 @@ def test_a_change_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
         growth.change(spark, path, frame(spark, {1: "c", 3: "d"}))
     assert sorted(map(tuple, growth.read_grown(spark, path).posts.collect())) == before
     assert growth.read_grown(spark, path).docs.agg(F.count("*")).first()[0] == 2
+
+
+def test_a_generation_is_built_from_arrays(spark, tmp_path, monkeypatch):
+    seen, real = [], growth.write_index
+    monkeypatch.setattr(growth, "write_index", lambda index, path, *more: seen.append(index.bodies) or real(index, path, *more))
+    growth.change(spark, str(tmp_path / "i"), frame(spark, {1: "a b", 2: "b b"}))
+    assert seen[0] is not None and growth.read_grown(spark, str(tmp_path / "i")).posts.count() == 3
