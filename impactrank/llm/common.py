@@ -6,6 +6,8 @@ vector operations a byte instead of a Python step a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -166,6 +168,23 @@ def words(texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE)
     return out
 
 
+def give_back() -> None:
+    """Let the system have what this worker no longer uses. Spark keeps workers for later tasks, and beside them its own heap needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # of the GNU library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and what it leaves unused given back at the end of the task."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows whose text passes ``verdict``, with all their columns, in one pass over Arrow batches.
 

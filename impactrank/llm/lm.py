@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_fold, id_text, mix, slices, text_bytes, words
+from .common import checkpointed, crc_fold, give_back, id_text, mix, slices, text_bytes, words
 
 #: Bytes of text in a chunk, tokens of text for each shard, and the share of tokens from which a first word is spread.
 CHUNK_BYTES, SHARD_TOKENS, HOT = 16 << 20, 2_500_000, 2000
@@ -38,6 +38,8 @@ FOLDS = 10
 _U = np.uint64
 END, START = _U(0x5EED0FE2D0C5), _U(0x57A27)
 _SECOND, _THIRD = _U(40), _U(32)
+#: Values of a sequence that are packed at once.
+_PACKED = 1 << 18
 _STEP, _LEAST = 100.0, -30.0
 _VALUES = np.concatenate(([0.0], 10 ** (np.arange(65535) / _STEP + _LEAST).clip(max=300)))
 _SELECT = np.zeros((256, 8), np.int64)
@@ -83,21 +85,23 @@ class EliasFano:
         self.n = len(values)
         top = int(values[-1]) if self.n else 0
         self.bits = max(0, (top // max(1, self.n)).bit_length() - 1)
-        low = values & _U((1 << self.bits) - 1)
-        at = np.arange(self.n, dtype=np.int64) * self.bits
         packed = np.zeros(self.n * self.bits // 64 + 2, _U)
-        if self.bits and self.n:
-            word, shift = at >> 6, (at & 63).astype(_U)
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            packed[word[first]] = np.bitwise_or.reduceat(low << shift, first)
-            over = np.flatnonzero((at & 63) + self.bits > 64)
-            packed[word[over] + 1] |= low[over] >> (_U(64) - shift[over])
-        self.low = mapped(packed)
-        high = (values >> _U(self.bits)).astype(np.int64) + np.arange(self.n)
-        n_words = (int(high[-1]) // 64 + 2) if self.n else 1
+        n_words = ((top >> self.bits) + self.n - 1) // 64 + 2 if self.n else 1
         flags = np.zeros(n_words * 64, np.uint8)
-        flags[high] = 1
+        for i in range(0, self.n, _PACKED):
+            own = values[i : i + _PACKED]
+            at = np.arange(i, i + len(own), dtype=np.int64)
+            flags[(own >> _U(self.bits)).astype(np.int64) + at] = 1
+            if self.bits:
+                low, at = own & _U((1 << self.bits) - 1), at * self.bits
+                word, shift = at >> 6, (at & 63).astype(_U)
+                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                packed[word[first]] |= np.bitwise_or.reduceat(low << shift, first)
+                over = np.flatnonzero((at & 63) + self.bits > 64)
+                packed[word[over] + 1] |= low[over] >> (_U(64) - shift[over])
+        self.low = mapped(packed)
         self.high = mapped(np.packbits(flags, bitorder="little").view("<u8"))
+        del packed, flags
         before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)))
         self.before = mapped(before)
         self.zeros = mapped(64 * np.arange(len(before), dtype=np.int64) - before)
@@ -159,21 +163,45 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(values)))
 
 
-def _summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys that are counted at all, rising, and their counts added up."""
-    return _placed(keys, count)[:2]
+def _places(n: int) -> type:
+    """The short type that holds places among ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
-def _placed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_summed``, and the place of each given key among them; 0 for keys not counted."""
-    held = np.flatnonzero(count > 0)
+def _counted(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys that are counted at all, rising, and their counts added up; where the counted keys stand, in their order, and the length of each run of equal ones."""
+    held = np.flatnonzero(count > 0).astype(_places(len(keys)))
     own = keys[held]
     order = np.argsort(own)
     own, held = own[order], held[order]
+    del order
     begin, many = _runs(own)
-    place = np.zeros(len(keys), np.int64)
-    place[held] = np.repeat(np.arange(len(begin)), many)
-    return own[begin], np.add.reduceat(count[held], begin) if len(begin) else count[held], place
+    return own[begin], np.add.reduceat(count[held], begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64), held, many
+
+
+def _summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys that are counted at all, rising, and their counts added up."""
+    return _counted(keys, count)[:2]
+
+
+def _placed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_summed``, and the place of each given key among them; 0 for keys not counted."""
+    distinct, total, held, many = _counted(keys, count)
+    place = np.zeros(len(keys), held.dtype)
+    place[held] = np.repeat(np.arange(len(distinct), dtype=held.dtype), many)
+    return distinct, total, place
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, rising, and the place of each value among them; at its peak in less memory than ``np.unique``."""
+    order = np.argsort(values)
+    own = values[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = own[1:] != own[:-1]
+    own = own[fresh]
+    place = np.empty(len(order), _places(len(order)))
+    place[order] = np.cumsum(fresh, dtype=place.dtype) - place.dtype.type(1)
+    return own, place
 
 
 class Told:
@@ -187,7 +215,15 @@ class Told:
 
     @staticmethod
     def together(rows: list[Told]) -> Told:
-        return Told(*(np.concatenate([getattr(r, f) for r in rows]) for f in Told.FIELDS))
+        """All rows as one. The rows become views of it, so that what they hold is held once."""
+        whole = Told()
+        for f in Told.FIELDS:
+            parts = [getattr(r, f) for r in rows]
+            held = np.concatenate(parts)
+            setattr(whole, f, held)
+            for r, part in zip(rows, np.split(held, np.cumsum([len(p) for p in parts])[:-1])):
+                setattr(r, f, part)
+        return whole
 
 
 class Trie:
@@ -200,8 +236,7 @@ class Trie:
         words_, count = _summed(told.word, told.n_word)
         self.words, self.counts = EliasFano(words_), mapped(count)
         keys, rank = np.unique(told.context, return_inverse=True)
-        asked = (np.repeat(rank, told.pairs).astype(_U) << _SECOND) | told.second
-        pair, count, place = _placed(asked, told.n_second)
+        pair, count, place = _placed(_under(rank, told.pairs, _SECOND, told.second), told.n_second)
         of = (pair >> _SECOND).astype(np.int64)
         kinds = np.bincount(of, minlength=len(keys))
         known = np.flatnonzero(kinds)
@@ -215,8 +250,8 @@ class Trie:
         self.seconds = EliasFano((of.astype(_U) << _SECOND) | (pair & _U((1 << 40) - 1)))
         self.weights = mapped(quantised(np.where(shared, 1.0, discounts[0] * kinds / total)))
         self.chances = mapped(quantised((count - discounts[0]) / np.where(shared, 1.0, total)[of]))
-        node = np.repeat(place, told.triples)
-        triple, count = _summed((node.astype(_U) << _THIRD) | told.third, told.n_third)
+        triple, count = _summed(_under(place, told.triples, _THIRD, told.third), told.n_third)
+        del place
         of = (triple >> _THIRD).astype(np.int64)
         kinds = np.bincount(of, minlength=len(pair))
         total = np.bincount(of, weights=count, minlength=len(pair))
@@ -237,6 +272,13 @@ class Trie:
         return counts, _codes(self.weights, rank), _codes(self.chances, pair), _codes(self.pair_weights, pair), _codes(self.pair_chances, triple)
 
 
+def _under(parent: np.ndarray, many: np.ndarray, shift: np.uint64, child: np.ndarray) -> np.ndarray:
+    """The children, ``many`` of each parent in turn, below the number of their parent."""
+    out = np.repeat(parent.astype(_U) << shift, many)
+    out |= child
+    return out
+
+
 def _children(parent: np.ndarray, many: np.ndarray, child: np.ndarray, pointers: EliasFano, nodes: EliasFano, shift: np.uint64) -> np.ndarray:
     """Where the asked children of each parent stand, ``many`` of each in turn; -1 where parent or child is not held."""
     out = np.full(len(child), -1)
@@ -270,17 +312,22 @@ class Chunk:
         self.n_word = np.bincount(tokens[trained], minlength=n)
         before = np.concatenate((tokens[:1], tokens[:-1])).astype(np.int64)
         before[self.begin] = n
-        pair, of = np.unique(before * n + tokens, return_inverse=True)
-        self.pair_of = of.astype(np.int32)
+        before *= n
+        before += tokens
+        pair, self.pair_of = _distinct(before)
+        del before
         self.context, self.second = (x.astype(np.int32) for x in np.divmod(pair, n))
-        self.n_second = np.bincount(of[trained], minlength=len(pair))
+        self.n_second = np.bincount(self.pair_of[trained], minlength=len(pair)).astype(np.int32)
         inner = np.ones(len(tokens), bool)
         inner[self.begin] = False
-        self.inner = np.flatnonzero(inner)
-        triple, of = np.unique(self.pair_of[self.inner - 1].astype(np.int64) * n + tokens[self.inner], return_inverse=True)
-        self.triple_of = of.astype(np.int32)
+        self.inner = np.flatnonzero(inner).astype(np.int32)
+        after = self.pair_of[self.inner - 1].astype(np.int64)
+        after *= n
+        after += tokens[self.inner]
+        triple, self.triple_of = _distinct(after)
+        del after
         self.pair, self.third = (x.astype(np.int32) for x in np.divmod(triple, n))
-        self.n_third = np.bincount(of[trained[self.inner]], minlength=len(triple))
+        self.n_third = np.bincount(self.triple_of[trained[self.inner]], minlength=len(triple)).astype(np.int32)
 
     def context_hashes(self) -> np.ndarray:
         """48 bits of each context."""
@@ -309,6 +356,8 @@ def _bytes_of(values: np.ndarray, size: int) -> bytes:
 
 
 def _from_bytes(data: bytes, size: int) -> np.ndarray:
+    if size in (4, 8):
+        return np.frombuffer(data, f"<u{size}")
     out = np.zeros((len(data) // size, 8), np.uint8)
     out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
@@ -318,7 +367,7 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def _pack(values: np.ndarray, size: int = 4) -> bytes:
-    """Small numbers, byte by byte of their places, compressed; the number of bytes stands before."""
+    """Small numbers (of 4 bytes: below 2^31), byte by byte of their places, compressed; the number of bytes stands before."""
     planes = np.ascontiguousarray(values.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T
     data = np.ascontiguousarray(planes).tobytes()
     return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True) if data else b""
@@ -327,7 +376,7 @@ def _pack(values: np.ndarray, size: int = 4) -> bytes:
 def _unpack(data: bytes, size: int = 4) -> np.ndarray:
     plain = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if data else b""
     planes = np.frombuffer(plain, np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4" if size == 4 else f"<u{size}").ravel()
 
 
 #: How the fields of ``Told`` travel: whole bytes of hashes, or packed numbers.
@@ -355,9 +404,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = words(texts[i:j], lower=True)
             hashes.append(np.insert(w.hash, w.first[1:], END))
             lengths.append(np.diff(w.first) + 1)
-        vocabulary, tokens, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            del w
+        held = np.concatenate(hashes)
+        hashes.clear()
+        vocabulary, tokens = _distinct(held)
+        del held
+        count = np.bincount(tokens, minlength=len(vocabulary))
         order = np.argsort(-count, kind="stable")  # small numbers for common words
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         length = np.concatenate(lengths)
         train = np.array([crc_fold(i, FOLDS) != 0 for i in ids])
@@ -365,6 +419,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [next(number), int(length[train].sum()), len(tokens), heavy.view(np.int64).tolist(), vocabulary[order].tobytes(), _pack(place[tokens]), _pack(length), np.packbits(train).tobytes(), list(ids)]
         ids.clear()
         texts.clear()
+        give_back()
         return _row(_CHUNK, row)
 
     held = 0
@@ -381,20 +436,24 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk(vocabulary: bytes, tokens: bytes, lengths: bytes, train: bytes) -> Chunk:
-    length = _unpack(lengths)
-    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens).astype(np.int32), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool))
+    length = _unpack(lengths).astype(np.int64)
+    return Chunk(np.frombuffer(vocabulary, _U), _unpack(tokens), length, np.unpackbits(np.frombuffer(train, np.uint8), count=len(length)).astype(bool))
 
 
 def _asks(shards: int, hot: np.ndarray):
     """One packed row for each chunk and shard."""
 
+    def rows(name: int, *parts: bytes) -> Iterator[pa.RecordBatch]:
+        c = _chunk(*parts)
+        for shard, places in enumerate(zip(*c.dealt(shards, hot))):
+            fields = zip(Told.FIELDS, c.told(*places))
+            yield _row(_ASK, [shard, name, *(_bytes_of(v, _SIZES[f]) if f in _SIZES else _pack(v) for f, v in fields)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, *parts in zip(*(batch[c].to_pylist() for c in ("chunk", "vocabulary", "tokens", "lengths", "train"))):
-                c = _chunk(*parts)
-                for shard, places in enumerate(zip(*c.dealt(shards, hot))):
-                    fields = zip(Told.FIELDS, c.told(*places))
-                    yield _row(_ASK, [shard, name, *(_bytes_of(v, _SIZES[f]) if f in _SIZES else _pack(v) for f, v in fields)])
+            for at in range(batch.num_rows):
+                yield from rows(*(batch[c][at].as_py() for c in ("chunk", "vocabulary", "tokens", "lengths", "train")))
+                give_back()
 
     return run
 
@@ -409,6 +468,9 @@ def _answers(discounts: tuple[float, float], hot: np.ndarray):
             extra = [trie.words.n, keys.view(np.int64).tolist(), total.tolist(), kinds.tolist()] if not n else [0, [], [], []]
             counts, *codes = trie.answer(row)
             yield _row(_ANSWER, [shard, chunk, *extra, _pack(counts), *(_pack(c, 2) for c in codes)])
+        del trie, row
+        rows.clear()
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunks, rows = None, [], []
@@ -466,11 +528,13 @@ def _scores(shards: int, hot: np.ndarray, totals: dict[int, tuple[int, int]], n_
                 if row[1] < 0:
                     if head:
                         yield close(head, answers)
+                        give_back()
                     head, answers = row[2:7], []
                 else:
                     answers.append([row[1], *row[7:]])
         if head:
             yield close(head, answers)
+        give_back()
 
     return run
 

@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest_data import documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +136,41 @@ def test_compact_sequences_and_codes():
     assert size < 6 * len(values) and (held.place(values) >= 0).all() and (held.place(values + np.uint64(1)) >= 0).mean() < 0.01
     x = np.array([1e-12, 0.1, 0.25, 1.0, 1e9])
     assert (abs(lm.value_of(lm.quantised(x)) - x) <= 0.012 * x).all() and lm.value_of(np.zeros(1, np.uint16))[0] == 0
+
+
+def test_tasks_hold_few_bytes_a_token():
+    rng, n = np.random.default_rng(0), 30_000
+    hot = lm.mix(np.array([lm.START])) >> np.uint64(16)
+
+    def chunk(name):
+        held, tokens = np.unique(rng.zipf(1.3, n).clip(max=20_000), return_inverse=True)
+        return lm._row(lm._CHUNK, [name, n, n, [], lm.mix(held.astype(np.uint64)).tobytes(), lm._pack(tokens), lm._pack(np.full(n // 100, 100)), np.packbits(np.ones(n // 100, bool)).tobytes(), list(range(n // 100))])
+
+    def peak(run, batches):
+        tracemalloc.start()
+        out = list(run(iter(batches)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    asks, most = peak(lm._asks(1, hot), [chunk(i) for i in range(8)])
+    assert most < 110 * n
+    _, most = peak(lm._answers(lm.DISCOUNTS, hot), pa.Table.from_batches(asks).combine_chunks().to_batches())
+    assert most < 80 * 8 * n
+
+
+def test_rows_become_views_of_all_rows_together():
+    rows = [lm.Told(*(np.arange(n) for _ in lm.Told.FIELDS)) for n in (3, 0, 5)]
+    whole = lm.Told.together(rows)
+    for f in lm.Told.FIELDS:
+        assert getattr(whole, f).tolist() == [0, 1, 2, 0, 1, 2, 3, 4]
+        assert [getattr(r, f).tolist() for r in rows] == [[0, 1, 2], [], [0, 1, 2, 3, 4]]
+        assert np.shares_memory(getattr(whole, f), getattr(rows[2], f))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40))
+def test_distinct_values_are_those_of_unique(values):
+    values = np.array(values + values[::3], np.uint64)
+    expected, place = np.unique(values, return_inverse=True)
+    own, at = lm._distinct(values)
+    assert own.tolist() == expected.tolist() and at.tolist() == place.tolist()
