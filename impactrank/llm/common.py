@@ -198,4 +198,4 @@ def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[list[bytes]], n
             if flags:
                 yield batch.filter(pa.array(np.concatenate(flags)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, slices, text_bytes
+from .common import checkpointed, id_text, lean, slices, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 EOS = 1
@@ -164,7 +164,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", te
             n = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], heads[:n])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack_block(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

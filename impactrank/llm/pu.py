@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import fold, id_text, keep_rows, slices, text_bytes, words
+from .common import fold, id_text, keep_rows, lean, slices, text_bytes, words
 
 #: Most trusted positives and most unlabelled texts that the fit sees.
 POSITIVES, UNLABELLED = 1500, 3000
@@ -91,7 +91,7 @@ def sample_features(docs: DataFrame, roles: DataFrame) -> tuple[np.ndarray, np.n
                 yield pa.RecordBatch.from_arrays([role[i:j], pa.array([r.tobytes() for r in rows], pa.binary())], ["role", "x"])
 
     one = docs.join(F.broadcast(roles), "doc_id").groupBy("doc_id", "role").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    got = one.mapInArrow(run, "role int, x binary").toArrow()
+    got = one.mapInArrow(lean(run), "role int, x binary").toArrow()
     role = got["role"].to_numpy()
     half = np.empty((len(role), features.WIDTH), np.float16)
     for i, row in enumerate(got["x"]):  # row by row: the driver holds the sample as it came and one copy
@@ -113,7 +113,7 @@ def score_column(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             parts = [sigmoid((features.matrix(words(texts[i:j])) @ weights).astype(float)) for i, j in slices(texts)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(parts or [np.zeros(0)]))], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, mix, slices, text_bytes, words
+from .common import checkpointed, id_text, lean, mix, slices, text_bytes, words
 
 #: Fingerprints of a bucket that one task compares directly.
 BUCKET = 4096
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(t, n_words) for t in text_bytes(batch["text"])), _U, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -230,15 +230,15 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
                 keys ^= keys >> _U(29)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], ["key", "fp"])
 
-    dealt = nodes.select("fp").mapInArrow(probes, "key long, fp long")
-    first = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, BUCKET), "a long, b long, key long").coalesce(tasks_for(nodes, n * len(masks))))
+    dealt = nodes.select("fp").mapInArrow(lean(probes), "key long, fp long")
+    first = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_links_of_runs(radius, BUCKET)), "a long, b long, key long").coalesce(tasks_for(nodes, n * len(masks))))
     found = first.where("b is not null").select("a", "b")
     late = first.where("b is null").select("key", F.col("a").alias("fp"))
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 2)).alias("n"))
     if not blocks.isEmpty():
         cut = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
         pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-        found = found.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs(radius, None), "a long, b long, key long").select("a", "b"))
+        found = found.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_links_of_runs(radius, None)), "a long, b long, key long").select("a", "b"))
     return found.distinct().coalesce(tasks)
 
 
@@ -438,7 +438,7 @@ def common_shingles(texts: DataFrame, n: int, n_words: int) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
 
     part = texts.where(F.pmod(F.xxhash64("same"), F.lit(max(1, n // COMMON_TEXTS))) == 0).select("text")
-    found = part.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    found = part.mapInArrow(lean(run), "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).collect()
     keys = np.array([r["key"] for r in found], np.int64).view(_U)
     order = np.argsort(keys)
     return keys[order], np.array([r["count"] for r in found], np.int64)[order]
@@ -601,24 +601,24 @@ def pairs_across(own: DataFrame, member: DataFrame, n_words: int, least: float)
     """
     n = member.count()
     known = own.sparkSession.sparkContext.broadcast(common_shingles(own, n, n_words))
-    told = own.mapInArrow(_prefixes(n_words, least, known), "doc_id long, same string, n long, first binary, odd binary, cells binary")
+    told = own.mapInArrow(lean(_prefixes(n_words, least, known)), "doc_id long, same string, n long, first binary, odd binary, cells binary")
     first = checkpointed(told.join(member.select(F.col("name").alias("doc_id"), "same", "id", "grp"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("id", "grp", "n", "first", "odd", "cells").coalesce(tasks_for(member, 8 * n)))
     shape, out = "key long, id long, grp long, at long", "a long, a_grp long, b long, b_grp long, key long, n long, place long"
-    made = checkpointed(first.mapInArrow(_dealt, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, SHARED), out))
+    made = checkpointed(first.mapInArrow(lean(_dealt), shape).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_pairs_of_runs(least, SHARED)), out))
     pairs = made.where("b is not null").select("a", "b")
     late = made.where("b is null").select("key", F.col("a").alias("id"), F.col("a_grp").alias("grp"), "n", "place")
     blocks = late.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 2)).alias("blocks"))
     if not blocks.isEmpty():
         cut = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         again = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "grp", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
-        pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(least, None), out).select("a", "b"))
+        pairs = pairs.unionByName(again.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_pairs_of_runs(least, None)), out).select("a", "b"))
     pairs = checkpointed(pairs.distinct())
     pairs = pairs.coalesce(tasks_for(pairs, pairs.count()))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     odd = checkpointed(first.select("id", "n", "odd", "cells").join(ids, "id", "left_semi").coalesce(tasks_for(member, 8 * n)))
     for told_by, test in (("odd", _parities_allow(least)), ("cells", _counts_allow(least))):
         tell = lambda name, held: odd.select(F.col("id").alias(name), F.col("n").alias(f"{held}_n"), F.col(told_by).alias(held))  # noqa: B023, E731
-        pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(test, "a long, b long"))
+        pairs = checkpointed(pairs.join(tell("a", "x"), "a").join(tell("b", "y"), "b").mapInArrow(lean(test), "a long, b long"))
     return pairs
 
 
@@ -632,7 +632,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut off) are found by ``pairs_across``; the fingerprints save it the pairs inside large groups. A text without words is similar to another such one alone. Rows without an id are left out.
     """
     own = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = own.mapInArrow(_printed, "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS)))
+    rows = own.mapInArrow(lean(_printed), "doc_id long, same string" + "".join(f", fp{s} long" for s in range(PRINTS)))
     texts = rows.groupBy("same").agg(F.min("doc_id").alias("name"), *(F.min(f"fp{s}").alias(f"fp{s}") for s in range(PRINTS)))
     texts = checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
     members = candidate_groups(texts, radius)
@@ -644,9 +644,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     loose = F.broadcast(loose) if n <= SENT_LINKS else loose
     held = member.where("pivot is not null").unionByName(member.where("pivot is null").join(loose, "id", "left_semi"))
     found = own.join(held.withColumnRenamed("name", "doc_id"), ["doc_id", "same"]).groupBy("doc_id", "same").agg(*(F.first(c).alias(c) for c in ("grp", "pivot", "id", "text")))
-    sets = checkpointed(found.select("grp", "pivot", "id", "text").mapInArrow(_shingled(n_words), "grp long, pivot long, id long, shingles binary").coalesce(wide))
+    sets = checkpointed(found.select("grp", "pivot", "id", "text").mapInArrow(lean(_shingled(n_words)), "grp long, pivot long, id long, shingles binary").coalesce(wide))
     hubs = checkpointed(sets.where("id = pivot").select("grp", F.col("shingles").alias("hub")).coalesce(wide))
-    told = checkpointed(sets.where("pivot is not null").join(hubs, "grp").mapInArrow(_beside_pivot(least), "grp long, pivot long, id long, shingles binary, alike boolean").coalesce(wide))
+    told = checkpointed(sets.where("pivot is not null").join(hubs, "grp").mapInArrow(lean(_beside_pivot(least)), "grp long, pivot long, id long, shingles binary, alike boolean").coalesce(wide))
     pairs = told.where("alike").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.sum(F.when(where, F.octet_length("shingles"))) / BLOCK_BYTES)).cast("int")
     open_groups = told.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("n_odd"), blocks(~F.col("alike")).alias("odd_blocks"), blocks(F.col("alike")).alias("more_blocks"))
@@ -655,9 +655,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = told.join(open_groups, "grp").withColumn("block", F.when(F.col("alike"), F.col("odd_blocks") + F.pmod(place, F.col("more_blocks"))).otherwise(F.pmod(place, F.col("odd_blocks"))))
     others = F.filter(F.sequence(F.lit(0), F.col("odd_blocks") + F.col("more_blocks") - 1), lambda o: (o != F.col("block")) & ((F.col("block") < F.col("odd_blocks")) | (o < F.col("odd_blocks"))))
     dealt = cut.withColumn("other", F.explode(others)).select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "shingles", "alike")
-    late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_blocks(least), "a long, b long").coalesce(wide)
+    late = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_links_of_blocks(least)), "a long, b long").coalesce(wide)
     side = lambda name, held: sets.join(loose, "id", "left_semi").select(F.col("id").alias(name), F.col("shingles").alias(held))
-    across = apart.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(least), "a long, b long")
+    across = apart.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(lean(_alike(least)), "a long, b long")
     roots = components(pairs.unionByName(late).unionByName(across))
     grouped = checkpointed(member.join(roots, member.id == roots.node, "left").select("name", "same", F.coalesce("root", "id").alias("root")).coalesce(tasks))
     chiefs = grouped.groupBy("root").agg(F.min(F.struct("name", "same")).alias("chief"))

@@ -1,7 +1,8 @@
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from conftest_data import table
-from impactrank.llm import features, pu, rules
+from impactrank.llm import common, features, pu, rules
 from impactrank.llm.common import words
 from test_decontaminate import brute_leaks
 from test_packing import brute_pieces, check_layout, pieces_of
@@ -33,3 +34,22 @@ def test_stages_keep_the_columns(spark, sf_dir, odd):
             kept = stage(spark, frame, sf_dir)
             assert kept.columns == docs.columns
             assert kept.count() <= frame.count()
+
+
+def test_stages_run_in_small_batches(spark, sf_dir, odd):
+    """A batch of texts ends at some megabytes; by default one holds all of these."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    corpus_pipeline.benchmark_decontamination(spark, odd.select("doc_id", "text"), sf_dir)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 10000) as text")
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 3 and max(got) < 8 << 20
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("back"))
+    assert [*common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2])), *said] == [2, 4, "back"]
