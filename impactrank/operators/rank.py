@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from impactrank.shared import written
 
 from .index import BODY_BITS, Index, block_of
-from .scoring import DEALT, SENT_SEGMENTS, TOGETHER, dealt, parts_of, scores
+from .scoring import DEALT, SENT_SEGMENTS, TOGETHER, cells, dealt, parts_of, scores
 
 #: Postings of a query that the first round of early termination reads at least (two megabytes, less work than starting a round), and by how much a round reads more than the one before.
 FIRST_ROUND, GROWTH = 1 << 18, 8
@@ -67,25 +67,33 @@ def accumulate(plan: DataFrame, index: Index, k: int | None = None) -> DataFrame
 
     Equal (query, term, impact) segments are first counted, so a repeated term is joined once.
     """
-    return scores(plan.groupBy("query_id", "term", "impact").agg(F.count("*").alias("times")), index, k)
+    return scores(_times(plan), index, k)
+
+
+def _times(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("query_id", "term", "impact").agg(F.count("*").alias("times"), F.max("freq").alias("freq"))
 
 
 def top_k(scores: DataFrame, k: int, cuts: list[int] | None = None) -> DataFrame:
     """(query_id, docid, rsv, rank): by falling score, then falling docid. Ranks to a few hundred are a window that tasks cut before they send rows on; more come from counts, by the blocks that ``cuts`` bound."""
     if k > WINDOW_RANKS:
-        return _ranks_by_counts(scores, k, cuts)
+        return _ranks_by_counts(scores.select("query_id", "rsv", block_of(F.col("docid"), cuts).alias("block"), F.array("docid").alias("docids")), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rsv"), F.desc("docid")))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _ranks_by_counts(scores: DataFrame, k: int, cuts: list[int] | None) -> DataFrame:
-    """The same rows, where a query may have more of them than one task can sort.
+def _ranks_by_counts(hits: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
+    """The same rows of (query_id, rsv, block, docids), where a query may have more of them than one task can sort.
 
-    Rows are counted by cell, a score and a block of docids. A row's rank is the number of rows in better cells and its place in its own, which
+    Hits are counted by cell, a score and a block of docids. A row's rank is the number of rows in better cells and its place in its own, which
     holds at most the documents of a block. Sums over cells go in steps: blocks of a score, scores of a range, ranges of a query (an array).
+    Cells meet as arrays, in ``tasks`` tasks if given; rows of a hit are made last of all and not sorted.
     """
-    own = scores.withColumn("block", block_of(F.col("docid"), cuts))
-    cells = own.groupBy("query_id", "rsv", "block").agg(F.count("*").alias("n"))
+    keys = ["query_id", "rsv", "block"]
+    hits = hits.where(" AND ".join(f"{c} IS NOT NULL" for c in keys))  # as the joins ask of it; said here, one exchange serves both uses
+    met = hits if tasks is None else hits.repartition(tasks, *keys)
+    own = met.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("docids")), asc=False).alias("docids"))
+    cells = met.groupBy(*keys).agg(F.sum(F.size("docids")).alias("n"))
     before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = cells.withColumn("in_score", before(["query_id", "rsv"], "block"))
     by_score = cells.groupBy("query_id", "rsv").agg(F.sum("n").alias("n")).withColumn("range", F.shiftright("rsv", RANGE_BITS))
@@ -94,10 +102,9 @@ def _ranks_by_counts(scores: DataFrame, k: int, cuts: list[int] | None) -> DataF
     whole = ranges.groupBy("query_id").agg(F.collect_list(F.struct("range", "n")).alias("ranges"))
     better = F.aggregate(F.filter("ranges", lambda r: r["range"] > F.col("range")), F.lit(0).cast("long"), lambda total, r: total + r["n"])
     placed = by_score.drop("n").join(whole, "query_id").select("query_id", "rsv", (F.col("in_range") + better).alias("above")).where(F.col("above") < k)
-    offsets = blocks.join(placed, ["query_id", "rsv"]).select("query_id", "rsv", "block", (F.col("above") + F.col("in_score")).alias("offset")).where(F.col("offset") < k)
-    place = F.row_number().over(Window.partitionBy("query_id", "rsv", "block").orderBy(F.desc("docid")))
-    ranked = own.join(offsets, ["query_id", "rsv", "block"]).withColumn("rank", (F.col("offset") + place).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "docid", "rsv", "rank")
+    offsets = blocks.join(placed, ["query_id", "rsv"]).select(*keys, (F.col("above") + F.col("in_score")).alias("offset")).where(F.col("offset") < k)
+    ranked = own.join(offsets, keys).select("query_id", "rsv", "offset", F.posexplode("docids").alias("place", "docid"))
+    return ranked.select("query_id", "docid", "rsv", (F.col("offset") + F.col("place") + 1).cast("int").alias("rank")).where(F.col("rank") <= k)
 
 
 def named(run: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,6 +123,9 @@ def rank(qterms: DataFrame, index: Index, k: int = 10, budget: int | None = None
     plan = within_budget(segment_plan(qterms, index.heads), budget if mode == "anytime" else None)
     if watch is not None:
         plan = plan.observe(watch, F.count(F.when(F.col("seq") == 1, 1)).alias("topics"), F.count("*").alias("segments"), F.sum("freq").alias("postings"), F.sum(F.lit(0)).alias("checks"), F.sum(F.lit(0)).alias("stops"))
+    if k > WINDOW_RANKS:
+        hits, tasks = cells(_times(plan), index, k)
+        return _ranks_by_counts(hits, k, tasks)
     return top_k(accumulate(plan, index, k), k, index.cuts)
 
 

@@ -24,13 +24,27 @@ PART_BITS, TOGETHER = 15, 128
 SENT_SEGMENTS = 1 << 18
 #: Pairs of a query and a posting that are made at once, postings that wait to be added, and the postings of a row from which it is added alone.
 PAIRS, WAITING, ALONE = 1 << 21, 1 << 18, 256
+#: Hits that one task ranks, about, where all hits of a query are ranked.
+HITS = 1 << 20
 DEALT = "many int, block long, part int, queries array<long>, gains array<long>, docids array<long>"
 _NAMES = ["many", "block", "part", "queries", "gains", "docids"]
+CELLS = "query_id long, rsv long, block long, docids array<long>"
 
 
 def scores(chosen: DataFrame, index: Index, k: int | None = None) -> DataFrame:
     """(query_id, docid, rsv) of chosen (query_id, term, impact, times) segments; with ``k`` at least the k best of each query, those of each part."""
+    return _scored(written(chosen), index, k)
+
+
+def cells(chosen: DataFrame, index: Index, k: int | None = None) -> tuple[DataFrame, int]:
+    """(query_id, rsv, block, docids), the same hits as arrays, a row for each score of a query in a part of a block; and a number of tasks in proportion to the hits. ``chosen`` has freq too."""
     chosen = written(chosen)
+    read, queries = chosen.agg(F.sum("freq"), F.count_distinct("query_id")).first()
+    most = min(read or 0, (queries + 1) * index.docs.count())  # a null query is not counted
+    return _scored(chosen, index, k, True), max(1, math.ceil(most / HITS))
+
+
+def _scored(chosen: DataFrame, index: Index, k: int | None, as_cells: bool = False) -> DataFrame:
     segments, queries = chosen.agg(F.count("*"), F.count_distinct("query_id")).first()
     groups = max(1, math.ceil(queries / TOGETHER))
     parts = parts_of(index)
@@ -40,7 +54,7 @@ def scores(chosen: DataFrame, index: Index, k: int | None = None) -> DataFrame:
     met = index.arrays().join(wanted, ["term", "impact"]).select("many", "block", F.lit(0).alias("part"), F.col("q.query_id").alias("queries"), F.col("q.gain").alias("gains"), "docids")
     rows = met.mapInArrow(dealt(parts), DEALT) if parts > 1 else met
     tasks = min(1 << 11, 2 * groups * parts * (1 + len(index.cuts or [])))
-    return rows.repartition(tasks, "many", "block", "part").sortWithinPartitions("many", "block", "part").mapInArrow(_summed(k), "query_id long, docid long, rsv long")
+    return rows.repartition(tasks, "many", "block", "part").sortWithinPartitions("many", "block", "part").mapInArrow(_summed(k, as_cells), CELLS if as_cells else "query_id long, docid long, rsv long")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -125,20 +139,38 @@ class _Part:
         q += q_first[body]
         np.add.at(self.held.reshape(-1), row[q] * len(self.ids) + at[d_first[body] + d], gain[q])
 
-    def best(self, k: int | None) -> Iterator[pa.RecordBatch]:
+    def hits(self, k: int | None) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+        """(query, docids, scores), cut to the k best."""
         for query, i in self.rows.items():
             own = self.held[i]
             hit = np.flatnonzero(own)
             if k is not None and len(hit) > k:
                 hit = hit[own[hit] >= np.partition(own[hit], len(hit) - k)[len(hit) - k]]
                 hit = hit[np.lexsort((-self.ids[hit], -own[hit]))[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([query], pa.int64()).take(pa.array(np.zeros(len(hit), np.int64))), pa.array(self.ids[hit]), pa.array(own[hit])], names=["query_id", "docid", "rsv"])
+            yield query, self.ids[hit], own[hit]
+
+    def best(self, k: int | None) -> Iterator[pa.RecordBatch]:
+        for query, ids, own in self.hits(k):
+            yield pa.RecordBatch.from_arrays([_same(query, len(ids)), pa.array(ids), pa.array(own)], names=["query_id", "docid", "rsv"])
+
+    def cells(self, k: int | None, block: int) -> Iterator[pa.RecordBatch]:
+        for query, ids, own in self.hits(k):
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+            docids = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array(ids[order]))
+            yield pa.RecordBatch.from_arrays([_same(query, len(first)), pa.array(own[first]), _same(block, len(first)), docids], names=["query_id", "rsv", "block", "docids"])
+
+
+def _same(value: int | None, n: int) -> pa.Array:
+    return pa.array([value], pa.int64()).take(pa.array(np.zeros(n, np.int64)))
 
 
-def _summed(k: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _summed(k: int | None, as_cells: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         part, waiting, held = _Part(), [], 0
+        best = lambda: part.cells(k, key[1]) if as_cells else part.best(k)
 
         def added() -> None:
             nonlocal held
@@ -165,7 +197,7 @@ def _summed(k: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if here != key:
                     if key is not None:
                         added()
-                        yield from part.best(k)
+                        yield from best()
                     key, part = here, _Part()
                 while begin < end:
                     to = min(end, max(begin + 1, int(np.searchsorted(d_ends, d_ends[begin] + WAITING, side="right")) - 1))
@@ -178,6 +210,6 @@ def _summed(k: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     begin = to
         if key is not None:
             added()
-            yield from part.best(k)
+            yield from best()
 
     return run

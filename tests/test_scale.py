@@ -120,3 +120,29 @@ def test_a_vocabulary_of_stems_is_made_of_arrays(spark, monkeypatch, tmp_path):
     documents.write.parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES["vocab_suffixes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(docids" in plan
+
+
+def test_all_hits_of_a_query_are_ranked_as_arrays_in_tasks_that_grow_with_them(spark, monkeypatch):
+    """No row of a hit is sorted or shuffled, and twice the hits meet in twice the tasks; ties go over parts and blocks."""
+    for module, name, value in ((I, "BODY_BITS", 5), (R, "BODY_BITS", 5), (scoring, "BODY_BITS", 5), (scoring, "PART_BITS", 4), (scoring, "HITS", 10)):
+        monkeypatch.setattr(module, name, value)
+    chance = random.Random(9)
+    dealt = []
+    for n in (80, 160):
+        posts = [(t, d, chance.choice([1, 1, 2])) for t in "ab" for d in sorted(chance.sample(range(n), n // 2))]
+        frame = spark.createDataFrame(posts, "term string, docid long, impact int")
+        index = I.Index(I.segments(frame), frame, spark.createDataFrame([(d, "x") for d in range(n)], "docid long, docno string"), cuts=list(range(32, n, 32)))
+        queries = {1: "ab", 2: "aab", 3: "z", 4: "b"}
+        terms = spark.createDataFrame([(q, i, t) for q, ts in queries.items() for i, t in enumerate(ts)], "query_id long, term_pos int, term string")
+        found = R.rank(terms, index, 10**6)
+        want = []
+        for q, ts in queries.items():
+            sums = Counter()
+            for t, d, impact in posts:
+                sums[d] += impact * ts.count(t)
+            want += [(q, d, s, i) for i, (s, d) in enumerate(sorted(((s, d) for d, s in sums.items() if s), reverse=True), 1)]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "docid#" not in "".join(line for line in plan.split("\n") if "Sort " in line or "windowspec" in line)
+        dealt.append({int(line.split("], ")[1].split()[0]) for line in plan.split("\n") if "RepartitionByExpression [query_id" in line})
+    assert all(len(tasks) == 1 for tasks in dealt) and dealt[1].pop() == 2 * dealt[0].pop() > 2
