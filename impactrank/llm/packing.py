@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ EOS = 1
 BLOCK = 50_000
 #: Words whose ids a Python worker remembers; as many again from before the last clearing.
 REMEMBERED = 300_000
+#: Bytes of text whose distinct words are looked up together; more of them repeat in more text.
+TOGETHER = 1 << 21
 
 
 def _tokenizer_path(path: str | None) -> str:
@@ -48,6 +51,18 @@ class Remembered(dict):
         value = self[key] = self.old[key]
         return value
 
+    def unknown(self, keys: Iterable) -> list:
+        """Those that are not remembered; the others are from now on of the young generation."""
+        out, old = [], self.old.get
+        for key in keys:
+            if key not in self:
+                value = old(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    self[key] = value
+        return out
+
     def make_room(self) -> None:
         if len(self) > REMEMBERED:
             self.old = dict(self)
@@ -87,51 +102,52 @@ class WordIds:
                 self.words[word] = self.whole(read(word))
             new = [w for w in new if w not in strange]
             text = read(b"\n".join(new))
+        if not new:
+            return
         parts = self.cut(text.lower())  # in these scripts nothing is left to compose
-        missing = []
-        for part in set(parts).difference(("\n",)):
-            if part not in self.parts:
-                try:
-                    self.parts[part]
-                except KeyError:
-                    missing.append(part)
+        self.parts["\n"] = b""
+        missing = self.parts.unknown(set(parts))
         if missing:
             ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            data, at = ids.tobytes(), 0
-            for name, stop in zip(missing, (4 * stops).tolist()):
-                self.parts[name] = data[at:stop]
-                at = stop
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            self.parts.update(zip(missing, _cut(ids.tobytes(), stops)))
             if len(stops) != len(missing):  # a vocabulary without ends of words: each by itself
                 self.parts.update((name, self.whole(name)) for name in missing)
-        get = self.parts.__getitem__
-        held: list[bytes] = []
-        names = iter(new)
-        for part in parts:
-            if part == "\n":
-                self.words[next(names)] = b"".join(held)
-                held = []
-            else:
-                held.append(get(part))
-        for word in names:  # the last one
-            self.words[word] = b"".join(held)
+        held = list(map(self.parts.__getitem__, parts))
+        stops = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+        between = np.fromiter(map("\n".__eq__, parts), bool, len(parts))
+        self.words.update(zip(new, _cut(b"".join(held), np.append(stops[between], stops[-1]))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        """Little-endian 32-bit ids of each text.
+
+        Arrow splits the texts, tells their distinct words and puts the words' ids in place; Python handles a distinct word once.
+        """
+        if not texts:
+            return []
+        special = [b"<|" in t for t in texts]
+        plain = pa.array([b"" if s else t.lower() for t, s in zip(texts, special)], pa.binary())
+        split = pc.ascii_split_whitespace(plain.view(pa.string()))  # bytes that are no UTF-8 stay as they are
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.view(pa.binary())
+        seen = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.scalar(b"\n", pa.binary()))[0].as_py().split(b"\n")
         self.words.make_room()
         self.parts.make_room()
-        seen = set().union(*(s for s in split if s))
-        new = []
-        for word in seen:
-            if word not in self.words:
-                try:
-                    self.words[word]
-                except KeyError:
-                    new.append(word)
-        self.learn(new)
-        get = self.words.__getitem__
-        return [self.whole(read(t)) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        self.words[b""] = b""  # before a text's first word and after its last
+        self.learn(self.words.unknown(seen))
+        ids = pa.array(list(map(self.words.__getitem__, seen)), pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[np.asarray(split.offsets)]
+        data = memoryview(data or b"")
+        return [self.whole(read(t)) if s else data[i:j].tobytes() for t, s, i, j in zip(texts, special, ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _cut(data: bytes, stops: np.ndarray) -> Iterator[bytes]:
+    """The pieces of ``data`` that end at ``stops``."""
+    at = 0
+    for stop in stops.tolist():
+        yield data[at:stop]
+        at = stop
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -152,7 +168,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", te
         for batch in batches:
             out: list[tuple] = []
             names, texts = batch["doc_id"].to_pylist(), text_bytes(batch["text"])
-            for low, high in slices(texts):
+            for low, high in slices(texts, TOGETHER):
                 for doc_id, ids in zip(names[low:high], own.encode(texts[low:high])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -117,3 +117,25 @@ def test_sequences_hold_the_ids(spark, odd):
         own = rows[r.sequence_id]
         assert bytes(own.ids)[4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) and zlib.crc32(bytes(r.ids)) == r.ids_crc32
         assert len(own.ids) == 4 * own.n_tokens <= 256
+
+
+def test_a_repeated_word_is_looked_up_once():
+    class Counted(P.Remembered):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    own = P.WordIds(PATH)
+    own.words = Counted()
+    text = b"The same words " * 5000
+    assert own.encode([text, text]) == [np.array(TOKENIZER.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()] * 2
+    assert Counted.asked < 20
+
+
+def test_any_white_space_and_control_bytes():
+    own = P.WordIds(PATH)
+    assert own.encode([]) == []
+    texts = [b"", b" ", b"\n\n", *(b"Ab" + bytes([x]) + b"c  it's" + bytes([x]) for x in range(256)), " x y　z İ K".encode(), b"<|endoftext|> a", b"\x00"]
+    assert own.encode(texts) == [np.array(TOKENIZER.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
